@@ -110,19 +110,20 @@ def sort_key(seed: int, *columns: Column) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
 
-def times(plan_columns: Callable[[str], Column], key: Column) -> Column:
-    """How often a row is taken: whole passes, and once more up to the last key or as the filler."""
-    last, filler = plan_columns("last_key"), plan_columns("filler")
-    more = F.coalesce(key <= last, F.lit(False)) | F.coalesce(key == filler, F.lit(False))
-    return (plan_columns("passes") + more.cast("long")).cast("long")
+def times(plan: Callable[[str], Column], key: Column, size: Column) -> Column:
+    """How often a row is taken: whole passes, and once more if the plan of its pattern says so."""
+    more = (key <= plan("last")) | ((size > 0) & (size <= plan("limit")) & (key <= plan("small_last"))) | (key == plan("filler"))
+    return plan("passes") + F.coalesce(more, F.lit(False)).cast("long")
 
 
 def plan_mix(docs: DataFrame, scratch: Scratch, *, weights: Callable[[Sequence[str | None]], dict] | None = None, cap: int = 3, seed: int = 7) -> Mix:
     """Plan the mix of docs (id, members array<string>, text): see mixed().
 
     Selection is by a seeded key per row, so it needs no memory of rows: of each pattern, all rows are taken
-    `passes` times, rows up to last_key once more, and one further row whose size comes closest to what is
-    still missing. last_key is found in the one of 4,096 key ranges where the running size crosses the rest.
+    `passes` times and rows up to the key `last` once more. What is missing up to the row that does not fit
+    any more is filled by further rows of at most `limit` words up to the key small_last, and by one row whose
+    size comes closest to the gap. Keys are found in the one of 4,096 key ranges where the running size
+    crosses the rest.
     Rows with equal id and text share a key and are taken alike.
     """
     spark = docs.sparkSession
@@ -147,33 +148,39 @@ def plan_mix(docs: DataFrame, scratch: Scratch, *, weights: Callable[[Sequence[s
     parts = [(list(p), *(divmod(take[p], n) if n else (0, 0))) for p, n in capacity.items()]
     goal = spark.createDataFrame(parts or [([None], 0, 0)], "members array<string>, passes long, rest long")
 
-    bucket = F.shiftright(F.col("key"), 64 - BUCKETS_BITS)
+    def cut(eligible: DataFrame) -> DataFrame:
+        """Of rows (members, key, size, rest): the last key whose running size is within the rest, and the gap that is left."""
+        bucket = F.shiftright(F.col("key"), 64 - BUCKETS_BITS)
+        by_bucket = eligible.groupBy("members", "rest", bucket.alias("bucket")).agg(F.sum("size").alias("size"))
+        by_bucket = by_bucket.withColumn("upto", F.expr("sum(size) over (partition by members order by bucket rows unbounded preceding)"))
+        by_bucket = scratch.save(by_bucket.withColumn("before", F.col("upto") - F.col("size")).drop("size"), "buckets")
+        crossing = by_bucket.where("upto > rest and before <= rest").select("members", "bucket", "before")
+        inside = eligible.withColumn("bucket", bucket).join(F.broadcast(crossing), ["members", "bucket"]).groupBy("members", "rest", "before", "key").agg(F.sum("size").alias("size"))
+        inside = inside.withColumn("upto", F.col("before") + F.expr("sum(size) over (partition by members order by key rows unbounded preceding)"))
+        edge = inside.groupBy("members", "rest").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.struct("key", "upto"))).alias("in"), F.min(F.struct("key", "before")).alias("first"))
+        # no row of the range fits: the last key is just below the range's first
+        found = edge.select("members", F.coalesce("in.key", F.col("first.key") - 1).alias("last"), (F.col("rest") - F.coalesce("in.upto", "first.before")).alias("gap"))
+        short = by_bucket.groupBy("members", "rest").agg(F.max("upto").alias("upto")).where("upto <= rest")
+        return scratch.save(found.union(short.select("members", F.lit((1 << 63) - 1), F.col("rest") - F.col("upto"))), "cut")
+
     aimed = rows.join(F.broadcast(goal), members_equal(rows, goal)).drop(goal.members).where("rest > 0")
-    by_bucket = aimed.groupBy("members", "passes", "rest", bucket.alias("bucket")).agg(F.sum("size").alias("size"))
-    running = F.expr("sum(size) over (partition by members order by bucket rows unbounded preceding)")
-    crossing = by_bucket.withColumn("upto", running).where("upto > rest and upto - size <= rest").select("members", "bucket", "rest", (F.col("upto") - F.col("size")).alias("before"))
-    inside = rows.withColumn("bucket", bucket).join(F.broadcast(crossing), ["members", "bucket"]).groupBy("members", "rest", "before", "key").agg(F.sum("size").alias("size"))
-    upto = F.col("before") + F.expr("sum(size) over (partition by members order by key rows unbounded preceding)")
-    inside = inside.withColumn("upto", upto)
-    edge = inside.groupBy("members").agg(
-        F.max(F.when(F.col("upto") <= F.col("rest"), F.struct("key", "upto"))).alias("in"), F.min(F.struct("key", "before")).alias("first"), F.min("rest").alias("rest")
-    )
-    # no row of the range fits: the last key is just below the range's first
-    cut = edge.select(
-        "members", F.coalesce("in.key", F.col("first.key") - 1).alias("last_key"), (F.col("rest") - F.coalesce("in.upto", "first.before")).alias("gap")
-    )
-    cut = scratch.save(cut, "cut")
+    one = cut(aimed.select("members", "key", "size", "rest"))
     size, gap = F.col("size"), F.col("gap")
+    small = rows.join(F.broadcast(one), "members").where((F.col("key") > F.col("last")) & (size > 0) & (size * 16 <= gap))
+    two = cut(small.select("members", "key", "size", gap.alias("rest")))
+    both = one.join(two.select("members", F.col("last").alias("small_last"), F.col("gap").alias("gap2")), "members", "left")
+    both = scratch.save(both.select("members", "last", F.when(F.col("small_last").isNotNull(), gap / 16).alias("limit"), "small_last", F.coalesce("gap2", "gap").alias("gap")), "both")
+    free = (F.col("key") > F.col("last")) & ~F.coalesce((size <= F.col("limit")) & (F.col("key") <= F.col("small_last")), F.lit(False))
     filler = (
-        rows.join(F.broadcast(cut), "members")
-        .where((F.col("key") > F.col("last_key")) & (size > 0) & (F.abs(size - gap) < gap))
+        rows.join(F.broadcast(both), "members")
+        .where(free & (size > 0) & (F.abs(size - gap) < gap))
         .groupBy("members")
         .agg(F.min(F.struct(F.abs(size - gap).alias("off"), F.col("key"))).alias("f"))
         .select("members", F.col("f.key").alias("filler"))
     )
-    # where nothing crosses, the rest is 0 or the whole pattern
-    plan = goal.join(cut.select("members", "last_key"), "members", "left").join(filler, "members", "left")
-    return Mix(rows, scratch.save(plan.select("members", "passes", "last_key", "filler"), "plan"), sizes, wanted)
+    # where the rest is 0 nothing more is taken
+    plan = goal.join(both.drop("gap"), "members", "left").join(filler, "members", "left")
+    return Mix(rows, scratch.save(plan.select("members", "passes", "last", "limit", "small_last", "filler"), "plan"), sizes, wanted)
 
 
 def members_equal(a: DataFrame, b: DataFrame) -> Column:
@@ -199,5 +206,5 @@ def mixed(docs: DataFrame, scratch: Scratch, *, id_column: str = "doc_id", sourc
     rows, plan = mix.rows.alias("r"), mix.plan.alias("p")
     out = rows.join(F.broadcast(plan), F.col("r.members").eqNullSafe(F.col("p.members")), "left")
     out = out.join(F.broadcast(told), F.element_at("r.members", 1).eqNullSafe(F.col("source")), "left")
-    n = times(F.col, F.col("key"))
+    n = times(F.col, F.col("key"), F.col("size"))
     return out.select(F.col("id").alias(id_column), "size", "source_size", "target", n.alias("times"), (n * F.col("size")).alias("taken"))
