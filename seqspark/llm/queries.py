@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqspark.llm import audio, byte_bpe, chat_format, html_text, mixing, token_counts
+from seqspark.llm import audio, byte_bpe, chat_format, html_text, mixing, token_counts, toxicity
 from seqspark.llm.common import Scratch, table
 
 #: A conversation whose texts hold the marks of chat templates.
 TRAP = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = spark.createDataFrame(TRAP, "conv_id long, turn long, role string, text string")
