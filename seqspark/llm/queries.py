@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqspark.llm import audio, byte_bpe, chat_format, html_text, mixing, quality, token_counts, toxicity
+from seqspark.llm import audio, byte_bpe, chat_format, html_text, jaccard, mixing, quality, token_counts, toxicity
 from seqspark.llm.common import Scratch, table
 
 #: A conversation whose texts hold the marks of chat templates.
@@ -34,6 +34,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), Scratch(spark)).drop("times")
 
