@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqspark.llm import audio, byte_bpe, chat_format, html_text, jaccard, mixing, quality, token_counts, toxicity
+from seqspark.llm import audio, byte_bpe, chat_format, embed_dups, html_text, jaccard, mixing, quality, token_counts, toxicity
 from seqspark.llm.common import Scratch, table
 
 #: A conversation whose texts hold the marks of chat templates.
 TRAP = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
 
+def op1_embed_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dups.near_dups(table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality.classify(table(spark, sf_dir, "documents"), trusted)
