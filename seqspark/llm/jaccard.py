@@ -210,14 +210,14 @@ def whole_sets(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "s long, items array<long>")
 
 
-def join(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def join(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_column: str = "doc_id", text_column: str = "text", with_hash: bool = False) -> DataFrame:
     """Link texts whose sets of `width`-word shingles have a Jaccard similarity of num / den or more.
 
     Words are runs of other bytes than white space (9 to 13 and 32), A-Z lowered. A text with fewer words
     has its whole sequence as one shingle; null, empty and blank texts have none and link with nothing.
     Returns id_column, n_shingles (set size), set_id (hash of the set; equal sets link), n_links (other classes
     directly linked, of those compared), component_id (smallest id reachable). Null ids have a row each, and a
-    null component only if no row of it has an id; repeated ids count as one document's rows; an empty table gives an
+    null component only if no row of it has an id; with_hash: (i, h, n, component) instead, h hashing the text; repeated ids count as one document's rows; an empty table gives an
     empty one; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -294,6 +294,30 @@ def join(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_c
     with_comp = own.join(comp, "s", "left").withColumn("component", F.coalesce("component", "s"))
     least = with_comp.groupBy("component").agg(F.min("least").alias("component_id"))
     degree = links.select(F.col("a").alias("s")).union(links.select("b")).groupBy("s").agg(F.count("*").alias("links"))
-    told = scratch.save(with_comp.join(least, "component").join(degree, "s", "left").select("s", "component_id", F.coalesce("links", F.lit(0)).alias("n_links")), "told")
-    out = rows.select("i", "n", F.when(F.col("n") > 0, F.col("s")).alias("s")).join(told, "s", "left")
+    told = scratch.save(with_comp.join(least, "component").join(degree, "s", "left").select("s", "component", "component_id", F.coalesce("links", F.lit(0)).alias("n_links")), "told")
+    out = rows.select("i", "h", "n", F.when(F.col("n") > 0, F.col("s")).alias("s")).join(told, "s", "left")
+    if with_hash:
+        return out.select("i", "h", "n", F.coalesce("component", "s").alias("component"))
     return out.select(F.col("i").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "i").alias("component_id"), F.col("s").alias("set_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of docs without near duplicates, with all their columns: of each component the row of smallest id stays.
+
+    Rows that link with nothing stay, also those without words. Of rows with equal id and text in a component
+    one stays.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.save(join(docs, width=width, num=num, den=den, id_column=id_column, text_column=text_column, with_hash=True), "found")
+    words = found.where("n > 0")
+    stays = words.groupBy("component").agg(F.min(F.struct("i", "h")).alias("x")).select("x.i", "x.h")
+    stays = stays.union(found.where("n = 0").select("i", "h").distinct())
+    again = words.groupBy("i", "h").count().where("count > 1").join(stays, ["i", "h"], "left_semi").limit(1).count() > 0
+    ik = lambda c: F.coalesce(c.cast("string"), F.lit("\0"))
+    keys = stays.select(ik(F.col("i")).alias("k"), "h").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), ik(docs[id_column]).alias("k"), F.xxhash64(docs[text_column]).alias("h"), F.xxhash64(F.struct(*docs.columns)).alias("o"))
+    kept = rows.join(keys, ["k", "h"], "left_semi")
+    if again:
+        blank = kept.join(found.where("n = 0").select(ik(F.col("i")).alias("k"), "h").distinct(), ["k", "h"], "left_semi")
+        kept = kept.join(blank.select("k", "h").distinct(), ["k", "h"], "left_anti").dropDuplicates(["k", "h"]).union(blank)
+    return kept.select("doc.*")

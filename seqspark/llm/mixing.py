@@ -116,6 +116,13 @@ def times(plan: Callable[[str], Column], key: Column, size: Column) -> Column:
     return plan("passes") + F.coalesce(more, F.lit(False)).cast("long")
 
 
+def sized(docs: DataFrame, kept: Column, seed: int = 7) -> DataFrame:
+    """(kept, members in order, size, key) of each row of docs(id, members, text)."""
+    members = F.array_sort(F.array_distinct(F.coalesce("members", F.array(F.lit(None).cast("string")))))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(kept, members.alias("members"), size.alias("size"), sort_key(seed, F.col("id"), F.col("text")).alias("key"))
+
+
 def plan_mix(docs: DataFrame, scratch: Scratch, *, weights: Callable[[Sequence[str | None]], dict] | None = None, cap: int = 3, seed: int = 7) -> Mix:
     """Plan the mix of docs (id, members array<string>, text): see mixed().
 
@@ -127,10 +134,7 @@ def plan_mix(docs: DataFrame, scratch: Scratch, *, weights: Callable[[Sequence[s
     Rows with equal id and text share a key and are taken alike.
     """
     spark = docs.sparkSession
-    members = F.array_sort(F.array_distinct(F.coalesce("members", F.array(F.lit(None).cast("string")))))
-    rows = scratch.save(
-        docs.select("id", members.alias("members"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), sort_key(seed, F.col("id"), F.col("text")).alias("key")), "mix"
-    )
+    rows = scratch.save(sized(docs, F.col("id"), seed), "mix")
     grouped = rows.groupBy("members").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(grouped) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -208,3 +212,13 @@ def mixed(docs: DataFrame, scratch: Scratch, *, id_column: str = "doc_id", sourc
     out = out.join(F.broadcast(told), F.element_at("r.members", 1).eqNullSafe(F.col("source")), "left")
     n = times(F.col, F.col("key"), F.col("size"))
     return out.select(F.col("id").alias(id_column), "size", "source_size", "target", n.alias("times"), (n * F.col("size")).alias("taken"))
+
+
+def repeated(docs: DataFrame, scratch: Scratch, *, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", weights: Callable[[Sequence[str | None]], dict] | None = None, cap: int = 3, seed: int = 7) -> DataFrame:
+    """The rows of docs as often as mixed() takes them, with all their columns."""
+    members = F.array(docs[source_column].cast("string")) if docs.schema[source_column].dataType.typeName() != "array" else docs[source_column]
+    named = docs.select(F.struct(*docs.columns).alias("doc"), docs[id_column].alias("id"), members.alias("members"), docs[text_column].alias("text"))
+    plan = plan_mix(named.select("id", "members", "text"), scratch, weights=weights, cap=cap, seed=seed).plan.withColumnRenamed("members", "pattern")
+    out = sized(named, F.col("doc"), seed).join(F.broadcast(plan), F.col("members").eqNullSafe(F.col("pattern")), "left")
+    n = F.coalesce(times(F.col, F.col("key"), F.col("size")), F.lit(0))
+    return out.where(n > 0).select("doc", F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("copy")).select("doc.*")

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqspark.llm import common, pretok
 from seqspark.llm.common import Scratch
@@ -291,13 +292,24 @@ def scores(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, id_col
     ignored.
     """
     model = fit(docs, labels, id_column=id_column, text_column=text_column, label_column=label_column)
-    kind = docs.schema[id_column].dataType.simpleString()
+    got = score_rows(docs.select(docs[id_column].alias("i"), docs[text_column].alias("t")), model)
+    return got.select(F.col("i").alias(id_column), held_out(F.col("i")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def score_rows(rows: DataFrame, model: Model) -> DataFrame:
+    """rows(i, t) -> (i, score); i may be of any type."""
+    common.small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = CharModel(model.counts)
         for batch in batches:
             out = [model.score(restored_words(x or "", letters)) for x in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(out, pa.float64())], [id_column, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(out, pa.float64())], ["i", "score"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["i"], T.StructField("score", T.DoubleType())]))
 
-    got = docs.select(docs[id_column].alias("i"), docs[text_column].alias("t")).mapInArrow(run, f"`{id_column}` {kind}, score double")
-    return got.select(id_column, held_out(F.col(id_column)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> DataFrame:
+    """The rows of docs whose score is below the threshold, with all their columns."""
+    model = fit(docs, labels, id_column=id_column, text_column=text_column, label_column=label_column)
+    return score_rows(docs.select(F.struct(*docs.columns).alias("i"), docs[text_column].alias("t")), model).where(F.col("score") < threshold).select("i.*")
