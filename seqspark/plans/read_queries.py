@@ -1,0 +1,228 @@
+"""Queries on reads: scalars, clips, pairs, overlaps."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqspark.functions import scalar
+from seqspark.operators import kmers, overlap
+from seqspark.operators import reads as ops
+from seqspark.plans.adapter import K, KM_SQL, RC, READS_SQL, reads, stats_sql
+from seqspark.plans.registry import query
+
+
+def saver(spark: SparkSession):
+    """Writes tables below the shared folder of the cluster and reads them back."""
+    root = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/seqspark'}/{uuid.uuid4().hex}"
+    count = iter(range(1 << 30))
+
+    def save(df: DataFrame) -> DataFrame:
+        path = f"{root}/{next(count)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return save
+
+
+@query(f"WITH {READS_SQL} SELECT read_id, md5(reverse(translate(seq, '{scalar.BASES}', '{scalar.COMPLEMENTS}'))) AS rc_md5 FROM reads")
+def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads(spark, sf_dir).select("read_id", F.md5(scalar.reverse_complement(F.col("seq")).cast("binary")).alias("rc_md5"))
+
+
+_CODONS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in scalar.codons().items()) + "}"
+
+
+@query(f"WITH {READS_SQL} SELECT read_id, md5(array_to_string(list_transform(regexp_extract_all(replace(seq, '*', ''), '(?s)...'), lambda x: coalesce({_CODONS}[x], 'X')), '')) AS protein_md5 FROM reads")
+def codon_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads(spark, sf_dir).select("read_id", F.md5(scalar.translate_dna(F.col("seq")).cast("binary")).alias("protein_md5"))
+
+
+@query(
+    f"""WITH {READS_SQL}, b AS (SELECT lang, pos, substr(seq, pos + 1, 1) AS base FROM (SELECT lang, seq, unnest(range(0, length(seq))) AS pos FROM reads)),
+c AS (SELECT lang, pos, bit_or(CASE base WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 ELSE 0 END) AS bits FROM b GROUP BY ALL)
+SELECT lang, CAST(count(*) AS BIGINT) AS columns, substr('{scalar.IUPAC}', CAST(bits + 1 AS BIGINT), 1) AS letter FROM c GROUP BY lang, bits"""
+)
+def iupac_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letters = F.split("seq", "")
+    rows = reads(spark, sf_dir).where(F.length("seq") > 0).select("lang", F.posexplode(F.slice(letters, F.lit(1), F.length("seq"))).alias("pos", "base"))
+    bits = rows.groupBy("lang", "pos").agg(F.bit_or(scalar.base_bits(F.col("base"))).alias("bits"))
+    return bits.groupBy("lang", "bits").agg(F.count("*").alias("columns")).select("lang", "columns", scalar.iupac_letter(F.col("bits")).alias("letter"))
+
+
+NAMES_SQL = "n AS (SELECT doc_id AS read_id, source || '_' || doc_id || CASE doc_id % 4 WHEN 0 THEN '/1' WHEN 1 THEN '/2' WHEN 2 THEN '/1x' ELSE '' END AS name FROM documents)"
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("read_id") % 4
+    tail = F.when(i == 0, "/1").when(i == 1, "/2").when(i == 2, "/1x").otherwise("")
+    return reads(spark, sf_dir).select("read_id", F.concat("source", F.lit("_"), F.col("read_id").cast("string"), tail).alias("name"))
+
+
+@query(
+    f"""WITH {NAMES_SQL} SELECT read_id, CASE WHEN name NOT LIKE '%/%' THEN name WHEN regexp_extract(name, '^(.*)/(.)(.*)$', 3) = '' THEN regexp_extract(name, '^(.*)/(.)(.*)$', 1)
+ ELSE regexp_extract(name, '^(.*)/(.)(.*)$', 1) || '_' || regexp_extract(name, '^(.*)/(.)(.*)$', 3) END AS template,
+ CASE regexp_extract(name, '^(.*)/(.)(.*)$', 2) WHEN '1' THEN 1 WHEN '2' THEN 255 ELSE 0 END AS segment FROM n"""
+)
+def name_scheme(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _names(spark, sf_dir).select("read_id", scalar.template_of(F.col("name")).alias("template"), scalar.segment_of(F.col("name")).alias("segment"))
+
+
+@query("SELECT doc_id AS read_id, pow(10.0, (doc_id % 91) / 10.0) AS rate, CAST(floor(log10(least(pow(10.0, (doc_id % 91) / 10.0), 1e9)) * 10 + 0.5) AS INTEGER) AS quality FROM documents")
+def qual_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rate = scalar.error_rate(F.col("read_id") % 91)
+    return reads(spark, sf_dir).select("read_id", rate.alias("rate"), scalar.quality_of(rate).alias("quality"))
+
+
+def _poly_sql(base: str, sure: int, maybe: int, share: float) -> str:
+    return f"(contains(seq, '{base * sure}') OR (contains(seq, '{base * maybe}') AND length(replace(seq, '{base}', '')) < length(seq) * {share}))"
+
+
+@query(f"WITH {READS_SQL} SELECT read_id FROM reads WHERE {_poly_sql('A', 5, 3, 0.75)}")
+def poly_run_kill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads(spark, sf_dir).where(ops.poly_junk(F.col("seq"), "A", 5, 3, 0.75)).select("read_id")
+
+
+@query("SELECT doc_id AS read_id, CAST(length(regexp_extract(text, '^[a-zNX]*')) AS INTEGER) AS front, CAST(length(regexp_extract(text, '[a-z]*$')) AS INTEGER) AS back FROM documents")
+def lowercase_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads(spark, sf_dir).select("read_id", ops.lower_front(F.col("text")).alias("front"), ops.lower_back(F.col("text")).alias("back"))
+
+
+@query(
+    f"""WITH {READS_SQL} SELECT code, CAST(count(*) AS BIGINT) AS reads FROM (SELECT CASE WHEN length(seq) < 100 THEN 1 WHEN {_poly_sql('A', 20, 12, 0.2)} OR {_poly_sql('T', 20, 12, 0.2)} THEN 2
+ WHEN quality < 1 THEN 3 ELSE 0 END AS code FROM reads LEFT JOIN labels ON read_id = doc_id) GROUP BY code"""
+)
+def debris_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("read_id"), "quality")
+    return reads(spark, sf_dir).join(q, "read_id", "left").groupBy(ops.debris(F.col("seq"), F.col("quality"), 100, 1).alias("code")).agg(F.count("*").alias("reads"))
+
+
+PAIRS_SQL = "p AS (SELECT doc_id AS read_id, doc_id // 3 * 2 + least(doc_id % 3, 1) AS template FROM documents)"
+
+
+@query(
+    f"""WITH {PAIRS_SQL}, g AS (SELECT template, count(*) AS n, min(read_id) AS lo, max(read_id) AS hi FROM p GROUP BY template)
+SELECT read_id, template, CAST(n AS BIGINT) AS pair_size, CASE WHEN n = 2 THEN CASE WHEN read_id = lo THEN hi ELSE lo END END AS partner FROM p JOIN g USING (template)"""
+)
+def pair_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = reads(spark, sf_dir).select("read_id", (F.expr("read_id div 3") * 2 + F.least(F.col("read_id") % 3, F.lit(1))).alias("template"))
+    return ops.resolve_pairs(r, "template", "template", "read_id").select("read_id", "template", "pair_size", "partner")
+
+
+SAM_SQL = """q AS (SELECT l_orderkey AS template, min(l_partkey) AS pos1, max(l_partkey) AS pos2, CAST(floor(min(l_quantity)) AS BIGINT) AS len1, CAST(floor(max(l_quantity)) AS BIGINT) AS len2,
+ bool_or(l_returnflag = 'R') AS rev1, bool_or(l_linestatus = 'F') AS rev2 FROM lineitem GROUP BY l_orderkey HAVING count(*) = 2),
+s AS (SELECT *, greatest(pos1 + len1, pos2 + len2) - least(pos1, pos2) AS tlen, CASE WHEN pos1 <= pos2 THEN NOT rev1 AND rev2 ELSE rev1 AND NOT rev2 END AS facing FROM q),
+f AS (SELECT *, facing AND tlen >= 100 - 45.0 AND tlen <= 1000 + 45.0 AS proper FROM s)"""
+
+
+def _sam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    pairs = line.groupBy(F.col("l_orderkey").alias("template")).agg(
+        F.count("*").alias("n"),
+        F.min("l_partkey").alias("pos1"),
+        F.max("l_partkey").alias("pos2"),
+        F.floor(F.min("l_quantity")).alias("len1"),
+        F.floor(F.max("l_quantity")).alias("len2"),
+        F.bool_or(F.col("l_returnflag") == "R").alias("rev1"),
+        F.bool_or(F.col("l_linestatus") == "F").alias("rev2"),
+    )
+    return ops.sam_flags(pairs.where("n = 2"), 100, 1000)
+
+
+@query(
+    f"""WITH {SAM_SQL} SELECT template, 65 + CASE WHEN proper THEN 2 ELSE 0 END + CASE WHEN rev1 THEN 16 ELSE 0 END + CASE WHEN rev2 THEN 32 ELSE 0 END AS flag1,
+ 129 + CASE WHEN proper THEN 2 ELSE 0 END + CASE WHEN rev2 THEN 16 ELSE 0 END + CASE WHEN rev1 THEN 32 ELSE 0 END AS flag2, tlen, proper FROM f"""
+)
+def sam_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sam(spark, sf_dir)
+
+
+@query(
+    f"""WITH {SAM_SQL}, z AS (SELECT template % 3 AS rg, tlen FROM f), o AS (SELECT rg, avg(tlen) AS m, stddev_samp(tlen) AS d FROM z GROUP BY rg HAVING count(*) >= 100)
+SELECT rg, CAST(count(*) AS BIGINT) AS n, avg(tlen) AS mean_size, stddev_samp(tlen) AS stddev_size FROM z JOIN o USING (rg) WHERE abs(tlen - m) <= 3 * d GROUP BY rg"""
+)
+def template_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.infer_templates(_sam(spark, sf_dir).select((F.col("template") % 3).alias("rg"), "tlen"))
+
+
+MOST = 40
+HITS_SQL = f"""WITH {KM_SQL}, ok AS (SELECT kmer FROM km GROUP BY kmer HAVING count(*) BETWEEN 2 AND {MOST}), kk AS (SELECT read_id, pos, kmer FROM km WHERE kmer IN (SELECT kmer FROM ok)),
+hits AS (SELECT a.read_id AS rid1, b.read_id AS rid2, a.pos - b.pos AS eoffset FROM kk a JOIN kk b USING (kmer) WHERE a.read_id > b.read_id)"""
+EDGES_SQL = HITS_SQL + ", e0 AS (SELECT rid1, rid2, min(eoffset) AS eoffset, count(*) AS weight FROM hits GROUP BY ALL HAVING count(*) >= 2), e AS (SELECT * FROM e0 UNION ALL SELECT rid2, rid1, -eoffset, weight FROM e0)"
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kmers.positioned(reads(spark, sf_dir), K, "read_id").select("read_id", F.col("pos").cast("long").alias("pos"), "kmer")
+    return overlap.shared(rows, MOST)
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = overlap.candidates(_hits(spark, sf_dir)).where("numhashes >= 2")
+    return c.select("rid1", "rid2", F.col("lo").alias("eoffset"), F.col("numhashes").alias("weight"))
+
+
+@query(HITS_SQL + " SELECT rid1, rid2, CAST(count(*) AS BIGINT) AS numhashes, CAST(min(eoffset) AS BIGINT) AS lo, CAST(max(eoffset) AS BIGINT) AS hi FROM hits GROUP BY ALL")
+def overlap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.candidates(_hits(spark, sf_dir))
+
+
+@query(
+    HITS_SQL
+    + """, st AS (SELECT *, coalesce(CAST(eoffset - lag(eoffset) OVER w > 100 AS INTEGER), 0) AS new FROM hits WINDOW w AS (PARTITION BY rid1, rid2 ORDER BY eoffset)),
+il AS (SELECT *, sum(new) OVER (PARTITION BY rid1, rid2 ORDER BY eoffset RANGE UNBOUNDED PRECEDING) AS island FROM st)
+SELECT rid1, rid2, CAST(island AS BIGINT) AS island, CAST(count(*) AS BIGINT) AS numhashes, CAST(min(eoffset) AS BIGINT) AS lo, CAST(max(eoffset) AS BIGINT) AS hi FROM il GROUP BY rid1, rid2, island"""
+)
+def overlap_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.by_diagonal(_hits(spark, sf_dir))
+
+
+@query(
+    EDGES_SQL
+    + """, r AS (SELECT *, CASE WHEN eoffset < 0 THEN 'left' ELSE 'right' END AS side FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY rid1, side ORDER BY weight DESC, rid2, eoffset) AS rank FROM r)
+SELECT rid1, rid2, side, CAST(weight AS BIGINT) AS weight, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3"""
+)
+def overlap_topn_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.top_per_side(overlap.symmetric(_edges(spark, sf_dir)), 3).select("rid1", "rid2", "side", "weight", "rank")
+
+
+@query(EDGES_SQL + " SELECT rid1, rid2, CAST(weight AS BIGINT) AS weight FROM e0 WHERE (rid1 + rid2) % 7 <> 0")
+def overlap_not_banned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _edges(spark, sf_dir)
+    bans = e.select(F.least("rid1", "rid2").alias("lo"), F.greatest("rid1", "rid2").alias("hi")).where("(lo + hi) % 7 = 0").distinct()
+    return overlap.not_banned(e, bans).select("rid1", "rid2", "weight")
+
+
+@query(
+    HITS_SQL
+    + """, ed AS (SELECT rid1 AS a, rid2 AS b FROM hits GROUP BY ALL HAVING count(*) >= 8), bi AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed),
+cc AS (WITH RECURSIVE w(id, c) AS (SELECT read_id, read_id FROM reads UNION SELECT bi.b, w.c FROM w JOIN bi ON w.id = bi.a WHERE w.c < bi.b) SELECT id, min(c) AS component FROM w GROUP BY id)
+SELECT id, component FROM cc"""
+)
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    save = saver(spark)
+    e = overlap.candidates(_hits(spark, sf_dir)).where("numhashes >= 8").select(F.col("rid1").alias("a"), F.col("rid2").alias("b"))
+    return overlap.components(e, reads(spark, sf_dir).select(F.col("read_id").alias("id")), save)
+
+
+UNITIG_SQL = f"""WITH RECURSIVE {KM_SQL}, {stats_sql()}, nd AS (SELECT kmer FROM ks WHERE fcount >= 2 AND rcount >= 2),
+pr AS (SELECT a.kmer, b.kmer AS next FROM nd a JOIN nd b ON substr(a.kmer, 2) = left(b.kmer, {K - 1}) WHERE a.kmer <> b.kmer),
+lk AS (SELECT kmer, min(next) AS next FROM pr GROUP BY kmer HAVING count(*) = 1),
+bk AS (SELECT lk.next AS kmer, lk.kmer AS prev FROM lk JOIN (SELECT next FROM pr GROUP BY next HAVING count(*) = 1) u ON lk.next = u.next),
+ch(head, kmer, steps) AS (SELECT kmer, kmer, 0 FROM nd WHERE kmer NOT IN (SELECT kmer FROM bk) UNION ALL SELECT ch.head, bk.kmer, ch.steps + 1 FROM ch JOIN bk ON bk.prev = ch.kmer)
+SELECT head, CAST(count(*) AS BIGINT) AS kmers, max_by(kmer, steps) AS tail FROM ch GROUP BY head"""
+
+
+@query(UNITIG_SQL)
+def unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    save = saver(spark)
+    stats = kmers.count(kmers.kmers(reads(spark, sf_dir), K, "seqtype"), K)
+    return overlap.unitigs(save(kmers.filter_and(stats, 2, 2, 0).select("kmer")), save)
+
+
+@query(f"WITH {READS_SQL}, o AS (SELECT read_id, sum(length(seq)) OVER (ORDER BY read_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM reads) SELECT read_id FROM o WHERE coalesce(before, 0) < 500000")
+def yield_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqspark.operators import stats
+
+    return stats.yield_limit(reads(spark, sf_dir).select("read_id", F.length("seq").alias("n")), "read_id", "n", 500_000).select("read_id")
