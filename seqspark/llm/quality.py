@@ -11,11 +11,13 @@ An n-gram is a long of 12 bits a character, the last in the lowest bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqspark.llm import common, pretok
 from seqspark.llm.common import Scratch
@@ -26,6 +28,8 @@ ORDER, BITS = 5, 12
 DIRECT = 3584
 #: Resolved n-grams that are sent to all workers (16 bytes each); beyond, documents are joined to them.
 BROADCAST_GRAMS = 4_000_000
+#: Trusted ids that are sent to all workers (16 bytes each); beyond, texts are joined to them.
+BROADCAST_IDS = 500_000
 #: A text's mean is drawn to its language's by this many characters.
 PRIOR_CHARS = 100
 #: Held-out trusted texts of a language from which its own quantile is taken.
@@ -49,80 +53,78 @@ def gram_codes(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.nda
 
 
 def counted(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, n): the n-grams of texts(t), summed within each task before they are dealt out."""
+    """(gram, n): all n-grams of texts(t, w) and how often they are in rows with w, summed in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, sums = np.zeros(0, np.int64), np.zeros(0)
         for whole in batches:
             for batch in common.slices(whole, "t", 2 << 20):
-                new, n = np.unique(gram_codes([x or "" for x in batch.column("t").to_pylist()], order)[0], return_counts=True)
-                both = np.concatenate([keys, new])
-                keys, back = np.unique(both, return_inverse=True)
-                sums = np.bincount(back, np.concatenate([sums, n]).astype(np.float64), len(keys)).astype(np.int64)
+                code, at = gram_codes([x or "" for x in batch.column("t").to_pylist()], order)
+                weight = np.repeat(np.array(batch.column("w").to_pylist(), bool), np.diff(at))
+                new, good = np.unique(code), code[weight]
+                some, n = np.unique(good, return_counts=True)
+                keys, back = np.unique(np.concatenate([keys, new, some]), return_inverse=True)
+                sums = np.bincount(back, np.concatenate([sums, np.zeros(len(new)), n]), len(keys))
                 if len(keys) > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums.astype(np.int64))], ["gram", "n"])
                     keys, sums = keys[:0], sums[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums.astype(np.int64))], ["gram", "n"])
 
     return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def suffix(gram, order: int):
-    """The last order - 1 characters."""
-    return gram.bitwiseAND(F.lit((1 << BITS * (order - 1)) - 1))
+    """The last `order` characters."""
+    return gram.bitwiseAND(F.lit((1 << BITS * order) - 1))
 
 
 def prefix(gram):
     return F.shiftrightunsigned(gram, BITS)
 
 
-def train(counts: DataFrame, scratch: Scratch, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
-    """Probability tables for the orders 1 to `order`: (gram, p) and (context, rest).
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+    """Discounts for counts of 1, 2 and 3 or more from the counts of counts."""
+    if not (n1 and n2 and n3):
+        return 0.5, 0.75, 0.9
+    y = n1 / (n1 + 2 * n2)
+    found = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
+    return tuple(min(max(v, 0.05), i) for i, v in enumerate(found, 1))  # type: ignore[return-value]
 
-    p is the interpolated probability of the gram's last character after its others; rest the weight with
-    which a context passes on to the next shorter one. Orders below the highest use continuation counts (how
-    many characters come before), and discounts for counts of 1, 2 and 3 or more are estimated per order.
+
+def train(counts: DataFrame, scratch: Scratch, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
+    """The model from counts (gram, n) of the highest order: (k, gram, own) and (k, context, rest).
+
+    own is the discounted share of an n-gram of order k in its context, rest the weight with which a context
+    passes on to the next shorter one. Orders below the highest use continuation counts (how many characters
+    come before); discounts are estimated per order.
     """
-    levels = {order: counts}
-    for k in range(order - 1, 0, -1):
-        levels[k] = scratch.save(levels[k + 1].groupBy(suffix(F.col("gram"), k + 1).alias("gram")).agg(F.count("*").alias("n")), "level")
-    out: list[tuple[DataFrame, DataFrame]] = []
+    longer = counts.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), suffix(F.col("gram"), k + 1).alias("g")) for k in range(1, order)))).alias("x")).select("x.*").distinct()
+    lower = longer.groupBy("k", F.expr(f"g & ((1L << {BITS} * k) - 1)").alias("gram")).agg(F.count("*").alias("n"))
+    levels = scratch.save(lower.union(counts.select(F.lit(order), "gram", "n")), "levels")
+    found = {r.k: discounts(*(r[1:])) for r in levels.groupBy("k").agg(*(F.sum((F.col("n") == i).cast("long")) for i in (1, 2, 3, 4))).collect()}
+    d = F.lit(0.0)
+    for k, (one, two, more) in found.items():
+        d = F.when(F.col("k") == k, F.when(F.col("n") == 1, one).when(F.col("n") == 2, two).otherwise(more)).otherwise(d)
+    rows = levels.withColumn("context", prefix(F.col("gram"))).withColumn("d", d)
+    contexts = scratch.save(rows.groupBy("k", "context").agg((F.sum("d") / F.sum("n")).alias("rest"), F.sum("n").alias("total")), "contexts")
+    own = rows.join(contexts, ["k", "context"]).select("k", "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"))
+    return scratch.save(own, "own"), contexts.select("k", "context", "rest")
+
+
+def resolve(grams: DataFrame, own: DataFrame, contexts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, cost): minus the log of the interpolated probability of each n-gram.
+
+    An n-gram that was not counted has no share of its own, and a context that was not passes on all.
+    """
+    p, out = F.lit(1.0 / (DIRECT + 512)), grams.select("gram")
     for k in range(1, order + 1):
-        level = levels[k]
-        n1, n2, n3, n4 = (x or 0 for x in level.agg(*(F.sum((F.col("n") == i).cast("long")) for i in (1, 2, 3, 4))).first())
-        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        d = [min(max(v, 0.05), i) for i, v in ((1, 1 - 2 * y * n2 / max(n1, 1)), (2, 2 - 3 * y * n3 / max(n2, 1)), (3, 3 - 4 * y * n4 / max(n3, 1)))] if n1 and n2 and n3 else [0.5, 0.75, 0.9]
-        discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        rows = level.withColumn("context", prefix(F.col("gram"))).withColumn("d", discount)
-        contexts = scratch.save(rows.groupBy("context").agg((F.sum("d") / F.sum("n")).alias("rest"), F.sum("n").alias("total")), "contexts")
-        own = rows.join(contexts, "context").select("gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"), "rest")
-        if k == 1:
-            lower = F.lit(1.0 / (DIRECT + 512))
-            table = own.select("gram", (F.col("own") + F.col("rest") * lower).alias("p"))
-        else:
-            shorter = out[-1][0].select(F.col("gram").alias("short"), F.col("p").alias("lower"))
-            own = own.withColumn("short", suffix(F.col("gram"), k)).join(shorter, "short")
-            table = own.select("gram", (F.col("own") + F.col("rest") * F.col("lower")).alias("p"))
-        out.append((scratch.save(table, "p"), contexts.select("context", "rest")))
-    return out
-
-
-def resolve(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]], scratch: Scratch) -> DataFrame:
-    """(gram, cost): minus the log probability of each n-gram, backing off through shorter contexts."""
-    order = len(model)
-    open_ = grams.select("gram", F.col("gram").alias("part"), F.lit(1.0).alias("passed"))
-    done = []
-    for k in range(order, 0, -1):
-        table, contexts = model[k - 1]
-        hit = open_.join(table.withColumnRenamed("gram", "part"), "part", "left").join(contexts.withColumnRenamed("context", "c"), prefix(F.col("part")) == F.col("c"), "left")
-        hit = scratch.save(hit.select("gram", "part", "passed", "p", "rest"), "hit")
-        done.append(hit.where("p is not null").select("gram", (F.col("passed") * F.col("p")).alias("p")))
-        passed = F.col("passed") * F.coalesce("rest", F.lit(1.0))
-        open_ = hit.where("p is null").select("gram", (suffix(F.col("part"), k) if k > 1 else F.col("part")).alias("part"), passed.alias("passed"))
-    last = open_.select("gram", (F.col("passed") / (DIRECT + 512)).alias("p"))
-    for x in done:
-        last = last.union(x)
-    return last.select("gram", (-F.log("p")).alias("cost"))
+        share = own.where(F.col("k") == k).select(F.col("gram").alias(f"g{k}"), F.col("own").alias(f"own{k}"))
+        passed = contexts.where(F.col("k") == k).select(F.col("context").alias(f"c{k}"), F.col("rest").alias(f"rest{k}"))
+        part = suffix(F.col("gram"), k)
+        out = out.join(share, part == F.col(f"g{k}"), "left").join(passed, prefix(part) == F.col(f"c{k}"), "left")
+        out = out.select("gram", (F.coalesce(f"own{k}", F.lit(0.0)) + F.coalesce(f"rest{k}", F.lit(1.0)) * p).alias("p"))
+        p = F.col("p")
+    return out.select("gram", (-F.log("p")).alias("cost"))
 
 
 class LongTable:
@@ -158,12 +160,14 @@ class LongTable:
 
 
 def document_costs(docs: DataFrame, costs: DataFrame, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
-    """docs(i, lang, t) -> (i, lang, chars, cost): characters and summed cost of each row."""
+    """docs(i, lang, t) -> (i, lang, chars, cost): characters and summed cost of each row; i may be of any type."""
     spark = docs.sparkSession
-    kind, lang = docs.schema["i"].dataType.simpleString(), docs.schema["lang"].dataType.simpleString()
+    common.small_batches(spark)
+    kind = T.StructType([docs.schema["i"], docs.schema["lang"], T.StructField("chars", T.LongType()), T.StructField("cost", T.DoubleType())])
     if costs.count() <= broadcast_grams:
-        rows = costs.toPandas()
-        table = spark.sparkContext.broadcast((rows.gram.to_numpy(np.int64), rows.cost.to_numpy(np.float32)))
+        rows = costs.select("gram", F.col("cost").cast("float").alias("cost")).toArrow()
+        table = spark.sparkContext.broadcast((rows["gram"].to_numpy(), rows["cost"].to_numpy()))
+        del rows
         built: list[LongTable] = []
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +180,7 @@ def document_costs(docs: DataFrame, costs: DataFrame, broadcast_grams: int = BRO
                     np.cumsum(built[0].find(code), out=upto[1:], dtype=np.float64)
                     yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("lang"), pa.array(np.diff(at)), pa.array(upto[at[1:]] - upto[at[:-1]])], ["i", "lang", "chars", "cost"])
 
-        return docs.select("i", "lang", "t").mapInArrow(run, f"i {kind}, lang {lang}, chars long, cost double")
+        return docs.select("i", "lang", "t").mapInArrow(run, kind)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -197,6 +201,53 @@ def document_costs(docs: DataFrame, costs: DataFrame, broadcast_grams: int = BRO
     return out.select("i", "lang", F.coalesce("chars", F.lit(0)).alias("chars"), F.coalesce("cost", F.lit(0.0)).alias("cost"))
 
 
+@dataclass
+class Judge:
+    """n-gram costs, means and limits of languages, and what holds for a language with too few trusted texts."""
+
+    costs: DataFrame
+    by_lang: DataFrame
+    all_mean: float
+    all_limit: float | None
+    slack: float
+    broadcast_grams: int
+
+    def kept(self, each: DataFrame) -> DataFrame:
+        """each(i, lang, chars, cost) -> (i, chars, perplexity, threshold, kept)."""
+        d = each.join(F.broadcast(self.by_lang), F.col("lang").eqNullSafe(F.col("l")), "left")
+        perplexity = F.exp((F.col("cost") + PRIOR_CHARS * F.coalesce("lang_mean", F.lit(self.all_mean))) / (F.col("chars") + PRIOR_CHARS))
+        d = d.select("i", "chars", perplexity.alias("perplexity"), (self.slack * F.exp(F.coalesce("lang_limit", F.lit(self.all_limit).cast("double")))).alias("threshold"))
+        return d.withColumn("kept", F.coalesce((F.col("perplexity") <= F.col("threshold")) | (F.col("chars") == 0), F.lit(True)))
+
+
+def judge(docs: DataFrame, trusted: DataFrame, *, quantile: float, slack: float, id_column: str, text_column: str, lang_column: str, broadcast_grams: int) -> tuple[Judge, DataFrame]:
+    """Fit on trusted texts; also the costs (i, lang, chars, cost) of all rows."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    common.small_batches(spark)
+    known = trusted.select(F.col(id_column).alias("k")).where("k is not null").distinct()
+    few = known.count() <= BROADCAST_IDS
+    told = lambda d: F.broadcast(d) if few else d
+    rows = docs.select(docs[id_column].alias("i"), docs[text_column].alias("t"), docs[lang_column].cast("string").alias("lang"))
+    fit = known.where(~held_out(F.col("k")))
+    flagged = rows.select("i", "t").join(told(fit), F.col("i") == F.col("k"), "left").select("t", F.col("k").isNotNull().alias("w"))
+    grams = scratch.save(counted(flagged), "grams")
+    costs = scratch.save(resolve(grams, *train(grams.where("n > 0"), scratch)), "costs")
+    each = scratch.save(document_costs(rows, costs, broadcast_grams), "each")
+
+    held = scratch.save(each.where("chars > 0").join(told(known.where(held_out(F.col("k")))), F.col("i") == F.col("k"), "left_semi"), "held")
+    mean = F.sum("cost") / F.sum("chars")
+    all_mean = held.agg(mean.alias("m")).first()["m"] or 0.0
+    by_lang = held.groupBy(F.col("lang").alias("l")).agg(mean.alias("lang_mean"), F.count("*").alias("lang_n")).where(F.col("lang_n") >= LEAST_HELD_OUT)
+    drawn = held.join(F.broadcast(by_lang), F.col("lang").eqNullSafe(F.col("l")), "left")
+    drawn = drawn.select("lang", "lang_n", ((F.col("cost") + PRIOR_CHARS * F.coalesce("lang_mean", F.lit(all_mean))) / (F.col("chars") + PRIOR_CHARS)).alias("drawn"))
+    limit = F.percentile_approx("drawn", quantile, 10_000)
+    all_limit = drawn.agg(limit.alias("m")).first()["m"]
+    limits = drawn.where("lang_n is not null").groupBy(F.col("lang").alias("l2")).agg(limit.alias("lang_limit"))
+    by_lang = scratch.save(by_lang.join(F.broadcast(limits), F.col("l").eqNullSafe(F.col("l2"))).select("l", "lang_mean", "lang_limit"), "langs")
+    return Judge(costs, by_lang, all_mean, all_limit, slack, broadcast_grams), each
+
+
 def classify(docs: DataFrame, trusted: DataFrame, *, quantile: float = 0.99, slack: float = 1.1, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """Perplexity of every whole text and whether it is kept.
 
@@ -205,35 +256,14 @@ def classify(docs: DataFrame, trusted: DataFrame, *, quantile: float = 0.99, sla
     where a language has too few. Returns id_column, chars, perplexity (per character, drawn to the mean of
     the language for short texts), threshold and kept. A null language is one of its own; null and empty
     texts have no n-grams, the mean perplexity, and are kept; without trusted texts everything is kept.
-    Null and repeated ids give a row each; other columns are ignored.
+    Null and repeated ids give a row each; an empty table gives an empty one; other columns are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    common.small_batches(spark)
-    known = trusted.select(F.col(id_column).alias("i")).where("i is not null").distinct()
-    rows = docs.select(docs[id_column].alias("i"), docs[text_column].alias("t"), docs[lang_column].cast("string").alias("lang"))
-    fit = rows.select("i", "t").join(known.where(~held_out(F.col("i"))), "i", "left_semi")
-    counts = scratch.save(counted(fit.select("t")), "counts")
-    model = train(counts, scratch)
-    grams = scratch.save(counted(rows.select("t")), "grams")
-    costs = scratch.save(resolve(grams, model, scratch), "costs")
-    each = scratch.save(document_costs(rows, costs, broadcast_grams), "each")
+    found, each = judge(docs, trusted, quantile=quantile, slack=slack, id_column=id_column, text_column=text_column, lang_column=lang_column, broadcast_grams=broadcast_grams)
+    return found.kept(each).withColumnRenamed("i", id_column)
 
-    held = each.join(known.where(held_out(F.col("i"))), "i", "left_semi").where("chars > 0")
-    held = scratch.save(held, "held")
-    mean = F.sum("cost") / F.sum("chars")
-    all_mean = held.agg(mean.alias("m")).first()["m"] or 0.0
-    by_lang = held.groupBy("lang").agg(mean.alias("lang_mean"), F.count("*").alias("lang_n"))
-    drawn = (F.col("cost") + PRIOR_CHARS * F.col("mean")) / (F.col("chars") + PRIOR_CHARS)
-
-    def with_mean(d: DataFrame) -> DataFrame:
-        d = d.join(by_lang.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
-        return d.withColumn("mean", F.when(F.col("lang_n") >= LEAST_HELD_OUT, F.col("lang_mean")).otherwise(F.lit(all_mean))).withColumn("drawn", drawn)
-
-    told = scratch.save(with_mean(held), "told")
-    all_limit = told.agg(F.percentile_approx("drawn", quantile, 10_000).alias("m")).first()["m"]
-    lang_limit = told.groupBy("lang").agg(F.percentile_approx("drawn", quantile, 10_000).alias("lang_limit")).withColumnRenamed("lang", "l2")
-    out = with_mean(each).join(lang_limit, F.col("lang").eqNullSafe(F.col("l2")), "left")
-    limit = slack * F.exp(F.when(F.col("lang_n") >= LEAST_HELD_OUT, F.col("lang_limit")).otherwise(F.lit(all_limit).cast("double")))
-    perplexity = F.exp("drawn")
-    return out.select(F.col("i").alias(id_column), "chars", perplexity.alias("perplexity"), limit.alias("threshold"), F.coalesce((perplexity <= limit) | (F.col("chars") == 0), F.lit(True)).alias("kept"))
+
+def keep_good(docs: DataFrame, trusted: DataFrame, *, quantile: float = 0.99, slack: float = 1.1, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+    """The rows of docs that classify() keeps, with all their columns."""
+    found, _ = judge(docs, trusted, quantile=quantile, slack=slack, id_column=id_column, text_column=text_column, lang_column=lang_column, broadcast_grams=broadcast_grams)
+    rows = docs.select(F.struct(*docs.columns).alias("i"), docs[text_column].alias("t"), docs[lang_column].cast("string").alias("lang"))
+    return found.kept(document_costs(rows, found.costs, broadcast_grams)).where("kept").select("i.*")
