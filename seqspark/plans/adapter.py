@@ -51,5 +51,5 @@ def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PLACED_SQL = "placed AS (SELECT l_suppkey AS contig, l_partkey AS start, CAST(floor(l_quantity) AS BIGINT) AS len FROM lineitem)"
 STEPS_SQL = f"""{PLACED_SQL},
-ev AS (SELECT contig, at, sum(d) AS d FROM (SELECT contig, start AS at, 1 AS d FROM placed UNION ALL SELECT contig, start + len, -1 FROM placed) GROUP BY contig, at HAVING sum(d) <> 0),
-steps AS (SELECT contig, start, stop, CAST(cov AS BIGINT) AS cov FROM (SELECT contig, at AS start, lead(at) OVER (PARTITION BY contig ORDER BY at) AS stop, sum(d) OVER (PARTITION BY contig ORDER BY at) AS cov FROM ev) WHERE cov > 0)"""
+ev AS (SELECT contig, x, sum(d) AS d FROM (SELECT contig, start AS x, 1 AS d FROM placed UNION ALL SELECT contig, start + len, -1 FROM placed) GROUP BY contig, x HAVING sum(d) <> 0),
+steps AS (SELECT contig, start, stop, CAST(cov AS BIGINT) AS cov FROM (SELECT contig, x AS start, lead(x) OVER (PARTITION BY contig ORDER BY x) AS stop, sum(d) OVER (PARTITION BY contig ORDER BY x) AS cov FROM ev) WHERE cov > 0)"""

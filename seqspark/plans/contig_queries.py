@@ -1,0 +1,194 @@
+"""Queries on placed intervals, columns and assemblies."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from seqspark.operators import pileup, stats
+from seqspark.plans.adapter import PLACED_SQL, READS_SQL, STEPS_SQL, placed, reads
+from seqspark.plans.registry import query
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.coverage(placed(spark, sf_dir)).withColumn("cov", F.col("cov").cast("long"))
+
+
+@query(f"WITH {STEPS_SQL} SELECT * FROM steps")
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _steps(spark, sf_dir)
+
+
+@query(
+    f"""WITH {STEPS_SQL}, a AS (SELECT contig, min(cov) AS min_cov, max(cov) AS max_cov, sum((stop - start) * cov) AS s, sum(stop - start) AS n, sum((stop - start) * cov * cov) AS sq FROM steps GROUP BY contig)
+SELECT contig, min_cov, max_cov, CAST(s AS BIGINT) AS sum_cov, CAST(n AS BIGINT) AS positions, s / n AS mean_cov, sqrt(greatest(0.0, sq / n - (s / n) * (s / n))) AS stddev_cov FROM a"""
+)
+def coverage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.coverage_stats(_steps(spark, sf_dir))
+
+
+@query(
+    f"""WITH {STEPS_SQL}, m AS (SELECT contig, sum((stop - start) * cov) / sum(stop - start) AS m, sum(stop - start) AS every FROM steps GROUP BY contig),
+a AS (SELECT contig, max(every) AS every, sum(stop - start) AS n, sum((stop - start) * cov) AS s, sum((stop - start) * cov * cov) AS sq FROM steps JOIN m USING (contig) WHERE cov >= m / 3 AND cov <= m * 3 GROUP BY contig)
+SELECT contig, CAST(n AS BIGINT) AS positions, s / n AS mean_cov, sqrt(greatest(0.0, sq - s * (s / n)) / every) AS stddev_cov FROM a"""
+)
+def coverage_stats_2nd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.second_order(_steps(spark, sf_dir))
+
+
+POS_SQL = STEPS_SQL + ", ps AS (SELECT contig, unnest(range(start, stop)) AS pos, cov FROM steps)"
+
+
+def _positions(steps: DataFrame) -> DataFrame:
+    return steps.select("contig", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("pos"), "cov")
+
+
+@query(
+    "WITH "
+    + POS_SQL
+    + """, av AS (SELECT contig, sum(cov) / count(*) AS a FROM ps GROUP BY contig), m0 AS (SELECT contig, pos, CAST(cov >= 1.5 * a AS INTEGER) AS m FROM ps JOIN av USING (contig)),
+m1 AS (SELECT contig, pos, max(m) OVER (PARTITION BY contig ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS m FROM m0),
+m2 AS (SELECT contig, pos, min(m) OVER (PARTITION BY contig ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS m FROM m1),
+g AS (SELECT contig, pos, pos - row_number() OVER (PARTITION BY contig ORDER BY pos) AS g FROM m2 WHERE m = 1)
+SELECT contig, CAST(min(pos) AS BIGINT) AS start, CAST(max(pos) AS BIGINT) AS stop, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY contig, g HAVING count(*) >= 20"""
+)
+def coverage_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = _steps(spark, sf_dir)
+    n = F.col("stop") - F.col("start")
+    avg = steps.groupBy("contig").agg((F.sum(n * F.col("cov")) / F.sum(n)).alias("a"))
+    mask = _positions(steps).join(avg, "contig").select("contig", "pos", (F.col("cov") >= 1.5 * F.col("a")).cast("int").alias("m"))
+    closed = stats.erode(stats.dilate(mask, "contig", "pos", 10), "contig", "pos", 10)
+    return stats.islands(closed.where("m = 1"), "contig", "pos", 20).select("contig", F.col("start").cast("long"), F.col("stop").cast("long"), "n")
+
+
+@query("WITH " + POS_SQL + " SELECT contig, pos // 4 AS span, CASE WHEN count(*) < 4 THEN 0 ELSE CAST(sum(cov) AS BIGINT) // 4 END AS mean_cov FROM ps GROUP BY contig, pos // 4")
+def wiggle_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean coverage (whole numbers) of spans of 4 positions; 0 where one is uncovered."""
+    p = _positions(_steps(spark, sf_dir))
+    return p.groupBy("contig", F.expr("pos div 4").alias("span")).agg(F.when(F.count("*") < 4, F.lit(0).cast("long")).otherwise(F.expr("sum(cov) div 4")).alias("mean_cov"))
+
+
+@query(
+    f"""WITH {READS_SQL}, b AS (SELECT read_id, pos, CAST(substr(seq, pos + 1, 1) IN ('G', 'C') AS INTEGER) AS gc FROM (SELECT read_id, seq, unnest(range(0, length(seq))) AS pos FROM reads)),
+w AS (SELECT read_id, pos, sum(gc) OVER (PARTITION BY read_id ORDER BY pos ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING) AS gc, count(*) OVER (PARTITION BY read_id ORDER BY pos ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING) AS n FROM b)
+SELECT read_id, CAST(count(*) AS BIGINT) AS windows, CAST(max(gc) AS BIGINT) AS most, CAST(min(gc) AS BIGINT) AS least FROM w WHERE pos % 4 = 0 AND n = 50 GROUP BY read_id"""
+)
+def gc_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G and C in windows of 50 bases, 4 apart: how many windows a read has, and their extremes."""
+    letters = F.split("seq", "")
+    rows = reads(spark, sf_dir).where(F.length("seq") > 0).select("read_id", F.posexplode(F.slice(letters, F.lit(1), F.length("seq"))).alias("pos", "base"))
+    w = W.partitionBy("read_id").orderBy("pos").rowsBetween(-25, 24)
+    found = rows.select("read_id", "pos", F.sum(F.col("base").isin("G", "C").cast("int")).over(w).alias("gc"), F.count("*").over(w).alias("n"))
+    return found.where("pos % 4 = 0 and n = 50").groupBy("read_id").agg(F.count("*").alias("windows"), F.max("gc").alias("most"), F.min("gc").alias("least"))
+
+
+LEN_SQL = "ln AS (SELECT o_orderkey, count(*) * 100 + o_orderkey % 97 AS len FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)"
+
+
+def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    return line.join(orders, line.l_orderkey == orders.o_orderkey).select("o_orderkey", (F.col("n") * 100 + F.col("o_orderkey") % 97).alias("len"))
+
+
+@query(
+    f"""WITH {LEN_SQL}, r AS (SELECT len, sum(len) OVER (ORDER BY len DESC RANGE UNBOUNDED PRECEDING) AS run, sum(len) OVER () AS total FROM ln)
+SELECT CAST(count(*) AS BIGINT) AS contigs, CAST(max(total) AS BIGINT) AS total, CAST(max(len) AS BIGINT) AS longest, CAST(max(len) FILTER (WHERE run >= total * 0.5) AS BIGINT) AS n50,
+ CAST(max(len) FILTER (WHERE run >= total * 0.9) AS BIGINT) AS n90, CAST(max(len) FILTER (WHERE run >= total * 0.95) AS BIGINT) AS n95 FROM r"""
+)
+def n50_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.n_stats(_lengths(spark, sf_dir), 0.5, 0.9, 0.95)
+
+
+@query(f"WITH {LEN_SQL} SELECT o_orderkey, CAST(len AS BIGINT) AS len FROM ln WHERE len >= 600 OR (len >= 400 AND len % 5 = 0) OR (len >= 200 AND len % 50 = 0)")
+def significant_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contigs that reach a rung of a ladder of lengths and coverages."""
+    n = F.col("len")
+    return _lengths(spark, sf_dir).where((n >= 600) | ((n >= 400) & (n % 5 == 0)) | ((n >= 200) & (n % 50 == 0)))
+
+
+@query(
+    "WITH "
+    + STEPS_SQL
+    + """, m AS (SELECT contig, sum((stop - start) * cov) / sum(stop - start) AS a FROM steps GROUP BY contig), h AS (SELECT contig, start, stop FROM steps JOIN m USING (contig) WHERE cov >= 1.5 * a),
+f AS (SELECT *, CASE WHEN start - lag(stop) OVER (PARTITION BY contig ORDER BY start) <= 10 THEN 0 ELSE 1 END AS new FROM h), z AS (SELECT *, sum(new) OVER (PARTITION BY contig ORDER BY start) AS zone FROM f)
+SELECT contig, min(start) AS start, max(stop) AS stop, CAST(max(stop) - min(start) AS BIGINT) AS len FROM z GROUP BY contig, zone HAVING max(stop) - min(start) >= 40"""
+)
+def multicopy_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of high coverage, over gaps of up to 10 positions, of 40 positions at least."""
+    steps = _steps(spark, sf_dir)
+    n, w = F.col("stop") - F.col("start"), W.partitionBy("contig").orderBy("start")
+    avg = steps.groupBy("contig").agg((F.sum(n * F.col("cov")) / F.sum(n)).alias("a"))
+    high = steps.join(avg, "contig").where("cov >= 1.5 * a")
+    zone = high.withColumn("new", F.when(F.col("start") - F.lag("stop").over(w) <= 10, 0).otherwise(1)).withColumn("zone", F.sum("new").over(w))
+    out = zone.groupBy("contig", "zone").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return out.select("contig", "start", "stop", (F.col("stop") - F.col("start")).alias("len")).where("len >= 40")
+
+
+PILE_SQL = """pile AS (SELECT l_suppkey AS contig, l_partkey % 50 AS pos, substr('ACGT*', CAST(l_orderkey % 5 + 1 AS BIGINT), 1) AS base, CAST(floor(l_quantity) AS BIGINT) AS qual, l_returnflag = 'R' AS rev FROM lineitem),
+rk AS (SELECT *, row_number() OVER (PARTITION BY contig, pos, base, rev ORDER BY qual DESC) AS r FROM pile),
+gr AS (SELECT contig, pos, base, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE NOT rev) AS BIGINT) AS fwd, CAST(count(*) FILTER (WHERE rev) AS BIGINT) AS bwd,
+ CAST(least(90, coalesce(sum(qual) FILTER (WHERE r = 1), 0) + floor(coalesce(sum(qual) FILTER (WHERE r = 2), 0) / 10)) AS BIGINT) AS quality FROM rk GROUP BY ALL)"""
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    base = F.substr(F.lit("ACGT*"), (F.col("l_orderkey") % 5 + 1).cast("int"), F.lit(1))
+    return pileup.groups(d.select(F.col("l_suppkey").alias("contig"), (F.col("l_partkey") % 50).alias("pos"), base.alias("base"), F.floor("l_quantity").alias("qual"), (F.col("l_returnflag") == "R").alias("rev")))
+
+
+@query(f"WITH {PILE_SQL} SELECT * FROM gr")
+def group_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _groups(spark, sf_dir)
+
+
+MAJORITY_SQL = PILE_SQL + ", mj AS (SELECT contig, pos, base, n, quality FROM (SELECT *, row_number() OVER (PARTITION BY contig, pos ORDER BY n DESC, CASE base WHEN '*' THEN 9 ELSE instr('ACGT', base) END) AS k FROM gr) WHERE k = 1)"
+
+
+@query(f"WITH {MAJORITY_SQL} SELECT * FROM mj")
+def consensus_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.majority(_groups(spark, sf_dir))
+
+
+@query(
+    f"""WITH {PILE_SQL}, wt AS (SELECT *, CASE WHEN fwd >= 2 AND bwd >= 2 THEN n * 2 WHEN fwd >= 1 AND bwd >= 1 THEN n * 3 // 2 ELSE n END AS w FROM gr), mx AS (SELECT *, max(w) OVER (PARTITION BY contig, pos) AS most FROM wt),
+kp AS (SELECT contig, pos, bit_or(CASE base WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 ELSE 0 END) AS bits, count(*) AS groups FROM mx WHERE w >= most // 2 OR (fwd >= 2 AND bwd >= 2) GROUP BY contig, pos)
+SELECT contig, pos, substr('-ACMGRSVTWYHKDBN', CAST(bits + 1 AS BIGINT), 1) AS letter, CAST(groups AS BIGINT) AS groups FROM kp"""
+)
+def consensus_shortread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.short_read_consensus(_groups(spark, sf_dir))
+
+
+@query(f"WITH {MAJORITY_SQL}, st AS (SELECT contig AS strain, pos, base FROM mj WHERE contig <= 5) SELECT a.pos, a.strain AS strain1, b.strain AS strain2, a.base AS base1, b.base AS base2 FROM st a JOIN st b ON a.pos = b.pos WHERE a.strain < b.strain AND a.base <> b.base")
+def snp_between_strains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = pileup.majority(_groups(spark, sf_dir)).where("contig <= 5").select(F.col("contig").alias("strain"), "pos", "base")
+    return pileup.strain_differences(st).select("pos", "strain1", "strain2", "base1", "base2")
+
+
+@query(
+    """WITH t AS (SELECT l_suppkey AS contig, l_partkey AS start, CASE l_linenumber % 3 WHEN 0 THEN 'SRMc' WHEN 1 THEN 'SROc' ELSE 'UNSc' END AS id, l_orderkey, l_linenumber FROM lineitem)
+SELECT contig, start, id, CAST(count(*) AS BIGINT) AS n FROM t WHERE id <> 'UNSc' OR (contig, start) NOT IN (SELECT contig, start FROM t WHERE id = 'SRMc') GROUP BY ALL"""
+)
+def tag_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("l_linenumber") % 3
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("contig"), F.col("l_partkey").alias("start"), F.when(i == 0, "SRMc").when(i == 1, "SROc").otherwise("UNSc").alias("id"))
+    return pileup.tag_precedence(t, ["SRMc"], ["UNSc"]).groupBy("contig", "start", "id").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {READS_SQL} SELECT lang, source, CAST(count(*) AS BIGINT) AS reads, CAST(sum(length(seq)) AS BIGINT) AS bases, CAST(min(length(seq)) AS BIGINT) AS shortest, CAST(max(length(seq)) AS BIGINT) AS longest FROM reads GROUP BY ROLLUP (lang, source)"""
+)
+def read_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.length("seq")
+    return reads(spark, sf_dir).rollup("lang", "source").agg(F.count("*").alias("reads"), F.sum(n).cast("long").alias("bases"), F.min(n).cast("long").alias("shortest"), F.max(n).cast("long").alias("longest"))
+
+
+@query(
+    f"""WITH {PLACED_SQL}, f AS (SELECT s_suppkey AS contig, s_suppkey * 3 AS lo, s_suppkey * 3 + 40 AS hi FROM supplier)
+SELECT contig, lo, hi, CAST(count(*) AS BIGINT) AS reads FROM f JOIN placed USING (contig) WHERE start <= hi AND start + len > lo GROUP BY ALL"""
+)
+def feature_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placed reads that touch a feature's interval."""
+    f = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("contig"), (F.col("s_suppkey") * 3).alias("lo"), (F.col("s_suppkey") * 3 + 40).alias("hi"))
+    return f.join(placed(spark, sf_dir), "contig").where("start <= hi and start + len > lo").groupBy("contig", "lo", "hi").agg(F.count("*").alias("reads"))
