@@ -307,13 +307,15 @@ def audit_recall(vectors: DataFrame, result: DataFrame, *, threshold: float = 0.
     ids = asked.withColumn("k", F.expr("row_number() over (order by i) - 1"))
     for k in range(0, total, block):
         part = rows.join(F.broadcast(ids.where(F.col("k").between(k, k + block - 1)).select("i")), "i").select("i", "v").toPandas()
-        told = spark.sparkContext.broadcast((part.i.to_numpy(), unit(matrix(part.v))))
+        told = spark.sparkContext.broadcast([(n, g.i.to_numpy(), unit(matrix(g.v))) for n, g in part.groupby(part.v.map(len))])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            mine, q = told.value
             for b in batches:
-                hit = (q @ unit(matrix(b.v)).T >= threshold) & (mine[:, None] != b.i.to_numpy()[None, :])
-                yield pd.DataFrame({"i": mine, "n": hit.sum(1)})
+                for n, mine, q in told.value:
+                    same = b[b.v.map(len) == n]
+                    if len(same):
+                        hit = (q @ unit(matrix(same.v)).T >= threshold) & (mine[:, None] != same.i.to_numpy()[None, :])
+                        yield pd.DataFrame({"i": mine, "n": hit.sum(1)})
 
         exact = rows.mapInPandas(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n"))
         r = exact.join(result.select(F.col(id_column).alias("i"), "n_links"), "i").agg(F.sum("n"), F.sum(F.least("n", "n_links"))).first()
