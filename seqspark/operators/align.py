@@ -1,0 +1,88 @@
+"""Banded semi-global alignment of read pairs, and order-dependent normalisation, as Arrow-batched functions."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def align(a: str, b: str, offset: int, band: int = 20, match: int = 1, mismatch: int = -1, gap: int = -2) -> tuple[int, int, int]:
+    """Best semi-global score of b laid onto a near `offset`, with the overlap's length and matches.
+
+    Ends are free on both sides. Only diagonals within `band` of the offset are computed.
+    """
+    n, m, low = len(a), len(b), -(1 << 30)
+    x, y = np.frombuffer(a.encode("latin-1", "replace"), np.uint8), np.frombuffer(b.encode("latin-1", "replace"), np.uint8)
+    width = 2 * band + 1
+    score = np.full((m + 1, width), low, np.int64)
+    came = np.zeros((m + 1, width), np.int8)
+    for i in range(m + 1):
+        for k in range(width):
+            j = i + offset + k - band  # place in a
+            if not 0 <= j <= n:
+                continue
+            best, way = (0, 0) if i == 0 or j == 0 else (low, 0)
+            if i and j and score[i - 1, k] > low and (s := score[i - 1, k] + (match if x[j - 1] == y[i - 1] else mismatch)) > best:
+                best, way = s, 1
+            if i and k + 1 < width and score[i - 1, k + 1] > low and (s := score[i - 1, k + 1] + gap) > best:
+                best, way = s, 2
+            if j and k and score[i, k - 1] > low and (s := score[i, k - 1] + gap) > best:
+                best, way = s, 3
+            score[i, k], came[i, k] = best, way
+    ends = [(score[i, k], i, k) for i in range(m + 1) for k in range(width) if 0 <= (j := i + offset + k - band) <= n and (i == m or j == n)]
+    if not ends:
+        return 0, 0, 0
+    best, i, k = max(ends)
+    length = matches = 0
+    while came[i, k]:
+        length += 1
+        if came[i, k] == 1:
+            matches += int(x[i + offset + k - band - 1] == y[i - 1])
+            i -= 1
+        elif came[i, k] == 2:
+            i, k = i - 1, k + 1
+        else:
+            k -= 1
+    return int(max(best, 0)), length, matches
+
+
+def score_ratio(score: int, length: int) -> int:
+    """Percent of the score that a perfect overlap of this length has, rounded; negative scores count as 0."""
+    return int(100 * max(score, 0) / length + 0.5) if length else 0
+
+
+def alignments(pairs: DataFrame, band: int = 20) -> DataFrame:
+    """pairs(rid1, rid2, seq1, seq2, eoffset) -> (rid1, rid2, score, overlap, matches, ratio)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [align(s, t, int(o), band) for s, t, o in zip(b.seq1, b.seq2, b.eoffset)]
+            yield pd.DataFrame(
+                {"rid1": b.rid1, "rid2": b.rid2, "score": [x[0] for x in out], "overlap": [x[1] for x in out], "matches": [x[2] for x in out], "ratio": [score_ratio(x[0], x[1]) for x in out]}
+            )
+
+    return pairs.select("rid1", "rid2", "seq1", "seq2", "eoffset").mapInPandas(run, "rid1 long, rid2 long, score long, overlap long, matches long, ratio long")
+
+
+def normalise(reads: DataFrame, k: int, most: int = 10) -> DataFrame:
+    """Digital normalisation by read group: reads(rg, read_id, seq) kept in order of read_id.
+
+    A read is kept if one of its k-mers was in fewer than `most` kept reads before it. This depends on the order,
+    so each read group is one task.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        seen: dict[str, int] = {}
+        kept = []
+        for i, seq in group.sort_values("read_id")[["read_id", "seq"]].itertuples(index=False):
+            own = {w for p in range(len(seq) - k + 1) if set(w := seq[p : p + k]) <= set("ACGT")}
+            if any(seen.get(w, 0) < most for w in own):
+                kept.append(i)
+                for w in own:
+                    seen[w] = seen.get(w, 0) + 1
+        return pd.DataFrame({"rg": group.rg.iloc[0], "read_id": kept})
+
+    return reads.select("rg", "read_id", "seq").groupBy("rg").applyInPandas(run, "rg string, read_id long")
