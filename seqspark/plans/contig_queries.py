@@ -192,3 +192,21 @@ def feature_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placed reads that touch a feature's interval."""
     f = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("contig"), (F.col("s_suppkey") * 3).alias("lo"), (F.col("s_suppkey") * 3 + 40).alias("hi"))
     return f.join(placed(spark, sf_dir), "contig").where("start <= hi and start + len > lo").groupBy("contig", "lo", "hi").agg(F.count("*").alias("reads"))
+
+
+@query(
+    "WITH "
+    + STEPS_SQL
+    + """, m AS (SELECT contig, sum((stop - start) * cov) / sum(stop - start) AS a, sum(stop - start) AS n FROM steps GROUP BY contig)
+SELECT contig, CAST(coalesce(sum(stop - start) FILTER (WHERE cov < 0.75 * a), 0) AS BIGINT) AS low, CAST(coalesce(sum(stop - start) FILTER (WHERE cov > 1.25 * a), 0) AS BIGINT) AS high, CAST(max(n) AS BIGINT) AS positions,
+ CASE WHEN coalesce(sum(stop - start) FILTER (WHERE cov < 0.75 * a), 0) >= 0.15 * max(n) AND coalesce(sum(stop - start) FILTER (WHERE cov > 1.25 * a), 0) >= 0.15 * max(n) THEN 1 ELSE 0 END AS smile
+FROM steps JOIN m USING (contig) GROUP BY contig"""
+)
+def smile_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions far below and above a contig's mean coverage, and whether both are 15% or more."""
+    steps = _steps(spark, sf_dir)
+    n = F.col("stop") - F.col("start")
+    avg = steps.groupBy("contig").agg((F.sum(n * F.col("cov")) / F.sum(n)).alias("a"), F.sum(n).alias("n"))
+    part = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0).cast("long"))
+    out = steps.join(avg, "contig").groupBy("contig").agg(part(F.col("cov") < 0.75 * F.col("a")).alias("low"), part(F.col("cov") > 1.25 * F.col("a")).alias("high"), F.max("n").alias("positions"))
+    return out.withColumn("smile", ((F.col("low") >= 0.15 * F.col("positions")) & (F.col("high") >= 0.15 * F.col("positions"))).cast("int"))

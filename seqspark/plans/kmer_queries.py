@@ -177,3 +177,18 @@ def kmer_dust(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmer_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("seq")
     return reads(spark, sf_dir).groupBy("seqtype").agg(F.count("*").alias("reads"), F.sum(n).cast("long").alias("bases"), F.sum(F.greatest(F.lit(0), n - (K - 1))).cast("long").alias("windows"))
+
+
+@query(CLASSED_SQL + f" SELECT read_id, CAST(min(pos) AS BIGINT) AS l, CAST(max(pos) + {K} AS BIGINT) AS r FROM km JOIN cl USING (kmer) WHERE class >= 2 GROUP BY read_id")
+def proposed_end_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqspark.operators import treat
+
+    classed = kmers.positioned(reads(spark, sf_dir), K, "read_id").join(_classed(spark, sf_dir), "kmer")
+    return treat.end_clips(classed, K).select("read_id", F.col("left").cast("long").alias("l"), F.col("right").cast("long").alias("r"))
+
+
+@query(AVG_SQL + " SELECT CAST(floor((fcount + rcount) / (SELECT avg_freq FROM av) + 0.5) AS BIGINT) AS ratio, CAST(count(*) AS BIGINT) AS kmers FROM ks GROUP BY 1")
+def kmer_ratio_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = _stats(spark, sf_dir)
+    avg = kmers.average_frequency(stats).first()[0] or 1
+    return stats.groupBy(F.floor(kmers.total() / avg + 0.5).alias("ratio")).agg(F.count("*").alias("kmers"))

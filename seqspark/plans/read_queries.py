@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqspark.functions import scalar
-from seqspark.operators import kmers, overlap
+from seqspark.operators import kmers, overlap, treat
 from seqspark.operators import reads as ops
 from seqspark.plans.adapter import K, KM_SQL, RC, READS_SQL, reads, stats_sql
 from seqspark.plans.registry import query
@@ -226,3 +226,46 @@ def yield_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqspark.operators import stats
 
     return stats.yield_limit(reads(spark, sf_dir).select("read_id", F.length("seq").alias("n")), "read_id", "n", 500_000).select("read_id")
+
+
+@query(f"WITH {READS_SQL} SELECT read_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(seq, 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g')) AS rle_md5 FROM reads")
+def rle_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads(spark, sf_dir).select("read_id", F.md5(treat.collapse_runs(F.col("seq")).cast("binary")).alias("rle_md5"))
+
+
+@query(f"WITH {READS_SQL} SELECT read_id, md5(regexp_replace(seq, '[^*nN]', 'c', 'g')) AS blind_md5 FROM reads")
+def blind_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads(spark, sf_dir).select("read_id", F.md5(treat.blind(F.col("seq")).cast("binary")).alias("blind_md5"))
+
+
+@query(f"WITH {READS_SQL}, c AS (SELECT *, greatest(read_id % 7, read_id % 11) AS l, least(length(seq), 50 + read_id % 300) AS r FROM reads) SELECT read_id, substr(seq, CAST(l + 1 AS BIGINT), CAST(greatest(0, r - l) AS BIGINT)) AS seq FROM c")
+def hard_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("read_id")
+    left, right = scalar.effective_clip([i % 7, i % 11], [F.length("seq").cast("long"), i % 300 + 50])
+    return reads(spark, sf_dir).select("read_id", treat.hard_trim(F.col("seq"), left.cast("int"), right.cast("int")).alias("seq"))
+
+
+@query(f"WITH {READS_SQL}, t AS (SELECT read_id, seq, unnest(range(0, greatest(1, length(seq)), 500)) AS start FROM reads WHERE length(seq) > 0) SELECT read_id AS name, CAST(start AS BIGINT) AS start, md5(substr(seq, start + 1, 800)) AS tile_md5 FROM t")
+def reference_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = treat.tiles(reads(spark, sf_dir).select(F.col("read_id").alias("name"), "seq"), 800, 500)
+    return t.select("name", F.col("start").cast("long").alias("start"), F.md5(F.col("seq").cast("binary")).alias("tile_md5"))
+
+
+@query("SELECT text AS name, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads(spark, sf_dir).groupBy(F.col("text").alias("name")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("SELECT doc_id AS read_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def name_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumnRenamed("doc_id", "read_id")
+    r = reads(spark, sf_dir).select("read_id")
+    return r.join(names.where("quality = 1"), "read_id", "left_semi").join(names.where("toxic = 1"), "read_id", "left_anti")
+
+
+@query(EDGES_SQL + ", c AS (SELECT rid1, count(*) AS n FROM e GROUP BY rid1), m AS (SELECT median(n) AS m FROM c) SELECT rid1 AS read_id, CAST(n AS BIGINT) AS n, CASE WHEN n > 20 * m THEN 101 ELSE 1 END AS code FROM c, m WHERE n > 2 * m")
+def multicopy_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads with more than twice the median number of overlaps."""
+    n = overlap.symmetric(_edges(spark, sf_dir)).groupBy(F.col("rid1").alias("read_id")).agg(F.count("*").alias("n"))
+    middle = n.agg(F.median("n")).first()[0] or 0.0
+    return n.where(F.col("n") > 2 * middle).select("read_id", "n", F.when(F.col("n") > 20 * middle, 101).otherwise(1).alias("code"))
