@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqspark.llm import common, pretok
+from seqspark.llm import common, jaccard, pretok
 from seqspark.llm.common import Scratch
 
 #: Labelled rows that the scores are fitted on at most, by a hash of their id.
@@ -219,6 +219,14 @@ def count_letters(texts: DataFrame) -> np.ndarray:
     return out
 
 
+def least_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, y) with key, the least hash of the text's three-word shingles; -1 for texts without words."""
+    for batch in batches:
+        acc, at = jaccard.shingles([x.encode("utf-8", "surrogatepass") if x else b"" for x in batch.column("t").to_pylist()], 3)
+        key = [int(acc[a].astype(np.int64)) if b > a else -1 for a, b in zip(at.tolist(), at[1:].tolist())]
+        yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("y"), pa.array(key, pa.int64())], ["t", "y", "key"])
+
+
 def tail(k: int, n: int, base: float) -> float:
     """Log of a bound on the chance of at least k of n at rate base (Chernoff)."""
     r = k / n
@@ -231,7 +239,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_c
     """Count letters on all texts and fit feature shares on labelled rows outside the held-out quarter.
 
     Rows whose crc32(id as text) mod 4 is 2 are never learned from. At most train_rows labelled rows are
-    used, those of the lowest hash of their id. A feature is kept if its share of toxic texts is at least
+    used, those of the lowest hash of their id; copies count once. A quarter of them sets the curve, the others
+    the features. A feature is kept if its share of toxic texts is at least
     LEAST_PRECISION and too high for chance given how many features there are. Labels of one id that differ
     count as the higher; null labels and ids are left out. Without toxic labels no feature is kept.
     """
@@ -239,7 +248,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_c
     counts = count_letters(docs.select(docs[text_column].alias("t")))
     known = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(id_column).agg(F.max(label_column).cast("int").alias("y"))
     known = known.where(held_out(F.col(id_column)) == F.lit(False)).orderBy(F.xxhash64(id_column), id_column).limit(train_rows)
+    scratch = Scratch(docs.sparkSession)
     train = docs.select(docs[id_column].alias(id_column), docs[text_column].alias("t")).join(F.broadcast(known), id_column).select("t", "y")
+    # copies and near copies are one piece of evidence: of those with the same least shingle one stays
+    train = train.mapInArrow(least_shingle, "t string, y int, key long").groupBy("key").agg(F.max(F.struct("y", "t")).alias("x"))
+    train = scratch.save(train.select("x.t", "x.y", (F.pmod(F.hash("key"), F.lit(4)) == 0).alias("check")), "train")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = CharModel(counts)
@@ -253,8 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_c
                     toxic.update(found)
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([toxic[x] for x in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["w", "k", "n"])
 
-    found = train.mapInArrow(run, "w string, k long, n long").groupBy("w").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
-    scratch = Scratch(docs.sparkSession)
+    found = train.where("not check").select("t", "y").mapInArrow(run, "w string, k long, n long").groupBy("w").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
     found = scratch.save(found, "words")
     size = found.agg(F.count(F.when(F.col("n") >= 3, 1)).alias("m"), F.max(F.when(F.col("w") == "", F.struct("k", "n"))).alias("all")).first()
     if not size["all"] or not size["all"]["k"]:
@@ -262,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_c
     toxic, texts = size["all"]["k"], size["all"]["n"]
     base = min(0.99, max(toxic / texts, 1e-6))
     likely = found.where((F.col("w") != "") & (F.col("k") >= 2) & (F.col("k") >= LEAST_PRECISION * F.col("n"))).orderBy(F.desc("k"), "n", "w").limit(FEATURES).collect()
-    limit = -math.log(max(2, size["m"]) / 2)
+    limit = -math.log(2 * max(2, size["m"]))
     odds = lambda p: math.log(p / (1 - p))
     model = Model(counts, {r.w: odds((r.k + base) / (r.n + 1)) - odds(base) for r in likely if tail(r.k, r.n, base) <= limit})
 
@@ -272,7 +284,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_c
             x = [model.evidence(restored_words(t or "", letters)) for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column("y")], ["x", "y"])
 
-    pairs = train.mapInArrow(weigh, "x double, y int").groupBy(F.round("x", 4).alias("x"), "y").agg(F.count("*").alias("n")).toPandas()
+    # the curve is fitted on rows whose words were not counted, so words that misled there cost it
+    pairs = train.where("check").select("t", "y").mapInArrow(weigh, "x double, y int").groupBy(F.round("x", 4).alias("x"), "y").agg(F.count("*").alias("n")).toPandas()
     pairs = pairs.sort_values(["x", "y"])
     x, y = pairs.x.repeat(pairs.n).to_numpy(), pairs.y.repeat(pairs.n).to_numpy(np.float64)
     model.offset, model.slope = logistic(x, y)
