@@ -32,6 +32,8 @@ from seqspark.llm.common import Scratch
 HEAVY = 200_000
 #: Rows of a task's piece that must share a shingle before it counts as maybe frequent.
 SEEN = 3
+#: Rows of three longs that are sent to all workers; larger tables are dealt out by key.
+BROADCAST_ROWS = 1_000_000
 MOST_SMALL = 29
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15
@@ -229,6 +231,10 @@ def join(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_c
     rows = scratch.save(sets(base, width, rule, small, heavy), "sets")
     classes = scratch.save(rows.where("n > 0").select("s", "n", "lead", "subs", "i", "h").dropDuplicates(["s"]), "classes")
 
+    def sent(d: DataFrame) -> DataFrame:
+        """A table with a broadcast hint if it is small."""
+        return F.broadcast(d) if d.count() <= BROADCAST_ROWS else d
+
     # small sets: the smallest that holds a subset links all whose size allows it
     subset = classes.where("subs is not null").select("s", "n", F.explode("subs").alias("x")).select("s", "n", "x.key", "x.size")
     star = subset.groupBy("key", "size").agg(F.min(F.struct("n", "s")).alias("m"), F.count("*").alias("c")).where("c > 1")
@@ -237,43 +243,50 @@ def join(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_c
 
     # large sets: lists of leading shingles that two classes share
     lists = classes.where("lead is not null").select("s", "n", F.explode("lead").alias("tok"))
-    shared = lists.groupBy("tok").agg(F.count("*").alias("c"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("s").alias("center"))
-    lists = scratch.save(lists.join(shared.where("c > 1").select("tok"), "tok"), "lists")
+    shared = lists.groupBy("tok").agg(F.count("*").alias("c"))
+    shared = scratch.save(shared.where("c > 1").select("tok"), "shared")
+    lists = scratch.save(lists.join(sent(shared), "tok"), "lists")
     needed = lists.select("s").distinct()
     lead = scratch.save(classes.join(needed, "s", "left_semi").select("s", "n", "lead", "i", "h"), "lead")
-    source = base.select(F.coalesce(F.col("i").cast("string"), F.lit("")).alias("ik"), "h", "t")
-    wanted = lead.select(F.coalesce(F.col("i").cast("string"), F.lit("")).alias("ik"), "h", "s")
-    texts = source.join(wanted, ["ik", "h"]).select("s", "t")
-    items = scratch.save(whole_sets(texts, width).dropDuplicates(["s"]), "items")
-
-    tested = None
+    scratch.drop(classes)
+    key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    source = base.select(key(F.col("i")).alias("k"), "h", "t")
+    tested = items = None
 
     def check(pairs: DataFrame) -> None:
-        """Compare pairs (a, b) not compared before and add the links."""
-        nonlocal links, tested
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        """Compare pairs (a, na, b, nb) not compared before and add the links."""
+        nonlocal links, tested, items
+        pairs = pairs.where((F.col("a") != F.col("b")) & rule.holds(F.least("na", "nb"), F.col("na"), F.col("nb")))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         x, y = lead.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("lead").alias("la")), lead.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("lead").alias("lb"))
-        pairs = pairs.join(x, "a").where("na is not null").join(y, "b")
+        pairs = pairs.join(x, "a").join(y, "b")
         # what leads can tell: shared shingles outside both leads lie behind one of the leads, all of them
         both = F.size(F.array_intersect("la", "lb"))
         rest = F.greatest(F.col("na") - F.size("la"), F.col("nb") - F.size("lb"))
-        pairs = pairs.where(rule.holds(F.least("na", "nb"), F.col("na"), F.col("nb")) & rule.holds(F.least(both + rest, "na", "nb"), F.col("na"), F.col("nb")))
+        pairs = pairs.where(rule.holds(F.least(both + rest, "na", "nb"), F.col("na"), F.col("nb")))
         pairs = scratch.save(pairs.select("a", "b", "na", "nb"), "pairs")
+        ends = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
+        if items is not None:
+            ends = ends.join(items.select("s"), "s", "left_anti")
+        wanted = scratch.save(lead.join(ends, "s", "left_semi").select(key(F.col("i")).alias("k"), "h", "s"), "wanted")
+        new = scratch.save(whole_sets(source.join(sent(wanted), ["k", "h"]).select("s", "t"), width), "items")
+        items = new if items is None else items.union(new)
         u, v = items.select(F.col("s").alias("a"), F.col("items").alias("ia")), items.select(F.col("s").alias("b"), F.col("items").alias("ib"))
         met = F.size(F.array_intersect("ia", "ib"))
-        found = pairs.join(u, "a").join(v, "b").where(rule.holds(met, F.col("na"), F.col("nb"))).select("a", "b")
-        links = scratch.save(links.union(found).distinct(), "links")
-        new = pairs.select("a", "b")
-        tested = new if tested is None else scratch.save(tested.union(new), "tested")
+        found = u.join(sent(pairs), "a").join(v, "b").where(rule.holds(met, F.col("na"), F.col("nb"))).select("a", "b")
+        before, links = links, scratch.save(links.union(found).distinct(), "links")
+        scratch.drop(before)
+        done = pairs.select("a", "b")
+        tested = done if tested is None else tested.union(done)
 
     def labelled() -> DataFrame:
         c = common.components(links, scratch).withColumnRenamed("id", "s")
         return lists.join(c, "s", "left").select("tok", "s", "n", F.coalesce("component", "s").alias("c"))
 
     center = lists.groupBy("tok").agg(F.min(F.struct("n", "s")).alias("m"))
-    check(lists.join(center, "tok").select(F.col("m.s").alias("a"), F.col("s").alias("b")))
+    check(lists.join(center, "tok").select(F.col("m.s").alias("a"), F.col("m.n").alias("na"), F.col("s").alias("b"), F.col("n").alias("nb")))
 
     def open_lists() -> DataFrame:
         """Members of lists that span components: (tok, s, n, c)."""
@@ -282,12 +295,14 @@ def join(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_c
         return scratch.save(lab.join(several, "tok"), "open")
 
     left = open_lists()
-    drawn = left.groupBy("tok").agg(F.min(F.struct(F.xxhash64("tok", "s").alias("o"), F.col("s"), F.col("c"))).alias("m"))
-    check(left.join(drawn, "tok").where(F.col("c") != F.col("m.c")).select(F.col("m.s").alias("a"), F.col("s").alias("b")))
+    drawn = left.groupBy("tok").agg(F.min(F.struct(F.xxhash64("tok", "s").alias("o"), F.col("s"), F.col("n"), F.col("c"))).alias("m"))
+    check(left.join(drawn, "tok").where(F.col("c") != F.col("m.c")).select(F.col("m.s").alias("a"), F.col("m.n").alias("na"), F.col("s").alias("b"), F.col("n").alias("nb")))
+    scratch.drop(left)
     left = open_lists()
     other = left.select("tok", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
     rest = left.join(other, "tok").where((F.col("s") < F.col("b")) & (F.col("c") != F.col("cb")) & rule.holds(F.least("n", "nb"), F.col("n"), F.col("nb")))
-    check(rest.select(F.col("s").alias("a"), "b"))
+    check(rest.select(F.col("s").alias("a"), F.col("n").alias("na"), "b", "nb"))
+    scratch.drop(left, lists)
 
     comp = common.components(links, scratch).withColumnRenamed("id", "s")
     own = rows.where("n > 0").groupBy("s").agg(F.min("i").alias("least"))
