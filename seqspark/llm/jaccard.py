@@ -3,14 +3,16 @@
 Sets are compared by 64-bit hashes of their shingles. Equal sets form a class, and classes are compared.
 
 Small sets emit a hash of each subset they may share with a partner; all that share a subset large enough
-for their sizes are linked, and the smallest of them is linked to the rest. Large sets put the first few of
-their shingles, in a common order, into inverted lists: partners must meet in one. The order puts frequent
-shingles last, so lists stay short; any order finds the same links. The boundary between small and large
-is where enumeration costs more than lists, from the histogram of set sizes.
-
-Lists are not expanded into pairs. First all members of a list are compared with one of them, then, where
-a list still spans several components, with one that is drawn for each list, and at last all pairs that are
-still in different components. What is compared is checked on the whole sets.
+for their sizes are linked. Large sets put the first few of their shingles, in a common order, into inverted
+lists: partners must meet in one. The order puts frequent shingles last, so lists stay short; any order finds
+the same links. The boundary between small and large is where enumeration costs more than lists, from the
+histogram of set sizes.
+
+The links of each class are counted on all pairs that share a subset or meet in a list. Where components alone
+are wanted, lists are not expanded into pairs: the smallest holder of a subset is linked to the rest, all members
+of a list are compared with one of them, then, where a list still spans several components, with one that is
+drawn for each list, and at last all pairs that are still in different components. What is compared is checked
+on the whole sets.
 """
 
 from __future__ import annotations
@@ -217,9 +219,9 @@ def join(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_c
 
     Words are runs of other bytes than white space (9 to 13 and 32), A-Z lowered. A text with fewer words
     has its whole sequence as one shingle; null, empty and blank texts have none and link with nothing.
-    Returns id_column, n_shingles (set size), set_id (hash of the set; equal sets link), n_links (other classes
-    directly linked, of those compared), component_id (smallest id reachable). Null ids have a row each, and a
-    null component only if no row of it has an id; with_hash: (i, h, n, component) instead, h hashing the text; repeated ids count as one document's rows; an empty table gives an
+    Returns id_column, n_shingles (set size), set_id (hash of the set; equal sets link), n_links (all other
+    classes directly linked), component_id (smallest id reachable). Null ids have a row each, and a null component
+    only if no row of it has an id; with_hash: (i, h, n, component) instead, h hashing the text; repeated ids count as one document's rows; an empty table gives an
     empty one; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -235,14 +237,18 @@ def join(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_c
         """A table with a broadcast hint if it is small."""
         return F.broadcast(d) if d.count() <= BROADCAST_ROWS else d
 
-    # small sets: the smallest that holds a subset links all whose size allows it
+    # small sets: those that share a subset link if its size is enough; for components, each with the smallest
     subset = classes.where("subs is not null").select("s", "n", F.explode("subs").alias("x")).select("s", "n", "x.key", "x.size")
-    star = subset.groupBy("key", "size").agg(F.min(F.struct("n", "s")).alias("m"), F.count("*").alias("c")).where("c > 1")
-    links = subset.join(star, ["key", "size"]).where(rule.holds(F.col("size"), F.col("n"), F.col("m.n"))).select(F.col("m.s").alias("a"), F.col("s").alias("b")).where("a <> b")
+    if with_hash:
+        star = subset.groupBy("key", "size").agg(F.min(F.struct("n", "s")).alias("m"), F.count("*").alias("c")).where("c > 1")
+        links = subset.join(star, ["key", "size"]).where(rule.holds(F.col("size"), F.col("n"), F.col("m.n"))).select(F.least("m.s", "s").alias("a"), F.greatest("m.s", "s").alias("b")).where("a <> b")
+    else:
+        other = subset.select("key", "size", F.col("s").alias("b"), F.col("n").alias("nb"))
+        links = subset.join(other, ["key", "size"]).where((F.col("s") < F.col("b")) & rule.holds(F.col("size"), F.col("n"), F.col("nb"))).select(F.col("s").alias("a"), "b")
     links = scratch.save(links.distinct(), "links")
 
     # large sets: lists of leading shingles that two classes share
-    lists = classes.where("lead is not null").select("s", "n", F.explode("lead").alias("tok"))
+    lists = classes.where("lead is not null").select("s", "n", F.posexplode("lead").alias("pos", "tok"))
     shared = lists.groupBy("tok").agg(F.count("*").alias("c"))
     shared = scratch.save(shared.where("c > 1").select("tok"), "shared")
     lists = scratch.save(lists.join(sent(shared), "tok"), "lists")
@@ -285,24 +291,39 @@ def join(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_c
         c = common.components(links, scratch).withColumnRenamed("id", "s")
         return lists.join(c, "s", "left").select("tok", "s", "n", F.coalesce("component", "s").alias("c"))
 
-    center = lists.groupBy("tok").agg(F.min(F.struct("n", "s")).alias("m"))
-    check(lists.join(center, "tok").select(F.col("m.s").alias("a"), F.col("m.n").alias("na"), F.col("s").alias("b"), F.col("n").alias("nb")))
-
-    def open_lists() -> DataFrame:
-        """Members of lists that span components: (tok, s, n, c)."""
-        lab = labelled()
-        several = lab.groupBy("tok").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("tok")
-        return scratch.save(lab.join(several, "tok"), "open")
-
-    left = open_lists()
-    drawn = left.groupBy("tok").agg(F.min(F.struct(F.xxhash64("tok", "s").alias("o"), F.col("s"), F.col("n"), F.col("c"))).alias("m"))
-    check(left.join(drawn, "tok").where(F.col("c") != F.col("m.c")).select(F.col("m.s").alias("a"), F.col("m.n").alias("na"), F.col("s").alias("b"), F.col("n").alias("nb")))
-    scratch.drop(left)
-    left = open_lists()
-    other = left.select("tok", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    rest = left.join(other, "tok").where((F.col("s") < F.col("b")) & (F.col("c") != F.col("cb")) & rule.holds(F.least("n", "nb"), F.col("n"), F.col("nb")))
-    check(rest.select(F.col("s").alias("a"), F.col("n").alias("na"), "b", "nb"))
-    scratch.drop(left, lists)
+    def all_pairs() -> None:
+        """Compare all that meet in a list. From their first common shingle on, two sets share no more than is left of either."""
+        left = F.least(F.col("n") - F.col("pos"), F.col("nb") - F.col("posb"))
+        other = lists.select("tok", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("posb"))
+        rest = lists.join(other, "tok").where((F.col("s") < F.col("b")) & rule.holds(left, F.col("n"), F.col("nb")))
+        check(rest.select(F.col("s").alias("a"), F.col("n").alias("na"), "b", "nb"))
+
+    def spanning_pairs() -> None:
+        """Compare until the lists add nothing to the components."""
+        center = lists.groupBy("tok").agg(F.min(F.struct("n", "s")).alias("m"))
+        check(lists.join(center, "tok").select(F.col("m.s").alias("a"), F.col("m.n").alias("na"), F.col("s").alias("b"), F.col("n").alias("nb")))
+
+        def open_lists() -> DataFrame:
+            """Members of lists that span components: (tok, s, n, c)."""
+            lab = labelled()
+            several = lab.groupBy("tok").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("tok")
+            return scratch.save(lab.join(several, "tok"), "open")
+
+        left = open_lists()
+        drawn = left.groupBy("tok").agg(F.min(F.struct(F.xxhash64("tok", "s").alias("o"), F.col("s"), F.col("n"), F.col("c"))).alias("m"))
+        check(left.join(drawn, "tok").where(F.col("c") != F.col("m.c")).select(F.col("m.s").alias("a"), F.col("m.n").alias("na"), F.col("s").alias("b"), F.col("n").alias("nb")))
+        scratch.drop(left)
+        left = open_lists()
+        other = left.select("tok", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+        rest = left.join(other, "tok").where((F.col("s") < F.col("b")) & (F.col("c") != F.col("cb")) & rule.holds(F.least("n", "nb"), F.col("n"), F.col("nb")))
+        check(rest.select(F.col("s").alias("a"), F.col("n").alias("na"), "b", "nb"))
+        scratch.drop(left)
+
+    if with_hash:
+        spanning_pairs()
+    else:
+        all_pairs()
+    scratch.drop(lists)
 
     comp = common.components(links, scratch).withColumnRenamed("id", "s")
     own = rows.where("n > 0").groupBy("s").agg(F.min("i").alias("least"))

@@ -181,6 +181,34 @@ def test_jaccard(docs, none, rows, width, num, den):
     assert {r["doc_id"] for r in kept} >= {i for i in label if not sizes[i]}
 
 
+@pytest.mark.parametrize("n", [20, 100])
+def test_jaccard_counts_every_link(spark, n):
+    """Different texts that are all near each other link all with all, not only with one of them."""
+    rnd = random.Random(n)
+    base = [f"w{k}" for k in range(n)]
+    texts = [" ".join([*base, x]) for x in ("red", "green", "blue", "white")] + [" ".join(rnd.sample(base, n))]
+    out = {r["doc_id"]: r["n_links"] for r in collect(jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert out == {0: 3, 1: 3, 2: 3, 3: 3, 4: 0}
+
+
+@pytest.mark.parametrize(("width", "num", "den"), [(3, 90, 100), (5, 80, 100), (2, 50, 100)])
+def test_jaccard_links_by_brute_force(spark, width, num, den):
+    rnd = random.Random(9)
+    texts = []
+    for _ in range(12):
+        w = prose(rnd, rnd.choice([5, 9, 14, 22, 40, 90])).split()
+        for _ in range(6):
+            v = list(w)
+            for k in rnd.choice([(), (1,), (1,), (1, 2)]):
+                v[-k] = rnd.choice(WORDS)
+            texts.append(" ".join(v[: len(v) - rnd.choice([0, 0, 1])]))
+    sets = [frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) for w in map(str.split, texts)]
+    classes = set(sets)
+    want = {i: sum(x != s and den * len(x & s) >= num * len(x | s) for x in classes) for i, s in enumerate(sets)}
+    out = {r["doc_id"]: r["n_links"] for r in collect(jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width=width, num=num, den=den))}
+    assert out == want and max(want.values()) > 2
+
+
 def test_jaccard_lead_bound():
     """A set whose extra items lead still finds the set inside it."""
     rule = jaccard.Rule(90, 100)
