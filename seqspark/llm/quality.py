@@ -32,8 +32,8 @@ BROADCAST_GRAMS = 4_000_000
 BROADCAST_IDS = 500_000
 #: A text's mean is drawn to its language's by this many characters.
 PRIOR_CHARS = 100
-#: Held-out trusted texts of a language from which its own quantile is taken.
-LEAST_HELD_OUT = 30
+#: The quantile of a language's excess over its mean is drawn to that of all languages by this many texts.
+PRIOR_TEXTS = 30
 
 
 def gram_codes(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +203,7 @@ def document_costs(docs: DataFrame, costs: DataFrame, broadcast_grams: int = BRO
 
 @dataclass
 class Judge:
-    """n-gram costs, means and limits of languages, and what holds for a language with too few trusted texts."""
+    """n-gram costs, means and limits of languages, and what holds for a language without held-out trusted texts."""
 
     costs: DataFrame
     by_lang: DataFrame
@@ -238,13 +238,14 @@ def judge(docs: DataFrame, trusted: DataFrame, *, quantile: float, slack: float,
     held = scratch.save(each.where("chars > 0").join(told(known.where(held_out(F.col("k")))), F.col("i") == F.col("k"), "left_semi"), "held")
     mean = F.sum("cost") / F.sum("chars")
     all_mean = held.agg(mean.alias("m")).first()["m"] or 0.0
-    by_lang = held.groupBy(F.col("lang").alias("l")).agg(mean.alias("lang_mean"), F.count("*").alias("lang_n")).where(F.col("lang_n") >= LEAST_HELD_OUT)
-    drawn = held.join(F.broadcast(by_lang), F.col("lang").eqNullSafe(F.col("l")), "left")
-    drawn = drawn.select("lang", "lang_n", ((F.col("cost") + PRIOR_CHARS * F.coalesce("lang_mean", F.lit(all_mean))) / (F.col("chars") + PRIOR_CHARS)).alias("drawn"))
-    limit = F.percentile_approx("drawn", quantile, 10_000)
-    all_limit = drawn.agg(limit.alias("m")).first()["m"]
-    limits = drawn.where("lang_n is not null").groupBy(F.col("lang").alias("l2")).agg(limit.alias("lang_limit"))
-    by_lang = scratch.save(by_lang.join(F.broadcast(limits), F.col("l").eqNullSafe(F.col("l2"))).select("l", "lang_mean", "lang_limit"), "langs")
+    lang_mean = (F.sum("cost") + PRIOR_CHARS * F.lit(all_mean)) / (F.sum("chars") + PRIOR_CHARS)
+    by_lang = held.groupBy(F.col("lang").alias("l")).agg(lang_mean.alias("lang_mean"), F.count("*").alias("lang_n"))
+    over = held.join(F.broadcast(by_lang), F.col("lang").eqNullSafe(F.col("l"))).select("l", "lang_mean", "lang_n", ((F.col("cost") - F.col("chars") * F.col("lang_mean")) / (F.col("chars") + PRIOR_CHARS)).alias("over"))
+    high = F.percentile_approx("over", quantile, 10_000)
+    all_over = over.agg(high.alias("m")).first()["m"]
+    all_limit = None if all_over is None else all_mean + all_over
+    drawn = F.col("lang_mean") + (F.col("lang_n") * F.col("high") + PRIOR_TEXTS * F.lit(all_over).cast("double")) / (F.col("lang_n") + PRIOR_TEXTS)
+    by_lang = scratch.save(over.groupBy("l", "lang_mean", "lang_n").agg(high.alias("high")).select("l", "lang_mean", drawn.alias("lang_limit")), "langs")
     return Judge(costs, by_lang, all_mean, all_limit, slack, broadcast_grams), each
 
 
@@ -252,8 +253,9 @@ def classify(docs: DataFrame, trusted: DataFrame, *, quantile: float = 0.99, sla
     """Perplexity of every whole text and whether it is kept.
 
     trusted: ids of trusted texts. A quarter of them (crc32 of the id as text mod 4 is 2) is held out of the
-    counts and sets the thresholds: slack times the quantile of the perplexity of each language, or of all
-    where a language has too few. Returns id_column, chars, perplexity (per character, drawn to the mean of
+    counts and sets the thresholds: slack times the quantile of the perplexity of each language. The quantile's
+    distance from the language's mean is drawn to that of all languages, the less the more held-out texts there
+    are; a language without any has the mean and quantile of all. Returns id_column, chars, perplexity (per character, drawn to the mean of
     the language for short texts), threshold and kept. A null language is one of its own; null and empty
     texts have no n-grams, the mean perplexity, and are kept; without trusted texts everything is kept.
     Null and repeated ids give a row each; an empty table gives an empty one; other columns are ignored.

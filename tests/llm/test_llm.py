@@ -361,6 +361,18 @@ def test_quality(spark, docs, none, rows):
     assert good.columns == d.columns and {r.doc_id for r in good.collect()} == {r["doc_id"] for r in out if r["kept"]}
 
 
+def test_quality_of_a_rare_language(spark):
+    """A language of few trusted texts has a threshold of its own, not that of a frequent one."""
+    rnd = random.Random(4)
+    noise = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=300))
+    data = [(k, noise(), "zz") for k in range(160)] + [(k, prose(rnd, 60), "en") for k in range(160, 200)]
+    bad = [(k, noise(), "en") for k in range(200, 210)]
+    d = spark.createDataFrame(data + bad, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in collect(quality.classify(d, d.where("doc_id < 200").select("doc_id")))}
+    assert out[160]["threshold"] < out[0]["threshold"] / 2
+    assert not any(out[r[0]]["kept"] for r in bad) and all(out[k]["kept"] for k in range(160, 200))
+
+
 def test_kneser_ney_by_hand(spark):
     """Against interpolated Kneser-Ney written out with dictionaries, for order 3."""
     texts, order = ["abracadabra", "barbara", "cab"], 3
