@@ -30,6 +30,8 @@ FEATURES = 20_000
 #: Share of toxic texts among those with a feature that makes it evidence.
 LEAST_PRECISION = 0.5
 PREFIXES = (4, 5, 6, 8)
+#: Length up to which what a token was decoded to is kept for the next one.
+REMEMBERED = 80
 
 # The letters of the character model, class 0 being the end of a word and the last any other letter.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
@@ -43,7 +45,8 @@ LOOK_COST, DROP_COST, BREAK_COST, ONCE_COST, TWICE_COST, LOSE_COST = 1.0, 0.7, 3
 
 EDGE = "\"'.,;:?!()[]{}<>«»“”…%#&*=/\\-_~^`"
 TRIPLE = re.compile(r"(.)\1\1")
-SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€£])(?:[ ._*-](?:[^\W_]|[@$!|+€£])){2,}(?!\S)")
+SPACED = re.compile(r"(?<![^\W_])(?<![^\W_]['’])(?:[^\W_]|[@$!|+€£])(?:(?:\s+|[._*-])(?:[^\W_]|[@$!|+€£])){2,}(?![^\W_])")
+NUMBER = re.compile(r"[$€£+]?[\d.,_*~'`^/\\ -]+[$€£+]?")
 LAST_RUN = re.compile(r"^(\W)\1\1+|(\W)\2\2+$")
 
 
@@ -105,10 +108,11 @@ class CharModel:
         if found is not None:
             return found
         number, cost = self.number, self.cost
-        states: dict[int, tuple[float, str]] = {0: (0.0, "")}
+        # what was read is a chain of (before, letters), so that long tokens are not copied at each step
+        states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for ways in self.lattice(token):
-            new: dict[int, tuple[float, str]] = {}
-            for context, (spent, text) in states.items():
+            new: dict[int, tuple[float, tuple | None]] = {}
+            for context, (spent, chain) in states.items():
                 for letters, price in ways:
                     at, total = context, spent + price
                     for c in letters:
@@ -118,19 +122,23 @@ class CharModel:
                         total += cost[at][k]
                         at = (at % CLASSES) * CLASSES + k if k else 0
                     if at not in new or total < new[at][0]:
-                        new[at] = total, text + letters
+                        new[at] = total, (chain, letters)
             states = new
-        best = min(((spent + (cost[at][0] if at else 0), text) for at, (spent, text) in states.items()), default=(0, ""))[1]
-        if len(self.memory) > 200_000:
-            self.memory.clear()
-        self.memory[token] = best
+        chain, parts = min(((spent + (cost[at][0] if at else 0), at, chain) for at, (spent, chain) in states.items()), key=lambda x: x[:2])[2], []
+        while chain:
+            chain, letters = chain
+            parts.append(letters)
+        best = "".join(reversed(parts))
+        if len(token) <= REMEMBERED:
+            if len(self.memory) > 200_000:
+                self.memory.clear()
+            self.memory[token] = best
         return best
 
 
 def doubtful(token: str) -> bool:
-    """Whether a stripped token may be disguised: letters with look-alikes or separators inside."""
-    letters = sum(map(str.isalpha, token))
-    return letters > 0 and 2 <= len(token) <= 40 and 2 * letters >= len(token) - 1 and all(c.isalpha() or c in LOOKS or c in SEPARATORS for c in token) and not ("@" in token and "." in token)
+    """Whether a stripped token may be disguised: letters, look-alikes or separators, but not a number, price or address."""
+    return len(token) >= 2 and all(c.isalpha() or c in LOOKS or c in SEPARATORS for c in token) and not NUMBER.fullmatch(token) and not ("@" in token and "." in token)
 
 
 def restored_words(text: str, model: CharModel) -> set[str]:
@@ -149,10 +157,10 @@ def restored_words(text: str, model: CharModel) -> set[str]:
                 continue
             token = bare
         words.add(token)
-        if TRIPLE.search(token) and len(token) <= 80:
+        if TRIPLE.search(token):
             words.update(model.decode(token).split())
     for m in SPACED.finditer(low):
-        words.update(model.decode(m[0]).split())
+        words.update(model.decode(" ".join(m[0].split())).split())
     return words
 
 

@@ -313,6 +313,12 @@ def test_deobfuscation():
     for token, word in (("1d10t", "idiot"), ("i d i o t", "idiot"), ("i.d.i.o.t", "idiot"), ("idiiiot", "idiot"), ("m0r0n", "moron"), ("$tupid", "stupid"), ("p@thet1c", "pathetic"), ("lo-ser", "loser")):
         assert word in toxicity.restored_words(token, model)
     assert toxicity.restored_words("plain words", model) == {"plain", "words"}
+    # mostly look-alikes, spaced out beside punctuation or by several blanks, stretched beyond any length
+    for token, word in (("1d107", "idiot"), ("$(um", "scum"), ("s c u m.", "scum"), ('"s c u m"', "scum"), ("s  c  u  m", "scum"), ("so,i d i o t!", "idiot"), ("idi" + "o" * 100 + "t", "idiot"), ("1d1" + "0" * 60 + "t", "idiot")):
+        assert word in toxicity.restored_words(token, model)
+    for token in ("1,500", "$500", "15/08/1999", "45"):
+        assert not toxicity.doubtful(token)
+    assert len(model.decode("lo-ser" * 20_000)) > 80_000
 
 
 def labelled(spark, n=800):
