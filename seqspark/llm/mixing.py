@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -11,8 +12,6 @@ from pyspark.sql import functions as F
 from seqspark.llm.common import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Distinct membership patterns that the driver routes at most; more raise an error.
-MAX_PATTERNS = 20_000
 BUCKETS_BITS = 12
 
 
@@ -41,6 +40,37 @@ def targets(sizes: dict[str | None, int], weights: dict[str | None, float], cap:
 def route(capacity: dict[tuple, int], quota: dict[str | None, int], cap: int) -> dict[tuple[tuple, str | None], int]:
     """Words each pattern gives each of its sources: a flow of most quota at least cost.
 
+    A source that overlaps with no other gives its quota as far as its passes go. The others are routed by
+    groups of sources that patterns connect.
+    """
+    parent = {s: s for p in capacity for s in p}
+
+    def root(s: str | None) -> str | None:
+        while parent[s] != s:
+            parent[s] = s = parent[parent[s]]
+        return s
+
+    for p in capacity:
+        for s in p[1:]:
+            parent[root(s)] = root(p[0])
+    groups: dict[str | None, list[tuple]] = {}
+    for p in capacity:
+        if p:
+            groups.setdefault(root(p[0]), []).append(p)
+    flow = {}
+    for group in groups.values():
+        if len(group) == 1 and len(group[0]) == 1:
+            p = group[0]
+            if quota.get(p[0], 0) > 0:
+                flow[p, p[0]] = min(quota[p[0]], cap * capacity[p])
+        else:
+            flow |= route_group({p: capacity[p] for p in group}, {s: quota[s] for s in {s for p in group for s in p} if s in quota}, cap)
+    return flow
+
+
+def route_group(capacity: dict[tuple, int], quota: dict[str | None, int], cap: int) -> dict[tuple[tuple, str | None], int]:
+    """The flow of one group of sources that overlap.
+
     A pattern's first pass over its documents costs 0 a word, the second 1, the third 2 and so on (convex),
     so repeats are spread evenly. Successive shortest paths by Bellman-Ford; the graph has a node for each
     pattern and each source.
@@ -71,11 +101,11 @@ def route(capacity: dict[tuple, int], quota: dict[str | None, int], cap: int) ->
     for s in names:
         arc(node["s", s], sink, quota[s], 0)
     while True:
-        far, by, queue = [float("inf")] * (sink + 1), [-1] * (sink + 1), [0]
+        far, by, queue = [float("inf")] * (sink + 1), [-1] * (sink + 1), deque([0])
         far[0] = 0
         waiting = {0}
         while queue:
-            a = queue.pop(0)
+            a = queue.popleft()
             waiting.discard(a)
             for e in out[a]:
                 if room[e] > 0 and far[a] + cost[e] < far[to[e]]:
@@ -135,9 +165,7 @@ def plan_mix(docs: DataFrame, scratch: Scratch, *, weights: Callable[[Sequence[s
     """
     spark = docs.sparkSession
     rows = scratch.save(sized(docs, F.col("id"), seed), "mix")
-    grouped = rows.groupBy("members").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(grouped) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    grouped = rows.groupBy("members").agg(F.sum("size").alias("size")).collect()
     capacity = {tuple(r.members): r["size"] for r in grouped}
     sizes: dict[str | None, int] = {}
     for p, n in capacity.items():

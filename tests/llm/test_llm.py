@@ -255,6 +255,21 @@ def test_route_overlapping_sources():
     assert sum(max(0, sum(v for (p, _), v in flow.items() if p == q) - n) for q, n in capacity.items()) == 20
 
 
+def test_mixing_of_many_sources(spark):
+    """More sources than any number the driver would route one by one, and groups routed apart as together."""
+    n = 25_000
+    d = spark.range(n).selectExpr("id AS doc_id", "concat('s', id) AS source", "'a b c d' AS text")
+    out = mixing.mixed(d, common.Scratch(spark), weights=lambda names: dict.fromkeys(names, 1))
+    assert [tuple(r) for r in out.selectExpr("count(*)", "min(taken)", "max(taken)").collect()] == [(n, 4, 4)]
+    capacity = {("a",): 100, ("a", "b"): 50, ("b",): 10, ("c",): 30, ("d", "e"): 20, ("e",): 5}
+    quota = {"a": 120, "b": 60, "c": 200, "d": 30, "e": 20}
+    one, apart = mixing.route_group(capacity, quota, 3), mixing.route(capacity, quota, 3)
+    total = lambda flow, s: sum(v for (_, x), v in flow.items() if x == s)
+    taken = lambda flow, p: sum(v for (x, _), v in flow.items() if x == p)
+    price = lambda flow: sum(sum(max(0, taken(flow, p) - k * m) for k in range(1, 3)) for p, m in capacity.items())
+    assert all(total(one, s) == total(apart, s) for s in quota) and price(one) == price(apart)
+
+
 def test_mixing_overlap(spark):
     rnd = random.Random(5)
     data = [(k, [["a"], ["b", "a"], ["b"], None][k % 4], prose(rnd, rnd.randint(1, 40))) for k in range(400)]
