@@ -46,9 +46,13 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
-RULE = re.compile(r"([^{}]+)\{([^}]*)\}")
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+BRACE = re.compile(r"[{}]")
+#: Blocks of rules that hold on a screen; others are skipped.
+HOLDS = re.compile(r"@layer\b.*|@media\s+(?:only\s+)?(?:screen|all)", re.I | re.S)
 HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 BR = "\0br\0"
+PARTS = frozenset("thead tbody tfoot".split())
 
 
 class Node:
@@ -66,6 +70,25 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
+def rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, body) of the rules of a style sheet, those in @-blocks if the block holds."""
+    css, at = COMMENT.sub(" ", css), 0
+    open_: list[tuple[str, bool, list[str]]] = []  # (what leads the block, whether its rules hold, its own text)
+    for m in BRACE.finditer(css):
+        holds = not open_ or open_[-1][1]
+        if m[0] == "{":
+            before, _, lead = css[at : m.start()].rpartition(";")
+            if open_:
+                open_[-1][2].append(before)
+            lead = lead.strip()
+            open_.append((lead, holds and HOLDS.fullmatch(lead) is not None, []))
+        elif open_:
+            lead, _, own = open_.pop()
+            if not lead.startswith("@") and (not open_ or open_[-1][1]):
+                yield lead, ";".join([*own, css[at : m.start()]])
+        at = m.end()
+
+
 def parse(source: str) -> tuple[Node, set[str]]:
     """The tree of a page, and the simple selectors (tag, .class, #id) that its style sheets hide."""
     root = Node("html", {})
@@ -136,9 +159,11 @@ def parse(source: str) -> tuple[Node, set[str]]:
             if tag == "textarea":
                 node.children.append(html.unescape(inner))
             elif tag == "style":
-                for selectors, body in RULE.findall(inner):
+                for selectors, body in rules(inner):
                     if HIDING.search(body):
                         hidden |= {x.strip().lower() for x in selectors.split(",") if re.fullmatch(r"[.#]?[\w-]+", x.strip())}
+        elif tag == "form" and stack[-1].tag in ("table", "tr", *PARTS):
+            pass  # as in browsers: empty, what follows belongs to the table
         elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "math")):
             stack.append(node)
             open_[tag] += 1
@@ -205,13 +230,15 @@ def table_lines(node: Node, done: dict[int, list]) -> list[str]:
         if not isinstance(x, Node) or id(x) not in done:
             if isinstance(x, str) and x.strip():
                 captions += [BLANKS.sub(" ", x).strip()]
-        elif x.tag in ("thead", "tbody", "tfoot"):
+        elif x.tag in PARTS:
             queue += reversed(x.children)
         elif x.tag == "tr":
             cells = []
             for c in x.children:
                 if isinstance(c, Node) and id(c) in done:
                     text = flow(done[id(c)])
+                    if not text and c.tag not in ("td", "th"):
+                        continue
                     span = c.attrs.get("colspan", "1")
                     cells.append((text, min(int(span), 1000) if span.isdecimal() and int(span) else 1))
                 elif isinstance(c, str) and c.strip():
@@ -243,18 +270,19 @@ def render(source: str) -> str:
     """All visible text of a page."""
     root, hidden = parse(source)
     done: dict[int, list] = {}
-    stack: list[tuple[Node, Node | None, bool, bool]] = [(root, None, False, False)]
+    # (node, whether it is a table's child or in a part of one, whether blanks are kept, whether its children are done)
+    stack: list[tuple[Node, bool, bool, bool]] = [(root, False, False, False)]
     while stack:
-        node, parent, keeps, ready = stack.pop()
+        node, inside, keeps, ready = stack.pop()
         if not ready:
             if not shown(node, hidden):
                 continue
             keeps = keeps or node.tag in ("pre", "textarea", "listing")
-            stack.append((node, parent, keeps, True))
+            stack.append((node, inside, keeps, True))
             closed = node.tag == "details" and "open" not in node.attrs
             for c in node.children:
                 if isinstance(c, Node) and (not closed or c.tag == "summary"):
-                    stack.append((c, node, keeps, False))
+                    stack.append((c, node.tag == "table" or (inside and node.tag in PARTS), keeps, False))
             continue
         tag = node.tag
         closed = tag == "details" and "open" not in node.attrs
@@ -262,6 +290,8 @@ def render(source: str) -> str:
             done[id(node)] = [(table_lines(node, done), 1)]
         elif tag == "br":
             done[id(node)] = [BR]
+        elif inside and (tag == "tr" or tag in PARTS):
+            done[id(node)] = []  # the table lays out the children
         else:
             items: list = []
             count = 0
@@ -279,10 +309,8 @@ def render(source: str) -> str:
                         mark = f"{count}. " if tag == "ol" else "- "
                         lines = flow(own)
                         items.append(([mark + lines[0], *(" " * len(mark) + x if x else "" for x in lines[1:])] if lines else [], 0))
-                    elif c.tag in ("td", "th", "tr", "thead", "tbody", "tfoot"):
-                        done[id(c)] = own  # the table lays them out
-                        if tag not in ("table", "tr", "thead", "tbody", "tfoot"):
-                            items.append((flow(done.pop(id(c))), 0))
+                    elif c.tag in ("td", "th", "tr", *PARTS):
+                        items.append((flow(own), 0))
                     elif c.tag in BLOCK:
                         margin = MARGIN.get(c.tag, 0)
                         if c.tag in ("ul", "ol", "menu") and tag == "li":

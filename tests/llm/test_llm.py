@@ -322,6 +322,15 @@ three<p class=h>no<p>next<br>line &amp; more<ul><li>a<li>b<ul><li>c</ul></ul><ta
     assert html_text.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+def test_html_text_of_odd_tables_and_styles():
+    for page in ("<table><form><tr><td>x<td>y</tr></form></table>", "<table><tr><td>x</td><td>y</td></tr></table>"):
+        assert html_text.render(page) == "x  y"
+    for page in ("<table><center><tr><td>x<td>y</table>", "<tr><td>x<td>y</tr>", "<tbody><tr><td>x<td>y</tr></tbody>", "<table><tr><div>x</div><td>y</table>", "<table><tbody><div>x</div><tr><td>y</table>"):
+        assert html_text.render(page).split() == ["x", "y"], page
+    style = "<style>/* } */ @import url(a); @media print{.a{color:red}.b{display:none}} @media screen{.c{display:none}} .d{display:none} .a{color:red;.x{display:none}}</style>"
+    assert html_text.render(style + "<p class=a>a</p><p class=b>b</p><p class=c>c</p><p class=d>d</p>") == "a\n\nb"
+
+
 def test_deobfuscation():
     text = ["idiot moron pathetic stupid clown loser scum"] * 300
     model = toxicity.CharModel(toxicity.trigram_counts(text, toxicity.class_of_letters()))
