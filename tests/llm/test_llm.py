@@ -296,6 +296,16 @@ def test_audio(docs, none, rows):
     assert audio.media(none).count() == 0
 
 
+def test_tensors_of_fixed_shape(spark):
+    s = audio.Settings()
+    d = spark.createDataFrame([(0, "a short text"), (1, "long " * 3000), (2, None)], "doc_id long, text string")
+    table = audio.media(d).select("tensors").toArrow()
+    got = audio.tensor_array(table["tensors"].combine_chunks())
+    blocks = [t for x in table["tensors"].to_pylist() for t in x]
+    assert list(got.type.shape) == [s.tensor_frames, s.mels] and len(got) == len(blocks) > 3
+    assert np.array_equal(got.to_numpy_ndarray().reshape(len(blocks), -1), np.array(blocks, np.float32))
+
+
 def test_resampling_is_filter_and_decimation():
     s = audio.Settings()
     x = np.random.default_rng(0).integers(-128, 128, 999)
