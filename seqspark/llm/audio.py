@@ -203,4 +203,4 @@ def media(docs: DataFrame, settings: Settings | None = None, *, id_column: str =
                 yield pa.RecordBatch.from_arrays([batch.column("i"), *columns], [id_column, *names])
 
     schema = f"`{id_column}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, segments array<struct<start:double,end:double>>" + ", media binary, tensors array<array<float>>, spans array<struct<start:double,end:double>>" * full
-    return docs.select(docs[id_column].alias("i"), docs[text_column].alias("t")).mapInArrow(run, schema)
+    return docs.select(docs[id_column].alias("i"), docs[text_column].alias("t")).mapInArrow(common.tidy(run), schema)

@@ -344,4 +344,4 @@ def extract(pages: DataFrame, *, id_column: str = "page_id", html_column: str =
                 text = [render(x) if x else "" for x in batch.column("t").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(text, pa.string())], [id_column, "text"])
 
-    return pages.select(pages[id_column].alias("i"), pages[html_column].alias("t")).mapInArrow(run, f"`{id_column}` {kind}, text string")
+    return pages.select(pages[id_column].alias("i"), pages[html_column].alias("t")).mapInArrow(common.tidy(run), f"`{id_column}` {kind}, text string")

@@ -306,4 +306,4 @@ def token_counts(docs: DataFrame, path: str, *, limit: int = 2048, id_column: st
                 size = [len(x.encode("utf-8", "surrogatepass")) for x in texts]
                 yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], [id_column, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(docs[id_column].alias("i"), docs[text_column].alias("t")).mapInArrow(run, f"`{id_column}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(docs[id_column].alias("i"), docs[text_column].alias("t")).mapInArrow(common.tidy(run), f"`{id_column}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
