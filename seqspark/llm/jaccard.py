@@ -8,11 +8,10 @@ lists: partners must meet in one. The order puts frequent shingles last, so list
 the same links. The boundary between small and large is where enumeration costs more than lists, from the
 histogram of set sizes.
 
-The links of each class are counted on all pairs that share a subset or meet in a list. Where components alone
-are wanted, lists are not expanded into pairs: the smallest holder of a subset is linked to the rest, all members
-of a list are compared with one of them, then, where a list still spans several components, with one that is
-drawn for each list, and at last all pairs that are still in different components. What is compared is checked
-on the whole sets.
+Every link is found and counted once. Below a subset, sizes are counted instead of pairs. Members of a short list
+are paired if they can still be similar by what their lists tell. Classes that hang together by such pairs and by
+long lists form a family, whose whole sets are compared block by block; a block gives how many links each class has
+and a forest that spans them, so large groups of near copies emit no pairs.
 """
 
 from __future__ import annotations
@@ -23,6 +22,7 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,12 +30,18 @@ from pyspark.sql import functions as F
 from seqspark.llm import common
 from seqspark.llm.common import Scratch
 
-#: Frequent shingles that every worker is told, the most frequent first: they only set the order.
-HEAVY = 200_000
-#: Rows of a task's piece that must share a shingle before it counts as maybe frequent.
-SEEN = 3
+#: Frequent shingles that every worker is told (12 bytes each), the most frequent ones: they only set the order.
+HEAVY = 1_000_000
+#: Texts that must share a shingle before it counts as frequent, and the multiple of a lead that is counted.
+SEEN, COUNTED = 3, 3
 #: Rows of three longs that are sent to all workers; larger tables are dealt out by key.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
+#: Members from which on a list is not paired but makes a family.
+LONG = 64
+#: Classes and shingles of a family's piece at most, about; a block is two of them.
+BLOCK_ROWS, BLOCK_ITEMS = 500, 1 << 18
+#: Owners up to which a shingle of a block is counted by its pairs.
+RARE = 48
 MOST_SMALL = 29
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15
@@ -99,7 +105,7 @@ def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return acc, out_at
 
 
-def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for whole in batches:
         for batch in common.slices(whole, "t", 2 << 20):
             yield batch, [x.encode("utf-8", "surrogatepass") if x else b"" for x in batch.column("t").to_pylist()]
@@ -122,9 +128,14 @@ class Rule:
         return sum(comb(n, d) for d in range(n - self.least(n) + 1))
 
     def boundary(self, histogram: dict[int, int]) -> int:
-        """The largest size up to which subsets cost no more rows than lists and the sets to compare them on."""
+        """The largest size up to which subsets cost no more rows than lists and the sets to compare them on.
+
+        Partners of small sets lack one shingle at most, which small_links() relies on.
+        """
         best = 0
         for n in range(1, MOST_SMALL + 1):
+            if n - self.least(n) > 1:
+                break
             if self.subsets(n) <= self.prefix(n) + 2 * n:
                 best = n
             elif histogram.get(n, 0):
@@ -135,41 +146,50 @@ class Rule:
         return self.den * shared >= self.num * (a + b - shared)
 
 
-def survey(texts: DataFrame, width: int, scratch: Scratch) -> tuple[dict[int, int], np.ndarray]:
-    """Histogram of small set sizes, and the most frequent shingles (sorted), over all rows of texts(t)."""
+def survey(texts: DataFrame, width: int, rule: Rule, scratch: Scratch) -> tuple[dict[int, int], np.ndarray]:
+    """Histogram of small set sizes, and the most frequent shingles (the least frequent first), over texts(t).
+
+    Leads begin with the lowest hashes, so shingles of the lowest hashes are counted, all of them and in all rows.
+    """
+    share = min(1.0, COUNTED * (1 - rule.num / rule.den))
+    below = np.uint64(int(share * float(1 << 63)) * 2 - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in pieces(batches):
+        for _, texts in encoded(batches):
             acc, at = shingles(texts, width)
             sizes, m = np.unique(np.diff(at), return_counts=True)
             m, sizes = m[sizes <= MOST_SMALL], sizes[sizes <= MOST_SMALL]
-            x, n = np.unique(acc, return_counts=True)
-            x, n = x[n >= SEEN], n[n >= SEEN]
+            x, n = np.unique(acc[acc <= below], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(np.ones(len(sizes), bool), np.zeros(len(x), bool))), pa.array(np.append(sizes, x.view(np.int64))), pa.array(np.append(m, n))], ["is_size", "k", "n"])
 
-    found = scratch.save(texts.mapInArrow(run, "is_size boolean, k long, n long").groupBy("is_size", "k").agg(F.sum("n").alias("n")), "survey")
+    found = texts.mapInArrow(common.tidy(run), "is_size boolean, k long, n long").groupBy("is_size", "k").agg(F.sum("n").alias("n"))
+    found = scratch.save(found.where(F.col("is_size") | (F.col("n") >= SEEN)), "survey")
     histogram = {r.k: r.n for r in found.where("is_size").collect()}
-    heavy = found.where("not is_size").orderBy(F.desc("n"), "k").limit(HEAVY).select("k").toPandas()
-    return histogram, np.sort(heavy.k.to_numpy(np.int64).view(np.uint64))
+    heavy = found.where("not is_size").orderBy(F.desc("n"), "k").limit(HEAVY).select("k").toArrow()["k"].to_numpy()
+    return histogram, np.ascontiguousarray(heavy[::-1]).view(np.uint64)
 
 
 def sets(docs: DataFrame, width: int, rule: Rule, small: int, heavy: np.ndarray) -> DataFrame:
     """docs(i, h, t) -> (i, h, n, s, lead, subs): set size, set hash, leading shingles, subset hashes.
 
+    Shingles are ordered by hash, those in heavy last and in its order.
+
     subs holds (hash, size) of the subsets of small sets; lead those of sets that may have a large partner.
     The hash of a set is the sum of its mixed shingles, so a subset's is that less what it lacks.
     """
     kind = docs.schema["i"].dataType.simpleString()
-    told = docs.sparkSession.sparkContext.broadcast(heavy)
+    by_hash = np.argsort(heavy, kind="stable")
+    told = docs.sparkSession.sparkContext.broadcast((heavy[by_hash], by_hash.astype(np.int32)))
     lists_from = rule.least(small + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = told.value
-        for batch, texts in pieces(batches):
+        heavy, rank = told.value
+        for batch, texts in encoded(batches):
             acc, at = shingles(texts, width)
-            often = np.zeros(len(acc), bool)
+            often, place = np.zeros(len(acc), bool), np.zeros(len(acc), np.int32)
             if len(heavy) and len(acc):
-                often = heavy[np.minimum(np.searchsorted(heavy, acc), len(heavy) - 1)] == acc
+                slot = np.minimum(np.searchsorted(heavy, acc), len(heavy) - 1)
+                often, place = heavy[slot] == acc, rank[slot]
             code = mix(acc + np.uint64(0x632BE59BD9B4E019))
             lead, subs, total = [], [], []
             for a, b in zip(at.tolist(), at[1:].tolist()):
@@ -180,7 +200,10 @@ def sets(docs: DataFrame, width: int, rule: Rule, small: int, heavy: np.ndarray)
                 if n >= lists_from and n:
                     p = rule.prefix(n)
                     rare = own[~often[a:b]][:p]
-                    lead.append((rare if len(rare) == p else np.append(rare, own[often[a:b]][: p - len(rare)])).view(np.int64))
+                    if len(rare) < p:
+                        known = often[a:b]
+                        rare = np.append(rare, own[known][np.argsort(place[a:b][known])][: p - len(rare)])
+                    lead.append(rare.view(np.int64))
                 else:
                     lead.append(None)
                 keys = []
@@ -195,7 +218,7 @@ def sets(docs: DataFrame, width: int, rule: Rule, small: int, heavy: np.ndarray)
                 ["i", "h", "n", "s", "lead", "subs"],
             )
 
-    return docs.mapInArrow(run, f"i {kind}, h long, n long, s long, lead array<long>, subs array<struct<key:long,size:int>>")
+    return docs.mapInArrow(common.tidy(run), f"i {kind}, h long, n long, s long, lead array<long>, subs array<struct<key:long,size:int>>")
 
 
 def _signed(x: int) -> int:
@@ -207,11 +230,11 @@ def whole_sets(rows: DataFrame, width: int) -> DataFrame:
     """rows(s, t) -> (s, items): all shingle hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches):
+        for batch, texts in encoded(batches):
             acc, at = shingles(texts, width)
             yield pa.RecordBatch.from_arrays([batch.column("s"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(acc.view(np.int64)))], ["s", "items"])
 
-    return rows.mapInArrow(run, "s long, items array<long>")
+    return rows.mapInArrow(common.tidy(run), "s long, items array<long>")
 
 
 def join(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_column: str = "doc_id", text_column: str = "text", with_hash: bool = False) -> DataFrame:
@@ -228,115 +251,184 @@ def join(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_c
     common.small_batches(spark)
     scratch, rule = Scratch(spark), Rule(num, den)
     base = docs.select(docs[id_column].alias("i"), F.xxhash64(docs[text_column]).alias("h"), docs[text_column].alias("t"))
-    histogram, heavy = survey(base.select("t"), width, scratch)
+    histogram, heavy = survey(base.select("t"), width, rule, scratch)
     small = rule.boundary(histogram)
-    rows = scratch.save(sets(base, width, rule, small, heavy), "sets")
-    classes = scratch.save(rows.where("n > 0").select("s", "n", "lead", "subs", "i", "h").dropDuplicates(["s"]), "classes")
+    whole = scratch.save(sets(base, width, rule, small, heavy), "sets")
+    rows = whole.select("i", "h", "n", "s")
+    classes = scratch.save(whole.where("n > 0 and (lead is not null or subs is not null)").dropDuplicates(["s"]), "classes")
 
     def sent(d: DataFrame) -> DataFrame:
         """A table with a broadcast hint if it is small."""
         return F.broadcast(d) if d.count() <= BROADCAST_ROWS else d
 
-    # small sets: those that share a subset link if its size is enough; for components, each with the smallest
-    subset = classes.where("subs is not null").select("s", "n", F.explode("subs").alias("x")).select("s", "n", "x.key", "x.size")
-    if with_hash:
-        star = subset.groupBy("key", "size").agg(F.min(F.struct("n", "s")).alias("m"), F.count("*").alias("c")).where("c > 1")
-        links = subset.join(star, ["key", "size"]).where(rule.holds(F.col("size"), F.col("n"), F.col("m.n"))).select(F.least("m.s", "s").alias("a"), F.greatest("m.s", "s").alias("b")).where("a <> b")
-    else:
-        other = subset.select("key", "size", F.col("s").alias("b"), F.col("n").alias("nb"))
-        links = subset.join(other, ["key", "size"]).where((F.col("s") < F.col("b")) & rule.holds(F.col("size"), F.col("n"), F.col("nb"))).select(F.col("s").alias("a"), "b")
-    links = scratch.save(links.distinct(), "links")
+    near = scratch.save(small_links(classes, rule), "near")
 
     # large sets: lists of leading shingles that two classes share
     lists = classes.where("lead is not null").select("s", "n", F.posexplode("lead").alias("pos", "tok"))
-    shared = lists.groupBy("tok").agg(F.count("*").alias("c"))
-    shared = scratch.save(shared.where("c > 1").select("tok"), "shared")
+    shared = scratch.save(lists.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1"), "shared")
     lists = scratch.save(lists.join(sent(shared), "tok"), "lists")
-    needed = lists.select("s").distinct()
-    lead = scratch.save(classes.join(needed, "s", "left_semi").select("s", "n", "lead", "i", "h"), "lead")
-    scratch.drop(classes)
-    key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    source = base.select(key(F.col("i")).alias("k"), "h", "t")
-    tested = items = None
-
-    def check(pairs: DataFrame) -> None:
-        """Compare pairs (a, na, b, nb) not compared before and add the links."""
-        nonlocal links, tested, items
-        pairs = pairs.where((F.col("a") != F.col("b")) & rule.holds(F.least("na", "nb"), F.col("na"), F.col("nb")))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        x, y = lead.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("lead").alias("la")), lead.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("lead").alias("lb"))
-        pairs = pairs.join(x, "a").join(y, "b")
-        # what leads can tell: shared shingles outside both leads lie behind one of the leads, all of them
-        both = F.size(F.array_intersect("la", "lb"))
-        rest = F.greatest(F.col("na") - F.size("la"), F.col("nb") - F.size("lb"))
-        pairs = pairs.where(rule.holds(F.least(both + rest, "na", "nb"), F.col("na"), F.col("nb")))
-        pairs = scratch.save(pairs.select("a", "b", "na", "nb"), "pairs")
-        ends = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
-        if items is not None:
-            ends = ends.join(items.select("s"), "s", "left_anti")
-        wanted = scratch.save(lead.join(ends, "s", "left_semi").select(key(F.col("i")).alias("k"), "h", "s"), "wanted")
-        new = scratch.save(whole_sets(source.join(sent(wanted), ["k", "h"]).select("s", "t"), width), "items")
-        items = new if items is None else items.union(new)
-        u, v = items.select(F.col("s").alias("a"), F.col("items").alias("ia")), items.select(F.col("s").alias("b"), F.col("items").alias("ib"))
-        met = F.size(F.array_intersect("ia", "ib"))
-        found = u.join(sent(pairs), "a").join(v, "b").where(rule.holds(met, F.col("na"), F.col("nb"))).select("a", "b")
-        before, links = links, scratch.save(links.union(found).distinct(), "links")
-        scratch.drop(before)
-        done = pairs.select("a", "b")
-        tested = done if tested is None else tested.union(done)
-
-    def labelled() -> DataFrame:
-        c = common.components(links, scratch).withColumnRenamed("id", "s")
-        return lists.join(c, "s", "left").select("tok", "s", "n", F.coalesce("component", "s").alias("c"))
-
-    def all_pairs() -> None:
-        """Compare all that meet in a list. From their first common shingle on, two sets share no more than is left of either."""
-        left = F.least(F.col("n") - F.col("pos"), F.col("nb") - F.col("posb"))
-        other = lists.select("tok", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("posb"))
-        rest = lists.join(other, "tok").where((F.col("s") < F.col("b")) & rule.holds(left, F.col("n"), F.col("nb")))
-        check(rest.select(F.col("s").alias("a"), F.col("n").alias("na"), "b", "nb"))
-
-    def spanning_pairs() -> None:
-        """Compare until the lists add nothing to the components."""
-        center = lists.groupBy("tok").agg(F.min(F.struct("n", "s")).alias("m"))
-        check(lists.join(center, "tok").select(F.col("m.s").alias("a"), F.col("m.n").alias("na"), F.col("s").alias("b"), F.col("n").alias("nb")))
-
-        def open_lists() -> DataFrame:
-            """Members of lists that span components: (tok, s, n, c)."""
-            lab = labelled()
-            several = lab.groupBy("tok").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("tok")
-            return scratch.save(lab.join(several, "tok"), "open")
-
-        left = open_lists()
-        drawn = left.groupBy("tok").agg(F.min(F.struct(F.xxhash64("tok", "s").alias("o"), F.col("s"), F.col("n"), F.col("c"))).alias("m"))
-        check(left.join(drawn, "tok").where(F.col("c") != F.col("m.c")).select(F.col("m.s").alias("a"), F.col("m.n").alias("na"), F.col("s").alias("b"), F.col("n").alias("nb")))
-        scratch.drop(left)
-        left = open_lists()
-        other = left.select("tok", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-        rest = left.join(other, "tok").where((F.col("s") < F.col("b")) & (F.col("c") != F.col("cb")) & rule.holds(F.least("n", "nb"), F.col("n"), F.col("nb")))
-        check(rest.select(F.col("s").alias("a"), F.col("n").alias("na"), "b", "nb"))
-        scratch.drop(left)
 
-    if with_hash:
-        spanning_pairs()
-    else:
-        all_pairs()
+    # pairs that meet in a short list, as often as they share a leading shingle
+    one = lists.where(F.col("c") <= LONG).select("tok", "s", "n", "pos")
+    two = one.toDF("tok", "b", "nb", "posb")
+    met = one.join(two, "tok").where((F.col("s") < F.col("b")) & (F.greatest("n", "nb") > small) & rule.holds(F.least("n", "nb"), F.col("n"), F.col("nb")))
+    # from their first common shingle on, two sets share no more than is left of either
+    met = met.groupBy(F.col("s").alias("a"), "b", F.col("n").alias("na"), "nb").agg(F.count("*").alias("both"), F.max(F.least(F.col("n") - F.col("pos"), F.col("nb") - F.col("posb"))).alias("left"))
+    # and those in a short list of at most one of them lie behind a lead or in a long list
+    behind = lambda n: F.floor((F.col(n) * num + den - 1) / den) - 1
+    in_long = lists.where(F.col("c") > LONG).groupBy("s").agg(F.count("*").alias("more"))
+    met = met.join(in_long.toDF("a", "ma"), "a", "left").join(in_long.toDF("b", "mb"), "b", "left")
+    more = F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
+    at_most = F.least(F.col("both") + more + F.greatest(behind("na"), behind("nb")), F.when(more == 0, F.col("left")).otherwise(F.col("na")), "na", "nb")
+    pairs = scratch.save(met.where(rule.holds(at_most, F.col("na"), F.col("nb"))).select("a", "b", "na", "nb"), "pairs")
+
+    # what hangs together by pairs and long lists is a family, compared in blocks
+    long = lists.where(F.col("c") > LONG)
+    star = long.join(long.groupBy("tok").agg(F.min("s").alias("m")), "tok").select(F.col("s").alias("a"), F.col("m").alias("b"))
+    family = common.components(star.union(pairs.select("a", "b")), scratch).select(F.col("id").alias("s"), F.col("component").alias("family"))
+    members = scratch.save(family.join(lists.select("s", "n").distinct(), "s").join(long.select("s", F.lit(True).alias("long")).distinct(), "s", "left"), "members")
     scratch.drop(lists)
 
-    comp = common.components(links, scratch).withColumnRenamed("id", "s")
+    ends = members.select("s")
+    key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    wanted = scratch.save(classes.select("i", "h", "s").join(ends, "s", "left_semi").select(key(F.col("i")).alias("k"), "h", "s"), "wanted")
+    source = base.select(key(F.col("i")).alias("k"), "h", "t")
+    items = scratch.save(whole_sets(source.join(sent(wanted), ["k", "h"]).select("s", "t"), width), "items")
+    scratch.drop(classes)
+
+    # a large family of few pairs costs less pair by pair
+    cost = members.groupBy("family").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.max("long").alias("long"))
+    many = pairs.select(F.col("a").alias("s")).join(members.select("s", "family"), "s").groupBy("family").agg(F.count("*").alias("p"))
+    thin = scratch.save(cost.join(many, "family").where(F.col("long").isNull() & (2 * F.col("p") < F.col("c") * pieces())).select("family"), "thin")
+    u, v = items.select(F.col("s").alias("a"), F.col("items").alias("ia")), items.select(F.col("s").alias("b"), F.col("items").alias("ib"))
+    apart = pairs.join(members.join(thin, "family", "left_semi").select(F.col("s").alias("a")), "a", "left_semi")
+    found = apart.join(u, "a").join(v, "b").where(rule.holds(F.size(F.array_intersect("ia", "ib")), F.col("na"), F.col("nb")))
+    found = scratch.save(found.select("a", "b").distinct(), "found")
+    inner = scratch.save(family_links(members.join(thin, "family", "left_anti"), items, rule, small), "inner")
+    scratch.drop(items)
+
+    edges = scratch.save(near.where("b is not null").select(F.col("s").alias("a"), "b").union(found).union(inner.where("b is not null").select("a", "b")).distinct(), "edges")
+    degrees = near.select("s", "links").union(found.select(F.col("a").alias("s"), F.lit(1))).union(found.select("b", F.lit(1))).union(inner.where("b is null").select("a", "links"))
+    degrees = degrees.groupBy("s").agg(F.sum("links").alias("links"))
+    comp = common.components(edges, scratch).withColumnRenamed("id", "s")
     own = rows.where("n > 0").groupBy("s").agg(F.min("i").alias("least"))
     with_comp = own.join(comp, "s", "left").withColumn("component", F.coalesce("component", "s"))
     least = with_comp.groupBy("component").agg(F.min("least").alias("component_id"))
-    degree = links.select(F.col("a").alias("s")).union(links.select("b")).groupBy("s").agg(F.count("*").alias("links"))
-    told = scratch.save(with_comp.join(least, "component").join(degree, "s", "left").select("s", "component", "component_id", F.coalesce("links", F.lit(0)).alias("n_links")), "told")
+    told = scratch.save(with_comp.join(least, "component").join(degrees, "s", "left").select("s", "component", "component_id", F.coalesce("links", F.lit(0)).alias("n_links")), "told")
     out = rows.select("i", "h", "n", F.when(F.col("n") > 0, F.col("s")).alias("s")).join(told, "s", "left")
     if with_hash:
         return out.select("i", "h", "n", F.coalesce("component", "s").alias("component"))
     return out.select(F.col("i").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "i").alias("component_id"), F.col("s").alias("set_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def small_links(classes: DataFrame, rule: Rule) -> DataFrame:
+    """Links between small sets: (s, links, b), how many s has below one subset, and b to span them (or null).
+
+    As a small set lacks at most one shingle of a subset, two of them share one subset large enough if they
+    link, and only one: their intersection. So counting the set sizes below each subset counts each link once.
+    """
+    subset = classes.where("subs is not null").select("s", "n", F.explode("subs").alias("x")).select("s", "n", "x.key", "x.size")
+    groups = subset.groupBy("key", "size").agg(F.min(F.struct("n", "s")).alias("m"), F.count("*").alias("c"), F.count(F.when(F.col("n") == F.col("size"), 1)).alias("same")).where("c > 1")
+    near = subset.join(groups, ["key", "size"])
+    plain, larger = F.col("n") == F.col("size"), F.col("size") + 1
+    with_plain = F.when(rule.holds(F.col("size"), F.col("size"), larger), F.when(plain, F.col("c") - F.col("same")).otherwise(F.col("same"))).otherwise(0)
+    with_larger = F.when(~plain & rule.holds(F.col("size"), larger, larger), F.col("c") - F.col("same") - 1).otherwise(0)
+    to = F.when((F.col("s") != F.col("m.s")) & rule.holds(F.col("size"), F.col("n"), F.col("m.n")), F.col("m.s"))
+    return near.select("s", (with_plain + with_larger).cast("long").alias("links"), to.alias("b")).where("links > 0 or b is not null")
+
+
+def pieces():
+    """Pieces of a group of c classes with w shingles."""
+    return F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("w") / BLOCK_ITEMS)).cast("int")
+
+
+def shared_counts(items: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share: rare shingles by their few pairs, the others by matrix products."""
+    g = len(items)
+    owner = np.repeat(np.arange(g), [len(x) for x in items])
+    flat = np.concatenate([*items, np.zeros(0, np.int64)])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
+    often = np.diff(np.append(first, len(flat)))
+    out, keys, held = np.zeros(g * g, np.int64), [], 0
+    begin, size = np.repeat(first, often), np.repeat(often, often)
+    at = np.flatnonzero((size > 1) & (size <= RARE))
+    for step in range(1, RARE):  # owners that lie `step` apart in the list of a shingle
+        at = at[at + step < begin[at] + size[at]]
+        keys.append(owner[at] * g + owner[at + step])
+        held += len(at)
+        if held > 1 << 21 or not len(at) or step == RARE - 1:
+            out += np.bincount(np.concatenate(keys), minlength=g * g)
+            keys, held = [], 0
+        if not len(at):
+            break
+    out = out.reshape(g, g).astype(np.float32)
+    column = np.cumsum(often > RARE) - 1
+    at = np.flatnonzero(size > RARE)
+    column, owner = np.repeat(column, often)[at], owner[at]
+    for k in range(0, int(column[-1]) + 1 if len(at) else 0, 1024):
+        a, b = np.searchsorted(column, [k, k + 1024])
+        x = np.zeros((g, 1024), np.float32)
+        x[owner[a:b], column[a:b] - k] = 1
+        out += np.triu(x @ x.T, 1)
+    return out + out.T
+
+
+def family_links(members: DataFrame, items: DataFrame, rule: Rule, small: int) -> DataFrame:
+    """All links within families: rows (a, links) with how many each class has in a block, and (a, b) of a forest.
+
+    members(s, family, n), items(s, items). Only sets of like size can link, so a family is cut into bands of
+    sizes, each band into pieces of bounded rows and shingles, and each two pieces of one band or of neighbours
+    meet in one block. Blocks return counts and a forest, no pairs. Links of two small sets are left out.
+    """
+    cost = (F.count("*").alias("c"), F.sum("n").alias("w"))
+    whole = members.groupBy("family").agg(*cost).select("family", (pieces() == 1).alias("one"))
+    width = float(np.log(rule.den / rule.num)) * 1.001
+    banded = members.join(whole, "family").select("s", "n", "family", F.when(F.col("one"), 0).otherwise(F.floor(F.log("n") / width)).cast("int").alias("band"))
+    sizes = banded.groupBy("family", "band").agg(*cost).select("family", "band", pieces().alias("own"))
+    above = sizes.select("family", (F.col("band") - 1).alias("band"), F.col("own").alias("over"))
+    below = sizes.select("family", (F.col("band") + 1).alias("band"), F.col("own").alias("under"))
+    placed = banded.join(sizes, ["family", "band"]).join(above, ["family", "band"], "left").join(below, ["family", "band"], "left")
+    placed = placed.withColumn("piece", F.pmod(F.xxhash64("s"), F.col("own")).cast("int"))
+
+    def blocks(n: str, band, x, y, kind: int, side):
+        each = F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(0)) - 1)
+        return F.when(F.coalesce(F.col(n), F.lit(0)) > 0, F.transform(each, lambda j: F.struct(band.alias("at"), F.lit(kind).alias("kind"), x(j).alias("x"), y(j).alias("y"), side(j).alias("side")))).otherwise(F.array())
+
+    piece, band, no = F.col("piece"), F.col("band"), F.lit(0)
+    where = F.concat(
+        blocks("own", band, lambda j: F.least(piece, j), lambda j: F.greatest(piece, j), 0, lambda j: (piece > j).cast("int")),
+        blocks("over", band, lambda j: piece, lambda j: j, 1, lambda j: no),
+        blocks("under", band - 1, lambda j: j, lambda j: piece, 1, lambda j: no + 1),
+    )
+    dealt = placed.select("s", "n", "family", F.explode(where).alias("b")).select("s", "n", "family", "b.*").join(items, "s")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("s")
+        s, n, side = group.s.to_numpy(), group.n.to_numpy(), group.side.to_numpy()
+        alone = group.kind.iloc[0] == 0 and group.x.iloc[0] == group.y.iloc[0]
+        shared = shared_counts([np.asarray(x, np.int64) for x in group["items"]])
+        ok = rule.holds(shared, n[:, None], n[None, :]) & (np.maximum(n[:, None], n[None, :]) > small)
+        ok &= ~np.eye(len(s), dtype=bool) if alone else side[:, None] != side[None, :]
+        links, root = ok.sum(1), np.arange(len(s))
+        a, b = np.nonzero(ok)
+        while len(a):  # smallest label of each neighbourhood until nothing changes
+            new = root.copy()
+            np.minimum.at(new, a, root[b])
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        some, tree = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(s)))
+        out = pd.DataFrame({"a": np.concatenate([s[some], s[tree]]), "b": pd.array([*[None] * len(some), *s[root[tree]].tolist()], dtype="Int64"), "links": np.concatenate([links[some], np.zeros(len(tree), np.int64)])})
+        if len(s) > BLOCK_ROWS // 2 or int(n.sum()) > BLOCK_ITEMS // 2:
+            common.release()
+        return out
+
+    return dealt.groupBy("family", "at", "kind", "x", "y").applyInPandas(compare, "a long, b long, links long")
+
+
 def one_of_each(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs without near duplicates, with all their columns: of each component the row of smallest id stays.
 

@@ -209,6 +209,37 @@ def test_jaccard_links_by_brute_force(spark, width, num, den):
     assert out == want and max(want.values()) > 2
 
 
+@pytest.mark.parametrize(("width", "num", "den"), [(3, 90, 100), (5, 80, 100)])
+def test_jaccard_of_families_by_brute_force(spark, monkeypatch, width, num, den):
+    """Long lists: near copies of one text beside unrelated texts that share a passage, over several pieces and bands."""
+    monkeypatch.setattr(jaccard, "LONG", 5)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 16)
+    rnd = random.Random(5)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    base, passage, texts = [word() for _ in range(60)], [word() for _ in range(40)], []
+    for k in range(50):
+        v = [*base, *(word() for _ in range(rnd.randrange(12)))]
+        for _ in range(rnd.randrange(3)):
+            v[rnd.randrange(len(v))] = word()
+        texts.append(" ".join(v))
+        texts.append(" ".join([*passage, *(word() for _ in range(rnd.choice([2, 3, 20])))]))
+    sets = [frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) for w in map(str.split, texts)]
+    want = {i: sum(x != s and den * len(x & s) >= num * len(x | s) for x in set(sets)) for i, s in enumerate(sets)}
+    out = {r["doc_id"]: r for r in collect(jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width=width, num=num, den=den))}
+    _, label = brute_jaccard(list(enumerate(texts)), width, num, den)
+    assert {i: r["n_links"] for i, r in out.items()} == want and max(want.values()) > 8
+    assert {i: r["component_id"] for i, r in out.items()} == label
+
+
+@pytest.mark.parametrize("rare", [2, 5, 48])
+def test_shared_counts(monkeypatch, rare):
+    monkeypatch.setattr(jaccard, "RARE", rare)
+    rnd = np.random.default_rng(2)
+    sets = [rnd.choice(60, rnd.integers(0, 30), replace=False) for _ in range(20)]
+    got = jaccard.shared_counts(sets)
+    assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+
+
 def test_jaccard_lead_bound():
     """A set whose extra items lead still finds the set inside it."""
     rule = jaccard.Rule(90, 100)
