@@ -194,13 +194,13 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.offset + self.slope * self.evidence(words)))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Offset and slope of the logistic curve over one variable, by Newton's method with a light prior."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Offset and slope of the logistic curve over one weighted variable, by Newton's method with a light prior."""
     a, b, prior = -2.0, 0.5, np.array([0.05, 0.05])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a + b * x, -500, 500)))
-        w = p * (1 - p)
-        g = np.array([(p - y).sum(), ((p - y) * x).sum()]) + prior * np.array([a, b])
+        w = weight * p * (1 - p)
+        g = np.array([(weight * (p - y)).sum(), (weight * (p - y) * x).sum()]) + prior * np.array([a, b])
         h = np.array([[w.sum(), (w * x).sum()], [(w * x).sum(), (w * x * x).sum()]]) + np.diag(prior)
         step = np.linalg.solve(h, g)
         step *= min(1.0, 2 / max(1e-12, np.abs(step).max()))
@@ -216,22 +216,22 @@ def count_letters(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, total = class_of_letters(), np.zeros(CLASSES**3, np.int64)
         for whole in batches:
-            for batch in common.slices(whole, "t", 4 << 20):
+            for batch in common.slices(whole, "t", 1 << 20):
                 total += trigram_counts([x for x in batch.column("t").to_pylist() if x], classes)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["k", "n"])
 
-    rows = texts.mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    rows = texts.mapInArrow(common.tidy(run), "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(CLASSES**3, np.int64)
     out[rows.k.to_numpy(np.int64)] = rows.n.to_numpy(np.int64)
     return out
 
 
 def least_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t, y) with key, the least hash of the text's three-word shingles; -1 for texts without words."""
+    """(t, y) with key, of the two least hashes of the text's three-word shingles; -1 for texts without words."""
     for batch in batches:
         acc, at = jaccard.shingles([x.encode("utf-8", "surrogatepass") if x else b"" for x in batch.column("t").to_pylist()], 3)
-        key = [int(acc[a].astype(np.int64)) if b > a else -1 for a, b in zip(at.tolist(), at[1:].tolist())]
+        key = [int(jaccard.mix(acc[a : a + 1] + jaccard.mix(acc[min(a + 1, b - 1) :][:1]))[0].astype(np.int64)) if b > a else -1 for a, b in zip(at.tolist(), at[1:].tolist())]
         yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("y"), pa.array(key, pa.int64())], ["t", "y", "key"])
 
 
@@ -247,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_c
     """Count letters on all texts and fit feature shares on labelled rows outside the held-out quarter.
 
     Rows whose crc32(id as text) mod 4 is 2 are never learned from. At most train_rows labelled rows are
-    used, those of the lowest hash of their id; copies count once. A quarter of them sets the curve, the others
+    used, those of the lowest hash of their id; copies and near copies share the weight of one. A quarter of them sets the curve, the others
     the features. A feature is kept if its share of toxic texts is at least
     LEAST_PRECISION and too high for chance given how many features there are. Labels of one id that differ
     count as the higher; null labels and ids are left out. Without toxic labels no feature is kept.
@@ -258,23 +258,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_c
     known = known.where(held_out(F.col(id_column)) == F.lit(False)).orderBy(F.xxhash64(id_column), id_column).limit(train_rows)
     scratch = Scratch(docs.sparkSession)
     train = docs.select(docs[id_column].alias(id_column), docs[text_column].alias("t")).join(F.broadcast(known), id_column).select("t", "y")
-    # copies and near copies are one piece of evidence: of those with the same least shingle one stays
-    train = train.mapInArrow(least_shingle, "t string, y int, key long").groupBy("key").agg(F.max(F.struct("y", "t")).alias("x"))
-    train = scratch.save(train.select("x.t", "x.y", (F.pmod(F.hash("key"), F.lit(4)) == 0).alias("check")), "train")
+    # copies and near copies are one piece of evidence: those with the same least shingles share a weight of 1
+    train = scratch.save(train.mapInArrow(common.tidy(least_shingle), "t string, y int, key long"), "keyed")
+    train = train.join(F.broadcast(train.groupBy("key").agg((1 / F.count("*")).alias("weight"))), "key")
+    train = scratch.save(train.select("t", "y", "weight", (F.pmod(F.hash("key"), F.lit(4)) == 0).alias("check")), "train")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = CharModel(counts)
         for batch in batches:
             seen, toxic = Counter(), Counter()
-            for text, y in zip(batch.column("t").to_pylist(), batch.column("y").to_pylist()):
+            for text, y, weight in zip(*(batch.column(c).to_pylist() for c in ("t", "y", "weight"))):
                 found = set().union(*features(restored_words(text or "", model)).values())
                 found.add("")  # counts the texts
-                seen.update(found)
-                if y:
-                    toxic.update(found)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([toxic[x] for x in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["w", "k", "n"])
+                for x in found:
+                    seen[x] += weight
+                    if y:
+                        toxic[x] += weight
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([float(toxic[x]) for x in seen], pa.float64()), pa.array(list(seen.values()), pa.float64())], ["w", "k", "n"])
 
-    found = train.where("not check").select("t", "y").mapInArrow(run, "w string, k long, n long").groupBy("w").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+    found = train.where("not check").select("t", "y", "weight").mapInArrow(common.tidy(run), "w string, k double, n double").groupBy("w").agg(F.round(F.sum("k"), 6).alias("k"), F.round(F.sum("n"), 6).alias("n"))
     found = scratch.save(found, "words")
     size = found.agg(F.count(F.when(F.col("n") >= 3, 1)).alias("m"), F.max(F.when(F.col("w") == "", F.struct("k", "n"))).alias("all")).first()
     if not size["all"] or not size["all"]["k"]:
@@ -290,13 +292,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_c
         letters = CharModel(counts)
         for batch in batches:
             x = [model.evidence(restored_words(t or "", letters)) for t in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column("y")], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column("y"), batch.column("weight")], ["x", "y", "w"])
 
     # the curve is fitted on rows whose words were not counted, so words that misled there cost it
-    pairs = train.where("check").select("t", "y").mapInArrow(weigh, "x double, y int").groupBy(F.round("x", 4).alias("x"), "y").agg(F.count("*").alias("n")).toPandas()
+    pairs = train.where("check").select("t", "y", "weight").mapInArrow(common.tidy(weigh), "x double, y int, w double").groupBy(F.round("x", 4).alias("x"), "y").agg(F.round(F.sum("w"), 6).alias("w")).toPandas()
     pairs = pairs.sort_values(["x", "y"])
-    x, y = pairs.x.repeat(pairs.n).to_numpy(), pairs.y.repeat(pairs.n).to_numpy(np.float64)
-    model.offset, model.slope = logistic(x, y)
+    model.offset, model.slope = logistic(pairs.x.to_numpy(), pairs.y.to_numpy(np.float64), pairs.w.to_numpy(np.float64))
     return model
 
 
@@ -317,20 +318,21 @@ def scores(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, id_col
     return got.select(F.col("i").alias(id_column), held_out(F.col("i")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def score_rows(rows: DataFrame, model: Model) -> DataFrame:
-    """rows(i, t) -> (i, score); i may be of any type."""
+def score_rows(rows: DataFrame, model: Model, field: str | None = None) -> DataFrame:
+    """rows(i, t) -> (i, score); i may be of any type, also a struct that holds the text as `field`."""
     common.small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = CharModel(model.counts)
         for batch in batches:
-            out = [model.score(restored_words(x or "", letters)) for x in batch.column("t").to_pylist()]
+            texts = batch.column("i").field(field) if field else batch.column("t")
+            out = [model.score(restored_words(x or "", letters)) for x in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(out, pa.float64())], ["i", "score"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["i"], T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(common.tidy(run), T.StructType([rows.schema["i"], T.StructField("score", T.DoubleType())]))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> DataFrame:
     """The rows of docs whose score is below the threshold, with all their columns."""
     model = fit(docs, labels, id_column=id_column, text_column=text_column, label_column=label_column)
-    return score_rows(docs.select(F.struct(*docs.columns).alias("i"), docs[text_column].alias("t")), model).where(F.col("score") < threshold).select("i.*")
+    return score_rows(docs.select(F.struct(*docs.columns).alias("i")), model, text_column).where(F.col("score") < threshold).select("i.*")
