@@ -17,8 +17,8 @@ from seqspark.llm import common, pretok
 NONE = np.int32(0x7FFFFFFF)
 #: Pieces of more bytes leave the matrices for a heap with the same merge order.
 LONGEST_ROW = 256
-#: Distinct pieces that a worker remembers; then it starts anew.
-REMEMBERED = 250_000
+#: Distinct pieces that a worker remembers, and their bytes; then it starts anew.
+REMEMBERED, REMEMBERED_BYTES = 60_000, 4 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -87,6 +87,7 @@ class ByteBPE:
         self.whole = ids
         self.bytes = np.array([ids[bytes([b])] for b in range(256)], np.int32)
         self.memory: dict[bytes, bytes] = {}
+        self.held = 0
 
     def merge_rows(self, rows: np.ndarray) -> np.ndarray:
         """Ids of each row of a padded matrix (padding is -1): all rows merge one pair a round."""
@@ -178,11 +179,13 @@ class ByteBPE:
         cuts = place[np.append(begins, len(cp))].tolist()
         raw = "".join(texts).encode("utf-8", "surrogatepass")
         pieces = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
-        if len(self.memory) > REMEMBERED:
+        if len(self.memory) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.memory.clear()
+            self.held = 0
         new = set(pieces).difference(self.memory)
         if new:
             self.learn(list(new))
+            self.held += sum(map(len, new))
         found = list(map(self.memory.__getitem__, pieces))
         return [b"".join(found[a:b]) for a, b in zip(first.tolist(), first[1:].tolist())]
 
@@ -209,7 +212,7 @@ def digests(docs: DataFrame, path: str, *, id_column: str = "doc_id", text_colum
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for whole in batches:
-            for batch in common.slices(whole, "t", 4 << 20):
+            for batch in common.slices(whole, "t", 1 << 20):
                 texts = [x or "" for x in batch.column("t").to_pylist()]
                 ids = bpe.encode_batch(texts)
                 out = [
@@ -224,4 +227,4 @@ def digests(docs: DataFrame, path: str, *, id_column: str = "doc_id", text_colum
                 yield pa.RecordBatch.from_arrays(out, names)
 
     schema = f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return docs.select(docs[id_column].alias("i"), docs[text_column].alias("t")).mapInArrow(run, schema)
+    return docs.select(docs[id_column].alias("i"), docs[text_column].alias("t")).mapInArrow(common.tidy(run), schema)

@@ -58,7 +58,7 @@ def counted(texts: DataFrame, order: int = ORDER) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sums = np.zeros(0, np.int64), np.zeros(0)
         for whole in batches:
-            for batch in common.slices(whole, "t", 2 << 20):
+            for batch in common.slices(whole, "t", 1 << 20):
                 code, at = gram_codes([x or "" for x in batch.column("t").to_pylist()], order)
                 weight = np.repeat(np.array(batch.column("w").to_pylist(), bool), np.diff(at))
                 new, good = np.unique(code), code[weight]
@@ -70,7 +70,7 @@ def counted(texts: DataFrame, order: int = ORDER) -> DataFrame:
                     keys, sums = keys[:0], sums[:0]
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums.astype(np.int64))], ["gram", "n"])
 
-    return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(common.tidy(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def suffix(gram, order: int):
@@ -168,19 +168,17 @@ def document_costs(docs: DataFrame, costs: DataFrame, broadcast_grams: int = BRO
         rows = costs.select("gram", F.col("cost").cast("float").alias("cost")).toArrow()
         table = spark.sparkContext.broadcast((rows["gram"].to_numpy(), rows["cost"].to_numpy()))
         del rows
-        built: list[LongTable] = []
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if not built:
-                built.append(LongTable(*table.value))
+            known = LongTable(*table.value)
             for whole in batches:
-                for batch in common.slices(whole, "t", 2 << 20):
+                for batch in common.slices(whole, "t", 1 << 20):
                     code, at = gram_codes([x or "" for x in batch.column("t").to_pylist()])
                     upto = np.zeros(len(code) + 1)
-                    np.cumsum(built[0].find(code), out=upto[1:], dtype=np.float64)
+                    np.cumsum(known.find(code), out=upto[1:], dtype=np.float64)
                     yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("lang"), pa.array(np.diff(at)), pa.array(upto[at[1:]] - upto[at[:-1]])], ["i", "lang", "chars", "cost"])
 
-        return docs.select("i", "lang", "t").mapInArrow(run, kind)
+        return docs.select("i", "lang", "t").mapInArrow(common.tidy(run), kind)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -195,7 +193,7 @@ def document_costs(docs: DataFrame, costs: DataFrame, broadcast_grams: int = BRO
                 yield pa.RecordBatch.from_arrays([keys, pa.array(code[first]), pa.array(n)], ["r", "gram", "n"])
 
     named = Scratch(spark).save(docs.select("i", "lang", "t", F.monotonically_increasing_id().alias("r")), "rows")
-    grams = named.select("r", "t").mapInArrow(spread, "r long, gram long, n long").join(costs, "gram")
+    grams = named.select("r", "t").mapInArrow(common.tidy(spread), "r long, gram long, n long").join(costs, "gram")
     sums = grams.groupBy("r").agg(F.sum("n").alias("chars"), F.sum(F.col("n") * F.col("cost")).alias("cost"))
     out = named.select("r", "i", "lang").join(sums, "r", "left")
     return out.select("i", "lang", F.coalesce("chars", F.lit(0)).alias("chars"), F.coalesce("cost", F.lit(0.0)).alias("cost"))
