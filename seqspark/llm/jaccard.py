@@ -33,7 +33,7 @@ from seqspark.llm.common import Scratch
 #: Frequent shingles that every worker is told (12 bytes each), the most frequent ones: they only set the order.
 HEAVY = 1_000_000
 #: Texts that must share a shingle before it counts as frequent, and the multiple of a lead that is counted.
-SEEN, COUNTED = 3, 3
+SEEN, COUNTED = 3, 2
 #: Rows of three longs that are sent to all workers; larger tables are dealt out by key.
 BROADCAST_ROWS = 300_000
 #: Members from which on a list is not paired but makes a family.
@@ -107,7 +107,7 @@ def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for whole in batches:
-        for batch in common.slices(whole, "t", 2 << 20):
+        for batch in common.slices(whole, "t", 1 << 19):
             yield batch, [x.encode("utf-8", "surrogatepass") if x else b"" for x in batch.column("t").to_pylist()]
 
 

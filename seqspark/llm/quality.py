@@ -26,8 +26,8 @@ from seqspark.llm.toxicity import held_out
 ORDER, BITS = 5, 12
 #: Characters from here on share 512 classes; class 0 stands before a text.
 DIRECT = 3584
-#: Resolved n-grams that are sent to all workers (16 bytes each); beyond, documents are joined to them.
-BROADCAST_GRAMS = 4_000_000
+#: Resolved n-grams that are sent to all workers (12 bytes each); beyond, documents are joined to them.
+BROADCAST_GRAMS = 2_000_000
 #: Trusted ids that are sent to all workers (16 bytes each); beyond, texts are joined to them.
 BROADCAST_IDS = 500_000
 #: A text's mean is drawn to its language's by this many characters.
@@ -58,7 +58,7 @@ def counted(texts: DataFrame, order: int = ORDER) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sums = np.zeros(0, np.int64), np.zeros(0)
         for whole in batches:
-            for batch in common.slices(whole, "t", 1 << 20):
+            for batch in common.slices(whole, "t", 1 << 19):
                 code, at = gram_codes([x or "" for x in batch.column("t").to_pylist()], order)
                 weight = np.repeat(np.array(batch.column("w").to_pylist(), bool), np.diff(at))
                 new, good = np.unique(code), code[weight]
@@ -124,7 +124,7 @@ def resolve(grams: DataFrame, own: DataFrame, contexts: DataFrame, order: int =
         out = out.join(share, part == F.col(f"g{k}"), "left").join(passed, prefix(part) == F.col(f"c{k}"), "left")
         out = out.select("gram", (F.coalesce(f"own{k}", F.lit(0.0)) + F.coalesce(f"rest{k}", F.lit(1.0)) * p).alias("p"))
         p = F.col("p")
-    return out.select("gram", (-F.log("p")).alias("cost"))
+    return out.select("gram", (-F.log("p")).cast("float").alias("cost"))
 
 
 class LongTable:
@@ -159,30 +159,34 @@ class LongTable:
         return self.values[slot]
 
 
-def document_costs(docs: DataFrame, costs: DataFrame, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
-    """docs(i, lang, t) -> (i, lang, chars, cost): characters and summed cost of each row; i may be of any type."""
+def document_costs(docs: DataFrame, costs: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, field: str | None = None) -> DataFrame:
+    """docs(i, lang, t) -> (i, lang, chars, cost): characters and summed cost of each row.
+
+    i may be of any type, also a struct that holds the text as `field` (then there is no t).
+    """
     spark = docs.sparkSession
     common.small_batches(spark)
     kind = T.StructType([docs.schema["i"], docs.schema["lang"], T.StructField("chars", T.LongType()), T.StructField("cost", T.DoubleType())])
     if costs.count() <= broadcast_grams:
-        rows = costs.select("gram", F.col("cost").cast("float").alias("cost")).toArrow()
+        rows = costs.select("gram", "cost").toArrow()
         table = spark.sparkContext.broadcast((rows["gram"].to_numpy(), rows["cost"].to_numpy()))
         del rows
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = LongTable(*table.value)
             for whole in batches:
-                for batch in common.slices(whole, "t", 1 << 20):
-                    code, at = gram_codes([x or "" for x in batch.column("t").to_pylist()])
+                for batch in common.slices(whole, "i" if field else "t", 1 << 19):
+                    texts = batch.column("i").field(field) if field else batch.column("t")
+                    code, at = gram_codes([x or "" for x in texts.to_pylist()])
                     upto = np.zeros(len(code) + 1)
                     np.cumsum(known.find(code), out=upto[1:], dtype=np.float64)
                     yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("lang"), pa.array(np.diff(at)), pa.array(upto[at[1:]] - upto[at[:-1]])], ["i", "lang", "chars", "cost"])
 
-        return docs.select("i", "lang", "t").mapInArrow(common.tidy(run), kind)
+        return docs.select("i", "lang", *["t"] * (field is None)).mapInArrow(common.tidy(run), kind)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in common.slices(whole, "t", 1 << 20):
+            for batch in common.slices(whole, "t", 1 << 19):
                 code, at = gram_codes([x or "" for x in batch.column("t").to_pylist()])
                 row = np.repeat(np.arange(batch.num_rows), np.diff(at))
                 order = np.lexsort((code, row))
@@ -192,9 +196,10 @@ def document_costs(docs: DataFrame, costs: DataFrame, broadcast_grams: int = BRO
                 keys = batch.column("r").take(pa.array(row[first]))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(code[first]), pa.array(n)], ["r", "gram", "n"])
 
-    named = Scratch(spark).save(docs.select("i", "lang", "t", F.monotonically_increasing_id().alias("r")), "rows")
+    text = F.col("i").getField(field) if field else F.col("t")
+    named = Scratch(spark).save(docs.select("i", "lang", text.alias("t"), F.monotonically_increasing_id().alias("r")), "rows")
     grams = named.select("r", "t").mapInArrow(common.tidy(spread), "r long, gram long, n long").join(costs, "gram")
-    sums = grams.groupBy("r").agg(F.sum("n").alias("chars"), F.sum(F.col("n") * F.col("cost")).alias("cost"))
+    sums = grams.groupBy("r").agg(F.sum("n").alias("chars"), F.sum(F.col("n") * F.col("cost").cast("double")).alias("cost"))
     out = named.select("r", "i", "lang").join(sums, "r", "left")
     return out.select("i", "lang", F.coalesce("chars", F.lit(0)).alias("chars"), F.coalesce("cost", F.lit(0.0)).alias("cost"))
 
@@ -219,7 +224,7 @@ class Judge:
 
 
 def judge(docs: DataFrame, trusted: DataFrame, *, quantile: float, slack: float, id_column: str, text_column: str, lang_column: str, broadcast_grams: int) -> tuple[Judge, DataFrame]:
-    """Fit on trusted texts; also the costs (i, lang, chars, cost) of all rows."""
+    """Fit on trusted texts; also the rows (i, t, lang)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     common.small_batches(spark)
@@ -231,9 +236,8 @@ def judge(docs: DataFrame, trusted: DataFrame, *, quantile: float, slack: float,
     flagged = rows.select("i", "t").join(told(fit), F.col("i") == F.col("k"), "left").select("t", F.col("k").isNotNull().alias("w"))
     grams = scratch.save(counted(flagged), "grams")
     costs = scratch.save(resolve(grams, *train(grams.where("n > 0"), scratch)), "costs")
-    each = scratch.save(document_costs(rows, costs, broadcast_grams), "each")
-
-    held = scratch.save(each.where("chars > 0").join(told(known.where(held_out(F.col("k")))), F.col("i") == F.col("k"), "left_semi"), "held")
+    held = rows.join(told(known.where(held_out(F.col("k")))), F.col("i") == F.col("k"), "left_semi")
+    held = scratch.save(document_costs(held, costs, broadcast_grams).where("chars > 0"), "held")
     mean = F.sum("cost") / F.sum("chars")
     all_mean = held.agg(mean.alias("m")).first()["m"] or 0.0
     lang_mean = (F.sum("cost") + PRIOR_CHARS * F.lit(all_mean)) / (F.sum("chars") + PRIOR_CHARS)
@@ -244,7 +248,7 @@ def judge(docs: DataFrame, trusted: DataFrame, *, quantile: float, slack: float,
     all_limit = None if all_over is None else all_mean + all_over
     drawn = F.col("lang_mean") + (F.col("lang_n") * F.col("high") + PRIOR_TEXTS * F.lit(all_over).cast("double")) / (F.col("lang_n") + PRIOR_TEXTS)
     by_lang = scratch.save(over.groupBy("l", "lang_mean", "lang_n").agg(high.alias("high")).select("l", "lang_mean", drawn.alias("lang_limit")), "langs")
-    return Judge(costs, by_lang, all_mean, all_limit, slack, broadcast_grams), each
+    return Judge(costs, by_lang, all_mean, all_limit, slack, broadcast_grams), rows
 
 
 def classify(docs: DataFrame, trusted: DataFrame, *, quantile: float = 0.99, slack: float = 1.1, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
@@ -258,12 +262,12 @@ def classify(docs: DataFrame, trusted: DataFrame, *, quantile: float = 0.99, sla
     texts have no n-grams, the mean perplexity, and are kept; without trusted texts everything is kept.
     Null and repeated ids give a row each; an empty table gives an empty one; other columns are ignored.
     """
-    found, each = judge(docs, trusted, quantile=quantile, slack=slack, id_column=id_column, text_column=text_column, lang_column=lang_column, broadcast_grams=broadcast_grams)
-    return found.kept(each).withColumnRenamed("i", id_column)
+    found, rows = judge(docs, trusted, quantile=quantile, slack=slack, id_column=id_column, text_column=text_column, lang_column=lang_column, broadcast_grams=broadcast_grams)
+    return found.kept(document_costs(rows, found.costs, broadcast_grams)).withColumnRenamed("i", id_column)
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, *, quantile: float = 0.99, slack: float = 1.1, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """The rows of docs that classify() keeps, with all their columns."""
     found, _ = judge(docs, trusted, quantile=quantile, slack=slack, id_column=id_column, text_column=text_column, lang_column=lang_column, broadcast_grams=broadcast_grams)
-    rows = docs.select(F.struct(*docs.columns).alias("i"), docs[text_column].alias("t"), docs[lang_column].cast("string").alias("lang"))
-    return found.kept(document_costs(rows, found.costs, broadcast_grams)).where("kept").select("i.*")
+    rows = docs.select(F.struct(*docs.columns).alias("i"), docs[lang_column].cast("string").alias("lang"))
+    return found.kept(document_costs(rows, found.costs, broadcast_grams, text_column)).where("kept").select("i.*")
