@@ -53,3 +53,41 @@ def tag_precedence(tags: DataFrame, masters: list[str], unwanted: list[str]) ->
     """tags(contig, start, id) without the unwanted ones that begin where a master tag does."""
     at = tags.where(F.col("id").isin(masters)).select("contig", "start").distinct()
     return tags.where(~F.col("id").isin(unwanted)).union(tags.where(F.col("id").isin(unwanted)).join(at, ["contig", "start"], "left_anti").select(*tags.columns))
+
+
+def _groups_of_columns(grouped: DataFrame) -> DataFrame:
+    """(contig, pos, g): the groups of a column, the largest first, among equals the last of A, C, G, T, gap."""
+    order = F.when(F.col("base") == "*", 5).otherwise(F.instr(F.lit("ACGT"), F.col("base")))
+    g = F.struct(F.col("n"), order.alias("o"), F.col("base"), F.col("quality"))
+    return grouped.groupBy("contig", "pos").agg(F.sort_array(F.collect_list(g), False).alias("g"))
+
+
+def largest_group_consensus(grouped: DataFrame, gap_yields: bool) -> DataFrame:
+    """(contig, pos, letter, quality) by the largest group of a column.
+
+    gap_yields: a gap gives way to a runner-up with 40% of both or more. Groups of equal size make an IUPAC letter
+    of their mean quality. One that leads by less than 10 has its quality less that of the runner-up, at
+    least 10 where that is negative.
+    """
+    top, second = F.col("g")[0], F.get("g", F.lit(1))
+    runner = F.coalesce(second.n, F.lit(0))
+    swap = (top.base == "*") & (runner > 0) & (F.floor(100 * runner / (top.n + runner)) >= 40) if gap_yields else F.lit(False)
+    cols = _groups_of_columns(grouped).select("contig", "pos", "g", F.when(swap, runner).otherwise(top.n).alias("most"), F.when(swap, top.n).otherwise(runner).alias("next"), F.coalesce(F.when(swap, top.quality).otherwise(second.quality), F.lit(0)).alias("next_quality"))
+    tied = F.filter("g", lambda x: x.n == F.col("most"))
+    cols = cols.withColumn("tied", tied).withColumn("total", F.aggregate("tied", F.lit(0).cast("long"), lambda a, x: a + x.quality))
+    doubted = F.when((F.col("next") > 0) & (F.col("most") - F.col("next") < 10), F.col("total") - F.col("next_quality")).otherwise(F.col("total"))
+    one = F.size("tied") == 1
+    bits = F.aggregate("tied", F.lit(0), lambda a, x: a.bitwiseOR(scalar.base_bits(x.base)))
+    letter = F.when(one, F.col("tied")[0].base).otherwise(scalar.iupac_letter(bits))
+    quality = F.when(one, F.when(doubted < 0, F.greatest(F.abs(doubted), F.lit(10))).otherwise(doubted)).otherwise(F.floor(F.col("total") / F.size("tied")))
+    return cols.select("contig", "pos", letter.alias("letter"), quality.cast("long").alias("quality"))
+
+
+def text_consensus(grouped: DataFrame) -> DataFrame:
+    """(contig, pos, base, quality, chosen): the first largest group, and all bases of half its size or more."""
+    cols = _groups_of_columns(grouped)
+    most = F.col("g")[0].n
+    inorder = F.array_sort(F.transform("g", lambda x: F.struct(x.o.alias("o"), x.n.alias("n"), x.base.alias("base"), x.quality.alias("quality"))))
+    first = F.filter(inorder, lambda x: x.n == most)[0]
+    chosen = F.array_join(F.transform(F.filter(inorder, lambda x: x.n >= F.floor(most / 2)), lambda x: x.base), "")
+    return cols.select("contig", "pos", first.base.alias("base"), first.quality.alias("quality"), chosen.alias("chosen"))

@@ -22,7 +22,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from seqspark.plans import contig_queries, kmer_queries, read_queries  # noqa: F401
+    from seqspark.plans import contig_queries, edge_queries, kmer_queries, read_queries, scalar_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
