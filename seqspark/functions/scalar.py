@@ -57,17 +57,6 @@ def segment_of(name: Column) -> Column:
     return F.when(code == "1", 1).when(code == "2", 255).otherwise(0)
 
 
-def gff3_decode(text: Column) -> Column:
-    """Percent decoding that leaves plus signs and invalid escapes alone."""
-    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
-
-
-def html_escape(text: Column) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return text
-
-
 def effective_clip(lefts: list[Column], rights: list[Column]) -> tuple[Column, Column]:
     """The innermost of several clips."""
     return F.greatest(*lefts), F.least(*rights)

@@ -62,18 +62,22 @@ def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
 def average_frequency(stats: DataFrame, least: int = 1, confirm: int = 1) -> DataFrame:
     """One row (avg_freq): the count at which half of all confirmed occurrences are reached.
 
-    K-mers are ordered by count; 5% at either end are left out; if none inside is confirmed on both strands,
-    all count. Only counts and how many k-mers have them are ordered, which is a small table.
+    K-mers are ordered by count and 5% at either end are left out; if none inside is confirmed on both strands, all
+    count. Where the count found begins in the last tenth of the k-mers, 10% are left out instead. Of the k-mers
+    of a count that is cut, the confirmed ones are taken to be spread evenly. Only counts and how many k-mers have
+    them are ordered, which is a small table.
     """
     ok = (F.col("fcount") >= confirm) & (F.col("rcount") >= confirm)
     by_count = stats.groupBy(total().alias("c")).agg(F.count("*").alias("n"), F.sum(ok.cast("long")).alias("good"))
     ranked = by_count.select("c", "n", "good", F.expr("sum(n) over (order by c)").alias("upto"), F.expr("sum(n) over ()").alias("size"))
-    inside = F.greatest(F.lit(0), F.least("upto", F.expr("size - size div 20")) - F.greatest(F.col("upto") - F.col("n"), F.expr("size div 20")))
-    # within one count the confirmed k-mers are spread evenly over its places
-    weighed = ranked.select("c", (inside * F.col("c")).alias("every"), F.when(inside == F.col("n"), F.col("good") * F.col("c")).otherwise(F.floor(F.col("good") * inside / F.col("n")) * F.col("c")).alias("sure"))
-    picked = weighed.withColumn("all_sure", F.expr("sum(sure) over ()")).withColumn("w", F.when(F.col("all_sure") > 0, F.col("sure")).otherwise(F.col("every")))
-    run = picked.select("c", F.expr("sum(w) over (order by c)").alias("run"), F.expr("sum(w) over ()").alias("total"))
-    return run.where("run > total div 2").agg(F.greatest(F.min("c"), F.lit(least)).cast("long").alias("avg_freq"))
+    rows = ranked.select("*", F.explode(F.array(F.lit(20), F.lit(10))).alias("part"))
+    inside = F.greatest(F.lit(0), F.least("upto", F.expr("size - size div part")) - F.greatest(F.col("upto") - F.col("n"), F.expr("size div part")))
+    weighed = rows.select("part", "c", "n", "upto", "size", (inside * F.col("c")).alias("every"), F.when(inside == F.col("n"), F.col("good") * F.col("c")).otherwise(F.floor(F.col("good") * inside / F.col("n")) * F.col("c")).alias("sure"))
+    picked = weighed.withColumn("all_sure", F.expr("sum(sure) over (partition by part)")).withColumn("w", F.when(F.col("all_sure") > 0, F.col("sure")).otherwise(F.col("every")))
+    run = picked.select("part", "c", (F.col("upto") - F.col("n") >= F.expr("size - size div 10")).alias("late"), F.expr("sum(w) over (partition by part order by c)").alias("run"), F.expr("sum(w) over (partition by part)").alias("total"))
+    found = run.where("run > total div 2").groupBy("part").agg(F.min(F.struct("c", "late")).alias("x"))
+    first, again = F.max(F.when(F.col("part") == 20, F.col("x"))), F.max(F.when(F.col("part") == 10, F.col("x")))
+    return found.agg(F.greatest(F.when(first.late, F.coalesce(again.c, first.c)).otherwise(first.c), F.lit(least)).cast("long").alias("avg_freq"))
 
 
 def frequency_class(n: F.Column, avg: F.Column, repeat: float = 2.0) -> F.Column:
@@ -119,3 +123,65 @@ def without_dust(stats: DataFrame, n: int) -> DataFrame:
     """K-mers neither of whose ends of n bases is a microrepeat."""
     ends = dust_ends(n)
     return stats.where(~F.expr(f"left(kmer, {n})").isin(ends) & ~F.expr(f"right(kmer, {n})").isin(ends))
+
+
+def dust_by_percent(stats: DataFrame, k: int, percent: int) -> DataFrame:
+    """As without_dust(), with ends of a percentage of the k-mer's length (whole numbers, 1 at least)."""
+    return without_dust(stats, max(1, k * percent // 100))
+
+
+def byte_width(k: int) -> int:
+    """Bytes of a k-mer of two bits a base, as a power of two."""
+    if not 1 <= k <= 256:
+        raise ValueError("k is 1 to 256")
+    return next(n for n in (1, 2, 4, 8, 16, 32, 64) if 4 * n >= k)
+
+
+def packed(kmer):
+    """A k-mer of up to 31 bases as a whole number, two bits a base, the first in the highest."""
+    return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("long")
+
+
+def unpacked(code, k: int):
+    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+
+
+def bucket(code, k: int, bits: int):
+    """The lowest `bits` bits of a packed k-mer, by which an index finds it."""
+    return code.bitwiseAND(F.lit((1 << min(bits, 2 * k)) - 1))
+
+
+def lookup(stats: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Counts of wanted(kmer), 0 for those that stats lacks."""
+    rows = wanted.join(stats, "kmer", "left")
+    return rows.select("kmer", F.coalesce("fcount", F.lit(0)).alias("fcount"), F.coalesce("rcount", F.lit(0)).alias("rcount"))
+
+
+def ordered(stats: DataFrame, by: str) -> DataFrame:
+    """stats in one of the orders lex, count_up, count_down, lex_count."""
+    keys = {"lex": ["kmer"], "count_up": [total(), "kmer"], "count_down": [total().desc(), "kmer"], "lex_count": ["kmer", total()]}
+    return stats.orderBy(*keys[by])
+
+
+def thresholds(avg: int) -> dict[str, int]:
+    """Least counts of the frequency classes, truncated to whole numbers."""
+    return {"rare": 1, "below": int(avg * 0.4), "normal": int(avg * 1.6), "repeat": int(avg * 2.0), "heavy": int(avg * 8.0), "mega": int(avg * 20.0)}
+
+
+def replacement_coverage(counts: DataFrame, kept: DataFrame) -> DataFrame:
+    """(read_id, coverage): half the mean over a read's k-mers of count / count among kept reads, rounded.
+
+    counts(kmer, n, reads array or read_id rows) is given as rows (read_id, kmer, n) and kept as (kmer, m).
+    """
+    rows = counts.join(kept, "kmer")
+    return rows.groupBy("read_id").agg(F.floor(F.avg(F.col("n") / F.col("m")) / 2 + 0.5).cast("long").alias("coverage"))
+
+
+def dump_text(stats: DataFrame) -> DataFrame:
+    """(value): lines of k-mer, forward count and reverse count."""
+    return stats.select(F.concat_ws("\t", "kmer", F.col("fcount").cast("string"), F.col("rcount").cast("string")).alias("value"))
+
+
+def dump_fasta(stats: DataFrame) -> DataFrame:
+    """(value): FASTA records named by the k-mer's counts."""
+    return stats.select(F.concat(F.lit(">"), F.col("fcount").cast("string"), F.lit("_"), F.col("rcount").cast("string"), F.lit("\n"), F.col("kmer")).alias("value"))

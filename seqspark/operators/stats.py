@@ -76,3 +76,39 @@ def yield_limit(rows: DataFrame, key: str, length: str, most: int, width: int =
     starts = sums.select("part", F.coalesce(F.expr("sum(s) over (order by part rows between unbounded preceding and 1 preceding)"), F.lit(0)).alias("base")).where(F.col("base") < most)
     inside = F.coalesce(F.sum(length).over(W.partitionBy("part").orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("part", part).join(starts, "part").withColumn("before", F.col("base") + inside).where(F.col("before") < most).drop("part", "base", "before")
+
+
+def median_coverage(steps: DataFrame) -> DataFrame:
+    """(contig, median_cov) over covered positions, the mean of the two middle ones where their number is even.
+
+    Positions are summed by coverage first, so what is ordered is one row per coverage of a contig.
+    """
+    by_cov = steps.groupBy("contig", "cov").agg(F.sum(F.col("stop") - F.col("start")).alias("n"))
+    w = W.partitionBy("contig")
+    run = by_cov.select("contig", "cov", F.sum("n").over(w.orderBy("cov")).alias("upto"), F.sum("n").over(w).alias("size"))
+    low = F.min(F.when(F.col("upto") >= F.expr("(size + 1) div 2"), F.col("cov")))
+    high = F.min(F.when(F.col("upto") >= F.expr("size div 2 + 1"), F.col("cov")))
+    return run.groupBy("contig").agg(((low + high) / 2).alias("median_cov"))
+
+
+def feature_coverage(steps: DataFrame, features: DataFrame) -> DataFrame:
+    """features(contig, lo, hi) with ratio, mean coverage over the contig's second-order mean, and a verdict."""
+    mean = second_order(steps).select("contig", "mean_cov")
+    inside = F.least("stop", F.col("hi") + 1) - F.greatest("start", "lo")
+    hit = features.join(steps, "contig").where((F.col("start") <= F.col("hi")) & (F.col("stop") > F.col("lo"))).groupBy("contig", "lo", "hi").agg(F.sum(inside * F.col("cov")).alias("s"))
+    ratio = F.col("s") / (F.col("hi") - F.col("lo") + 1) / F.col("mean_cov")
+    out = hit.join(mean, "contig").select("contig", "lo", "hi", ratio.alias("ratio"))
+    return out.withColumn("verdict", F.when(F.col("ratio") < 0.1, "deletion").when(F.col("ratio") < 0.75, "CNV_down").when(F.col("ratio") > 1.25, "CNV_up").otherwise("normal"))
+
+
+def large_contigs(lengths: DataFrame, least: int, part: int) -> DataFrame:
+    """lengths(len) with large: at least `least`, and a `part`-th of the longest."""
+    return lengths.crossJoin(F.broadcast(lengths.agg(F.max("len").alias("longest")))).withColumn("large", (F.col("len") >= least) & (F.col("len") * part >= F.col("longest"))).drop("longest")
+
+
+def ladder(value, rungs: tuple, names: tuple):
+    """The name of the first rung that the value lies below, else the last name."""
+    out = F.lit(names[-1])
+    for rung, name in reversed(list(zip(rungs, names))):
+        out = F.when(value < rung, name).otherwise(out)
+    return out

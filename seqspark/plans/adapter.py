@@ -13,8 +13,15 @@ AS_BASES = ("ACGT" * 13)[:52]
 
 READS_SQL = f"""reads AS (SELECT doc_id AS read_id, lang, source, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END AS seqtype,
   text, translate(text, '{LETTERS}', '{AS_BASES}') AS seq FROM documents)"""
-KM_SQL = f"""{READS_SQL},
-km AS (SELECT * FROM (SELECT read_id, lang, seqtype, pos, length(seq) AS n, substr(seq, pos + 1, {K}) AS kmer FROM (SELECT *, unnest(range(0, length(seq) - {K} + 1)) AS pos FROM reads)) WHERE regexp_full_match(kmer, '[ACGT]{{{K}}}'))"""
+
+
+def km_sql(k: int) -> str:
+    """Positioned k-mers of reads."""
+    return f"""{READS_SQL},
+km AS (SELECT * FROM (SELECT read_id, lang, seqtype, pos, length(seq) AS n, substr(seq, pos + 1, {k}) AS kmer FROM (SELECT *, unnest(range(0, length(seq) - {k} + 1)) AS pos FROM reads)) WHERE regexp_full_match(kmer, '[ACGT]{{{k}}}'))"""
+
+
+KM_SQL = km_sql(K)
 RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 
 

@@ -133,7 +133,10 @@ gr AS (SELECT contig, pos, base, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FI
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return _groups_of(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+def _groups_of(d: DataFrame) -> DataFrame:
     base = F.substr(F.lit("ACGT*"), (F.col("l_orderkey") % 5 + 1).cast("int"), F.lit(1))
     return pileup.groups(d.select(F.col("l_suppkey").alias("contig"), (F.col("l_partkey") % 50).alias("pos"), base.alias("base"), F.floor("l_quantity").alias("qual"), (F.col("l_returnflag") == "R").alias("rev")))
 
@@ -160,9 +163,15 @@ def consensus_shortread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pileup.short_read_consensus(_groups(spark, sf_dir))
 
 
-@query(f"WITH {MAJORITY_SQL}, st AS (SELECT contig AS strain, pos, base FROM mj WHERE contig <= 5) SELECT a.pos, a.strain AS strain1, b.strain AS strain2, a.base AS base1, b.base AS base2 FROM st a JOIN st b ON a.pos = b.pos WHERE a.strain < b.strain AND a.base <> b.base")
+STRAIN_SQL = MAJORITY_SQL.replace("SELECT l_suppkey AS contig, l_partkey % 50", "SELECT s_nationkey AS contig, l_partkey % 50").replace("FROM lineitem)", "FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)", 1)
+
+
+@query(f"WITH {STRAIN_SQL}, st AS (SELECT contig AS strain, pos, base FROM mj) SELECT a.pos, a.strain AS strain1, b.strain AS strain2, a.base AS base1, b.base AS base2 FROM st a JOIN st b ON a.pos = b.pos WHERE a.strain < b.strain AND a.base <> b.base")
 def snp_between_strains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    st = pileup.majority(_groups(spark, sf_dir)).where("contig <= 5").select(F.col("contig").alias("strain"), "pos", "base")
+    """Columns in which strains differ; all reads of a nation's suppliers are a strain."""
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey")
+    d = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    st = pileup.majority(_groups_of(d.withColumn("l_suppkey", F.col("s_nationkey")))).select(F.col("contig").alias("strain"), "pos", "base")
     return pileup.strain_differences(st).select("pos", "strain1", "strain2", "base1", "base2")
 
 
@@ -210,3 +219,70 @@ def smile_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0).cast("long"))
     out = steps.join(avg, "contig").groupBy("contig").agg(part(F.col("cov") < 0.75 * F.col("a")).alias("low"), part(F.col("cov") > 1.25 * F.col("a")).alias("high"), F.max("n").alias("positions"))
     return out.withColumn("smile", ((F.col("low") >= 0.15 * F.col("positions")) & (F.col("high") >= 0.15 * F.col("positions"))).cast("int"))
+
+
+LARGEST_SQL = """, o AS (SELECT *, CASE base WHEN '*' THEN 5 ELSE instr('ACGT', base) END AS o FROM gr), k AS (SELECT *, row_number() OVER (PARTITION BY contig, pos ORDER BY n DESC, o DESC) AS k FROM o),
+t AS (SELECT contig, pos, max(n) FILTER (WHERE k = 1) AS n1, max(base) FILTER (WHERE k = 1) AS b1, max(quality) FILTER (WHERE k = 1) AS q1, coalesce(max(n) FILTER (WHERE k = 2), 0) AS n2, coalesce(max(quality) FILTER (WHERE k = 2), 0) AS q2 FROM k GROUP BY contig, pos),
+s AS (SELECT *, {swap} AS swap FROM t), m AS (SELECT contig, pos, CASE WHEN swap THEN n2 ELSE n1 END AS most, CASE WHEN swap THEN n1 ELSE n2 END AS nxt, CASE WHEN swap THEN q1 ELSE q2 END AS nq FROM s),
+z AS (SELECT contig, pos, most, nxt, nq, count(*) AS c, max(base) AS base, sum(quality) AS total, bit_or(CASE base WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 ELSE 0 END) AS bits FROM m JOIN gr USING (contig, pos) WHERE n = most GROUP BY ALL),
+d AS (SELECT *, CASE WHEN nxt > 0 AND most - nxt < 10 THEN total - nq ELSE total END AS dq FROM z)
+SELECT contig, pos, CASE WHEN c = 1 THEN base ELSE substr('-ACMGRSVTWYHKDBN', CAST(bits + 1 AS BIGINT), 1) END AS letter, CAST(CASE WHEN c > 1 THEN total // c WHEN dq < 0 THEN greatest(abs(dq), 10) ELSE dq END AS BIGINT) AS quality FROM d"""
+
+
+@query(f"WITH {PILE_SQL}" + LARGEST_SQL.replace("{swap}", "b1 = '*' AND n2 > 0 AND 100 * n2 // (n1 + n2) >= 40"))
+def consensus_gap_yields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule for pyrosequenced and ion reads."""
+    return pileup.largest_group_consensus(_groups(spark, sf_dir), gap_yields=True)
+
+
+@query(f"WITH {PILE_SQL}" + LARGEST_SQL.replace("{swap}", "false"))
+def consensus_long_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule for corrected long reads."""
+    return pileup.largest_group_consensus(_groups(spark, sf_dir), gap_yields=False)
+
+
+@query(
+    f"""WITH {PILE_SQL}, o AS (SELECT *, CASE base WHEN '*' THEN 5 ELSE instr('ACGT', base) END AS o, max(n) OVER (PARTITION BY contig, pos) AS most FROM gr)
+SELECT contig, pos, arg_min(base, o) FILTER (WHERE n = most) AS base, arg_min(quality, o) FILTER (WHERE n = most) AS quality, string_agg(base, '' ORDER BY o) FILTER (WHERE n >= most // 2) AS chosen FROM o GROUP BY contig, pos"""
+)
+def consensus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.text_consensus(_groups(spark, sf_dir))
+
+
+@query(f"WITH {STEPS_SQL}, ps AS (SELECT contig, unnest(range(start, stop)) AS pos, cov FROM steps) SELECT contig, median(cov) AS median_cov FROM ps GROUP BY contig")
+def coverage_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.median_coverage(_steps(spark, sf_dir))
+
+
+@query(
+    "WITH "
+    + STEPS_SQL
+    + """, b AS (SELECT contig, sum((stop - start) * cov) / sum(stop - start) AS m FROM steps GROUP BY contig), i AS (SELECT contig, sum((stop - start) * cov) / sum(stop - start) AS mean FROM steps JOIN b USING (contig) WHERE cov >= m / 3 AND cov <= m * 3 GROUP BY contig),
+f AS (SELECT s_suppkey AS contig, s_suppkey * 3 AS lo, s_suppkey * 3 + 40 AS hi FROM supplier), c AS (SELECT contig, lo, hi, sum((least(stop, hi + 1) - greatest(start, lo)) * cov) AS s FROM f JOIN steps USING (contig) WHERE start <= hi AND stop > lo GROUP BY ALL)
+SELECT contig, lo, hi, s / (hi - lo + 1) / mean AS ratio, CASE WHEN s / (hi - lo + 1) / mean < 0.1 THEN 'deletion' WHEN s / (hi - lo + 1) / mean < 0.75 THEN 'CNV_down' WHEN s / (hi - lo + 1) / mean > 1.25 THEN 'CNV_up' ELSE 'normal' END AS verdict FROM c JOIN i USING (contig)"""
+)
+def feature_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean coverage in features over the second-order mean of the contig, with a verdict by fixed ratios."""
+    f = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("contig"), (F.col("s_suppkey") * 3).alias("lo"), (F.col("s_suppkey") * 3 + 40).alias("hi"))
+    return stats.feature_coverage(_steps(spark, sf_dir), f)
+
+
+@query(f"WITH {LEN_SQL}, m AS (SELECT max(len) AS longest FROM ln) SELECT o_orderkey, CAST(len AS BIGINT) AS len, len >= 500 AND len * 10 >= longest AS large FROM ln, m")
+def large_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.large_contigs(_lengths(spark, sf_dir), 500, 10).select("o_orderkey", "len", "large")
+
+
+@query(
+    "SELECT s_suppkey AS id, s_acctbal AS percent, CASE WHEN s_acctbal / 100 < 5 THEN 'none' WHEN s_acctbal / 100 < 15 THEN 'low' WHEN s_acctbal / 100 < 30 THEN 'medium' WHEN s_acctbal / 100 < 50 THEN 'high' ELSE 'extreme' END AS verdict FROM supplier"
+)
+def chimera_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return s.select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("percent"), stats.ladder(F.col("s_acctbal") / 100, (5, 15, 30, 50), ("none", "low", "medium", "high", "extreme")).alias("verdict"))
+
+
+@query("SELECT l_suppkey AS contig, CAST(l_orderkey AS BIGINT) AS read_id, l_partkey AS start, l_partkey + CAST(floor(l_quantity) AS BIGINT) - 1 AS stop, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey, l_orderkey, l_linenumber, l_quantity) AS INTEGER) AS place FROM lineitem")
+def contig_read_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of each contig in order of place."""
+    d = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    w = W.partitionBy("l_suppkey").orderBy("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
+    return d.select(F.col("l_suppkey").alias("contig"), F.col("l_orderkey").alias("read_id"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.floor("l_quantity") - 1).alias("stop"), F.row_number().over(w).alias("place"))

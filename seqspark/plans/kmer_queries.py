@@ -96,11 +96,12 @@ def kmer_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
 AVG_SQL = f"""WITH {KM_SQL}, {stats_sql()},
 bc AS (SELECT fcount + rcount AS c, count(*) AS n, count(*) FILTER (WHERE fcount >= 1 AND rcount >= 1) AS good FROM ks GROUP BY 1),
 rk AS (SELECT *, sum(n) OVER (ORDER BY c) AS upto, sum(n) OVER () AS size FROM bc),
-ins AS (SELECT c, n, good, greatest(0, least(upto, size - size // 20) - greatest(upto - n, size // 20)) AS inside FROM rk),
-wt AS (SELECT c, inside * c AS every, CASE WHEN inside = n THEN good * c ELSE floor(good * inside / n) * c END AS sure FROM ins),
-pk AS (SELECT c, CASE WHEN sum(sure) OVER () > 0 THEN sure ELSE every END AS w FROM wt),
-rn AS (SELECT c, sum(w) OVER (ORDER BY c) AS run, sum(w) OVER () AS total FROM pk),
-av AS (SELECT CAST(greatest(min(c), 1) AS BIGINT) AS avg_freq FROM rn WHERE run > floor(total / 2))"""
+ins AS (SELECT part, c, n, good, upto, size, greatest(0, least(upto, size - size // part) - greatest(upto - n, size // part)) AS inside FROM rk, (VALUES (20), (10)) p(part)),
+wt AS (SELECT part, c, upto - n >= size - size // 10 AS late, inside * c AS every, CASE WHEN inside = n THEN good * c ELSE floor(good * inside / n) * c END AS sure FROM ins),
+pk AS (SELECT part, c, late, CASE WHEN sum(sure) OVER (PARTITION BY part) > 0 THEN sure ELSE every END AS w FROM wt),
+rn AS (SELECT part, c, late, sum(w) OVER (PARTITION BY part ORDER BY c) AS run, sum(w) OVER (PARTITION BY part) AS total FROM pk),
+fd AS (SELECT part, min(c) AS c, arg_min(late, c) AS late FROM rn WHERE run > floor(total / 2) GROUP BY part),
+av AS (SELECT CAST(greatest(CASE WHEN (SELECT late FROM fd WHERE part = 20) THEN (SELECT c FROM fd WHERE part = 10) ELSE (SELECT c FROM fd WHERE part = 20) END, 1) AS BIGINT) AS avg_freq)"""
 
 
 @query(AVG_SQL + " SELECT avg_freq FROM av")
@@ -115,8 +116,8 @@ CLASSED_SQL = AVG_SQL + f", cl AS (SELECT kmer, {CLASS_SQL} AS class FROM (SELEC
 
 def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = _stats(spark, sf_dir)
-    avg = kmers.average_frequency(stats).first()[0] or 1
-    return stats.select("kmer", kmers.frequency_class(kmers.total(), F.lit(avg)).alias("class"))
+    avg = kmers.average_frequency(stats)
+    return stats.crossJoin(F.broadcast(avg)).select("kmer", kmers.frequency_class(kmers.total(), F.col("avg_freq")).alias("class"))
 
 
 @query(CLASSED_SQL + " SELECT kmer, class FROM cl")
@@ -190,5 +191,73 @@ def proposed_end_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(AVG_SQL + " SELECT CAST(floor((fcount + rcount) / (SELECT avg_freq FROM av) + 0.5) AS BIGINT) AS ratio, CAST(count(*) AS BIGINT) AS kmers FROM ks GROUP BY 1")
 def kmer_ratio_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = _stats(spark, sf_dir)
-    avg = kmers.average_frequency(stats).first()[0] or 1
-    return stats.groupBy(F.floor(kmers.total() / avg + 0.5).alias("ratio")).agg(F.count("*").alias("kmers"))
+    rows = stats.crossJoin(F.broadcast(kmers.average_frequency(stats)))
+    return rows.groupBy(F.floor(kmers.total() / F.col("avg_freq") + 0.5).alias("ratio")).agg(F.count("*").alias("kmers"))
+
+
+@query(f"WITH {KM_SQL}, {stats_sql()} SELECT kmer || chr(9) || fcount || chr(9) || rcount AS line, '>' || fcount || '_' || rcount || chr(10) || kmer AS record FROM ks")
+def kmer_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line, record = (f(_stats(spark, sf_dir)) for f in (kmers.dump_text, kmers.dump_fasta))
+    key = lambda d, c, at: d.select(F.split("value", "[\t\n]")[at].alias("k"), F.col("value").alias(c))
+    return key(line, "line", 0).join(key(record, "record", 1), "k").select("line", "record")
+
+
+_PACK = " + ".join(f"CAST(instr('ACGT', substr(kmer, {j + 1}, 1)) - 1 AS BIGINT) * {4 ** (K - 1 - j)}" for j in range(K))
+
+
+@query(f"WITH {KM_SQL}, {stats_sql()} SELECT {_PACK} AS code, kmer AS back, ({_PACK}) & 4095 AS bucket FROM ks")
+def kmer_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _stats(spark, sf_dir).select(kmers.packed(F.col("kmer")).alias("code"))
+    return rows.select("code", kmers.unpacked(F.col("code"), K).alias("back"), kmers.bucket(F.col("code"), K, 12).alias("bucket"))
+
+
+@query(f"WITH {KM_SQL}, {stats_sql()}, {_bait_sql()} SELECT kmer, CAST(coalesce(fcount, 0) AS BIGINT) AS fcount, CAST(coalesce(rcount, 0) AS BIGINT) AS rcount FROM baits LEFT JOIN ks USING (kmer)")
+def kmer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.lookup(_stats(spark, sf_dir), bait.bait_kmers(_baits(spark, sf_dir), K))
+
+
+_DUST_HALF = ", ".join(f"'{x}'" for x in kmers.dust_ends(K * 67 // 100))
+
+
+@query(f"WITH {KM_SQL}, {stats_sql()} SELECT * FROM ks WHERE left(kmer, {K * 67 // 100}) NOT IN ({_DUST_HALF}) AND right(kmer, {K * 67 // 100}) NOT IN ({_DUST_HALF})")
+def kmer_dust_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.dust_by_percent(_stats(spark, sf_dir), K, 67)
+
+
+@query(
+    f"""WITH {KM_SQL}, {stats_sql()}, g AS (SELECT *, fcount > 2 AND rcount > 2 AS strong, count(*) OVER w AS size, max(fcount + rcount) OVER w AS most, count(*) FILTER (WHERE fcount > 2 AND rcount > 2) OVER w AS strongs
+ FROM ks WINDOW w AS (PARTITION BY substr(kmer, 2)))
+SELECT kmer, fcount, rcount FROM g WHERE size > 1 AND NOT CASE WHEN strongs > 0 THEN strong ELSE fcount + rcount = most END"""
+)
+def kmer_fork_relaxed_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.forks_relaxed(_stats(spark, sf_dir), forward=False)
+
+
+@query(
+    CLASSED_SQL
+    + f""", f AS (SELECT kmer FROM (SELECT kmer, fcount, rcount, count(*) OVER (PARTITION BY substr(kmer, 2)) AS a, count(*) OVER (PARTITION BY left(kmer, {K - 1})) AS b FROM ks WHERE fcount >= 2 AND rcount >= 2) WHERE a > 1 OR b > 1),
+g AS (SELECT read_id, pos, pos - row_number() OVER (PARTITION BY read_id ORDER BY pos) AS g FROM km WHERE kmer IN (SELECT kmer FROM f))
+SELECT read_id, CAST(min(pos) AS BIGINT) AS start, CAST(max(pos) + {K - 1} AS BIGINT) AS stop FROM g GROUP BY read_id, g"""
+)
+def fork_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of reads whose k-mers are forks."""
+    from seqspark.operators import stats
+
+    forks = kmers.forks_strict(_stats(spark, sf_dir), 2)
+    found = kmers.positioned(reads(spark, sf_dir), K, "read_id").join(forks, "kmer")
+    return stats.islands(found, "read_id", "pos").select("read_id", F.col("start").cast("long").alias("start"), (F.col("stop") + K - 1).cast("long").alias("stop"))
+
+
+@query(
+    CLASSED_SQL
+    + f""", g AS (SELECT read_id, class, pos, pos - row_number() OVER (PARTITION BY read_id, class ORDER BY pos) AS g FROM km JOIN cl USING (kmer))
+SELECT read_id, 'HAF' || class AS tag, CAST(min(pos) AS BIGINT) AS start, CAST(max(pos) + {K - 1} AS BIGINT) AS stop FROM g GROUP BY read_id, class, g"""
+)
+def frequency_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of reads whose k-mers have one frequency class."""
+    from pyspark.sql import Window as W
+
+    rows = kmers.positioned(reads(spark, sf_dir), K, "read_id").join(_classed(spark, sf_dir), "kmer")
+    runs = rows.withColumn("g", F.col("pos") - F.row_number().over(W.partitionBy("read_id", "class").orderBy("pos")))
+    out = runs.groupBy("read_id", "class", "g").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
+    return out.select("read_id", F.concat(F.lit("HAF"), F.col("class").cast("string")).alias("tag"), F.col("a").cast("long").alias("start"), (F.col("b") + K - 1).cast("long").alias("stop"))

@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 from seqspark.functions import scalar
 from seqspark.operators import kmers, overlap, treat
 from seqspark.operators import reads as ops
-from seqspark.plans.adapter import K, KM_SQL, RC, READS_SQL, reads, stats_sql
+from seqspark.plans.adapter import K, KM_SQL, RC, READS_SQL, km_sql, reads, stats_sql
 from seqspark.plans.registry import query
 
 
 def saver(spark: SparkSession):
     """Writes tables below the shared folder of the cluster and reads them back."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/seqspark'}/{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:  # only a cluster has machines that cannot see each other's folders
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        shared = "/tmp/checkpoints/seqspark"
+    root = f"{shared}/{uuid.uuid4().hex}"
     count = iter(range(1 << 30))
 
     def save(df: DataFrame) -> DataFrame:
@@ -147,15 +152,16 @@ def template_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.infer_templates(_sam(spark, sf_dir).select((F.col("template") % 3).alias("rg"), "tlen"))
 
 
-MOST = 40
-HITS_SQL = f"""WITH {KM_SQL}, ok AS (SELECT kmer FROM km GROUP BY kmer HAVING count(*) BETWEEN 2 AND {MOST}), kk AS (SELECT read_id, pos, kmer FROM km WHERE kmer IN (SELECT kmer FROM ok)),
-hits AS (SELECT a.read_id AS rid1, b.read_id AS rid2, a.pos - b.pos AS eoffset FROM kk a JOIN kk b USING (kmer) WHERE a.read_id > b.read_id)"""
+#: Length of the k-mers that overlaps are found by; all of them count, however frequent.
+OK = 12
+HITS_SQL = f"""WITH {km_sql(OK)},
+hits AS (SELECT a.read_id AS rid1, b.read_id AS rid2, a.pos - b.pos AS eoffset FROM km a JOIN km b USING (kmer) WHERE a.read_id > b.read_id)"""
 EDGES_SQL = HITS_SQL + ", e0 AS (SELECT rid1, rid2, min(eoffset) AS eoffset, count(*) AS weight FROM hits GROUP BY ALL HAVING count(*) >= 2), e AS (SELECT * FROM e0 UNION ALL SELECT rid2, rid1, -eoffset, weight FROM e0)"
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = kmers.positioned(reads(spark, sf_dir), K, "read_id").select("read_id", F.col("pos").cast("long").alias("pos"), "kmer")
-    return overlap.shared(rows, MOST)
+    rows = kmers.positioned(reads(spark, sf_dir), OK, "read_id").select("read_id", F.col("pos").cast("long").alias("pos"), "kmer")
+    return overlap.shared(rows)
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,13 +202,13 @@ def overlap_not_banned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     HITS_SQL
-    + """, ed AS (SELECT rid1 AS a, rid2 AS b FROM hits GROUP BY ALL HAVING count(*) >= 8), bi AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed),
+    + """, ed AS (SELECT rid1 AS a, rid2 AS b FROM hits GROUP BY ALL HAVING count(*) >= 3), bi AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed),
 cc AS (WITH RECURSIVE w(id, c) AS (SELECT read_id, read_id FROM reads UNION SELECT bi.b, w.c FROM w JOIN bi ON w.id = bi.a WHERE w.c < bi.b) SELECT id, min(c) AS component FROM w GROUP BY id)
 SELECT id, component FROM cc"""
 )
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     save = saver(spark)
-    e = overlap.candidates(_hits(spark, sf_dir)).where("numhashes >= 8").select(F.col("rid1").alias("a"), F.col("rid2").alias("b"))
+    e = overlap.candidates(_hits(spark, sf_dir)).where("numhashes >= 3").select(F.col("rid1").alias("a"), F.col("rid2").alias("b"))
     return overlap.components(e, reads(spark, sf_dir).select(F.col("read_id").alias("id")), save)
 
 
@@ -269,3 +275,45 @@ def multicopy_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = overlap.symmetric(_edges(spark, sf_dir)).groupBy(F.col("rid1").alias("read_id")).agg(F.count("*").alias("n"))
     middle = n.agg(F.median("n")).first()[0] or 0.0
     return n.where(F.col("n") > 2 * middle).select("read_id", "n", F.when(F.col("n") > 20 * middle, 101).otherwise(1).alias("code"))
+
+
+REVERSE_SQL = HITS_SQL + f""", rv AS (SELECT a.read_id AS rid1, b.read_id AS rid2, a.pos - (b.n - {OK} - b.pos) AS eoffset FROM km a JOIN km b ON a.kmer = {RC.format("b.kmer")} WHERE a.read_id > b.read_id)"""
+
+
+@query(REVERSE_SQL + " SELECT rid1, rid2, CAST(count(*) AS BIGINT) AS numhashes, CAST(min(eoffset) AS BIGINT) AS lo, CAST(max(eoffset) AS BIGINT) AS hi FROM rv GROUP BY ALL")
+def overlap_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of reads with the reverse complement of others."""
+    r = reads(spark, sf_dir)
+    rows = kmers.positioned(r.withColumn("n", F.length("seq")), OK, "read_id", "n").select("read_id", "n", F.col("pos").cast("long").alias("pos"), "kmer")
+    return overlap.candidates(overlap.shared_reverse(rows, OK))
+
+
+@query(HITS_SQL + f", d AS (SELECT rid1, rid2, count(DISTINCT a.kmer) AS kmers FROM (SELECT a.read_id AS rid1, b.read_id AS rid2, kmer FROM km a JOIN km b USING (kmer) WHERE a.read_id > b.read_id) a GROUP BY ALL) SELECT rid1, rid2, CAST(kmers AS BIGINT) AS kmers FROM d WHERE kmers >= 2")
+def overlap_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads that share several different k-mers."""
+    rows = kmers.positioned(reads(spark, sf_dir), OK, "read_id").select("read_id", "kmer").distinct()
+    return overlap.shared_distinct(rows).where("kmers >= 2")
+
+
+@query(
+    HITS_SQL
+    + f""", l AS (SELECT DISTINCT read_id, n FROM km), c AS (SELECT rid1, rid2, eoffset, count(*) AS numhashes FROM hits GROUP BY ALL), g AS (SELECT c.*, a.n AS n1, b.n AS n2 FROM c JOIN l a ON rid1 = a.read_id JOIN l b ON rid2 = b.read_id),
+o AS (SELECT *, least(n1, eoffset + n2) - greatest(eoffset, 0) AS overlap FROM g) SELECT rid1, rid2, CAST(eoffset AS BIGINT) AS eoffset, CAST(numhashes AS BIGINT) AS numhashes, CAST(overlap AS BIGINT) AS overlap, CAST(least(100, 100 * numhashes // greatest(1, overlap - {OK - 1})) AS BIGINT) AS percent FROM o WHERE overlap >= {OK}"""
+)
+def overlap_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of one offset: the overlap's length, and the percentage of its k-mers that are shared."""
+    r = reads(spark, sf_dir)
+    rows = kmers.positioned(r, OK, "read_id").select("read_id", F.col("pos").cast("long").alias("pos"), "kmer")
+    return overlap.percent(overlap.shared(rows), r.select("read_id", F.length("seq").alias("n")), OK)
+
+
+@query(
+    HITS_SQL
+    + f""", z AS (SELECT a.read_id AS rid1, b.read_id AS rid2, a.pos - b.pos AS eoffset, a.pos FROM km a JOIN km b USING (kmer) WHERE a.read_id > b.read_id), g AS (SELECT *, pos - row_number() OVER (PARTITION BY rid1, rid2, eoffset ORDER BY pos) AS g FROM z),
+r AS (SELECT rid1, rid2, eoffset, count(*) + {OK - 1} AS len FROM g GROUP BY rid1, rid2, eoffset, g), m AS (SELECT rid1, rid2, max(len) AS longest FROM r GROUP BY ALL)
+SELECT rid1, rid2, CAST(longest AS BIGINT) AS longest, longest >= {2 * OK - 1} AS strong, longest >= 20 AS weak, longest >= 26 AS belowavg FROM m"""
+)
+def overlap_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest run of shared k-mers of two reads, and whether it makes a strong, weak or below-average good overlap."""
+    rows = kmers.positioned(reads(spark, sf_dir), OK, "read_id").select("read_id", F.col("pos").cast("long").alias("pos"), "kmer")
+    return overlap.longest_runs(rows, OK)

@@ -72,7 +72,7 @@ def test_coverage(spark):
     assert rows(stats.coverage(p)) == [(1, 0, 2, 1), (1, 2, 4, 2), (1, 4, 6, 1), (1, 10, 11, 1)]
     s = stats.coverage_stats(stats.coverage(p)).first()
     assert (s.min_cov, s.max_cov, s.sum_cov, s.positions) == (1, 2, 9, 7)
-    assert s.stddev_cov == pytest.approx(13 / 7 - (9 / 7) ** 2) ** 0.5
+    assert s.stddev_cov == pytest.approx((13 / 7 - (9 / 7) ** 2) ** 0.5)
 
 
 def test_masks_and_islands(spark):
