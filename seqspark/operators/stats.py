@@ -78,32 +78,70 @@ def yield_limit(rows: DataFrame, key: str, length: str, most: int, width: int =
     return rows.withColumn("part", part).join(starts, "part").withColumn("before", F.col("base") + inside).where(F.col("before") < most).drop("part", "base", "before")
 
 
-def median_coverage(steps: DataFrame) -> DataFrame:
-    """(contig, median_cov) over covered positions, the mean of the two middle ones where their number is even.
+def weighted_median(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., median) of rows(keys..., cov, n): cov stands n times; the mean of the two middle ones of an even number.
 
-    Positions are summed by coverage first, so what is ordered is one row per coverage of a contig.
+    Equal values are summed first, so what is ordered is one row per value.
     """
-    by_cov = steps.groupBy("contig", "cov").agg(F.sum(F.col("stop") - F.col("start")).alias("n"))
-    w = W.partitionBy("contig")
-    run = by_cov.select("contig", "cov", F.sum("n").over(w.orderBy("cov")).alias("upto"), F.sum("n").over(w).alias("size"))
+    by_cov = rows.groupBy(*keys, "cov").agg(F.sum("n").alias("n"))
+    w = W.partitionBy(*keys)
+    run = by_cov.select(*keys, "cov", F.sum("n").over(w.orderBy("cov")).alias("upto"), F.sum("n").over(w).alias("size"))
     low = F.min(F.when(F.col("upto") >= F.expr("(size + 1) div 2"), F.col("cov")))
     high = F.min(F.when(F.col("upto") >= F.expr("size div 2 + 1"), F.col("cov")))
-    return run.groupBy("contig").agg(((low + high) / 2).alias("median_cov"))
+    return run.groupBy(*keys).agg(((low + high) / 2).alias("median"))
+
+
+def median_coverage(steps: DataFrame) -> DataFrame:
+    """(contig, median_cov) over covered positions."""
+    return weighted_median(steps.withColumn("n", F.col("stop") - F.col("start")), "contig").withColumnRenamed("median", "median_cov")
 
 
 def feature_coverage(steps: DataFrame, features: DataFrame) -> DataFrame:
-    """features(contig, lo, hi) with ratio, mean coverage over the contig's second-order mean, and a verdict."""
-    mean = second_order(steps).select("contig", "mean_cov")
-    inside = F.least("stop", F.col("hi") + 1) - F.greatest("start", "lo")
-    hit = features.join(steps, "contig").where((F.col("start") <= F.col("hi")) & (F.col("stop") > F.col("lo"))).groupBy("contig", "lo", "hi").agg(F.sum(inside * F.col("cov")).alias("s"))
-    ratio = F.col("s") / (F.col("hi") - F.col("lo") + 1) / F.col("mean_cov")
-    out = hit.join(mean, "contig").select("contig", "lo", "hi", ratio.alias("ratio"))
-    return out.withColumn("verdict", F.when(F.col("ratio") < 0.1, "deletion").when(F.col("ratio") < 0.75, "CNV_down").when(F.col("ratio") > 1.25, "CNV_up").otherwise("normal"))
-
-
-def large_contigs(lengths: DataFrame, least: int, part: int) -> DataFrame:
-    """lengths(len) with large: at least `least`, and a `part`-th of the longest."""
-    return lengths.crossJoin(F.broadcast(lengths.agg(F.max("len").alias("longest")))).withColumn("large", (F.col("len") >= least) & (F.col("len") * part >= F.col("longest"))).drop("longest")
+    """features(contig, lo, hi) with their median coverage and deviation, and a verdict against the contig.
+
+    The contig counts by the median of its positions within a third and three times the mean and their deviation.
+    A feature is normal, or a CNV_down, deletion or CNV_up that is possible at one deviation of both and
+    probable at two (for CNV_up, two of its own). All is compared in whole numbers. Uncovered positions of a
+    feature count as 0.
+    """
+    n = F.col("stop") - F.col("start")
+    mean = steps.groupBy("contig").agg((F.sum(n * F.col("cov")) / F.sum(n)).alias("m"))
+    inner = steps.join(mean, "contig").where((F.col("cov") >= F.col("m") / 3) & (F.col("cov") <= F.col("m") * 3))
+    whole = median_coverage(inner).join(second_order(steps), "contig").select("contig", F.col("median_cov").alias("cm"), F.col("stddev_cov").alias("cs"))
+    hit = features.join(steps, "contig").where((F.col("start") <= F.col("hi")) & (F.col("stop") > F.col("lo")))
+    hit = hit.select("contig", "lo", "hi", "cov", (F.least("stop", F.col("hi") + 1) - F.greatest("start", "lo")).alias("n"))
+    bare = features.join(hit.groupBy("contig", "lo", "hi").agg(F.sum("n").alias("s")), ["contig", "lo", "hi"], "left")
+    every = hit.union(bare.select("contig", "lo", "hi", F.lit(0).cast("long"), F.col("hi") - F.col("lo") + 1 - F.coalesce("s", F.lit(0)))).where("n > 0")
+    sums = every.groupBy("contig", "lo", "hi").agg((F.sum(F.col("n") * F.col("cov")) / F.sum("n")).alias("a"), (F.sum(F.col("n") * F.col("cov") * F.col("cov")) / F.sum("n")).alias("q"))
+    dev = F.sqrt(F.greatest(F.lit(0.0), F.col("q") - F.col("a") * F.col("a")))
+    rows = weighted_median(every, "contig", "lo", "hi").join(sums, ["contig", "lo", "hi"]).join(whole, "contig").withColumn("fs", dev)
+    whole_number = lambda x: x.cast("long")
+    fm, fs, cm, cs = F.col("median"), F.col("fs"), whole_number(F.col("cm")), whole_number(F.col("cs"))
+    down = lambda k: whole_number(fm + k * fs) < cm - k * cs
+    up = lambda k: whole_number(fm - k * fs) > cm + cs
+    sure = lambda x: F.when(x, "probable").otherwise("possible")
+    verdict = F.when(down(1), F.concat(sure(down(2)), F.when(fm < F.col("cs"), "_deletion").otherwise("_CNV_down"))).when(up(1), F.concat(sure(up(2)), F.lit("_CNV_up"))).otherwise("normal")
+    return rows.select("contig", "lo", "hi", fm.alias("median_cov"), fs.alias("stddev_cov"), verdict.alias("verdict"))
+
+
+def large_contigs(contigs: DataFrame, least: int, coverage: float) -> DataFrame:
+    """contigs(len, cov, repeats) with large.
+
+    A contig is large if it has the least length and coverage; or twice the length, two thirds of the coverage, and
+    is not made of repeats alone.
+    """
+    sure = (F.col("len") >= least) & (F.col("cov") >= coverage)
+    rescued = ~F.col("repeats") & (F.col("len") >= 2 * least) & (F.col("cov") >= coverage * (2.0 / 3))
+    return contigs.withColumn("large", sure | rescued)
+
+
+#: Percentages of chimeras below which a verdict holds, and the verdicts.
+CHIMERA_RUNGS, CHIMERA_VERDICTS = (0.1, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0), ("excellent", "could be better", "not good", "mediocre", "bad", "very bad", "catastrophic", "unusable")
+
+
+def chimera_verdict(percent):
+    """Verdict on a percentage of chimeras; null where there are none."""
+    return F.when(percent > 0, ladder(percent, CHIMERA_RUNGS, CHIMERA_VERDICTS))
 
 
 def ladder(value, rungs: tuple, names: tuple):

@@ -256,28 +256,32 @@ def coverage_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH "
-    + STEPS_SQL
-    + """, b AS (SELECT contig, sum((stop - start) * cov) / sum(stop - start) AS m FROM steps GROUP BY contig), i AS (SELECT contig, sum((stop - start) * cov) / sum(stop - start) AS mean FROM steps JOIN b USING (contig) WHERE cov >= m / 3 AND cov <= m * 3 GROUP BY contig),
-f AS (SELECT s_suppkey AS contig, s_suppkey * 3 AS lo, s_suppkey * 3 + 40 AS hi FROM supplier), c AS (SELECT contig, lo, hi, sum((least(stop, hi + 1) - greatest(start, lo)) * cov) AS s FROM f JOIN steps USING (contig) WHERE start <= hi AND stop > lo GROUP BY ALL)
-SELECT contig, lo, hi, s / (hi - lo + 1) / mean AS ratio, CASE WHEN s / (hi - lo + 1) / mean < 0.1 THEN 'deletion' WHEN s / (hi - lo + 1) / mean < 0.75 THEN 'CNV_down' WHEN s / (hi - lo + 1) / mean > 1.25 THEN 'CNV_up' ELSE 'normal' END AS verdict FROM c JOIN i USING (contig)"""
+    + POS_SQL
+    + """, b AS (SELECT contig, sum(cov) / count(*) AS m, count(*) AS every FROM ps GROUP BY contig),
+i AS (SELECT contig, median(cov) AS cm, sum(cov) AS s, sum(cov * cov) AS q, count(*) AS n, max(every) AS every FROM ps JOIN b USING (contig) WHERE cov >= m / 3 AND cov <= m * 3 GROUP BY contig),
+w AS (SELECT contig, cm, sqrt(greatest(0.0, q - s * (s / n)) / every) AS cs FROM i), f AS (SELECT s_suppkey AS contig, s_suppkey * 3 AS lo, s_suppkey * 3 + 40 AS hi FROM supplier),
+fp AS (SELECT contig, lo, hi, unnest(range(lo, hi + 1)) AS pos FROM f), g AS (SELECT contig, lo, hi, median(coalesce(cov, 0)) AS fm, sum(coalesce(cov, 0)) / count(*) AS a, sum(coalesce(cov * cov, 0)) / count(*) AS q2 FROM fp LEFT JOIN ps USING (contig, pos) GROUP BY ALL),
+d AS (SELECT contig, lo, hi, fm, sqrt(greatest(0.0, q2 - a * a)) AS fs, cs, CAST(trunc(cm) AS BIGINT) AS c, CAST(trunc(cs) AS BIGINT) AS e FROM g JOIN w USING (contig))
+SELECT contig, lo, hi, fm AS median_cov, fs AS stddev_cov, CASE WHEN trunc(fm + fs) < c - e THEN CASE WHEN trunc(fm + 2 * fs) < c - 2 * e THEN 'probable' ELSE 'possible' END || CASE WHEN fm < cs THEN '_deletion' ELSE '_CNV_down' END
+ WHEN trunc(fm - fs) > c + e THEN CASE WHEN trunc(fm - 2 * fs) > c + e THEN 'probable' ELSE 'possible' END || '_CNV_up' ELSE 'normal' END AS verdict FROM d"""
 )
 def feature_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean coverage in features over the second-order mean of the contig, with a verdict by fixed ratios."""
     f = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("contig"), (F.col("s_suppkey") * 3).alias("lo"), (F.col("s_suppkey") * 3 + 40).alias("hi"))
     return stats.feature_coverage(_steps(spark, sf_dir), f)
 
 
-@query(f"WITH {LEN_SQL}, m AS (SELECT max(len) AS longest FROM ln) SELECT o_orderkey, CAST(len AS BIGINT) AS len, len >= 500 AND len * 10 >= longest AS large FROM ln, m")
+@query(f"WITH {LEN_SQL} SELECT o_orderkey, CAST(len AS BIGINT) AS len, (len >= 300 AND o_orderkey % 30 >= 15) OR (o_orderkey % 7 <> 0 AND len >= 600 AND o_orderkey % 30 >= 10) AS large FROM ln")
 def large_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.large_contigs(_lengths(spark, sf_dir), 500, 10).select("o_orderkey", "len", "large")
+    c = _lengths(spark, sf_dir).withColumns({"cov": F.col("o_orderkey") % 30, "repeats": F.col("o_orderkey") % 7 == 0})
+    return stats.large_contigs(c, 300, 15.0).select("o_orderkey", "len", "large")
 
 
-@query(
-    "SELECT s_suppkey AS id, s_acctbal AS percent, CASE WHEN s_acctbal / 100 < 5 THEN 'none' WHEN s_acctbal / 100 < 15 THEN 'low' WHEN s_acctbal / 100 < 30 THEN 'medium' WHEN s_acctbal / 100 < 50 THEN 'high' ELSE 'extreme' END AS verdict FROM supplier"
-)
+_VERDICTS = " ".join(f"WHEN s_acctbal / 1000 < {rung} THEN '{name}'" for rung, name in zip(stats.CHIMERA_RUNGS, stats.CHIMERA_VERDICTS))
+
+
+@query(f"SELECT s_suppkey AS id, CASE WHEN s_acctbal <= 0 THEN NULL {_VERDICTS} ELSE '{stats.CHIMERA_VERDICTS[-1]}' END AS verdict FROM supplier")
 def chimera_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    return s.select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("percent"), stats.ladder(F.col("s_acctbal") / 100, (5, 15, 30, 50), ("none", "low", "medium", "high", "extreme")).alias("verdict"))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id"), stats.chimera_verdict(F.col("s_acctbal") / 1000).alias("verdict"))
 
 
 @query("SELECT l_suppkey AS contig, CAST(l_orderkey AS BIGINT) AS read_id, l_partkey AS start, l_partkey + CAST(floor(l_quantity) AS BIGINT) - 1 AS stop, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey, l_orderkey, l_linenumber, l_quantity) AS INTEGER) AS place FROM lineitem")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqspark.functions import scalar
+from seqspark.functions import codes
 
 BASES = "^[ACGTNXRYKMSWBDHVacgtnxrykmswbdhv*@-]*$"
 
@@ -38,10 +38,10 @@ def read_fasta_qual(spark: SparkSession, path: str, most: int = 100) -> DataFram
 
 
 def with_qualities(seqs: DataFrame, quals: DataFrame) -> DataFrame:
-    """Sequences joined to their qualities by name; fails where the lengths differ."""
-    both = seqs.join(quals, "name", "left")
-    bad = F.when(F.size("qual") != F.length("seq"), F.raise_error(F.concat(F.lit("lengths differ in "), F.col("name"))))
-    return both.withColumn("qual", F.coalesce(bad.cast("array<int>"), F.col("qual")))
+    """Sequences joined to their qualities by name; fails where the lengths differ or a name is on one side only."""
+    both = seqs.withColumn("_s", F.lit(True)).join(quals, "name", "full").withColumn("_q", F.col("qual").isNotNull())
+    bad = F.when(F.col("_s").isNull() | ~F.col("_q"), F.raise_error(F.concat(F.lit("sequence and quality don't match: "), F.col("name")))).when(F.size("qual") != F.length("seq"), F.raise_error(F.concat(F.lit("lengths differ in "), F.col("name"))))
+    return both.withColumn("qual", F.coalesce(bad.cast("array<int>"), F.col("qual"))).drop("_s", "_q")
 
 
 def read_fastq(spark: SparkSession, path: str, offset: int = 33) -> DataFrame:
@@ -75,17 +75,21 @@ def read_fastq(spark: SparkSession, path: str, offset: int = 33) -> DataFrame:
 
 
 def infer_offset(quals: DataFrame) -> int:
-    """Offset 33 or 64 from the smallest raw quality (read with offset 0)."""
-    least = quals.agg(F.min(F.array_min("qual"))).first()[0]
-    return 64 if least is not None and least >= 59 else 33
+    """Offset 33, 59 or 64 from raw qualities (read with offset 0) and the longest read.
+
+    33 holds from 200 bases on, and where qualities are all equal, begin below 59 or end at 73 at most.
+    """
+    r = quals.agg(F.min(F.array_min("qual")).alias("low"), F.max(F.array_max("qual")).alias("high"), F.max(F.size("qual")).alias("n")).first()
+    if r.low is None or r.low < 59 or r.high <= 73 or r.low == r.high or r.n >= 200:
+        return 33
+    return 59 if r.low < 64 else 64
 
 
 def read_gff3(spark: SparkSession, path: str) -> DataFrame:
     """(seqid, source, type, start, stop, score, strand, phase, attributes) of the feature lines of a GFF3 file."""
     p = F.split("value", "\t")
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.size(p) >= 9))
-    pairs = F.transform(F.filter(F.split(p[8], ";"), lambda x: x.contains("=")), lambda x: F.struct(scalar.gff3_decode(F.substring_index(x, "=", 1)).alias("k"), scalar.gff3_decode(F.regexp_replace(x, "^[^=]*=", "")).alias("v")))
-    return rows.select(p[0].alias("seqid"), p[1].alias("source"), p[2].alias("type"), p[3].cast("int").alias("start"), p[4].cast("int").alias("stop"), p[5].alias("score"), p[6].alias("strand"), p[7].alias("phase"), F.map_from_entries(pairs).alias("attributes"))
+    return rows.select(p[0].alias("seqid"), p[1].alias("source"), p[2].alias("type"), p[3].cast("int").alias("start"), p[4].cast("int").alias("stop"), p[5].alias("score"), p[6].alias("strand"), p[7].alias("phase"), codes.gff3_attributes(p[8]).alias("attributes"))
 
 
 def read_key_values(spark: SparkSession, path: str) -> DataFrame:
@@ -106,7 +110,7 @@ def write_fastq(reads: DataFrame, path: str, offset: int = 33) -> None:
 
 
 def write_gff3(features: DataFrame, path: str) -> None:
-    attrs = F.array_join(F.transform(F.map_entries("attributes"), lambda e: F.concat(e.key, F.lit("="), F.replace(F.replace(e.value, F.lit("%"), F.lit("%25")), F.lit(";"), F.lit("%3B")))), ";")
+    attrs = codes.gff3_attribute_text(F.col("attributes"))
     features.select(F.concat_ws("\t", "seqid", "source", "type", F.col("start").cast("string"), F.col("stop").cast("string"), "score", "strand", "phase", attrs)).write.text(path)
 
 

@@ -3,11 +3,11 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from seqspark.functions import scalar
-from seqspark.operators import align, bait, kmers, overlap, pileup, reads, stats
+from seqspark.functions import codes, names, scalar, translation
+from seqspark.operators import align, bait, cascade, clips, edits, kmers, overlap, pileup, reads, stats
 from seqspark.plans import registry
 from seqspark.plans.read_queries import saver
-from seqspark.sources import text_formats
+from seqspark.sources import records, text_formats
 from seqspark.streaming import bait_stream
 
 
@@ -89,7 +89,7 @@ def test_n50(spark):
 
 def test_scalars(spark):
     d = spark.createDataFrame([("ACGTN", "ATGGCNTAA", "r/1", "r/2x", "a%3Bb+c", "x<y")], "a string, b string, c string, d string, e string, f string")
-    got = d.select(scalar.reverse_complement(F.col("a")), scalar.translate_dna(F.col("b")), scalar.template_of(F.col("c")), scalar.template_of(F.col("d")), scalar.segment_of(F.col("d")), scalar.gff3_decode(F.col("e")), scalar.html_escape(F.col("f"))).first()
+    got = d.select(scalar.reverse_complement(F.col("a")), scalar.translate_dna(F.col("b")), scalar.template_of(F.col("c")), scalar.template_of(F.col("d")), scalar.segment_of(F.col("d")), codes.gff3_decode(F.col("e")), codes.html_escape(F.col("f"))).first()
     assert tuple(got) == ("NACGT", "MX*", "r", "r_x", 255, "a;b+c", "x&lt;y")
 
 
@@ -131,8 +131,8 @@ def test_alignment_and_normalisation(spark):
     assert align.score_ratio(8, 8) == 100 and align.score_ratio(-3, 5) == 0
     p = spark.createDataFrame([(1, 2, "ACGTACGTAC", "GTACGTACGG", 2)], "rid1 long, rid2 long, seq1 string, seq2 string, eoffset int")
     assert rows(align.alignments(p)) == [(1, 2, 8, 8, 8, 100)]
-    r = spark.createDataFrame([("g", k, "ACGTAC") for k in range(15)] + [("h", 99, "NNN")], "rg string, read_id long, seq string")
-    assert rows(align.normalise(r, 4)) == [("g", k) for k in range(10)]
+    r = spark.createDataFrame([("g", k, "ACGTAC", True) for k in range(15)] + [("g", 20, "ACGTAC", False), ("h", 99, "NNN", True)], "rg string, read_id long, seq string, masked boolean")
+    assert rows(align.normalise(r, 4)) == [("g", k) for k in range(10)] + [("g", 20)]
 
 
 def test_formats_round_trip(spark, tmp_path):
@@ -176,3 +176,104 @@ def test_treatment(spark):
     assert rows(t) == [("a", 0, "ACGT"), ("a", 3, "TACG"), ("a", 6, "G")]
     r = spark.createDataFrame([(1, [2, 2, 30, 30, 30, 2]), (2, [1, 1]), (3, None)], "read_id long, qual array<int>")
     assert rows(treat.quality_clips(r, 20, 3)) == [(1, 1, 6), (2, 0, 0), (3, 0, 0)]
+
+
+def test_names_and_codes(spark):
+    d = spark.createDataFrame([("abc.p1x",), ("abc.",), ("xTFa",), ("TR",)], "n string")
+    n = F.col("n")
+    got = d.select(*names.dotted(n, "sanger"), *names.dotted(n, "fr"), *names.tigr(n)).collect()
+    assert [tuple(r) for r in got] == [("abc_1x", 1, "abc_1x", 0, "abc.p1x", 0), ("abc", 0, "abc.", 0, "abc.", 0), ("xTFa", 0, "xTFa", 0, "x_a", 1), ("TR", 0, "TR", 0, "TR", 255)]
+    one = spark.createDataFrame([("a;b=c,%\t\x7f+é", "a%20b%zz%4")], "a string, b string")
+    coded = one.select(codes.gff3_encode(F.col("a")).alias("x"), codes.gff3_decode(F.col("b")).alias("y")).first()
+    assert coded.x == "a%3Bb%3Dc%2C%25%09%7F+é" and coded.y == "a b%zz%4"
+    assert one.select(codes.gff3_decode(codes.gff3_encode(F.col("a")))).first()[0] == "a;b=c,%\t\x7f+é"
+    attrs = one.select(codes.gff3_attributes(F.lit("ID=x%3By;Note=a+b; ;ID=z")).alias("m")).first().m
+    assert attrs == {"ID": "z", "Note": "a+b"}
+
+
+def test_translation(spark):
+    one = spark.range(1)
+    p = one.select(translation.translate(F.lit("ATG*TGATAG")), translation.translate(F.lit("ATGTGATAG"), 4), translation.translate(F.lit("CTATCACAT"), reverse=True, to_stop=True), translation.amino_acid(F.lit("ATH")), translation.amino_acid(F.lit("NNN")), translation.codon_index(F.lit("GGG"))).first()
+    assert tuple(p) == ("M**", "MW*", "M*", "I", "X", 63)
+    q = one.select(translation.identity(F.lit("MAB*Q"), F.lit("MAC")), translation.identity(F.lit(""), F.lit("")), translation.contained(F.lit("R"), F.lit("a")), translation.bases_of(F.lit("Y")), translation.is_start(F.lit("ttg"), 11)).first()
+    assert q[0] == pytest.approx(200 / 3) and tuple(q)[1:] == (1.0, True, ["C", "T"], True)
+    with pytest.raises(ValueError):
+        translation.amino_acids(7)
+
+
+def test_edits_and_clips(spark):
+    d = spark.createDataFrame([("AAACCGT*NN", list(range(1, 11)), [(0, 2, "HAF3"), (5, 9, "SRMr")])], "seq string, qual array<int>, tags array<struct<from:int,to:int,id:string>>")
+    s, q, t = F.col("seq"), F.col("qual"), F.col("tags")
+    got = d.select(edits.rle_seq(s), edits.rle_lengths(s), edits.rle_qual(s, q), edits.unrle(edits.rle_seq(s), edits.rle_lengths(s)), edits.weakest_in_run(s, q, F.lit(1)), edits.has_tag(t, "SRMr", F.lit(4)), edits.count_tags(t, "HAF3"), edits.delete_tags(t, "HAF3")).first()
+    assert tuple(got)[:7] == ("ACGT*NN", [3, 2, 1, 1, 1, 1, 1], [2, 4, 6, 7, 8, 9, 10], "AAACCGT*NN", 0, False, 1) and len(got[7]) == 1
+    long = "ACXX" + "AX" * 20_000 + "ACGTACGTACGT"
+    c = spark.createDataFrame([(long,), ("ACGT",), ("",)], "s string").select(clips.mask_left(F.col("s"), 1, 2).alias("l"), clips.mask_right(F.col("s"), 1, 2).alias("r")).collect()
+    assert [tuple(x) for x in c] == [(40_004, len(long)), (0, 4), (0, 0)]
+    poly = spark.createDataFrame([("CGAAAACAAAATTG",)], "s string").select(*clips.poly_front(F.col("s"), "a", 8, 1, 3), *clips.poly_end(F.col("s"), "t", 2, 0, 2), clips.end_base(F.col("s"), 4)).first()
+    assert tuple(poly) == (2, 10, 11, 12, "t")
+
+
+def test_cascade(spark):
+    kind = "edge_id long, rid1 long, rid2 long, eoffset long, ratio long, weight long, len1 long, len2 long, rept boolean, weakgood boolean, taken boolean"
+    e = spark.createDataFrame([(1, 1, 2, 10, 100, 50, 100, 100, False, False, False), (2, 1, 3, 20, 96, 40, 100, 100, True, False, False), (3, 1, 4, -5, 90, 30, 100, 100, False, True, False), (4, 2, 5, 0, 100, 20, 100, 100, False, False, False), (5, 3, 1, 0, 80, 5, 100, 50, False, False, False)], kind)
+    taken = lambda d: sorted(r.edge_id for r in d.where("taken").collect())
+    assert taken(cascade.take_non_repeat(e, 1, 85)) == [1, 3]
+    assert taken(cascade.take_identical(e, 1)) == [4]
+    steps = cascade.cascade(e, lambda x: cascade.take_identical(x, 1), lambda x: cascade.take_for_untaken_reads(x, 1))
+    assert taken(steps) == [1, 4, 5]
+    assert rows(cascade.best_ratios(e)) == [(1, 85, 95), (2, 0, 0), (3, 0, 0)]
+    assert cascade.repeat_reads(e).count() == 2 and cascade.without_reads(e, cascade.repeat_reads(e)).count() == 1
+
+
+def test_consensus_by_largest_group(spark):
+    g = spark.createDataFrame([(1, 1, "*", 6, 3, 3, 50), (1, 1, "A", 4, 2, 2, 40), (1, 2, "C", 3, 1, 2, 30), (1, 2, "T", 3, 1, 2, 20), (1, 3, "G", 20, 9, 11, 80), (1, 3, "A", 1, 1, 0, 9)], "contig int, pos int, base string, n long, fwd long, bwd long, quality long")
+    assert rows(pileup.largest_group_consensus(g, True)) == [(1, 1, "A", 10), (1, 2, "Y", 25), (1, 3, "G", 80)]
+    assert rows(pileup.largest_group_consensus(g, False))[0] == (1, 1, "*", 10)
+    assert rows(pileup.text_consensus(g)) == [(1, 1, "*", 50, "A*"), (1, 2, "C", 30, "CT"), (1, 3, "G", 80, "G")]
+
+
+def test_records(spark, tmp_path):
+    assert records.parse_location("complement(join(<1..5,10..>20))") == [(-1, 1, 5), (-1, 10, 20)]
+    assert records.parse_location("join(3,complement(7^8),(2.4)..(9.12))") == [(1, 3, 3), (-1, 7, 8), (1, 2, 12)]
+    with pytest.raises(ValueError):
+        records.parse_location("somewhere")
+    (tmp_path / "a.phd").write_text("BEGIN_SEQUENCE r1\nBEGIN_COMMENT\nEND_COMMENT\nBEGIN_DNA\na 10 5\nc 20 17\nEND_DNA\nEND_SEQUENCE\nBEGIN_SEQUENCE r2\nBEGIN_DNA\ng 1 2\nEND_DNA\n")
+    assert rows(records.read_phd(spark, f"{tmp_path}/a.phd")) == [("r1", "AC", [10, 20], [5, 17]), ("r2", "G", [1], [2])]
+    (tmp_path / "a.exp").write_text("ID   x.1\nQL   2\nQR   7\nTN   x\nSQ\n     ACGT-CGTA\n//\nTG   SVEC = 1..2\n")
+    r = records.read_exp(spark, f"{tmp_path}/a.exp").first()
+    assert (r["name"], r.seq, r.ql, r.qr, r.sl, r.sr, r.template, len(r.tags)) == ("x.1", "ACGTNCGTA", 2, 6, 0, 9, "x", 1)
+    (tmp_path / "a.gb").write_text('LOCUS       U1  12 bp\nFEATURES             Location/Qualifiers\n     gene            1..6\n                     /gene="g1"\n                     /locus_tag="t1"\n     CDS             join(1..3,\n                     4..6)\n                     /locus_tag="t1"\n                     /product="a long\n                     name"\nORIGIN\n        1 acgtac gtacgt\n//\n')
+    seqs, feats = records.read_genbank(spark, f"{tmp_path}/a.gb")
+    assert rows(seqs) == [("U1", "acgtacgtacgt")]
+    cds = feats.where("type = 'CDS'").withColumn("at", records.locations(F.col("location"))).first()
+    assert cds.location == "join(1..3,4..6)" and cds.qualifiers == {"locus_tag": "t1", "product": "a long name", "gene": "g1"} and [tuple(x) for x in cds["at"]] == [(1, 1, 3), (1, 4, 6)]
+    reads_ = spark.createDataFrame([("r1", 2, "ACGTAC", [1, 2, 3, 4, 5, 60], 1, 5), ("r2", 0, "GG", [9, 9], 0, 2)], "name string, rg int, seq string, qual array<int>, ql int, qr int")
+    records.maf_read(reads_).write.text(f"{tmp_path}/maf")
+    assert rows(records.read_maf_reads(spark, f"{tmp_path}/maf")) == rows(reads_)
+    assert [r.seq for r in records.masked(reads_).collect()] == ["XCGTAX", "GG"] and records.clipped(reads_).first().qual == [2, 3, 4, 5]
+    got = spark.range(1).select(records.cigar(F.lit("AC*GT*A"), F.lit("ACGG*TA"), F.lit(2), F.lit(0))).first()[0]
+    assert got == "2S2M1D1M1I1D1M"
+    head = records.sam_header(spark.createDataFrame([("c1", 7)], "name string, len int"), spark.createDataFrame([(1, "s", "solexa")], "id int, sample string, technology string"), "x").orderBy("nth").collect()
+    assert [h.value for h in head] == ["@HD\tVN:1.6\tSO:unsorted", "@SQ\tSN:c1\tLN:7", "@RG\tID:1\tSM:s\tPL:SOLEXA", "@PG\tID:x\tPN:x"]
+    (tmp_path / "t.xml").write_text("<trace_volume><trace><trace_name>r1</trace_name><template_id>tt</template_id><clip_quality_left>3</clip_quality_left></trace></trace_volume>")
+    t = records.read_traceinfo(spark, f"{tmp_path}/t.xml").first()
+    assert (t["name"], t.template, t.ql, t.qr) == ("r1", "tt", 3, None)
+
+
+def test_tools(spark, tmp_path):
+    from seqspark import tools
+
+    assert tools.file_type("a/b.fq.gz") == ("fastq", "a/b.fq.gz") and tools.file_type("EXP::x.fasta") == ("exp", "x.fasta")
+    (tmp_path / "r.fasta").write_text(">a\nAAACCCGGG\n>b\nTTTTTTTTT\n")
+    (tmp_path / "bait.fasta").write_text(">x\nAACCCGG\n")
+    (tmp_path / "names").write_text("b\n")
+    tools.main(["bait", f"{tmp_path}/bait.fasta", f"{tmp_path}/r.fasta", f"fasta::{tmp_path}/hit", "--miss", f"fastq::{tmp_path}/miss", "-k", "5"], spark)
+    assert [r["name"] for r in text_formats.read_fasta(spark, f"{tmp_path}/hit").collect()] == ["a"]
+    assert text_formats.read_fastq(spark, f"{tmp_path}/miss").first().qual == [30] * 9
+    tools.main(["mer", "create", f"{tmp_path}/r.fasta", f"{tmp_path}/k", "-k", "5"], spark)
+    tools.main(["mer", "dump", f"{tmp_path}/k", f"{tmp_path}/dump", "--table", "--forward", "2"], spark)
+    assert [r.value for r in spark.read.text(f"{tmp_path}/dump").collect()] == ["TTTTT\t5\t0"]
+    tools.main(["diff", f"{tmp_path}/r.fasta", f"{tmp_path}/bait.fasta", f"{tmp_path}/diff", "-k", "5"], spark)
+    assert (tmp_path / "diff" / "a_not_b").exists()
+    tools.main(["convert", f"{tmp_path}/r.fasta", f"maf::{tmp_path}/out", "-n", f"{tmp_path}/names", "--invert"], spark)
+    assert [r["name"] for r in records.read_maf_reads(spark, f"{tmp_path}/out").collect()] == ["a"]
