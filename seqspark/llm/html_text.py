@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,7 +49,13 @@ COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 BRACE = re.compile(r"[{}]")
 #: Blocks of rules that hold on a screen; others are skipped.
 HOLDS = re.compile(r"@layer\b.*|@media\s+(?:only\s+)?(?:screen|all)", re.I | re.S)
-HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+HIDING = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+#: A selector of tags, classes and ids, and of these below each other; what says more is left out.
+COMPOUND = r"(?:[a-zA-Z][\w-]*|\*)?(?:[.#][\w-]+)*"
+SELECTOR = re.compile(rf"{COMPOUND}(?:\s*>\s*{COMPOUND}|\s+{COMPOUND})*")
+#: Characters up to which a cell widens its column.
+MOST_WIDTH = 200
 BR = "\0br\0"
 PARTS = frozenset("thead tbody tfoot".split())
 
@@ -89,16 +94,62 @@ def rules(css: str) -> Iterator[tuple[str, str]]:
         at = m.end()
 
 
-def parse(source: str) -> tuple[Node, set[str]]:
-    """The tree of a page, and the simple selectors (tag, .class, #id) that its style sheets hide."""
+class Styles:
+    """What style sheets hide: selectors by a class, id or tag that their last part asks for."""
+
+    def __init__(self) -> None:
+        self.by_key: dict[str, list[tuple[list[tuple[str, list[str]]], str]]] = {}
+
+    def add(self, selectors: str, body: str) -> None:
+        seen = VISIBILITY.search(body)
+        kind = "none" if HIDING.search(body) else seen[1].lower() if seen else ""
+        for text in selectors.split(",") if kind else ():
+            text = text.strip().lower()
+            if text and SELECTOR.fullmatch(text):
+                # each part with the combinator that stands before it
+                parts = [(c or " ", re.findall(r"[.#]?[\w-]+", x)) for c, x in re.findall(r"\s*(>|\s)?\s*([^\s>]+)", text)]
+                self.by_key.setdefault(max(parts[-1][1], default="*", key=lambda x: x[0] in ".#"), []).append((parts, kind))
+
+    def of(self, node: Node, above: tuple) -> set[str]:
+        """Kinds of hiding that hold for a node; above: its parent and what is above that."""
+        if not self.by_key:
+            return set()
+        keys = ["*", node.tag, *(f".{c.lower()}" for c in node.attrs.get("class", "").split()), f"#{node.attrs.get('id', '').lower()}"]
+        return {kind for k in dict.fromkeys(keys) for parts, kind in self.by_key.get(k, ()) if self.fits(parts, node, above)}
+
+    @staticmethod
+    def fits(parts: list[tuple[str, list[str]]], node: Node, above: tuple) -> bool:
+        def one(simple: list[str], n: Node) -> bool:
+            classes = n.attrs.get("class", "").lower().split()
+            return all(x[1:] in classes if x[0] == "." else x[1:] == n.attrs.get("id", "").lower() if x[0] == "#" else x == n.tag for x in simple)
+
+        if not one(parts[-1][1], node):
+            return False
+        # the nearest ancestor that fits is taken for each part; a child combinator takes the parent alone
+        for (_, simple), (combinator, _) in zip(reversed(parts[:-1]), reversed(parts[1:])):
+            while above and not one(simple, above[0]):
+                if combinator == ">":
+                    return False
+                above = above[1]
+            if not above:
+                return False
+            above = above[1]
+        return True
+
+
+def parse(source: str) -> tuple[Node, Styles]:
+    """The tree of a page, and what its style sheets hide."""
     root = Node("html", {})
-    stack, at, hidden = [root], 0, set()
-    open_: Counter[str] = Counter()  # how often a tag is on the stack: what is not there is not looked for
+    stack, at, hidden = [root], 0, Styles()
+    where: dict[str, list[int]] = {"html": [0]}  # places on the stack of each open tag, so that none is looked for
     end_of_tags = source.rfind(">") + 1
 
+    def nearest(tags) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=-1)
+
     def cut(k: int) -> None:
-        open_.subtract(x.tag for x in stack[k:])
-        del stack[k:]
+        while len(stack) > k:
+            where[stack.pop().tag].pop()
 
     def add_text(raw: str) -> None:
         if raw:
@@ -119,35 +170,25 @@ def parse(source: str) -> tuple[Node, set[str]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1) if open_[tag] > 0 else ():
-                if stack[k].tag == tag:
-                    cut(k)
-                    break
-                if stack[k].tag in WALLS and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            k = nearest([tag])
+            beyond = tag in ("table", "tr", "tbody", "thead", "tfoot", "body", "html")
+            if k > 0 and (beyond or k >= nearest(WALLS)):
+                cut(k)
             if tag == "br":
                 stack[-1].children.append(Node("br", {}))
             continue
         attrs = attributes(m[3]) if m[3] else {}
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
+        if tag in ("html", "body") and where.get(tag):
             stack[0].attrs |= attrs if tag == "html" else {}
             continue
-        if tag in P_ENDERS:
-            for k in range(len(stack) - 1, 0, -1) if open_["p"] > 0 else ():
-                if stack[k].tag == "p":
-                    cut(k)
-                    break
-                if stack[k].tag in WALLS or stack[k].tag == "button":
-                    break
+        if tag in P_ENDERS and (k := nearest(["p"])) > nearest((*WALLS, "button")):
+            cut(k)
         if tag in CLOSES:
             ends, stops = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1) if any(open_[x] > 0 for x in ends) else ():
-                if stack[k].tag in stops:
+            while (k := nearest(ends)) > max(0, nearest(stops - ends)):
+                cut(k)
+                if tag not in ("tr", "thead", "tbody", "tfoot", "optgroup"):
                     break
-                if stack[k].tag in ends:
-                    cut(k)
-                    if tag not in ("tr", "thead", "tbody", "tfoot", "optgroup"):
-                        break
         if stack[-1].tag == "head" and tag not in NEVER_SHOWN and tag != "noscript":
             cut(len(stack) - 1)
         node = Node(tag, attrs)
@@ -160,30 +201,31 @@ def parse(source: str) -> tuple[Node, set[str]]:
                 node.children.append(html.unescape(inner))
             elif tag == "style":
                 for selectors, body in rules(inner):
-                    if HIDING.search(body):
-                        hidden |= {x.strip().lower() for x in selectors.split(",") if re.fullmatch(r"[.#]?[\w-]+", x.strip())}
+                    hidden.add(selectors, body)
         elif tag == "form" and stack[-1].tag in ("table", "tr", *PARTS):
             pass  # as in browsers: empty, what follows belongs to the table
         elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "math")):
+            where.setdefault(tag, []).append(len(stack))
             stack.append(node)
-            open_[tag] += 1
 
 
-def shown(node: Node, hidden: set[str]) -> bool:
-    """Visibility rules: elements never rendered, hidden by attribute, inline style or a simple style rule."""
+def shown(node: Node, kinds: set[str]) -> bool:
+    """Whether an element is rendered: not by its tag, attributes, inline style or the style rules that hold for it."""
     tag, attrs = node.tag, node.attrs
-    if tag in NEVER_SHOWN:
+    if tag in NEVER_SHOWN or (tag == "dialog" and "open" not in attrs):
         return False
-    if attrs:
-        if "hidden" in attrs or (tag == "input" and attrs.get("type", "").lower() == "hidden") or (tag == "dialog" and "open" not in attrs):
-            return False
-        if "style" in attrs and HIDING.search(attrs["style"]):
-            return False
-        if hidden and (any(f".{c.lower()}" in hidden for c in attrs.get("class", "").split()) or f"#{attrs.get('id', '').lower()}" in hidden):
-            return False
-    elif tag == "dialog":
+    if "hidden" in attrs or (tag == "input" and attrs.get("type", "").lower() == "hidden"):
         return False
-    return tag not in hidden
+    return "none" not in kinds and not HIDING.search(attrs.get("style", ""))
+
+
+def visible(node: Node, kinds: set[str], before: bool) -> bool:
+    """Whether the text of an element is visible, which it takes from its parent unless a style says otherwise."""
+    own = VISIBILITY.search(node.attrs.get("style", ""))
+    if own:
+        return own[1].lower() == "visible"
+    told = kinds - {"none"}
+    return "visible" in told if told else before
 
 
 # Boxes: a str is inline text (BR breaks the line); (lines, margin) is a block.
@@ -223,7 +265,10 @@ def flow(items: list) -> list[str]:
 
 
 def table_lines(node: Node, done: dict[int, list]) -> list[str]:
-    """Rows of cells aligned in columns; a spanning cell takes its columns' widths."""
+    """Rows of cells aligned in columns; a spanning cell takes its columns' widths.
+
+    Cells of more than MOST_WIDTH characters reach out of their column, so padding stays in proportion to the page.
+    """
     rows, captions, queue = [], [], list(reversed(node.children))
     while queue:
         x = queue.pop()
@@ -252,14 +297,15 @@ def table_lines(node: Node, done: dict[int, list]) -> list[str]:
         k = 0
         for text, span in cells:
             if span == 1:
-                widths[k] = max(widths.get(k, 0), *map(len, text), 0) if text else widths.get(k, 0)
+                widths[k] = max([widths.get(k, 0), *(len(t) for t in text if len(t) <= MOST_WIDTH)])
             k += span
     out = list(captions)
     for cells in rows:
         for n in range(max([1, *(len(t) for t, _ in cells)])):
             k, parts = 0, []
             for text, span in cells:
-                width = sum(widths.get(j, 0) for j in range(k, k + span)) + 2 * (span - 1)
+                own = [widths[j] + 2 for j in range(k, k + span) if j in widths]
+                width = sum(own) - 2 if own else 0
                 parts.append((text[n] if n < len(text) else "").ljust(width))
                 k += span
             out.append("  ".join(parts).rstrip())
@@ -270,19 +316,24 @@ def render(source: str) -> str:
     """All visible text of a page."""
     root, hidden = parse(source)
     done: dict[int, list] = {}
-    # (node, whether it is a table's child or in a part of one, whether blanks are kept, whether its children are done)
-    stack: list[tuple[Node, bool, bool, bool]] = [(root, False, False, False)]
+    # (node, whether it is a table's child or in a part of one, whether blanks are kept, whether its text is visible,
+    # its parent and those above, whether its children are done)
+    stack: list[tuple[Node, bool, bool, bool, tuple, bool]] = [(root, False, False, True, (), False)]
     while stack:
-        node, inside, keeps, ready = stack.pop()
+        node, inside, keeps, seen, above, ready = stack.pop()
         if not ready:
-            if not shown(node, hidden):
+            kinds = hidden.of(node, above)
+            if not shown(node, kinds):
                 continue
+            seen = visible(node, kinds, seen)
             keeps = keeps or node.tag in ("pre", "textarea", "listing")
-            stack.append((node, inside, keeps, True))
+            stack.append((node, inside, keeps, seen, above, True))
             closed = node.tag == "details" and "open" not in node.attrs
             for c in node.children:
                 if isinstance(c, Node) and (not closed or c.tag == "summary"):
-                    stack.append((c, node.tag == "table" or (inside and node.tag in PARTS), keeps, False))
+                    stack.append((c, node.tag == "table" or (inside and node.tag in PARTS), keeps, seen, (node, above), False))
+            if not seen:
+                node.children = [c for c in node.children if isinstance(c, Node)]
             continue
         tag = node.tag
         closed = tag == "details" and "open" not in node.attrs
