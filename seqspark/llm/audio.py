@@ -152,6 +152,28 @@ def tensor_array(blocks: pa.Array, settings: Settings | None = None) -> pa.Fixed
     return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat.flatten(), s.tensor_frames * s.mels))
 
 
+def write_tensors(blocks: np.ndarray, s: Settings) -> bytes:
+    """Blocks as an Arrow stream of one column of tensors of fixed shape."""
+    flat = pa.array(blocks.reshape(-1), pa.float32())
+    kind = pa.fixed_shape_tensor(pa.float32(), [s.tensor_frames, s.mels])
+    column = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, s.tensor_frames * s.mels))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("tensor", kind)])) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([column], ["tensor"]))
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensors(stored: bytes) -> np.ndarray:
+    """The blocks of write_tensors() as one array [blocks, frames, mels]."""
+    return pa.ipc.open_stream(stored).read_all().column("tensor").combine_chunks().to_numpy_ndarray()
+
+
+def feature(blocks: np.ndarray, frames: int, loud: list[tuple[int, int]]) -> str:
+    """Digest of the quantised log-mel frames of tensors, and of the loud segments."""
+    mel = blocks.reshape(-1, blocks.shape[-1])[:frames]
+    return hashlib.sha256(np.round(mel * 64).astype("<i2").tobytes() + np.array(loud, "<i8").tobytes()).hexdigest()
+
+
 def payload(text: str, block: int) -> tuple[int, bytes]:
     raw = text.encode("utf-8", "surrogatepass")
     return len(raw), raw + b" " * (max(1, -(-len(raw) // block)) * block - len(raw))
@@ -180,9 +202,10 @@ def media(docs: DataFrame, settings: Settings | None = None, *, id_column: str =
         loud = segments(energy, s)
         rate = s.rate * s.up / s.down
         spans = [{"start": a * s.hop / rate, "end": ((b - 1) * s.hop + s.frame) / rate} for a, b in loud]
-        told = hashlib.sha256(np.round(mel * 64).astype("<i2").tobytes() + np.array(loud, "<i8").tobytes()).hexdigest()
+        stored, times = tensors(mel, s)
+        told = feature(read_tensors(write_tensors(stored, s)), len(mel), loud)
         row = (n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(wav), hashlib.sha256(wav).hexdigest(), told, len(mel), spans)
-        return (*row, wav, *tensors(mel, s)) if full else row
+        return (*row, wav, stored, times) if full else row
 
     def blocks(values: tuple[np.ndarray, ...]) -> pa.Array:
         inner = s.tensor_frames * s.mels
