@@ -4,10 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqspark.functions import codes, names, scalar, translation
-from seqspark.operators import align, bait, cascade, clips, edits, kmers, overlap, pileup, reads, stats
+from seqspark.operators import align, bait, cascade, clips, edits, kmers, overlap, pileup, pool, reads, stats
 from seqspark.plans import registry
 from seqspark.plans.read_queries import saver
-from seqspark.sources import records, text_formats
+from seqspark.sources import records, text_formats, traces
 from seqspark.streaming import bait_stream
 
 
@@ -277,3 +277,30 @@ def test_tools(spark, tmp_path):
     assert (tmp_path / "diff" / "a_not_b").exists()
     tools.main(["convert", f"{tmp_path}/r.fasta", f"maf::{tmp_path}/out", "-n", f"{tmp_path}/names", "--invert"], spark)
     assert [r["name"] for r in records.read_maf_reads(spark, f"{tmp_path}/out").collect()] == ["a"]
+
+
+def test_pool(spark):
+    r = spark.createDataFrame([("b", "ACGTACGT", 1), ("a", "TTTT", 2), ("c", "GG", 3)], "name string, seq string, read_id int")
+    order = spark.createDataFrame([("c", 0), ("b", 1), ("b", 9)], "name string, nth int")
+    assert [x["name"] for x in pool.by_name_order(r, order).collect()] == ["c", "b", "a"]
+    ad = spark.createDataFrame([(7, "GTACG"), (8, "TACGT")], "adaptor_id int, seq string")
+    assert rows(pool.adaptor_clips(r, ad, 3, 2)) == [(1, 0, 8)]
+    steps = spark.createDataFrame([(1, 0, 10), (1, 12, 20), (1, 40, 55), (2, 3, 4)], "read_id int, start int, stop int")
+    assert rows(pool.chimera_cuts(steps, 4)) == [(1, 0, 20, 2), (2, 3, 4, 1)]
+    m = spark.createDataFrame([(1, 1, "x", 5), (1, 2, "y", 9), (2, 1, "x", 1)], "template int, segment int, contig string, pos int")
+    assert rows(pool.mates(m)) == [(1, 1, "x", 5, "y", 9), (1, 2, "y", 9, "x", 5), (2, 1, "x", 1, None, None)]
+
+
+def test_traces(spark, tmp_path):
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    samples = rnd.integers(0, 65536, (4, 50)).tolist()
+    data = traces.write_scf(samples, "ACGN", [3, 9, 20, 40], [[9, 1, 2, 3], [0, 8, 0, 0], [1, 1, 7, 1], [0, 0, 0, 0]])
+    got = traces.read_scf(data)
+    assert got["samples"] == samples and got["seq"] == "ACGN" and got["peaks"] == [3, 9, 20, 40]
+    (tmp_path / "x.scf").write_bytes(data)
+    r = traces.read_traces(spark, f"{tmp_path}/x.scf").first()
+    assert r.qual == [9, 8, 7, 0] and r.samples == samples
+    with pytest.raises(ValueError):
+        traces.read_scf(bytes(200))
