@@ -31,7 +31,7 @@ from seqspark.llm import common
 from seqspark.llm.common import Scratch
 
 #: Frequent shingles that every worker is told (12 bytes each), the most frequent ones: they only set the order.
-HEAVY = 1_000_000
+HEAVY = 300_000
 #: Texts that must share a shingle before it counts as frequent, and the multiple of a lead that is counted.
 SEEN, COUNTED = 3, 2
 #: Rows of three longs that are sent to all workers; larger tables are dealt out by key.

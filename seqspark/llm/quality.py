@@ -171,6 +171,7 @@ def document_costs(docs: DataFrame, costs: DataFrame, broadcast_grams: int = BRO
         rows = costs.select("gram", "cost").toArrow()
         table = spark.sparkContext.broadcast((rows["gram"].to_numpy(), rows["cost"].to_numpy()))
         del rows
+        common.release()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = LongTable(*table.value)
