@@ -83,11 +83,12 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.paths = spark, f"{scratch_dir(spark)}/{uuid.uuid4().hex}", []
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", few: bool = False) -> DataFrame:
+        """Write df and read it back. few: its rows are few for the tasks that make them, so gather them into full files."""
         path = f"{self.root}/{name}-{len(self.paths)}"
         self.paths.append(path)
         schema = df.schema
-        df.write.parquet(path)
+        (df.hint("rebalance") if few else df).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         return out

@@ -163,7 +163,7 @@ def survey(texts: DataFrame, width: int, rule: Rule, scratch: Scratch) -> tuple[
             yield pa.RecordBatch.from_arrays([pa.array(np.append(np.ones(len(sizes), bool), np.zeros(len(x), bool))), pa.array(np.append(sizes, x.view(np.int64))), pa.array(np.append(m, n))], ["is_size", "k", "n"])
 
     found = texts.mapInArrow(common.tidy(run), "is_size boolean, k long, n long").groupBy("is_size", "k").agg(F.sum("n").alias("n"))
-    found = scratch.save(found.where(F.col("is_size") | (F.col("n") >= SEEN)), "survey")
+    found = scratch.save(found.where(F.col("is_size") | (F.col("n") >= SEEN)), "survey", few=True)
     histogram = {r.k: r.n for r in found.where("is_size").collect()}
     heavy = found.where("not is_size").orderBy(F.desc("n"), "k").limit(HEAVY).select("k").toArrow()["k"].to_numpy()
     return histogram, np.ascontiguousarray(heavy[::-1]).view(np.uint64)
@@ -265,7 +265,7 @@ def join(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_c
 
     # large sets: lists of leading shingles that two classes share
     lists = classes.where("lead is not null").select("s", "n", F.posexplode("lead").alias("pos", "tok"))
-    shared = scratch.save(lists.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    shared = scratch.save(lists.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1"), "shared", few=True)
     lists = scratch.save(lists.join(sent(shared), "tok"), "lists")
 
     # pairs that meet in a short list, as often as they share a leading shingle
@@ -291,7 +291,7 @@ def join(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_c
 
     ends = members.select("s")
     key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    wanted = scratch.save(classes.select("i", "h", "s").join(ends, "s", "left_semi").select(key(F.col("i")).alias("k"), "h", "s"), "wanted")
+    wanted = scratch.save(classes.select("i", "h", "s").join(ends, "s", "left_semi").select(key(F.col("i")).alias("k"), "h", "s"), "wanted", few=True)
     source = base.select(key(F.col("i")).alias("k"), "h", "t")
     items = scratch.save(whole_sets(source.join(sent(wanted), ["k", "h"]).select("s", "t"), width), "items")
     scratch.drop(classes)
@@ -304,7 +304,7 @@ def join(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_c
     apart = pairs.join(members.join(thin, "family", "left_semi").select(F.col("s").alias("a")), "a", "left_semi")
     found = apart.join(u, "a").join(v, "b").where(rule.holds(F.size(F.array_intersect("ia", "ib")), F.col("na"), F.col("nb")))
     found = scratch.save(found.select("a", "b").distinct(), "found")
-    inner = scratch.save(family_links(members.join(thin, "family", "left_anti"), items, rule, small), "inner")
+    inner = scratch.save(family_links(members.join(thin, "family", "left_anti"), items, rule, small), "inner", few=True)
     scratch.drop(items)
 
     edges = scratch.save(near.where("b is not null").select(F.col("s").alias("a"), "b").union(found).union(inner.where("b is not null").select("a", "b")).distinct(), "edges")

@@ -164,7 +164,7 @@ def plan_mix(docs: DataFrame, scratch: Scratch, *, weights: Callable[[Sequence[s
     Rows with equal id and text share a key and are taken alike.
     """
     spark = docs.sparkSession
-    rows = scratch.save(sized(docs, F.col("id"), seed), "mix")
+    rows = scratch.save(sized(docs, F.col("id"), seed), "mix", few=True)
     grouped = rows.groupBy("members").agg(F.sum("size").alias("size")).collect()
     capacity = {tuple(r.members): r["size"] for r in grouped}
     sizes: dict[str | None, int] = {}

@@ -238,7 +238,7 @@ def judge(docs: DataFrame, trusted: DataFrame, *, quantile: float, slack: float,
     grams = scratch.save(counted(flagged), "grams")
     costs = scratch.save(resolve(grams, *train(grams.where("n > 0"), scratch)), "costs")
     held = rows.join(told(known.where(held_out(F.col("k")))), F.col("i") == F.col("k"), "left_semi")
-    held = scratch.save(document_costs(held, costs, broadcast_grams).where("chars > 0"), "held")
+    held = scratch.save(document_costs(held, costs, broadcast_grams).where("chars > 0"), "held", few=True)
     mean = F.sum("cost") / F.sum("chars")
     all_mean = held.agg(mean.alias("m")).first()["m"] or 0.0
     lang_mean = (F.sum("cost") + PRIOR_CHARS * F.lit(all_mean)) / (F.sum("chars") + PRIOR_CHARS)

@@ -261,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_c
     # copies and near copies are one piece of evidence: those with the same least shingles share a weight of 1
     train = scratch.save(train.mapInArrow(common.tidy(least_shingle), "t string, y int, key long"), "keyed")
     train = train.join(F.broadcast(train.groupBy("key").agg((1 / F.count("*")).alias("weight"))), "key")
-    train = scratch.save(train.select("t", "y", "weight", (F.pmod(F.hash("key"), F.lit(4)) == 0).alias("check")), "train")
+    train = train.select("t", "y", "weight", (F.pmod(F.hash("key"), F.lit(4)) == 0).alias("check"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = CharModel(counts)
