@@ -6,7 +6,8 @@ from collections import deque
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqspark.llm.common import Scratch
@@ -153,6 +154,11 @@ def sized(docs: DataFrame, kept: Column, seed: int = 7) -> DataFrame:
     return docs.select(kept, members.alias("members"), size.alias("size"), sort_key(seed, F.col("id"), F.col("text")).alias("key"))
 
 
+def from_rows(spark: SparkSession, rows: list[tuple], kinds: dict[str, pa.DataType]) -> DataFrame:
+    """A table of the driver's rows, by way of Arrow: a list of rows would start Python workers on every executor."""
+    return spark.createDataFrame(pa.table([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds.values())], list(kinds)))
+
+
 def plan_mix(docs: DataFrame, scratch: Scratch, *, weights: Callable[[Sequence[str | None]], dict] | None = None, cap: int = 3, seed: int = 7) -> Mix:
     """Plan the mix of docs (id, members array<string>, text): see mixed().
 
@@ -178,7 +184,7 @@ def plan_mix(docs: DataFrame, scratch: Scratch, *, weights: Callable[[Sequence[s
     flow = route(capacity, {s: round(t * scale) for s, t in wanted.items()}, cap)
     take = {p: sum(flow.get((p, s), 0) for s in p) for p in capacity}
     parts = [(list(p), *(divmod(take[p], n) if n else (0, 0))) for p, n in capacity.items()]
-    goal = spark.createDataFrame(parts or [([None], 0, 0)], "members array<string>, passes long, rest long")
+    goal = from_rows(spark, parts or [([None], 0, 0)], {"members": pa.list_(pa.string()), "passes": pa.int64(), "rest": pa.int64()})
 
     def cut(eligible: DataFrame) -> DataFrame:
         """Of rows (members, key, size, rest): the last key whose running size is within the rest, and the gap that is left."""
@@ -234,7 +240,7 @@ def mixed(docs: DataFrame, scratch: Scratch, *, id_column: str = "doc_id", sourc
     named = docs.select(docs[id_column].alias("id"), members.alias("members"), docs[text_column].alias("text"))
     mix = plan_mix(named, scratch, weights=weights, cap=cap, seed=seed)
     spark = docs.sparkSession
-    told = spark.createDataFrame([(s, mix.sizes[s], mix.targets[s]) for s in mix.sizes] or [(None, 0, 0.0)], "source string, source_size long, target double")
+    told = from_rows(spark, [(s, mix.sizes[s], mix.targets[s]) for s in mix.sizes] or [(None, 0, 0.0)], {"source": pa.string(), "source_size": pa.int64(), "target": pa.float64()})
     rows, plan = mix.rows.alias("r"), mix.plan.alias("p")
     out = rows.join(F.broadcast(plan), F.col("r.members").eqNullSafe(F.col("p.members")), "left")
     out = out.join(F.broadcast(told), F.element_at("r.members", 1).eqNullSafe(F.col("source")), "left")
