@@ -30,7 +30,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    trap = spark.createDataFrame(TRAP, "conv_id long, turn long, role string, text string")
+    # constants in the plan: a list of rows would be an RDD of Python rows
+    trap = spark.range(1).select(F.inline(F.array(*(F.struct(*map(F.lit, row)) for row in TRAP)))).toDF(*turns.columns)
     return chat_format.digests(chat_format.format_chats(turns.union(trap)))
 
 
