@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqspark.llm import audio, byte_bpe, chat_format, embed_dups, html_text, jaccard, mixing, quality, token_counts, toxicity
+from seqspark.llm import audio, byte_bpe, chat_format, embed_dups, html_text, jaccard, language_id, mixing, quality, token_counts, toxicity
 from seqspark.llm.common import Scratch, table
 
 #: A conversation whose texts hold the marks of chat templates.
@@ -62,6 +62,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.classify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
