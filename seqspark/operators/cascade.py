@@ -83,8 +83,16 @@ def not_repeat() -> Column:
     return ~F.col("rept") | F.col("weakgood")
 
 
-def take_non_repeat(edges: DataFrame, n: int, least_ratio: int) -> DataFrame:
-    return take_extending(edges, n, least_ratio, not_repeat())
+def take_non_repeat(edges: DataFrame, n: int, least_ratio: int, may: DataFrame | None = None) -> DataFrame:
+    """As take_extending(), of edges that are no repeats, between reads that are both well connected and may take edges.
+
+    may: the reads (read_id) that may; None lets all.
+    """
+    able = well_connected(edges).where("well").select("read_id")
+    if may is not None:
+        able = able.join(may.select("read_id").distinct(), "read_id", "left_semi")
+    rows = edges.join(able.select(F.col("read_id").alias("rid1"), F.lit(True).alias("_a")), "rid1", "left").join(able.select(F.col("read_id").alias("rid2"), F.lit(True).alias("_b")), "rid2", "left")
+    return take_extending(rows, n, least_ratio, not_repeat() & F.col("_a").isNotNull() & F.col("_b").isNotNull()).select(*edges.columns)
 
 
 def take_borders(edges: DataFrame, least_ratio: int, repeats: DataFrame) -> DataFrame:
@@ -94,9 +102,10 @@ def take_borders(edges: DataFrame, least_ratio: int, repeats: DataFrame) -> Data
     return _take(rows, (F.col("r1").isNull() != F.col("r2").isNull()) & (F.col("ratio") >= least_ratio)).select(*edges.columns)
 
 
-def take_identical(edges: DataFrame, n: int) -> DataFrame:
-    """Takes the n weightiest edges between equal reads."""
-    return _take(edges, _ranked(edges, ~F.col("taken") & (F.col("eoffset") == 0) & (F.col("ratio") == 100) & (F.col("len1") == F.col("len2")), n))
+def take_identical(edges: DataFrame, n: int | None) -> DataFrame:
+    """Takes the n weightiest edges between equal reads; None takes all."""
+    equal = ~F.col("taken") & (F.col("eoffset") == 0) & (F.col("ratio") == 100) & (F.col("len1") == F.col("len2"))
+    return _take(edges, equal if n is None else _ranked(edges, equal, n))
 
 
 def take_for_untaken_reads(edges: DataFrame, n: int) -> DataFrame:

@@ -125,9 +125,14 @@ def without_dust(stats: DataFrame, n: int) -> DataFrame:
     return stats.where(~F.expr(f"left(kmer, {n})").isin(ends) & ~F.expr(f"right(kmer, {n})").isin(ends))
 
 
+def dust_bases(k: int, percent: int) -> int:
+    """Bases of an end that is a percentage of k: one more than the whole bases in it, k at most."""
+    return min(k, k * percent // 100 + 1)
+
+
 def dust_by_percent(stats: DataFrame, k: int, percent: int) -> DataFrame:
-    """As without_dust(), with ends of a percentage of the k-mer's length (whole numbers, 1 at least)."""
-    return without_dust(stats, max(1, k * percent // 100))
+    """As without_dust(), with ends of a percentage of the k-mer's length, rounded up; a whole share counts one base more."""
+    return without_dust(stats, dust_bases(k, percent))
 
 
 def byte_width(k: int) -> int:

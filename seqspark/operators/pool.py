@@ -85,6 +85,13 @@ def gene_summary(features: DataFrame) -> DataFrame:
     return features.groupBy("contig", "locus").agg(F.array_join(F.array_sort(F.collect_set("name")), ","), F.min("lo"), F.max("hi")).toDF("contig", "locus", "names", "first", "last")
 
 
+#: Coverages from which a warning is worded more strongly.
+COVERAGE_RUNGS = (80, 150, 300)
+
+
 def high_coverage(contigs: DataFrame, most: float) -> DataFrame:
-    """contigs(cov) with a warning where the coverage is above `most`: 1, or 2 from twice as much on."""
-    return contigs.withColumn("warning", F.when(F.col("cov") >= 2 * most, 2).when(F.col("cov") > most, 1).otherwise(0))
+    """contigs(cov) with a warning where the whole coverage is above `most`: 1, and 2, 3, 4 for pretty high, very high and absurd ones."""
+    cov, level = F.floor("cov"), F.lit(1)
+    for k, rung in enumerate(COVERAGE_RUNGS, 2):
+        level = F.when(cov >= rung, k).otherwise(level)
+    return contigs.withColumn("warning", F.when(cov > most, level).otherwise(0))

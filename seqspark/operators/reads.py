@@ -18,15 +18,19 @@ def lower_back(seq: Column) -> Column:
     return F.length(F.regexp_extract(seq, "[a-z]*$", 0))
 
 
-def poly_junk(seq: Column, base: str, sure: int, maybe: int, share: float) -> Column:
-    """A run of `sure` bases, or of `maybe` with less than `share` other bases in the read."""
-    other = F.length(F.replace(seq, F.lit(base), F.lit("")))
-    return seq.contains(base * sure) | (seq.contains(base * maybe) & (other < F.length(seq) * share))
+def poly_junk(seq: Column, base: str, sure: int, maybe: int, percent: int) -> Column:
+    """A run of `sure` bases, or of `maybe` with less than `percent` (rounded down) other bases, of a read within its clips.
+
+    Case does not matter, and N neither ends a run nor counts as a base.
+    """
+    s = F.replace(F.translate(seq, "acgtn", "ACGTN"), F.lit("N"), F.lit(""))
+    other = F.length(F.replace(s, F.lit(base), F.lit("")))
+    return s.contains(base * sure) | (s.contains(base * maybe) & (F.floor(F.lit(100.0) / F.greatest(F.lit(1), F.length(s)) * other) < percent))
 
 
 def debris(seq: Column, quality: Column, least: int, least_quality: int) -> Column:
     """Reason code; the first that applies."""
-    return F.when(F.length(seq) < least, TOO_SHORT).when(poly_junk(seq, "A", 20, 12, 0.2) | poly_junk(seq, "T", 20, 12, 0.2), POLY_RUN).when(quality < least_quality, LOW_QUALITY).otherwise(OK)
+    return F.when(F.length(seq) < least, TOO_SHORT).when(poly_junk(seq, "A", 20, 12, 20) | poly_junk(seq, "T", 20, 12, 20), POLY_RUN).when(quality < least_quality, LOW_QUALITY).otherwise(OK)
 
 
 def resolve_pairs(reads: DataFrame, template: str, segment: str, name: str) -> DataFrame:

@@ -77,7 +77,10 @@ def _extending_sql(n: int, least: int, also: str = "true") -> str:
     return f"k AS (SELECT edge_id, {rank(side('le', 'left_ratio'))} AS kl, {rank(side('re', 'right_ratio'))} AS kr FROM g JOIN best USING (rid1)) SELECT edge_id FROM k WHERE kl <= {n} OR kr <= {n}"
 
 
-@query(f"WITH {BEST_SQL}, {_extending_sql(3, 92, 'NOT rept OR weakgood')}")
+WELL_SQL = f"wl AS (SELECT rid1 AS r FROM (SELECT rid1, rept, weakgood, {_level_sql('level')} FROM lv) WHERE NOT rept OR weakgood GROUP BY rid1 HAVING min(lft) <= 3 AND min(rgt) <= 3)"
+
+
+@query(f"WITH {BEST_SQL}, {LEVEL_SQL[len(EDGES_SQL) + 2 :]}, {WELL_SQL}, {_extending_sql(3, 92, '(NOT rept OR weakgood) AND rid1 IN (FROM wl) AND rid2 IN (FROM wl)')}")
 def edges_non_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _taken(cascade.take_non_repeat(_edges(spark, sf_dir), 3, 92))
 
@@ -98,7 +101,7 @@ def edges_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT edge_id FROM u WHERE first OR (NOT any_taken AND k <= 2)"""
 )
 def edges_untaken_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = cascade.take_identical(_edges(spark, sf_dir), 1_000_000)
+    e = cascade.take_identical(_edges(spark, sf_dir), None)
     return _taken(cascade.take_for_untaken_reads(e, 2))
 
 

@@ -216,10 +216,12 @@ def kmer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers.lookup(_stats(spark, sf_dir), bait.bait_kmers(_baits(spark, sf_dir), K))
 
 
-_DUST_HALF = ", ".join(f"'{x}'" for x in kmers.dust_ends(K * 67 // 100))
+#: 67% of 8 bases are 5.36, rounded up.
+_DUST_BASES = 6
+_DUST_HALF = ", ".join(f"'{x}'" for x in kmers.dust_ends(_DUST_BASES))
 
 
-@query(f"WITH {KM_SQL}, {stats_sql()} SELECT * FROM ks WHERE left(kmer, {K * 67 // 100}) NOT IN ({_DUST_HALF}) AND right(kmer, {K * 67 // 100}) NOT IN ({_DUST_HALF})")
+@query(f"WITH {KM_SQL}, {stats_sql()} SELECT * FROM ks WHERE left(kmer, {_DUST_BASES}) NOT IN ({_DUST_HALF}) AND right(kmer, {_DUST_BASES}) NOT IN ({_DUST_HALF})")
 def kmer_dust_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers.dust_by_percent(_stats(spark, sf_dir), K, 67)
 

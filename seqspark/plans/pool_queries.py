@@ -81,7 +81,7 @@ def locus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.gene_summary(f)
 
 
-@query(f"WITH {PLACED_SQL}, c AS (SELECT contig, sum(len) / (max(start + len) - min(start)) AS cov FROM placed GROUP BY contig) SELECT contig, cov, CASE WHEN cov >= 16 THEN 2 WHEN cov > 8 THEN 1 ELSE 0 END AS warning FROM c")
+@query(f"WITH {PLACED_SQL}, c AS (SELECT contig, sum(len) / (max(start + len) - min(start)) AS cov FROM placed GROUP BY contig) SELECT contig, cov, CASE WHEN floor(cov) <= 8 THEN 0 WHEN floor(cov) >= 300 THEN 4 WHEN floor(cov) >= 150 THEN 3 WHEN floor(cov) >= 80 THEN 2 ELSE 1 END AS warning FROM c")
 def coverage_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = placed(spark, sf_dir).groupBy("contig").agg((F.sum("len") / (F.max(F.col("start") + F.col("len")) - F.min("start"))).alias("cov"))
     return pool.high_coverage(c, 8.0)

@@ -81,13 +81,14 @@ def qual_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads(spark, sf_dir).select("read_id", rate.alias("rate"), scalar.quality_of(rate).alias("quality"))
 
 
-def _poly_sql(base: str, sure: int, maybe: int, share: float) -> str:
-    return f"(contains(seq, '{base * sure}') OR (contains(seq, '{base * maybe}') AND length(replace(seq, '{base}', '')) < length(seq) * {share}))"
+def _poly_sql(base: str, sure: int, maybe: int, percent: int) -> str:
+    s = "replace(translate(seq, 'acgtn', 'ACGTN'), 'N', '')"
+    return f"(contains({s}, '{base * sure}') OR (contains({s}, '{base * maybe}') AND floor(100.0::DOUBLE / greatest(1, length({s})) * length(replace({s}, '{base}', ''))) < {percent}))"
 
 
-@query(f"WITH {READS_SQL} SELECT read_id FROM reads WHERE {_poly_sql('A', 5, 3, 0.75)}")
+@query(f"WITH {READS_SQL} SELECT read_id FROM reads WHERE {_poly_sql('A', 5, 3, 75)}")
 def poly_run_kill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads(spark, sf_dir).where(ops.poly_junk(F.col("seq"), "A", 5, 3, 0.75)).select("read_id")
+    return reads(spark, sf_dir).where(ops.poly_junk(F.col("seq"), "A", 5, 3, 75)).select("read_id")
 
 
 @query("SELECT doc_id AS read_id, CAST(length(regexp_extract(text, '^[a-zNX]*')) AS INTEGER) AS front, CAST(length(regexp_extract(text, '[a-z]*$')) AS INTEGER) AS back FROM documents")
@@ -96,7 +97,7 @@ def lowercase_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {READS_SQL} SELECT code, CAST(count(*) AS BIGINT) AS reads FROM (SELECT CASE WHEN length(seq) < 100 THEN 1 WHEN {_poly_sql('A', 20, 12, 0.2)} OR {_poly_sql('T', 20, 12, 0.2)} THEN 2
+    f"""WITH {READS_SQL} SELECT code, CAST(count(*) AS BIGINT) AS reads FROM (SELECT CASE WHEN length(seq) < 100 THEN 1 WHEN {_poly_sql('A', 20, 12, 20)} OR {_poly_sql('T', 20, 12, 20)} THEN 2
  WHEN quality < 1 THEN 3 ELSE 0 END AS code FROM reads LEFT JOIN labels ON read_id = doc_id) GROUP BY code"""
 )
 def debris_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

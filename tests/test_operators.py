@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqspark.functions import codes, names, scalar, translation
-from seqspark.operators import align, bait, cascade, clips, edits, kmers, overlap, pileup, pool, reads, stats
+from seqspark.operators import bait, cascade, clips, edits, kmers, normalise, overlap, pileup, pool, reads, stats
 from seqspark.plans import registry
 from seqspark.plans.read_queries import saver
 from seqspark.sources import records, text_formats, traces
@@ -125,14 +125,9 @@ def test_pileup(spark):
     assert rows(pileup.short_read_consensus(g)) == [(1, 1, "M", 2)]
 
 
-def test_alignment_and_normalisation(spark):
-    assert align.align("ACGTACGTAC", "GTACGTAC", 2) == (8, 8, 8)
-    assert align.align("ACGTACGTAC", "GTACCTAC", 2)[2] == 7
-    assert align.score_ratio(8, 8) == 100 and align.score_ratio(-3, 5) == 0
-    p = spark.createDataFrame([(1, 2, "ACGTACGTAC", "GTACGTACGG", 2)], "rid1 long, rid2 long, seq1 string, seq2 string, eoffset int")
-    assert rows(align.alignments(p)) == [(1, 2, 8, 8, 8, 100)]
+def test_normalisation(spark):
     r = spark.createDataFrame([("g", k, "ACGTAC", True) for k in range(15)] + [("g", 20, "ACGTAC", False), ("h", 99, "NNN", True)], "rg string, read_id long, seq string, masked boolean")
-    assert rows(align.normalise(r, 4)) == [("g", k) for k in range(10)] + [("g", 20)]
+    assert rows(normalise.normalise(r, 4)) == [("g", k) for k in range(10)] + [("g", 20)]
 
 
 def test_formats_round_trip(spark, tmp_path):
@@ -217,7 +212,12 @@ def test_cascade(spark):
     kind = "edge_id long, rid1 long, rid2 long, eoffset long, ratio long, weight long, len1 long, len2 long, rept boolean, weakgood boolean, taken boolean"
     e = spark.createDataFrame([(1, 1, 2, 10, 100, 50, 100, 100, False, False, False), (2, 1, 3, 20, 96, 40, 100, 100, True, False, False), (3, 1, 4, -5, 90, 30, 100, 100, False, True, False), (4, 2, 5, 0, 100, 20, 100, 100, False, False, False), (5, 3, 1, 0, 80, 5, 100, 50, False, False, False)], kind)
     taken = lambda d: sorted(r.edge_id for r in d.where("taken").collect())
-    assert taken(cascade.take_non_repeat(e, 1, 85)) == [1, 3]
+    # reads 2 to 5 have no edges of their own that extend both sides, so only with those are they well connected
+    assert taken(cascade.take_non_repeat(e, 1, 85)) == []
+    more = [(10 * r + k, r, 9, off, 100, 1, 100, 100, False, False, False) for r in (2, 3, 4) for k, off in enumerate((10, -10))]
+    full = e.union(spark.createDataFrame(more, kind))
+    assert taken(cascade.take_non_repeat(full, 1, 85)) == [1, 3]
+    assert taken(cascade.take_non_repeat(full, 1, 85, spark.createDataFrame([(1,), (2,)], "read_id long"))) == [1]
     assert taken(cascade.take_identical(e, 1)) == [4]
     steps = cascade.cascade(e, lambda x: cascade.take_identical(x, 1), lambda x: cascade.take_for_untaken_reads(x, 1))
     assert taken(steps) == [1, 4, 5]
@@ -304,3 +304,14 @@ def test_traces(spark, tmp_path):
     assert r.qual == [9, 8, 7, 0] and r.samples == samples
     with pytest.raises(ValueError):
         traces.read_scf(bytes(200))
+
+
+def test_runs_of_one_base_and_coverage_warnings(spark):
+    reads_ = ["A" * 20, "A" * 10 + "nN" + "a" * 10, "A" * 19 + "C" * 5, "A" * 12 + "C" * 2, "A" * 12 + "CNNNNNNC", "A" * 12 + "C" * 3, "A" * 6 + "N" + "A" * 6, "A" * 6 + "C" + "A" * 6, "", "NNN"]
+    d = spark.createDataFrame([(k, s) for k, s in enumerate(reads_)], "i int, s string")
+    got = {r.i for r in d.where(reads.poly_junk(F.col("s"), "A", 20, 12, 20)).collect()}
+    # 3 of 15 are 20 percent, 5 of 24 are 20.8, rounded down to 20, which is not less
+    assert got == {0, 1, 3, 4, 6}
+    c = spark.createDataFrame([(x,) for x in (7.0, 8.9, 9.0, 79.9, 80.0, 150.0, 300.0, None)], "cov double")
+    assert [r.warning for r in pool.high_coverage(c, 8.0).collect()] == [0, 0, 1, 1, 2, 3, 4, 0]
+    assert [kmers.dust_bases(k, p) for k, p in ((8, 67), (10, 50), (4, 100), (9, 0))] == [6, 6, 4, 1]
