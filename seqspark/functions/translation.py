@@ -60,15 +60,24 @@ def codon_index(codon: Column) -> Column:
     return F.when((at[0] > 0) & (at[1] > 0) & (at[2] > 0) & (F.length(codon) == 3), at[0] * 16 + at[1] * 4 + at[2] - 21)
 
 
-def amino_acid(codon: Column, table: int = 1) -> Column:
-    """Amino acid of a codon; an IUPAC codon has one if all its readings do, else X."""
-    told, up = amino_acids(table), F.upper(codon)
-    index = codon_index(up)
-    mask = [F.call_function("locate", F.substr(up, F.lit(k), F.lit(1)), F.lit(scalar.IUPAC)) - 1 for k in (1, 2, 3)]
+def told_by_masks(table: int) -> str:
+    """Amino acids of the 4096 codons of IUPAC letters, by 256, 16 and 1 times the letters' bit sets; X where readings differ."""
     bit = {"A": 1, "C": 2, "G": 4, "T": 8}
-    readings = F.array(*(F.when((mask[0].bitwiseAND(F.lit(bit[c[0]])) > 0) & (mask[1].bitwiseAND(F.lit(bit[c[1]])) > 0) & (mask[2].bitwiseAND(F.lit(bit[c[2]])) > 0), told[k]) for k, c in enumerate(scalar.codons())))
-    several = F.array_distinct(F.array_compact(readings))
-    return F.when(index.isNotNull(), F.substr(F.lit(told), index + 1, F.lit(1))).when(F.size(several) == 1, F.element_at(several, 1)).otherwise("X")
+    told = dict(zip(scalar.codons(), amino_acids(table)))
+    out = []
+    for index in range(4096):
+        masks = index >> 8, index >> 4 & 15, index & 15
+        readings = {aa for codon, aa in told.items() if all(bit[c] & m for c, m in zip(codon, masks))}
+        out.append(readings.pop() if len(readings) == 1 else "X")
+    return "".join(out)
+
+
+def amino_acid(codon: Column, table: int = 1) -> Column:
+    """Amino acid of a codon; an IUPAC codon has one if all its readings do, else X. One look into an array for each codon."""
+    up = F.upper(codon)
+    masks = [F.call_function("locate", F.substr(up, F.lit(k), F.lit(1)), F.lit(scalar.IUPAC)) - 1 for k in (1, 2, 3)]
+    index = F.when(F.least(*masks) >= 0, masks[0] * 256 + masks[1] * 16 + masks[2] + 1)
+    return F.coalesce(F.element_at(F.split(F.lit(told_by_masks(table)), ""), index), F.lit("X"))
 
 
 def translate(dna: Column, table: int = 1, start: int = 1, reverse: bool = False, to_stop: bool = False) -> Column:

@@ -13,6 +13,8 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 #: Ten times the score of a match, a mismatch and a gap; half scores of ambiguity codes; what N is expected to score.
 TIMES, MATCH, MISMATCH, GAP, HALF, HALF_MISS, N_EXPECTED = 10, 10, -10, -20, 5, -5, -1
@@ -339,3 +341,20 @@ def alignments(pairs: DataFrame, rules: Rules = Rules(), window: int = 30, allow
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     return pairs.select("rid1", "rid2", "seq1", "seq2", "eoffset").mapInArrow(run, SCHEMA)
+
+
+def edges(found: DataFrame) -> DataFrame:
+    """Edges from both ends of accepted alignments, (rid1, rid2, weight, ratio, rank): weight is score times ratio squared.
+
+    Of several alignments of a pair the one of most weight counts; rank orders a read's edges, equal weights by the other read.
+    """
+    weight = F.col("score").cast("long") * F.col("ratio") * F.col("ratio")
+    best = found.where("accepted").groupBy("rid1", "rid2").agg(F.max(F.struct(weight.alias("weight"), F.col("ratio"))).alias("x")).select("rid1", "rid2", "x.*")
+    both = best.union(best.select("rid2", "rid1", "weight", "ratio"))
+    return both.withColumn("rank", F.row_number().over(W.partitionBy("rid1").orderBy(F.desc("weight"), "rid2")))
+
+
+def bans(found: DataFrame) -> DataFrame:
+    """(lo, hi): pairs without an accepted alignment."""
+    by = found.groupBy(F.least("rid1", "rid2").alias("lo"), F.greatest("rid1", "rid2").alias("hi")).agg(F.bool_or("accepted").alias("any"))
+    return by.where(~F.col("any")).select("lo", "hi")

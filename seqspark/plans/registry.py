@@ -22,7 +22,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from seqspark.plans import contig_queries, edge_queries, graph_queries, kmer_queries, pool_queries, read_queries, record_queries, scalar_queries  # noqa: F401
+    from seqspark.plans import align_queries, contig_queries, edge_queries, graph_queries, kmer_queries, pool_queries, read_queries, record_queries, scalar_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -98,9 +98,9 @@ def _protein_sql(table: int) -> str:
     return f"md5(array_to_string(list_transform(regexp_extract_all(seq, '...'), lambda x: coalesce({told}[x], 'X')), '')) AS code_{table}"
 
 
-@query(f"WITH {READS_SQL}, s AS (SELECT read_id, substr(regexp_replace(seq, '[^ACGT]', '', 'g'), 1, 300) AS seq FROM reads) SELECT read_id, " + ", ".join(map(_protein_sql, CODES)) + " FROM s")
+@query(f"WITH {READS_SQL}, s AS (SELECT read_id, regexp_replace(seq, '[^ACGT]', '', 'g') AS seq FROM reads) SELECT read_id, " + ", ".join(map(_protein_sql, CODES)) + " FROM s")
 def genetic_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seq = F.substr(F.regexp_replace("seq", "[^ACGT]", ""), F.lit(1), F.lit(300))
+    seq = F.regexp_replace("seq", "[^ACGT]", "")
     return reads(spark, sf_dir).select("read_id", seq.alias("seq")).select("read_id", *(F.md5(translation.translate(F.col("seq"), t).cast("binary")).alias(f"code_{t}") for t in CODES))
 
 
@@ -108,13 +108,13 @@ _STOPS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in scalar.codons().items()
 
 
 @query(
-    f"""WITH {READS_SQL}, s AS (SELECT read_id, reverse(translate(substr(regexp_replace(seq, '[^ACGT]', '', 'g'), 1, 300), 'ACGT', 'TGCA')) AS seq FROM reads),
+    f"""WITH {READS_SQL}, s AS (SELECT read_id, reverse(translate(regexp_replace(seq, '[^ACGT]', '', 'g'), 'ACGT', 'TGCA')) AS seq FROM reads),
 p AS (SELECT read_id, substr(seq, 2, 3) AS first, array_to_string(list_transform(regexp_extract_all(substr(seq, 2), '...'), lambda x: {_STOPS}[x]), '') AS prot FROM s)
 SELECT read_id, CASE WHEN contains(prot, '*') THEN split_part(prot, '*', 1) || '*' ELSE prot END AS protein, first IN ('TTG', 'CTG', 'ATG') AS starts FROM p"""
 )
 def reading_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reverse strand from its second base to the first stop."""
-    seq = F.substr(F.regexp_replace("seq", "[^ACGT]", ""), F.lit(1), F.lit(300))
+    seq = F.regexp_replace("seq", "[^ACGT]", "")
     rows = reads(spark, sf_dir).select("read_id", seq.alias("seq"))
     first = F.substr(scalar.reverse_complement(F.col("seq")), F.lit(2), F.lit(3))
     return rows.select("read_id", translation.translate(F.col("seq"), 1, 2, reverse=True, to_stop=True).alias("protein"), translation.is_start(first).alias("starts"))
@@ -233,12 +233,10 @@ def _poly_sql(seq: str, base: str, least: int, errors: int, grace: int) -> str:
 
 
 @query(
-    f"""WITH {READS_SQL}, t AS (SELECT read_id, length(seq) AS n, substr(seq, 1, 60) AS front, reverse(substr(reverse(seq), 1, 60)) AS tail FROM reads), f AS (SELECT read_id, length(tail) AS n, {_poly_sql('front', 'a', 4, 2, 6)} AS a, {_poly_sql('reverse(tail)', 't', 4, 2, 6)} AS b FROM t)
+    f"""WITH {READS_SQL}, f AS (SELECT read_id, length(seq) AS n, {_poly_sql('seq', 'a', 4, 2, 6)} AS a, {_poly_sql('reverse(seq)', 't', 4, 2, 6)} AS b FROM reads)
 SELECT read_id, CAST(coalesce(a.s, -1) AS INTEGER) AS a_start, CAST(coalesce(a.e, -1) AS INTEGER) AS a_end, CAST(CASE WHEN b.s IS NULL THEN -1 ELSE n - 1 - b.e END AS INTEGER) AS t_start, CAST(CASE WHEN b.s IS NULL THEN -1 ELSE n - 1 - b.s END AS INTEGER) AS t_end FROM f"""
 )
 def poly_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Poly-A among the first and poly-T among the last 60 bases."""
-    front, tail = F.substr("seq", F.lit(1), F.lit(60)), F.reverse(F.substr(F.reverse("seq"), F.lit(1), F.lit(60)))
-    rows = reads(spark, sf_dir).select("read_id", front.alias("front"), tail.alias("tail"))
-    a, t = clips.poly_front(F.col("front"), "a", 4, 2, 6), clips.poly_end(F.col("tail"), "t", 4, 2, 6)
-    return rows.select("read_id", a[0].alias("a_start"), a[1].alias("a_end"), t[0].alias("t_start"), t[1].alias("t_end"))
+    """Poly-A at the front and poly-T at the back."""
+    a, t = clips.poly_front(F.col("seq"), "a", 4, 2, 6), clips.poly_end(F.col("seq"), "t", 4, 2, 6)
+    return reads(spark, sf_dir).select("read_id", a[0].alias("a_start"), a[1].alias("a_end"), t[0].alias("t_start"), t[1].alias("t_end"))

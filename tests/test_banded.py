@@ -206,3 +206,11 @@ def test_gap_runs_and_widening(spark):
     assert got[3].gaps == 60 and got[3].longest_gap == 60 and not got[3].band_hit
     assert {got[k].accepted for k in (5, 7, 9, 11, 13)} == {False} and got[5].cigar is None
     assert got[1].cigar.startswith("100N") and got[1].aligned1.replace("*", "").strip() == s
+
+
+def test_edges_and_bans(spark):
+    kind = "rid1 long, rid2 long, score int, ratio int, accepted boolean"
+    found = spark.createDataFrame([(1, 2, 50, 90, True), (1, 2, 60, 100, True), (3, 1, 40, 100, True), (4, 1, None, None, False), (2, 4, 9, 3, False), (4, 2, 70, 80, True)], kind)
+    rows = sorted(tuple(r) for r in B.edges(found).collect())
+    assert rows == [(1, 2, 600_000, 100, 1), (1, 3, 400_000, 100, 2), (2, 1, 600_000, 100, 1), (2, 4, 448_000, 80, 2), (3, 1, 400_000, 100, 1), (4, 2, 448_000, 80, 1)]
+    assert [tuple(r) for r in B.bans(found).collect()] == [(1, 4)]
