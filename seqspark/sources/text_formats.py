@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqspark.functions import codes
+from seqspark.sources.blocks import read_fastq  # noqa: F401
 
 BASES = "^[ACGTNXRYKMSWBDHVacgtnxrykmswbdhv*@-]*$"
 
@@ -44,36 +45,6 @@ def with_qualities(seqs: DataFrame, quals: DataFrame) -> DataFrame:
     return both.withColumn("qual", F.coalesce(bad.cast("array<int>"), F.col("qual"))).drop("_s", "_q")
 
 
-def read_fastq(spark: SparkSession, path: str, offset: int = 33) -> DataFrame:
-    """(name, comment, seq, qual) of a FASTQ file of four lines a record, plain or gzipped.
-
-    Lines are numbered within a file by its single split; a comment that begins with 1: or 2: rolls into the name.
-    """
-
-    def run(batches):
-        import pandas as pd
-
-        rest: list[str] = []
-        for b in batches:
-            rest += b["value"].tolist()
-            n = len(rest) // 4 * 4
-            r, rest = rest[:n], rest[n:]
-            if n:
-                head = [x[1:].split(None, 1) for x in r[0::4]]
-                if any(not x.startswith("@") for x in r[0::4]) or any(len(s) != len(q) for s, q in zip(r[1::4], r[3::4])):
-                    raise ValueError("not a FASTQ record of four lines")
-                names = [h[0] + (f"/{h[1][0]}" if len(h) > 1 and h[1][:2] in ("1:", "2:") else "") for h in head]
-                yield pd.DataFrame({"name": names, "comment": [h[1] if len(h) > 1 else "" for h in head], "seq": r[1::4], "qual": [[ord(c) - offset for c in q] for q in r[3::4]]})
-        if [x for x in rest if x.strip()]:
-            raise ValueError("the file ends inside a record")
-
-    lines = spark.read.option("wholetext", False).text(path)
-    one_split = lines.withColumn("file", F.input_file_name())
-    # a record must not be cut: each file is one group of lines in order
-    ordered = one_split.withColumn("n", F.monotonically_increasing_id()).repartition("file").sortWithinPartitions("file", "n")
-    return ordered.select("value").mapInPandas(run, "name string, comment string, seq string, qual array<int>")
-
-
 def infer_offset(quals: DataFrame) -> int:
     """Offset 33, 59 or 64 from raw qualities (read with offset 0) and the longest read.
 
