@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqspark.operators import intervals
+
 
 def coverage(placed: DataFrame) -> DataFrame:
     """placed(contig, start, len) -> (contig, start, stop, cov): stretches of equal coverage above 0.
@@ -14,9 +16,8 @@ def coverage(placed: DataFrame) -> DataFrame:
     """
     events = placed.select("contig", F.col("start").alias("at"), F.lit(1).alias("d")).union(placed.select("contig", F.col("start") + F.col("len"), F.lit(-1)))
     net = events.groupBy("contig", "at").agg(F.sum("d").alias("d")).where("d <> 0")
-    w = W.partitionBy("contig").orderBy("at")
-    steps = net.select("contig", F.col("at").alias("start"), F.lead("at").over(w).alias("stop"), F.sum("d").over(w).alias("cov"))
-    return steps.where("cov > 0")
+    steps = intervals.running(net)
+    return steps.select("contig", F.col("at").alias("start"), F.col("next").alias("stop"), F.col("total").alias("cov")).where("cov > 0")
 
 
 def coverage_stats(steps: DataFrame) -> DataFrame:
@@ -108,7 +109,8 @@ def feature_coverage(steps: DataFrame, features: DataFrame) -> DataFrame:
     mean = steps.groupBy("contig").agg((F.sum(n * F.col("cov")) / F.sum(n)).alias("m"))
     inner = steps.join(mean, "contig").where((F.col("cov") >= F.col("m") / 3) & (F.col("cov") <= F.col("m") * 3))
     whole = median_coverage(inner).join(second_order(steps), "contig").select("contig", F.col("median_cov").alias("cm"), F.col("stddev_cov").alias("cs"))
-    hit = features.join(steps, "contig").where((F.col("start") <= F.col("hi")) & (F.col("stop") > F.col("lo")))
+    # features end with their last position
+    hit = intervals.touching(features.select("contig", "lo", (F.col("hi") + 1).alias("hi")), steps).withColumn("hi", F.col("hi") - 1)
     hit = hit.select("contig", "lo", "hi", "cov", (F.least("stop", F.col("hi") + 1) - F.greatest("start", "lo")).alias("n"))
     bare = features.join(hit.groupBy("contig", "lo", "hi").agg(F.sum("n").alias("s")), ["contig", "lo", "hi"], "left")
     every = hit.union(bare.select("contig", "lo", "hi", F.lit(0).cast("long"), F.col("hi") - F.col("lo") + 1 - F.coalesce("s", F.lit(0)))).where("n > 0")

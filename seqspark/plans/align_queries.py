@@ -1,13 +1,13 @@
-"""Queries of alignments: SQL has no dynamic programme, so these are tested against brute force."""
+"""Queries of alignments and of normalisation in order, which SQL can't express; they are tested against brute force."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqspark.operators import banded, overlap
+from seqspark.operators import banded, normalise, overlap
 from seqspark.plans.adapter import reads
-from seqspark.plans.read_queries import _edges
+from seqspark.plans.read_queries import _edges, saver
 from seqspark.plans.registry import query
 
 
@@ -38,3 +38,11 @@ def alignment_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alignment_bans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs whose alignment was not accepted, which are not tried again: (lo, hi)."""
     return banded.bans(_aligned(spark, sf_dir))
+
+
+@query()
+def normalised_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of each language that are kept where a k-mer needs three; ids two by two are pairs, long reads are good."""
+    r = reads(spark, sf_dir).select("read_id", F.col("lang").alias("rg"), "seq")
+    pairs = r.withColumn("good", F.length("seq") >= 1000).withColumn("partner", F.col("read_id") + F.when(F.col("read_id") % 2 == 0, 1).otherwise(-1))
+    return normalise.normalise(normalise.steps(pairs).withColumn("masked", F.lit(True)), 12, saver(spark), 3)

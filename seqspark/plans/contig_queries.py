@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqspark.operators import pileup, stats
+from seqspark.operators import intervals, pileup, stats
 from seqspark.plans.adapter import PLACED_SQL, READS_SQL, STEPS_SQL, placed, reads
 from seqspark.plans.registry import query
 
@@ -200,7 +200,9 @@ SELECT contig, lo, hi, CAST(count(*) AS BIGINT) AS reads FROM f JOIN placed USIN
 def feature_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placed reads that touch a feature's interval."""
     f = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("contig"), (F.col("s_suppkey") * 3).alias("lo"), (F.col("s_suppkey") * 3 + 40).alias("hi"))
-    return f.join(placed(spark, sf_dir), "contig").where("start <= hi and start + len > lo").groupBy("contig", "lo", "hi").agg(F.count("*").alias("reads"))
+    own = placed(spark, sf_dir).select("contig", "start", (F.col("start") + F.col("len")).alias("stop"))
+    hits = intervals.touching(f.withColumn("hi", F.col("hi") + 1), own)
+    return hits.groupBy("contig", "lo", (F.col("hi") - 1).alias("hi")).agg(F.count("*").alias("reads"))
 
 
 @query(

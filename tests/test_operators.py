@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqspark.functions import codes, names, scalar, translation
-from seqspark.operators import bait, cascade, clips, edits, kmers, normalise, overlap, pileup, pool, reads, stats
+from seqspark.operators import bait, cascade, clips, edits, kmers, overlap, pileup, pool, reads, stats
 from seqspark.plans import registry
 from seqspark.plans.read_queries import saver
 from seqspark.sources import records, text_formats, traces
@@ -125,11 +125,6 @@ def test_pileup(spark):
     assert rows(pileup.short_read_consensus(g)) == [(1, 1, "M", 2)]
 
 
-def test_normalisation(spark):
-    r = spark.createDataFrame([("g", k, "ACGTAC", True) for k in range(15)] + [("g", 20, "ACGTAC", False), ("h", 99, "NNN", True)], "rg string, read_id long, seq string, masked boolean")
-    assert rows(normalise.normalise(r, 4)) == [("g", k) for k in range(10)] + [("g", 20)]
-
-
 def test_formats_round_trip(spark, tmp_path):
     r = spark.createDataFrame([("a", "ACGTN" * 30, [20] * 150), ("b", "AC", [1, 40])], "name string, seq string, qual array<int>").coalesce(1)
     text_formats.write_fasta(r, f"{tmp_path}/f")
