@@ -127,60 +127,51 @@ def resolve(grams: DataFrame, own: DataFrame, contexts: DataFrame, order: int =
     return out.select("gram", (-F.log("p")).cast("float").alias("cost"))
 
 
-class LongTable:
-    """Values of whole-number keys by open addressing."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(8, int(np.ceil(np.log2(max(1, len(keys)) * 2.5))))
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
-        slot = self.slot(keys)
-        while len(keys):
-            free = np.flatnonzero(self.keys[slot] == -1)
-            _, one = np.unique(slot[free], return_index=True)
-            won = free[one]
-            self.keys[slot[won]], self.values[slot[won]] = keys[won], values[won]
-            left = np.ones(len(keys), bool)
-            left[won] = False
-            keys, values, slot = keys[left], values[left], (slot[left] + 1) & ((1 << self.bits) - 1)
-
-    def slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Values of keys that are all present."""
-        slot = self.slot(keys)
-        todo = np.flatnonzero(self.keys[slot] != keys)
-        while len(todo):
-            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
-            at = self.keys[slot[todo]]
-            if (at == -1).any():
-                raise KeyError("an n-gram without a cost")
-            todo = todo[at != keys[todo]]
-        return self.values[slot]
-
-
-def document_costs(docs: DataFrame, costs: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, field: str | None = None) -> DataFrame:
+class Costs:
+    """n-gram costs in every worker: one broadcast of sorted arrays, 12 bytes an n-gram and nothing built from them."""
+
+    def __init__(self, costs: DataFrame):
+        rows = costs.select("gram", "cost").toArrow()
+        grams, values = rows["gram"].to_numpy(), rows["cost"].to_numpy()
+        order = np.argsort(grams)
+        self.told = costs.sparkSession.sparkContext.broadcast((grams[order], values[order]))
+        del rows, grams, values, order
+        common.release()
+
+    @staticmethod
+    def find(told: tuple[np.ndarray, np.ndarray], codes: np.ndarray) -> np.ndarray:
+        """Costs of codes that are all present; each distinct one is searched once, in ascending order."""
+        keys, values = told
+        some, back = np.unique(codes, return_inverse=True)
+        at = np.minimum(np.searchsorted(keys, some), max(0, len(keys) - 1))
+        if len(some) and (not len(keys) or (keys[at] != some).any()):
+            raise KeyError("an n-gram without a cost")
+        return values[at][back] if len(some) else np.zeros(0, np.float32)
+
+
+def told_costs(costs: DataFrame, broadcast_grams: int = BROADCAST_GRAMS) -> Costs | None:
+    """The costs for all workers, or None where they are too many and documents have to be joined to them."""
+    return Costs(costs) if costs.count() <= broadcast_grams else None
+
+
+def document_costs(docs: DataFrame, costs: DataFrame, known: Costs | None, field: str | None = None) -> DataFrame:
     """docs(i, lang, t) -> (i, lang, chars, cost): characters and summed cost of each row.
 
-    i may be of any type, also a struct that holds the text as `field` (then there is no t).
+    i may be of any type, also a struct that holds the text as `field` (then there is no t). known: told_costs(costs).
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     kind = T.StructType([docs.schema["i"], docs.schema["lang"], T.StructField("chars", T.LongType()), T.StructField("cost", T.DoubleType())])
-    if costs.count() <= broadcast_grams:
-        rows = costs.select("gram", "cost").toArrow()
-        table = spark.sparkContext.broadcast((rows["gram"].to_numpy(), rows["cost"].to_numpy()))
-        del rows
-        common.release()
+    if known is not None:
+        table = known.told
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = LongTable(*table.value)
             for whole in batches:
                 for batch in common.slices(whole, "i" if field else "t", 1 << 19):
                     texts = batch.column("i").field(field) if field else batch.column("t")
                     code, at = gram_codes([x or "" for x in texts.to_pylist()])
                     upto = np.zeros(len(code) + 1)
-                    np.cumsum(known.find(code), out=upto[1:], dtype=np.float64)
+                    np.cumsum(Costs.find(table.value, code), out=upto[1:], dtype=np.float64)
                     yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("lang"), pa.array(np.diff(at)), pa.array(upto[at[1:]] - upto[at[:-1]])], ["i", "lang", "chars", "cost"])
 
         return docs.select("i", "lang", *["t"] * (field is None)).mapInArrow(common.tidy(run), kind)
@@ -214,7 +205,7 @@ class Judge:
     all_mean: float
     all_limit: float | None
     slack: float
-    broadcast_grams: int
+    known: Costs | None
 
     def kept(self, each: DataFrame) -> DataFrame:
         """each(i, lang, chars, cost) -> (i, chars, perplexity, threshold, kept)."""
@@ -238,7 +229,8 @@ def judge(docs: DataFrame, trusted: DataFrame, *, quantile: float, slack: float,
     grams = scratch.save(counted(flagged), "grams")
     costs = scratch.save(resolve(grams, *train(grams.where("n > 0"), scratch)), "costs")
     held = rows.join(told(known.where(held_out(F.col("k")))), F.col("i") == F.col("k"), "left_semi")
-    held = scratch.save(document_costs(held, costs, broadcast_grams).where("chars > 0"), "held", few=True)
+    told_grams = told_costs(costs, broadcast_grams)
+    held = scratch.save(document_costs(held, costs, told_grams).where("chars > 0"), "held", few=True)
     mean = F.sum("cost") / F.sum("chars")
     all_mean = held.agg(mean.alias("m")).first()["m"] or 0.0
     lang_mean = (F.sum("cost") + PRIOR_CHARS * F.lit(all_mean)) / (F.sum("chars") + PRIOR_CHARS)
@@ -249,7 +241,7 @@ def judge(docs: DataFrame, trusted: DataFrame, *, quantile: float, slack: float,
     all_limit = None if all_over is None else all_mean + all_over
     drawn = F.col("lang_mean") + (F.col("lang_n") * F.col("high") + PRIOR_TEXTS * F.lit(all_over).cast("double")) / (F.col("lang_n") + PRIOR_TEXTS)
     by_lang = scratch.save(over.groupBy("l", "lang_mean", "lang_n").agg(high.alias("high")).select("l", "lang_mean", drawn.alias("lang_limit")), "langs")
-    return Judge(costs, by_lang, all_mean, all_limit, slack, broadcast_grams), rows
+    return Judge(costs, by_lang, all_mean, all_limit, slack, told_grams), rows
 
 
 def classify(docs: DataFrame, trusted: DataFrame, *, quantile: float = 0.99, slack: float = 1.1, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
@@ -264,11 +256,11 @@ def classify(docs: DataFrame, trusted: DataFrame, *, quantile: float = 0.99, sla
     Null and repeated ids give a row each; an empty table gives an empty one; other columns are ignored.
     """
     found, rows = judge(docs, trusted, quantile=quantile, slack=slack, id_column=id_column, text_column=text_column, lang_column=lang_column, broadcast_grams=broadcast_grams)
-    return found.kept(document_costs(rows, found.costs, broadcast_grams)).withColumnRenamed("i", id_column)
+    return found.kept(document_costs(rows, found.costs, found.known)).withColumnRenamed("i", id_column)
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, *, quantile: float = 0.99, slack: float = 1.1, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """The rows of docs that classify() keeps, with all their columns."""
     found, _ = judge(docs, trusted, quantile=quantile, slack=slack, id_column=id_column, text_column=text_column, lang_column=lang_column, broadcast_grams=broadcast_grams)
     rows = docs.select(F.struct(*docs.columns).alias("i"), docs[lang_column].cast("string").alias("lang"))
-    return found.kept(document_costs(rows, found.costs, broadcast_grams, text_column)).where("kept").select("i.*")
+    return found.kept(document_costs(rows, found.costs, found.known, text_column)).where("kept").select("i.*")
