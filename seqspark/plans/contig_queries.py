@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqspark.operators import intervals, pileup, stats
+from seqspark.operators import consensus, intervals, pileup, stats
 from seqspark.plans.adapter import PLACED_SQL, READS_SQL, STEPS_SQL, placed, reads
 from seqspark.plans.registry import query
 
@@ -292,3 +292,83 @@ def contig_read_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     w = W.partitionBy("l_suppkey").orderBy("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
     return d.select(F.col("l_suppkey").alias("contig"), F.col("l_orderkey").alias("read_id"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.floor("l_quantity") - 1).alias("stop"), F.row_number().over(w).alias("place"))
+
+
+QUALITY_SQL = """qc AS (SELECT *, instr('ACGT*', base) AS o, fwd > 0 AND bwd > 0 AS paired, max(quality) OVER w AS most, sum(quality) OVER w AS every FROM {source} WINDOW w AS (PARTITION BY contig, pos)),
+qk AS (SELECT *, quality >= 30 OR quality + 5 >= most OR n >= 3 AND quality >= 20 AND paired AS c, CASE base WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 ELSE 0 END AS bit FROM qc),
+qs AS (SELECT contig, pos, any_value(most) AS most, any_value(every) AS every, count(*) FILTER (c) AS nc, count(*) FILTER (c AND quality >= 30 AND paired) AS ng, any_value(base) FILTER (c) AS b1, any_value(quality) FILTER (c) AS q1,
+ any_value(base) FILTER (c AND quality >= 30 AND paired) AS bg, any_value(quality) FILTER (c AND quality >= 30 AND paired) AS qg, list(base ORDER BY o) FILTER (c) AS chosen, bit_or(bit) FILTER (c) AS bits, sum(quality) FILTER (c) AS qsum,
+ count(*) FILTER (quality = most) AS nm, bool_or(quality = most AND base = '*') AS gm, max({{'s': CASE WHEN paired THEN n * 2 ELSE n END, 'o': o, 'b': base, 'q': quality}}) FILTER (c) AS top FROM qk GROUP BY contig, pos),
+ql AS (SELECT contig, pos, chosen, CASE WHEN nc = 1 THEN b1 WHEN ng = 1 THEN bg WHEN gm AND nm = 1 THEN '*' ELSE substr('-ACMGRSVTWYHKDBN', CAST(bits + 1 AS BIGINT), 1) END AS letter, CASE WHEN nc = 1 THEN b1 WHEN ng = 1 THEN bg ELSE top.b END AS single,
+ CAST(CASE WHEN nc = 1 THEN greatest(0, most - every + q1) WHEN ng = 1 THEN greatest(0, most - every + qg) WHEN gm AND nm = 1 THEN most ELSE qsum // nc END AS BIGINT) AS quality,
+ CAST(CASE WHEN nc = 1 THEN greatest(0, most - every + q1) WHEN ng = 1 THEN greatest(0, most - every + qg) ELSE top.q END AS BIGINT) AS single_quality FROM qs)"""
+
+
+@query(f"WITH {PILE_SQL}, {QUALITY_SQL.format(source='gr')} SELECT contig, pos, letter, quality, array_to_string(chosen, '') AS chosen FROM ql")
+def consensus_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.quality_calls(_groups(spark, sf_dir)).withColumn("chosen", F.array_join("chosen", ""))
+
+
+@query(f"WITH {PILE_SQL}, {QUALITY_SQL.format(source='gr')} SELECT contig, pos, single AS letter, single_quality AS quality FROM ql")
+def consensus_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.quality_calls(_groups(spark, sf_dir), single=True).drop("chosen")
+
+
+TECH = "CASE WHEN l_linenumber % 2 = 0 THEN 'sanger' ELSE 'short' END"
+TECH_PILE_SQL = PILE_SQL.replace("l_suppkey AS contig, l_partkey % 50 AS pos", f"l_suppkey AS contig, {TECH} AS tech, l_partkey % 50 AS pos").replace("PARTITION BY contig, pos, base", "PARTITION BY contig, tech, pos, base").replace("SELECT contig, pos, base, CAST(count(*)", "SELECT contig, tech, pos, base, CAST(count(*)")
+
+
+def _hybrid_sql(several: bool) -> str:
+    near = "(tech <> 'short' OR quality >= CASE WHEN top > 30 THEN top - 30 ELSE 0 END)"
+    letter = "substr('-ACMGRSVTWYHKDBN', CAST(bits + 1 AS BIGINT), 1)"
+    base = "CASE WHEN len(lf) = 1 THEN lf[1] END" if several else "CASE WHEN len(lf) = 1 THEN lf[1] WHEN len(picks) = 1 THEN CASE WHEN list_contains(lf, picks[1]) THEN picks[1] ELSE '*' END ELSE mostly END"
+    return f"""WITH {TECH_PILE_SQL}, sq AS (SELECT * FROM gr WHERE tech = 'sanger'), {QUALITY_SQL.format(source='sq')},
+sw AS (SELECT *, instr('ACGT*', base) AS o, CASE WHEN fwd >= 2 AND bwd >= 2 THEN n * 2 WHEN fwd >= 1 AND bwd >= 1 THEN n * 3 // 2 ELSE n END AS w FROM gr WHERE tech = 'short'), sm AS (SELECT *, max(w) OVER (PARTITION BY contig, pos) AS mw FROM sw),
+sl AS (SELECT contig, pos, list(base ORDER BY o) AS chosen, max({{'w': w, 'o': -o, 'b': base}}).b AS letter FROM sm WHERE w >= mw // 2 OR fwd >= 2 AND bwd >= 2 GROUP BY contig, pos),
+ca AS (SELECT contig, pos, 'sanger' AS tech, letter, chosen FROM ql UNION ALL SELECT contig, pos, 'short', letter, chosen FROM sl),
+lv AS (SELECT g.*, instr('ACGT*', g.base) AS o, CASE base WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 ELSE 0 END AS bit, CASE g.tech WHEN 'sanger' THEN CASE WHEN fwd > 0 AND bwd > 0 THEN CASE WHEN quality >= 35 THEN 0 WHEN quality >= 25 THEN 1 ELSE 2 END WHEN n >= 3 AND len(chosen) = 1 THEN 3 ELSE 4 END
+  ELSE CASE WHEN fwd > 0 AND bwd > 0 AND n >= 12 AND quality >= 35 THEN 0 WHEN fwd > 0 AND bwd > 0 AND n >= 8 AND quality >= 30 THEN 1 WHEN fwd > 0 AND bwd > 0 AND n >= 6 AND quality >= 25 THEN 2 WHEN quality >= 20 AND n >= 4 AND len(chosen) = 1 THEN 3 WHEN quality >= 10 THEN 4 ELSE 5 END END AS level
+  FROM gr g JOIN ca USING (contig, pos, tech)),
+be AS (SELECT *, min(level) OVER (PARTITION BY contig, pos) AS best, max(quality) FILTER (tech = 'short') OVER (PARTITION BY contig, pos) AS top FROM lv),
+k1 AS (SELECT * FROM be WHERE level <= best + 2), n1 AS (SELECT contig, pos, count(DISTINCT base) AS d FROM k1 GROUP BY ALL),
+k2 AS (SELECT k1.* FROM k1 JOIN n1 USING (contig, pos) WHERE d = 1 OR {near}), n2 AS (SELECT contig, pos, count(DISTINCT base) AS d FROM k2 GROUP BY ALL),
+k3 AS (SELECT k2.* FROM k2 JOIN n2 USING (contig, pos) WHERE d = 1 OR {near} AND level <= best + {1 if several else 0}),
+po AS (SELECT contig, pos, list(DISTINCT x) AS possible, list(DISTINCT pick) FILTER (pick IS NOT NULL) AS picks FROM (SELECT contig, pos, unnest(chosen) AS x, CASE WHEN letter IN ('A', 'C', 'G', 'T', '*') THEN letter END AS pick FROM ca) GROUP BY ALL),
+mo AS (SELECT contig, pos, list(base) AS kept, max({{'n': n, 'o': o, 'b': base}}).b AS mostly FROM (SELECT contig, pos, base, any_value(o) AS o, sum(n) AS n FROM k3 GROUP BY ALL) GROUP BY contig, pos),
+lf AS (SELECT contig, pos, picks, mostly, CASE WHEN len(possible) > 1 THEN coalesce(kept, []) ELSE possible END AS lf FROM po LEFT JOIN mo USING (contig, pos)),
+ba AS (SELECT *, {base} AS base, list_sum(list_transform(lf, lambda x: CASE x WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 ELSE 0 END)) AS bits FROM lf),
+qq AS (SELECT ba.contig, ba.pos, max(lv.quality) FILTER (lv.base = ba.base) AS qm, sum(lv.quality) FILTER (lv.base = ba.base) AS qs, sum(lv.quality) FILTER (lv.base = '*' OR lv.bit & CAST(ba.bits AS BIGINT) > 0) AS cs, count(*) FILTER (lv.base = '*' OR lv.bit & CAST(ba.bits AS BIGINT) > 0) AS cn FROM ba JOIN lv USING (contig, pos) GROUP BY ALL)
+SELECT contig, pos, CASE WHEN len(lf) = 0 THEN 'X' ELSE coalesce(base, {letter}) END AS letter, CAST(CASE WHEN len(lf) = 0 THEN 0 WHEN base IS NOT NULL THEN coalesce(greatest(qm, qs * 75 // 100), 0) ELSE cs // cn END AS BIGINT) AS quality FROM ba JOIN qq USING (contig, pos)"""
+
+
+def _hybrid(spark: SparkSession, sf_dir: str, several: bool) -> DataFrame:
+    """Even lines of an order stand for bases of long reads, odd ones for those of short reads."""
+    tech = F.when(F.col("l_linenumber") % 2 == 0, consensus.SANGER).otherwise(consensus.SHORT)
+    d = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("l_suppkey", F.struct(F.col("l_suppkey").alias("c"), tech.alias("tech")))
+    g = _groups_of(d).select(F.col("contig.c").alias("contig"), "contig.tech", "pos", "base", "n", "fwd", "bwd", "quality")
+    of = lambda t: g.where(F.col("tech") == t).drop("tech")
+    long = consensus.quality_calls(of(consensus.SANGER)).select("contig", "pos", F.lit(consensus.SANGER).alias("tech"), "letter", "chosen")
+    short = consensus.short_chosen(of(consensus.SHORT)).select("contig", "pos", F.lit(consensus.SHORT).alias("tech"), "letter", "chosen")
+    return consensus.hybrid_calls(g, long.union(short), several)
+
+
+@query(_hybrid_sql(False))
+def consensus_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hybrid(spark, sf_dir, False)
+
+
+@query(_hybrid_sql(True))
+def consensus_hybrid_several(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hybrid(spark, sf_dir, True)
+
+
+@query(
+    f"""WITH {PILE_SQL.replace("l_suppkey AS contig, l_partkey % 50 AS pos", "l_suppkey * 10 + l_linenumber % 3 AS contig, l_partkey % 50 AS pos")}, {QUALITY_SQL.format(source='gr')}
+SELECT contig // 10 AS contig, contig % 10 AS strain, string_agg(single, '' ORDER BY pos) AS seq, coalesce(string_agg(single, '' ORDER BY pos) FILTER (single <> '*'), '') AS unpadded, CAST(coalesce(sum(single_quality) FILTER (single <> '*'), 0) AS BIGINT) AS quality FROM ql GROUP BY contig"""
+)
+def strain_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of each strain of a contig; the number of a line modulo three stands for the strain."""
+    d = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("l_suppkey", F.struct(F.col("l_suppkey").alias("c"), (F.col("l_linenumber") % 3).alias("strain")))
+    g = _groups_of(d).select(F.col("contig.c").alias("contig"), "contig.strain", "pos", "base", "n", "fwd", "bwd", "quality")
+    out = consensus.sequences(consensus.by_strain(g), "contig", "strain")
+    return out.select("contig", "strain", "seq", "unpadded", F.aggregate("quals", F.lit(0).cast("long"), lambda a, x: a + x).alias("quality"))
