@@ -1,23 +1,26 @@
-"""Screening of a stream of reads: a stateless map, so a stream and a batch give the same rows."""
+"""Screening of a stream of reads: each micro-batch is joined to the bait k-mers, as a batch of reads is."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from seqspark.operators import bait
 
 
 def screen(reads: DataFrame, baits: DataFrame, k: int, least: int) -> DataFrame:
-    """Streaming reads(read_id, seq) with hits of at least `least` bait k-mers, counted in the row itself.
+    """(read_id, hits) of reads(read_id, seq) with hits of at least `least` bait k-mers; baits may be of any size."""
+    return bait.hits(reads, baits, k, "read_id").where(F.col("hits") >= least)
 
-    baits is a static table whose distinct k-mers the screen carries as one row; keep it to bait libraries.
+
+def start(reads: DataFrame, baits: DataFrame, k: int, least: int, path: str, checkpoint: str) -> StreamingQuery:
+    """Screens a stream of reads into a Parquet table at path, one partition `batch` for each micro-batch.
+
+    A batch that runs again after a failure replaces its own partition, so each read is counted once.
     """
-    library = bait.bait_kmers(baits, k).agg(F.collect_set("kmer").alias("library"))
-    found = F.regexp_extract_all("seq", F.lit(f"(?=([ACGT]{{{k}}}))"), F.lit(1))
-    known = set(library.first()["library"])
-    table = F.create_map(*(x for w in sorted(known) for x in (F.lit(w), F.lit(1)))) if known else F.expr("cast(map() as map<string,int>)")
-    hits = F.size(F.filter(found, lambda w: F.try_element_at(table, w).isNotNull()))
-    return reads.select("read_id", hits.alias("hits")).where(F.col("hits") >= least)
 
+    def put(batch: DataFrame, number: int) -> None:
+        screen(batch, baits, k, least).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
+    return reads.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()

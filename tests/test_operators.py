@@ -60,11 +60,18 @@ def test_bait(spark):
 def test_stream_equals_batch(spark, tmp_path):
     r = spark.createDataFrame([(k, "AAACCCGGG"[k % 5 :]) for k in range(20)], "read_id long, seq string")
     b = spark.createDataFrame([("CCCGGGTTT",)], "seq string")
-    r.write.parquet(f"{tmp_path}/in")
-    q = bait_stream.screen(spark.readStream.schema(r.schema).parquet(f"{tmp_path}/in"), b, 4, 1).writeStream.format("memory").queryName("screened").start()
-    q.processAllAvailable()
-    q.stop()
-    assert rows(spark.table("screened")) == rows(bait_stream.screen(r, b, 4, 1))
+    r.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    for more in (0, 1):  # a second run goes on after the first
+        q = bait_stream.start(stream, b, 4, 1, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+        q.processAllAvailable()
+        q.stop()
+        got = spark.read.parquet(f"{tmp_path}/out")
+        assert rows(got.select("read_id", "hits")) == rows(bait_stream.screen(r, b, 4, 1)) and got.select("batch").distinct().count() > 1
+        if not more:
+            extra = spark.createDataFrame([(100, "CCCGG")], "read_id long, seq string")
+            extra.write.mode("append").parquet(f"{tmp_path}/in")
+            r = r.union(extra)
 
 
 def test_coverage(spark):
