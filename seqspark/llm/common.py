@@ -77,6 +77,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return found or "/tmp/checkpoints/seqspark"
 
 
+def most_files(spark: SparkSession) -> int | None:
+    """Tasks that write a scratch table at most: three for each core, and one for eight shuffle partitions.
+
+    A file costs more than its bytes (on a local file system each starts processes that set its mode). None,
+    no bound, where the number of cores changes while jobs run.
+    """
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        return None
+    return max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+
+
 class Scratch:
     """Tables written to the shared folder. They cut the lineage and survive the loss of executors."""
 
@@ -88,7 +99,9 @@ class Scratch:
         path = f"{self.root}/{name}-{len(self.paths)}"
         self.paths.append(path)
         schema = df.schema
-        (df.hint("rebalance") if few else df).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+        most = most_files(self.spark)
+        df = df.hint("rebalance") if few else df
+        (df.coalesce(most) if most else df).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         return out
