@@ -17,7 +17,7 @@ from seqspark.llm import common
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NEVER_SHOWN = frozenset("head script style template title iframe noembed noframes object video audio canvas datalist svg math meta link base".split())
+NEVER_SHOWN = frozenset("head script style template title iframe noembed noframes noscript object video audio canvas datalist svg math meta link base".split())
 MARGIN = {t: 1 for t in "p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset".split()}
 BLOCK = frozenset(MARGIN) | frozenset("html body div section article aside nav header footer main address form li dt dd tr td th thead tbody tfoot caption hr details summary legend figcaption center dialog menu option optgroup select search hgroup".split())
 #: An opening tag ends the open elements named here, looked for up to one of the stop tags.
@@ -49,8 +49,8 @@ COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 BRACE = re.compile(r"[{}]")
 #: Blocks of rules that hold on a screen; others are skipped.
 HOLDS = re.compile(r"@layer\b.*|@media\s+(?:only\s+)?(?:screen|all)", re.I | re.S)
-HIDING = re.compile(r"display\s*:\s*none", re.I)
-VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+#: Values that a declaration needs to count; others make it void, as unknown ones do in browsers.
+VALUES = {"display": re.compile(r"[a-z]+(?:-[a-z]+)*(?: [a-z-]+)*"), "visibility": re.compile("hidden|collapse|visible|inherit|initial|unset|revert")}
 #: A selector of tags, classes and ids, and of these below each other; what says more is left out.
 COMPOUND = r"(?:[a-zA-Z][\w-]*|\*)?(?:[.#][\w-]+)*"
 SELECTOR = re.compile(rf"{COMPOUND}(?:\s*>\s*{COMPOUND}|\s+{COMPOUND})*")
@@ -94,47 +94,87 @@ def rules(css: str) -> Iterator[tuple[str, str]]:
         at = m.end()
 
 
+def declared(body: str) -> dict[str, tuple[bool, str]]:
+    """What a block of declarations says of display and visibility: (whether it is important, value). Later ones win, important ones first."""
+    out: dict[str, tuple[bool, str]] = {}
+    for part in body.split(";"):
+        name, _, value = part.partition(":")
+        name, value = name.strip().lower(), BLANKS.sub(" ", value.strip().lower())
+        important = value.endswith("!important") or value.endswith("! important")
+        value = value.rpartition("!")[0].strip() if important else value
+        if name in VALUES and VALUES[name].fullmatch(value) and (important or not out.get(name, (False,))[0]):
+            out[name] = important, value
+    return out
+
+
 class Styles:
-    """What style sheets hide: selectors by a class, id or tag that their last part asks for."""
+    """What style sheets say of display and visibility: selectors by a class, id or tag that their last part asks for."""
 
     def __init__(self) -> None:
-        self.by_key: dict[str, list[tuple[list[tuple[str, list[str]]], str]]] = {}
+        self.by_key: dict[str, list[tuple]] = {}
+        self.order = 0
 
     def add(self, selectors: str, body: str) -> None:
-        seen = VISIBILITY.search(body)
-        kind = "none" if HIDING.search(body) else seen[1].lower() if seen else ""
-        for text in selectors.split(",") if kind else ():
-            text = text.strip().lower()
+        said = declared(body)
+        self.order += 1
+        for text in selectors.split(",") if said else ():
+            text = text.strip()
             if text and SELECTOR.fullmatch(text):
-                # each part with the combinator that stands before it
-                parts = [(c or " ", re.findall(r"[.#]?[\w-]+", x)) for c, x in re.findall(r"\s*(>|\s)?\s*([^\s>]+)", text)]
-                self.by_key.setdefault(max(parts[-1][1], default="*", key=lambda x: x[0] in ".#"), []).append((parts, kind))
-
-    def of(self, node: Node, above: tuple) -> set[str]:
-        """Kinds of hiding that hold for a node; above: its parent and what is above that."""
-        if not self.by_key:
-            return set()
-        keys = ["*", node.tag, *(f".{c.lower()}" for c in node.attrs.get("class", "").split()), f"#{node.attrs.get('id', '').lower()}"]
-        return {kind for k in dict.fromkeys(keys) for parts, kind in self.by_key.get(k, ()) if self.fits(parts, node, above)}
+                # chains of parents, the element's own first; in a chain the lowest part first
+                chains: list[list[list[str]]] = [[]]
+                for combinator, x in reversed(re.findall(r"\s*(>|\s)?\s*([^\s>]+)", text)):
+                    chains[-1].append([y if y[0] == "#" else y.lower() for y in re.findall(r"[.#]?[\w-]+", x)])
+                    if combinator != ">":
+                        chains.append([])
+                chains = [c for c in chains if c]
+                every = [x for c in chains for part in c for x in part]
+                weight = (sum(x[0] == "#" for x in every), sum(x[0] == "." for x in every), sum(x[0] not in ".#" for x in every), self.order)
+                self.by_key.setdefault(max(chains[0][0], default="*", key=lambda x: x[0] in ".#"), []).append((chains, weight, said))
+
+    def of(self, node: Node, above: tuple) -> dict[str, str]:
+        """Values that hold for a node, by importance, inline style, specificity and order; above: its parent and what is above that."""
+        best: dict[str, tuple] = {}
+
+        def offer(said: dict[str, tuple[bool, str]], inline: bool, weight: tuple) -> None:
+            for name, (important, value) in said.items():
+                best[name] = max(best.get(name, ((), "")), ((important, inline, weight), value))
+
+        if self.by_key:
+            keys = ["*", node.tag, *(f".{c.lower()}" for c in node.attrs.get("class", "").split()), f"#{node.attrs.get('id', '')}"]
+            for k in dict.fromkeys(keys):
+                for chains, weight, said in self.by_key.get(k, ()):
+                    if self.fits(chains, node, above):
+                        offer(said, False, weight)
+        if node.attrs.get("style"):
+            offer(declared(COMMENT.sub(" ", node.attrs["style"])), True, ())
+        return {name: value for name, (_, value) in best.items()}
 
     @staticmethod
-    def fits(parts: list[tuple[str, list[str]]], node: Node, above: tuple) -> bool:
+    def fits(chains: list[list[list[str]]], node: Node, above: tuple) -> bool:
         def one(simple: list[str], n: Node) -> bool:
             classes = n.attrs.get("class", "").lower().split()
-            return all(x[1:] in classes if x[0] == "." else x[1:] == n.attrs.get("id", "").lower() if x[0] == "#" else x == n.tag for x in simple)
-
-        if not one(parts[-1][1], node):
-            return False
-        # the nearest ancestor that fits is taken for each part; a child combinator takes the parent alone
-        for (_, simple), (combinator, _) in zip(reversed(parts[:-1]), reversed(parts[1:])):
-            while above and not one(simple, above[0]):
-                if combinator == ">":
-                    return False
-                above = above[1]
-            if not above:
-                return False
-            above = above[1]
-        return True
+            return all(x[1:] in classes if x[0] == "." else x[1:] == n.attrs.get("id", "") if x[0] == "#" else x == n.tag for x in simple)
+
+        def along(chain: list[list[str]], n: Node, up: tuple) -> tuple | None:
+            """What is above the chain if it stands at n and its parents."""
+            for k, simple in enumerate(chain):
+                if k:
+                    if not up:
+                        return None
+                    n, up = up
+                if not one(simple, n):
+                    return None
+            return (up,)
+
+        found = along(chains[0], node, above)
+        for chain in chains[1:]:
+            # the nearest place where the whole chain stands leaves the most above it
+            up = found[0] if found else ()
+            found = None
+            while up and not found:
+                found = along(chain, *up)
+                up = up[1]
+        return found is not None
 
 
 def parse(source: str) -> tuple[Node, Styles]:
@@ -209,23 +249,20 @@ def parse(source: str) -> tuple[Node, Styles]:
             stack.append(node)
 
 
-def shown(node: Node, kinds: set[str]) -> bool:
-    """Whether an element is rendered: not by its tag, attributes, inline style or the style rules that hold for it."""
+def shown(node: Node, style: dict[str, str]) -> bool:
+    """Whether an element is rendered: by its tag, by a style that holds for it, or else by its attributes."""
     tag, attrs = node.tag, node.attrs
-    if tag in NEVER_SHOWN or (tag == "dialog" and "open" not in attrs):
-        return False
-    if "hidden" in attrs or (tag == "input" and attrs.get("type", "").lower() == "hidden"):
+    if tag in NEVER_SHOWN or (tag == "input" and attrs.get("type", "").lower() == "hidden"):
         return False
-    return "none" not in kinds and not HIDING.search(attrs.get("style", ""))
+    if style.get("display") not in (None, "revert"):
+        return style["display"] != "none"
+    return "hidden" not in attrs and (tag != "dialog" or "open" in attrs)
 
 
-def visible(node: Node, kinds: set[str], before: bool) -> bool:
+def visible(style: dict[str, str], before: bool) -> bool:
     """Whether the text of an element is visible, which it takes from its parent unless a style says otherwise."""
-    own = VISIBILITY.search(node.attrs.get("style", ""))
-    if own:
-        return own[1].lower() == "visible"
-    told = kinds - {"none"}
-    return "visible" in told if told else before
+    told = style.get("visibility", "inherit")
+    return told in ("visible", "initial") or told in ("inherit", "unset", "revert") and before
 
 
 # Boxes: a str is inline text (BR breaks the line); (lines, margin) is a block.
@@ -270,6 +307,11 @@ def table_lines(node: Node, done: dict[int, list]) -> list[str]:
     Cells of more than MOST_WIDTH characters reach out of their column, so padding stays in proportion to the page.
     """
     rows, captions, queue = [], [], list(reversed(node.children))
+    held: list[tuple[int, int, int]] = []  # columns from, to, that cells of rows above hold for so many rows more
+
+    def number(text: str, most: int) -> int:
+        return min(int(text), most) if text.isdecimal() and int(text) else 1
+
     while queue:
         x = queue.pop()
         if not isinstance(x, Node) or id(x) not in done:
@@ -278,36 +320,47 @@ def table_lines(node: Node, done: dict[int, list]) -> list[str]:
         elif x.tag in PARTS:
             queue += reversed(x.children)
         elif x.tag == "tr":
-            cells = []
+            cells, k, at, new = [], 0, 0, []
             for c in x.children:
                 if isinstance(c, Node) and id(c) in done:
                     text = flow(done[id(c)])
                     if not text and c.tag not in ("td", "th"):
                         continue
-                    span = c.attrs.get("colspan", "1")
-                    cells.append((text, min(int(span), 1000) if span.isdecimal() and int(span) else 1))
+                    span, down = number(c.attrs.get("colspan", "1"), 1000), number(c.attrs.get("rowspan", "1"), 65534)
                 elif isinstance(c, str) and c.strip():
-                    cells.append(([BLANKS.sub(" ", c).strip()], 1))
+                    text, span, down = [BLANKS.sub(" ", c).strip()], 1, 1
+                else:
+                    continue
+                while at < len(held) and held[at][0] <= k:
+                    k, at = max(k, held[at][1]), at + 1
+                cells.append((k, text, span))
+                if down > 1:
+                    new.append((k, k + span, down - 1))
+                k += span
+            held = sorted([*((a, b, n - 1) for a, b, n in held if n > 1), *new])
             if cells:
                 rows.append(cells)
         else:
             captions += flow(done[id(x)])
     widths: dict[int, int] = {}
     for cells in rows:
-        k = 0
-        for text, span in cells:
+        for k, text, span in cells:
             if span == 1:
                 widths[k] = max([widths.get(k, 0), *(len(t) for t in text if len(t) <= MOST_WIDTH)])
-            k += span
+
+    def wide(a: int, b: int) -> int:
+        own = [widths[j] + 2 for j in range(a, b) if j in widths]
+        return sum(own) - 2 if own else 0
+
     out = list(captions)
     for cells in rows:
-        for n in range(max([1, *(len(t) for t, _ in cells)])):
-            k, parts = 0, []
-            for text, span in cells:
-                own = [widths[j] + 2 for j in range(k, k + span) if j in widths]
-                width = sum(own) - 2 if own else 0
-                parts.append((text[n] if n < len(text) else "").ljust(width))
-                k += span
+        for n in range(max([1, *(len(t) for _, t, _ in cells)])):
+            upto, parts = 0, []
+            for k, text, span in cells:
+                if any(j in widths for j in range(upto, k)):  # held by a cell above
+                    parts.append(" " * wide(upto, k))
+                parts.append((text[n] if n < len(text) else "").ljust(wide(k, k + span)))
+                upto = k + span
             out.append("  ".join(parts).rstrip())
     return out
 
@@ -322,10 +375,10 @@ def render(source: str) -> str:
     while stack:
         node, inside, keeps, seen, above, ready = stack.pop()
         if not ready:
-            kinds = hidden.of(node, above)
-            if not shown(node, kinds):
+            style = hidden.of(node, above)
+            if not shown(node, style):
                 continue
-            seen = visible(node, kinds, seen)
+            seen = visible(style, seen)
             keeps = keeps or node.tag in ("pre", "textarea", "listing")
             stack.append((node, inside, keeps, seen, above, True))
             closed = node.tag == "details" and "open" not in node.attrs
