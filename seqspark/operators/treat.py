@@ -22,10 +22,6 @@ def collapse_runs(seq: Column) -> Column:
     return seq
 
 
-def gaps_to_n(seq: Column) -> Column:
-    return F.translate(seq, "*", "N")
-
-
 def hard_trim(seq: Column, left: Column, right: Column) -> Column:
     """What lies between the clips; empty where they cross."""
     return F.substr(seq, left + F.lit(1), F.greatest(F.lit(0), right - left))
@@ -37,14 +33,6 @@ def tiles(seqs: DataFrame, length: int, step: int) -> DataFrame:
     return seqs.where(F.length("seq") > 0).select("name", "seq", F.explode(at).alias("start")).select("name", "start", F.substr("seq", F.col("start") + 1, F.lit(length)).alias("seq"))
 
 
-def protein_identity(a: Column, b: Column) -> Column:
-    """100 x identical places over the longer length, each up to its first stop; 1.0 where either is empty."""
-    x, y = F.split(F.substring_index(a, "*", 1), ""), F.split(F.substring_index(b, "*", 1), "")
-    n = F.greatest(F.length(F.substring_index(a, "*", 1)), F.length(F.substring_index(b, "*", 1)))
-    same = F.size(F.filter(F.zip_with(x, y, lambda p, q: (p == q) & (p != "")), lambda s: s))
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(1.0)).otherwise(same * 100.0 / n)
-
-
 def end_clips(classed: DataFrame, k: int, least: int = 2) -> DataFrame:
     """classed(read_id, pos, class) -> (read_id, left, right): from the first to past the last k-mer of a class of `least` or more."""
     return classed.where(F.col("class") >= least).groupBy("read_id").agg(F.min("pos").alias("left"), (F.max("pos") + k).alias("right"))
@@ -68,13 +56,3 @@ def quality_clips(reads: DataFrame, least: float = 20, window: int = 30) -> Data
             yield pd.DataFrame({"read_id": b.read_id, "ql": [c[0] for c in clips], "qr": [c[1] for c in clips]})
 
     return reads.select("read_id", "qual").mapInPandas(run, "read_id long, ql int, qr int")
-
-
-def bad_stretch(qual: Column, least: int, n: int) -> Column:
-    """Start of the first run of n qualities below `least`, -1 if there is none."""
-    state = F.aggregate(
-        qual,
-        F.struct(F.lit(0).alias("at"), F.lit(0).alias("run"), F.lit(-1).alias("found")),
-        lambda s, q: F.struct((s.at + 1).alias("at"), F.when(q < least, s.run + 1).otherwise(0).alias("run"), F.when((s.found < 0) & (q < least) & (s.run + 1 >= n), s.at + 1 - n).otherwise(s.found).alias("found")),
-    )
-    return state.found
