@@ -26,8 +26,12 @@ from seqspark.llm.toxicity import held_out
 ORDER, BITS = 5, 12
 #: Characters from here on share 512 classes; class 0 stands before a text.
 DIRECT = 3584
-#: Resolved n-grams that are sent to all workers (12 bytes each); beyond, documents are joined to them.
+#: Resolved n-grams that are sent to all workers at a time (12 bytes each); more are sent in slices, one pass over the documents each.
 BROADCAST_GRAMS = 2_000_000
+#: Slices at most; beyond, documents are joined to the n-grams, which moves several times the input.
+MOST_SLICES = 16
+#: A prime that deals n-grams into slices by all of their characters.
+DEALT = 1009
 #: Trusted ids that are sent to all workers (16 bytes each); beyond, texts are joined to them.
 BROADCAST_IDS = 500_000
 #: A text's mean is drawn to its language's by this many characters.
@@ -128,53 +132,77 @@ def resolve(grams: DataFrame, own: DataFrame, contexts: DataFrame, order: int =
 
 
 class Costs:
-    """n-gram costs in every worker: one broadcast of sorted arrays, 12 bytes an n-gram and nothing built from them."""
+    """Costs of one of `slices` parts of the n-grams in every worker: one broadcast of sorted arrays, 12 bytes an n-gram and nothing built from them."""
 
-    def __init__(self, costs: DataFrame):
-        rows = costs.select("gram", "cost").toArrow()
+    def __init__(self, costs: DataFrame, part: int = 0, slices: int = 1):
+        own = costs.where(F.floor(F.col("gram") % DEALT * slices / DEALT) == part) if slices > 1 else costs
+        rows = own.select("gram", "cost").toArrow()
         grams, values = rows["gram"].to_numpy(), rows["cost"].to_numpy()
         order = np.argsort(grams)
+        self.part, self.slices = part, slices
         self.told = costs.sparkSession.sparkContext.broadcast((grams[order], values[order]))
-        del rows, grams, values, order
+        del own, rows, grams, values, order
         common.release()
 
     @staticmethod
-    def find(told: tuple[np.ndarray, np.ndarray], codes: np.ndarray) -> np.ndarray:
-        """Costs of codes that are all present; each distinct one is searched once, in ascending order."""
+    def find(told: tuple[np.ndarray, np.ndarray], codes: np.ndarray, part: int = 0, slices: int = 1) -> np.ndarray:
+        """Costs of codes, 0 for those of other slices; each distinct one is searched once, in ascending order."""
         keys, values = told
         some, back = np.unique(codes, return_inverse=True)
-        at = np.minimum(np.searchsorted(keys, some), max(0, len(keys) - 1))
-        if len(some) and (not len(keys) or (keys[at] != some).any()):
+        here = some % DEALT * slices // DEALT == part
+        own = some[here]
+        at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
+        if len(own) and (not len(keys) or (keys[at] != own).any()):
             raise KeyError("an n-gram without a cost")
-        return values[at][back] if len(some) else np.zeros(0, np.float32)
+        found = np.zeros(len(some), np.float32)
+        found[here] = values[at] if len(own) else 0
+        return found[back]
 
 
-def told_costs(costs: DataFrame, broadcast_grams: int = BROADCAST_GRAMS) -> Costs | None:
-    """The costs for all workers, or None where they are too many and documents have to be joined to them."""
-    return Costs(costs) if costs.count() <= broadcast_grams else None
+def told_costs(costs: DataFrame, broadcast_grams: int = BROADCAST_GRAMS) -> list[Costs] | None:
+    """The costs for all workers in slices, or None where they are too many and documents have to be joined to them."""
+    slices = max(1, -(-costs.count() // broadcast_grams)) if broadcast_grams else MOST_SLICES + 1
+    return [Costs(costs, k, slices) for k in range(slices)] if slices <= MOST_SLICES else None
 
 
-def document_costs(docs: DataFrame, costs: DataFrame, known: Costs | None, field: str | None = None) -> DataFrame:
+def _adder(costs: Costs, field: str | None, names: list[str]):
+    """A function of batches (i, lang, t, chars, cost) that adds the costs of one slice and sets chars."""
+    table, part, slices = costs.told, costs.part, costs.slices
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in common.slices(whole, "i" if field else "t", 1 << 19):
+                texts = batch.column("i").field(field) if field else batch.column("t")
+                code, at = gram_codes([x or "" for x in texts.to_pylist()])
+                upto = np.zeros(len(code) + 1)
+                np.cumsum(Costs.find(table.value, code, part, slices), out=upto[1:], dtype=np.float64)
+                new = {"chars": pa.array(np.diff(at)), "cost": pa.array(batch.column("cost").to_numpy() + (upto[at[1:]] - upto[at[:-1]]))}
+                yield pa.RecordBatch.from_arrays([new[x] if x in new else batch.column(x) for x in names], names)
+
+    return run
+
+
+def document_costs(docs: DataFrame, costs: DataFrame, known: list[Costs] | None, field: str | None = None) -> DataFrame:
     """docs(i, lang, t) -> (i, lang, chars, cost): characters and summed cost of each row.
 
-    i may be of any type, also a struct that holds the text as `field` (then there is no t). known: told_costs(costs).
+    i may be of any type, also a struct that holds the text as `field` (then there is no t). known: told_costs(costs). With
+    several slices the rows are written between two passes, each of which adds to the sums; nothing is shuffled.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    kind = T.StructType([docs.schema["i"], docs.schema["lang"], T.StructField("chars", T.LongType()), T.StructField("cost", T.DoubleType())])
     if known is not None:
-        table = known.told
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in common.slices(whole, "i" if field else "t", 1 << 19):
-                    texts = batch.column("i").field(field) if field else batch.column("t")
-                    code, at = gram_codes([x or "" for x in texts.to_pylist()])
-                    upto = np.zeros(len(code) + 1)
-                    np.cumsum(Costs.find(table.value, code), out=upto[1:], dtype=np.float64)
-                    yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("lang"), pa.array(np.diff(at)), pa.array(upto[at[1:]] - upto[at[:-1]])], ["i", "lang", "chars", "cost"])
-
-        return docs.select("i", "lang", *["t"] * (field is None)).mapInArrow(common.tidy(run), kind)
+        text, scratch = [] if field else ["t"], Scratch(spark)
+        rows = docs.select("i", "lang", *text, F.lit(0).cast("long").alias("chars"), F.lit(0.0).alias("cost"))
+        for k, one in enumerate(known):
+            last = k == len(known) - 1
+            more = T.StructType([x for x in rows.schema if not (last and x.name == "t")])
+            step = rows.mapInArrow(common.tidy(_adder(one, field, more.names)), more)
+            if last:
+                return step.select("i", "lang", "chars", "cost")
+            saved = scratch.save(step, "costed")
+            if k:
+                scratch.drop(rows)
+            rows = saved
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -205,7 +233,7 @@ class Judge:
     all_mean: float
     all_limit: float | None
     slack: float
-    known: Costs | None
+    known: list[Costs] | None
 
     def kept(self, each: DataFrame) -> DataFrame:
         """each(i, lang, chars, cost) -> (i, chars, perplexity, threshold, kept)."""

@@ -432,6 +432,20 @@ def test_quality(spark, docs, none, rows):
     assert good.columns == d.columns and {r.doc_id for r in good.collect()} == {r["doc_id"] for r in out if r["kept"]}
 
 
+def test_quality_in_slices(spark, monkeypatch):
+    """N-grams that are too many to be sent at once are sent in slices: documents are not joined to them."""
+    d, labels = labelled(spark)
+    trusted = labels.where("quality = 1").select("doc_id")
+    want = {r["doc_id"]: r["perplexity"] for r in collect(quality.classify(d, trusted))}
+    costs = spark.range(1000).selectExpr("id * 104729 as gram", "cast(id % 7 as float) as cost")
+    parts = quality.told_costs(costs, 300)
+    assert len(parts) == 4 and sum(len(p.told.value[0]) for p in parts) == 1000 and all(0 < len(p.told.value[0]) < 400 for p in parts)
+    monkeypatch.setattr(quality, "told_costs", lambda costs, n: [quality.Costs(costs, k, 3) for k in range(3)])
+    assert {r["doc_id"]: r["perplexity"] for r in collect(quality.classify(d, trusted))} == pytest.approx(want)
+    plan = quality.keep_good(d, trusted)
+    assert plan.columns == d.columns and plan.count() == quality.classify(d, trusted).where("kept").count()
+
+
 def test_quality_of_a_rare_language(spark):
     """A language of few trusted texts has a threshold of its own, not that of a frequent one."""
     rnd = random.Random(4)
