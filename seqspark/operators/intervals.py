@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Positions of a bin.
-BIN = 4096
+#: Positions of a bin, and rows of a partition that is sorted or grouped.
+BIN, ROWS = 4096, 1_000_000
 
 
 def bin_of(position, width: int = BIN):
@@ -26,12 +26,20 @@ def touching(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
     return met.where(F.col("_bin") == bin_of(F.greatest("lo", "start"), width)).drop("_bin")
 
 
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """rows dealt out by keys, n of them into partitions of ROWS at most, about, so that what a task holds does not grow with the table."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-n // ROWS)), *keys)
+
+
 def running(events: DataFrame, width: int = BIN) -> DataFrame:
-    """events(contig, at, d), one row a place, with the sum of d up to and with each place and the next place: (contig, at, next, total).
+    """events(contig, at, d) with the sum of d up to and with each place where it changes, and the next such place: (contig, at, next, total).
 
     Sums run within bins; what comes before a bin, and the first place after it, are carried from one row for each bin.
     """
-    rows = events.withColumn("_bin", bin_of(F.col("at"), width))
+    n = events.count()
+    net = dealt(events, n, "contig", "at").groupBy("contig", "at").agg(F.sum("d").alias("d")).where("d <> 0")
+    rows = dealt(net.withColumn("_bin", bin_of(F.col("at"), width)), n, "contig", "_bin")
     each = rows.groupBy("contig", "_bin").agg(F.sum("d").alias("_s"), F.min("at").alias("_first"))
     w = W.partitionBy("contig").orderBy("_bin")
     carried = each.select("contig", "_bin", F.coalesce(F.sum("_s").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lead("_first").over(w).alias("_after"))

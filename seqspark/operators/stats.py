@@ -15,8 +15,7 @@ def coverage(placed: DataFrame) -> DataFrame:
     Each interval is two events, so intervals are never spread over their positions.
     """
     events = placed.select("contig", F.col("start").alias("at"), F.lit(1).alias("d")).union(placed.select("contig", F.col("start") + F.col("len"), F.lit(-1)))
-    net = events.groupBy("contig", "at").agg(F.sum("d").alias("d")).where("d <> 0")
-    steps = intervals.running(net)
+    steps = intervals.running(events)
     return steps.select("contig", F.col("at").alias("start"), F.col("next").alias("stop"), F.col("total").alias("cov")).where("cov > 0")
 
 
@@ -40,6 +39,15 @@ def second_order(steps: DataFrame) -> DataFrame:
     return agg.select("contig", "positions", mean2.alias("mean_cov"), F.sqrt(F.greatest(F.lit(0.0), F.col("sq") - F.col("s") * mean2) / F.col("every")).alias("stddev_cov"))
 
 
+def span_means(steps: DataFrame, width: int) -> DataFrame:
+    """(contig, span, mean_cov): whole-number mean coverage of spans of `width` positions; 0 where one is uncovered."""
+    span, stop = F.col("span"), F.col("stop")
+    rows = steps.withColumn("span", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((stop - 1) / width))))
+    n = F.least(stop, (span + 1) * width) - F.greatest(F.col("start"), span * width)
+    sums = rows.select("contig", "span", n.alias("n"), (n * F.col("cov")).alias("s")).groupBy("contig", "span").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    return sums.select("contig", "span", F.when(F.col("n") < width, F.lit(0).cast("long")).otherwise(F.expr(f"s div {width}")).alias("mean_cov"))
+
+
 def n_stats(lengths: DataFrame, *fractions: float) -> DataFrame:
     """(contigs, total, longest, n50...): the length at which the running sum of lengths, longest first, reaches each fraction.
 
@@ -67,6 +75,27 @@ def dilate(mask: DataFrame, key: str, at: str, thickness: int, column: str = "m"
     return mask.withColumn(column, F.max(column).over(W.partitionBy(key).orderBy(at).rowsBetween(-thickness, thickness)))
 
 
+def closed_islands(steps: DataFrame, reach: int, least: int) -> DataFrame:
+    """(contig, start, stop, n): what dilate(), erode() and islands() make of steps(contig, start, stop, m) without a row for each position.
+
+    Dilation and erosion count covered positions, so steps are placed by how many of these lie before them; zones of
+    marked ones are widened, joined, narrowed and laid over the steps again.
+    """
+    w, size = W.partitionBy("contig").orderBy("start"), F.col("stop") - F.col("start")
+    before = F.coalesce(F.sum(size).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = steps.select("contig", "start", "m", before.alias("r0"), (before + size).alias("r1"), F.sum(size).over(W.partitionBy("contig")).alias("every"))
+    near = F.col("r0") - F.lag("r1").over(w) <= 2 * reach
+    zone = rows.where("m").withColumn("zone", F.sum(F.when(near, 0).otherwise(1)).over(w)).groupBy("contig", "zone", "every").agg(F.min("r0").alias("a"), F.max("r1").alias("b"))
+    # widened by reach and narrowed again a zone is what it was, but where it meets an end of the contig
+    lo, hi = F.when(F.col("a") <= reach, 0).otherwise(F.col("a")), F.when(F.col("b") + reach >= F.col("every"), F.col("every")).otherwise(F.col("b"))
+    met = intervals.touching(zone.select("contig", lo.cast("long").alias("lo"), hi.alias("hi")), rows.select("contig", F.col("start").alias("at"), F.col("r0").alias("start"), F.col("r1").alias("stop")))
+    piece = met.select("contig", "lo", (F.col("at") + F.greatest("lo", "start") - F.col("start")).alias("p0"), (F.col("at") + F.least("hi", "stop") - F.col("start")).alias("p1"))
+    v = W.partitionBy("contig", "lo").orderBy("p0")
+    runs = piece.withColumn("run", F.sum(F.when(F.col("p0") == F.lag("p1").over(v), 0).otherwise(1)).over(v))
+    out = runs.groupBy("contig", "lo", "run").agg(F.min("p0").alias("start"), F.max("p1").alias("p1"))
+    return out.select("contig", "start", (F.col("p1") - 1).alias("stop"), (F.col("p1") - F.col("start")).alias("n")).where(F.col("n") >= least)
+
+
 def yield_limit(rows: DataFrame, key: str, length: str, most: int, width: int = 1000) -> DataFrame:
     """Rows in order of a whole-number key while the lengths before them sum to less than `most`.
 

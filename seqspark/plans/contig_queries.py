@@ -40,10 +40,6 @@ def coverage_stats_2nd(spark: SparkSession, sf_dir: str) -> DataFrame:
 POS_SQL = STEPS_SQL + ", ps AS (SELECT contig, unnest(range(start, stop)) AS pos, cov FROM steps)"
 
 
-def _positions(steps: DataFrame) -> DataFrame:
-    return steps.select("contig", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("pos"), "cov")
-
-
 @query(
     "WITH "
     + POS_SQL
@@ -57,16 +53,14 @@ def coverage_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = _steps(spark, sf_dir)
     n = F.col("stop") - F.col("start")
     avg = steps.groupBy("contig").agg((F.sum(n * F.col("cov")) / F.sum(n)).alias("a"))
-    mask = _positions(steps).join(avg, "contig").select("contig", "pos", (F.col("cov") >= 1.5 * F.col("a")).cast("int").alias("m"))
-    closed = stats.erode(stats.dilate(mask, "contig", "pos", 10), "contig", "pos", 10)
-    return stats.islands(closed.where("m = 1"), "contig", "pos", 20).select("contig", F.col("start").cast("long"), F.col("stop").cast("long"), "n")
+    mask = steps.join(avg, "contig").select("contig", "start", "stop", (F.col("cov") >= 1.5 * F.col("a")).alias("m"))
+    return stats.closed_islands(mask, 10, 20)
 
 
 @query("WITH " + POS_SQL + " SELECT contig, pos // 4 AS span, CASE WHEN count(*) < 4 THEN 0 ELSE CAST(sum(cov) AS BIGINT) // 4 END AS mean_cov FROM ps GROUP BY contig, pos // 4")
 def wiggle_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean coverage (whole numbers) of spans of 4 positions; 0 where one is uncovered."""
-    p = _positions(_steps(spark, sf_dir))
-    return p.groupBy("contig", F.expr("pos div 4").alias("span")).agg(F.when(F.count("*") < 4, F.lit(0).cast("long")).otherwise(F.expr("sum(cov) div 4")).alias("mean_cov"))
+    return stats.span_means(_steps(spark, sf_dir), 4)
 
 
 @query(

@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+from seqspark.operators import intervals, stats
 from seqspark.plans import registry
 
 
@@ -41,3 +42,22 @@ def test_edges_with_repeated_ids(spark, folder):
     folder("lineitem", LINES.format(part="CAST(hash(i * 17) % 40 + (3 - i % 4) * 100000 AS BIGINT)", supplier="CAST(i % 37 AS BIGINT)", n=4000))
     for name in ("edges_untaken_sides", "edges_untaken_reads", "edges_identical", "edges_by_level"):
         assert same(spark, folder, name), name
+
+
+COVERAGE = "coverage coverage_stats coverage_stats_2nd coverage_peaks coverage_median wiggle_span multicopy_zones smile_coverage chimera_cuts feature_coverage".split()
+
+
+def test_coverage_in_partitions_of_bounded_rows(spark, folder, monkeypatch):
+    """The more rows, the more partitions are sorted and grouped; with gaps, contig ends and deep places results equal the SQL."""
+    folder("lineitem", LINES.format(part="CAST(hash(i * 17) % (300 + i % 5 * 4000) AS BIGINT)", supplier="CAST(i % 5 AS BIGINT)", n=3000))
+    folder("supplier", "SELECT i AS s_suppkey, 0.0 AS s_acctbal FROM range(5) t(i)")
+    monkeypatch.setattr(intervals, "ROWS", 500)
+    for name in COVERAGE:
+        assert same(spark, folder, name), name
+    assert intervals.dealt(spark.range(10), 6000, "id").rdd.getNumPartitions() == 12
+
+
+def test_peaks_make_no_row_for_each_position(spark):
+    rows = [(1, 0, 5, True), (1, 5, 10**9, False), (1, 10**9, 2 * 10**9, True), (1, 2 * 10**9 + 7, 2 * 10**9 + 12, False)]
+    got = stats.closed_islands(spark.createDataFrame(rows, "contig long, start long, stop long, m boolean"), 10, 1)
+    assert {tuple(r) for r in got.where("n < 100").collect()} == {(1, 0, 4, 5), (1, 2 * 10**9 + 7, 2 * 10**9 + 11, 5)}
