@@ -7,8 +7,9 @@ from collections import Counter
 import duckdb
 import pytest
 
-from seqspark.operators import intervals, stats
+from seqspark.operators import intervals, kmers, overlap, stats
 from seqspark.plans import registry
+from seqspark.plans.read_queries import saver
 
 
 @pytest.fixture()
@@ -61,3 +62,26 @@ def test_peaks_make_no_row_for_each_position(spark):
     rows = [(1, 0, 5, True), (1, 5, 10**9, False), (1, 10**9, 2 * 10**9, True), (1, 2 * 10**9 + 7, 2 * 10**9 + 12, False)]
     got = stats.closed_islands(spark.createDataFrame(rows, "contig long, start long, stop long, m boolean"), 10, 1)
     assert {tuple(r) for r in got.where("n < 100").collect()} == {(1, 0, 4, 5), (1, 2 * 10**9 + 7, 2 * 10**9 + 11, 5)}
+
+
+def test_pairs_are_grouped_where_they_are_made(spark, monkeypatch):
+    """Pairs grow with the square of a k-mer's rows, so they are not shuffled; slices give the same as one join."""
+    words = ["internationally", "responsibilities", "characteristics", "internationality"]
+    r = spark.createDataFrame([(i, " ".join(words[(i * k) % 4] for k in range(1, 6)).translate(str.maketrans("abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26]))) for i in range(40)], "read_id long, seq string")
+    rows = kmers.positioned(r, 12, "read_id").select("read_id", "pos", "kmer")
+    want = {tuple(x) for x in overlap.candidates(overlap.shared(rows)).collect()}
+    for size in (10**6, 300):
+        monkeypatch.setattr(overlap, "SLICE", size)
+        monkeypatch.setattr(overlap, "PAIRS", size)
+        df = overlap.paired_candidates(rows, saver(spark))
+        assert {tuple(x) for x in df.collect()} == want
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(read_id" in plan and "read_id2" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+
+
+def test_kmers_of_odd_texts(spark):
+    odd = [None, "", "ACG", "ACGTN", "\U0001f600ACGT", "é ACGTA\nCGTACG", "acgt", "A" * 70000]
+    r = spark.createDataFrame(list(enumerate(odd)), "read_id long, seq string")
+    want = Counter((i, p, t[p : p + 4]) for i, t in enumerate(odd) if t for p in range(len(t) - 3) if set(t[p : p + 4]) <= set("ACGT"))
+    assert Counter(map(tuple, kmers.positioned(r, 4, "read_id").collect())) == want
+    assert sum(want.values()) == kmers.kmers(r, 4).count()
