@@ -95,6 +95,20 @@ def translate(dna: Column, table: int = 1, start: int = 1, reverse: bool = False
     return protein
 
 
+#: One letter for each of the 64 codons in the order TCAG.
+CODON_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+-"
+
+
+def coded(dna: Column) -> Column:
+    """A letter of CODON_LETTERS for each whole codon of TCAG, so that several codes are read from one pass over the codons; ? for other codons."""
+    return F.array_join(F.transform(F.regexp_extract_all(dna, F.lit("(?s)..."), F.lit(0)), lambda x: F.coalesce(F.substr(F.lit(CODON_LETTERS), codon_index(x) + F.lit(1), F.lit(1)), F.lit("?"))), "")
+
+
+def told(letters: Column, table: int = 1) -> Column:
+    """Protein of coded()."""
+    return F.translate(letters, CODON_LETTERS + "?", amino_acids(table) + "X")
+
+
 def is_start(codon: Column, table: int = 1) -> Column:
     return F.upper(codon).isin(*STARTS[table])
 

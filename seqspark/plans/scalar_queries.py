@@ -101,7 +101,7 @@ def _protein_sql(table: int) -> str:
 @query(f"WITH {READS_SQL}, s AS (SELECT read_id, regexp_replace(seq, '[^ACGT]', '', 'g') AS seq FROM reads) SELECT read_id, " + ", ".join(map(_protein_sql, CODES)) + " FROM s")
 def genetic_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.regexp_replace("seq", "[^ACGT]", "")
-    return reads(spark, sf_dir).select("read_id", seq.alias("seq")).select("read_id", *(F.md5(translation.translate(F.col("seq"), t).cast("binary")).alias(f"code_{t}") for t in CODES))
+    return reads(spark, sf_dir).select("read_id", translation.coded(seq).alias("letters")).select("read_id", *(F.md5(translation.told(F.col("letters"), t).cast("binary")).alias(f"code_{t}") for t in CODES))
 
 
 _STOPS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in scalar.codons().items()) + "}"

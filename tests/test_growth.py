@@ -85,3 +85,14 @@ def test_kmers_of_odd_texts(spark):
     want = Counter((i, p, t[p : p + 4]) for i, t in enumerate(odd) if t for p in range(len(t) - 3) if set(t[p : p + 4]) <= set("ACGT"))
     assert Counter(map(tuple, kmers.positioned(r, 4, "read_id").collect())) == want
     assert sum(want.values()) == kmers.kmers(r, 4).count()
+
+
+def test_codes_share_one_pass_over_codons(spark):
+    from pyspark.sql import functions as F
+
+    from seqspark.functions import scalar, translation
+
+    d = spark.createDataFrame([("".join(scalar.codons()) + "NAC" + "AC",), ("",), (None,)], "dna string")
+    for t in translation.CHANGES:
+        got = d.select(translation.told(translation.coded(F.col("dna")), t), translation.translate(F.col("dna"), t)).collect()
+        assert all(r[0] == r[1] for r in got)
