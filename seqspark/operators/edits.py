@@ -5,8 +5,12 @@ Reads have seq (string) and qual (array of int, as long as seq). Positions count
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Runs of one base (any case), or one other character.
 RUNS = r"(?s)A+|C+|G+|T+|a+|c+|g+|t+|."
@@ -35,9 +39,33 @@ def rle_lengths(seq: Column) -> Column:
 
 def rle_qual(seq: Column, qual: Column) -> Column:
     """Whole-number mean of the qualities of each run."""
-    n = rle_lengths(seq)
-    ends = F.transform(n, lambda x, i: F.aggregate(F.slice(n, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b))
-    return F.zip_with(n, ends, lambda size, end: F.floor(F.aggregate(F.slice(qual, end - size + 1, size), F.lit(0), lambda a, b: a + b) / size).cast("int"))
+    return _run_means(seq, qual)
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _run_means(seq: pa.Array, qual: pa.Array) -> pa.Array:
+    """Each base is looked at once: runs of a batch are cut by comparing neighbours, and summed. Missing qualities count 0, null ones make null."""
+    null = pc.or_(seq.is_null(), qual.is_null()).to_numpy(zero_copy_only=False)
+    texts = ["" if bad else x for x, bad in zip(seq.to_pylist(), null)]
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    letters = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    row = np.repeat(np.arange(len(texts)), size)
+    new = np.ones(len(letters), bool)
+    new[1:] = (letters[1:] != letters[:-1]) | (row[1:] != row[:-1]) | ~np.isin(letters[1:], [ord(c) for c in "ACGTacgt"])
+    # the quality of each letter by its place in the flat values of the batch
+    values, held = qual.flatten(), pc.fill_null(pc.list_value_length(qual), 0).to_numpy(zero_copy_only=False)
+    at = np.arange(len(letters)) - np.repeat(np.cumsum(size) - size, size)
+    there = at < held[row]
+    place = ((np.cumsum(held) - held)[row] + at)[there]
+    of, missing = np.zeros(len(letters), np.int64), np.zeros(len(letters), np.int64)
+    of[there] = pc.fill_null(values, 0).to_numpy(zero_copy_only=False)[place]
+    missing[there] = values.is_null().to_numpy(zero_copy_only=False)[place]
+    starts = np.flatnonzero(new)
+    n = np.diff(np.append(starts, len(letters)))
+    means = np.add.reduceat(of, starts) // n if len(starts) else of
+    unknown = np.add.reduceat(missing, starts) > 0 if len(starts) else missing > 0
+    ends = np.searchsorted(row[starts], np.arange(len(texts) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(means.astype(np.int32), mask=unknown), mask=pa.array(null))
 
 
 def unrle(seq: Column, lengths: Column) -> Column:

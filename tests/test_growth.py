@@ -96,3 +96,17 @@ def test_codes_share_one_pass_over_codons(spark):
     for t in translation.CHANGES:
         got = d.select(translation.told(translation.coded(F.col("dna")), t), translation.translate(F.col("dna"), t)).collect()
         assert all(r[0] == r[1] for r in got)
+
+
+def test_run_means_look_at_each_base_once(spark):
+    """A long read took the square of its length; odd reads and qualities are as they were."""
+    from pyspark.sql import functions as F
+
+    from seqspark.operators import edits
+
+    rows = [("AAcc**NNG\U0001f600\U0001f600", list(range(11))), ("", []), (None, [1]), ("AC", None), ("GGT", [5, None, 7]), ("TTT", [9]), ("A\nA", [-3, 2, -1]), ("AAAA", [-1, -1, -1, 0])]
+    rows.append(("".join("ACGT"[i // 3 % 4] for i in range(60_000)), [i % 41 for i in range(60_000)]))
+    d = spark.createDataFrame(rows, "seq string, qual array<int>")
+    got = [r[0] for r in d.select(edits.rle_qual(F.col("seq"), F.col("qual"))).collect()]
+    assert got[:-1] == [[0, 2, 4, 5, 6, 7, 8, 9, 10], [], None, None, [None, 7], [3], [-3, 2, -1], [-1]]
+    assert got[-1] == [sum(i % 41 for i in range(a, a + 3)) // 3 for a in range(0, 60_000, 3)]
