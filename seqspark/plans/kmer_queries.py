@@ -257,9 +257,5 @@ SELECT read_id, 'HAF' || class AS tag, CAST(min(pos) AS BIGINT) AS start, CAST(m
 )
 def frequency_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of reads whose k-mers have one frequency class."""
-    from pyspark.sql import Window as W
-
-    rows = kmers.positioned(reads(spark, sf_dir), K, "read_id").join(_classed(spark, sf_dir), "kmer")
-    runs = rows.withColumn("g", F.col("pos") - F.row_number().over(W.partitionBy("read_id", "class").orderBy("pos")))
-    out = runs.groupBy("read_id", "class", "g").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
-    return out.select("read_id", F.concat(F.lit("HAF"), F.col("class").cast("string")).alias("tag"), F.col("a").cast("long").alias("start"), (F.col("b") + K - 1).cast("long").alias("stop"))
+    out = kmers.class_runs(reads(spark, sf_dir), _classed(spark, sf_dir), K, "read_id")
+    return out.select("read_id", F.concat(F.lit("HAF"), F.col("class").cast("string")).alias("tag"), F.col("first").cast("long").alias("start"), (F.col("last") + K - 1).cast("long").alias("stop"))

@@ -110,3 +110,35 @@ def test_run_means_look_at_each_base_once(spark):
     got = [r[0] for r in d.select(edits.rle_qual(F.col("seq"), F.col("qual"))).collect()]
     assert got[:-1] == [[0, 2, 4, 5, 6, 7, 8, 9, 10], [], None, None, [None, 7], [3], [-3, 2, -1], [-1]]
     assert got[-1] == [sum(i % 41 for i in range(a, a + 3)) // 3 for a in range(0, 60_000, 3)]
+
+
+def test_class_runs_are_found_where_reads_are(spark):
+    """Without an exchange of k-mers; both ways give the runs of a plain walk, and a class may be missing."""
+    import random
+
+    rnd, k = random.Random(5), 4
+    seqs = [None, "", "ACG", "ACGNACGTACGT", "A" * 70_000] + ["".join(rnd.choices("ACGTN", [9, 9, 9, 9, 1], k=rnd.choice([3, 50, 400]))) for _ in range(40)]
+    r = spark.createDataFrame(list(enumerate(seqs)), "read_id long, seq string").repartition(3)
+    words = sorted({t[p : p + k] for t in seqs if t for p in range(len(t) - k + 1) if set(t[p : p + k]) <= set("ACGT")} - {"AAAC"})
+    cls = {w: i % 3 for i, w in enumerate(words)}
+    want = Counter()
+    for i, t in enumerate(seqs):
+        c = [cls.get(t[p : p + k]) for p in range(len(t) - k + 1)] if t else []
+        p = 0
+        while p < len(c):
+            q = p
+            while q + 1 < len(c) and c[q + 1] == c[p]:
+                q += 1
+            if c[p] is not None:
+                want[(i, c[p], p, q)] += 1
+            p = q + 1
+    classed = spark.createDataFrame(list(cls.items()), "kmer string, class int")
+    df = kmers.class_runs(r, classed, k, "read_id")
+    assert Counter(map(tuple, df.collect())) == want
+    assert "Exchange" not in kmers.class_runs(spark.range(3).selectExpr("id AS read_id", "'ACGT' AS seq"), classed, k, "read_id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_class_runs_of_long_kmers(spark):
+    r = spark.createDataFrame([(1, "ACGTACGTACGTACGN"), (2, "ACGTACGTACGT")], "read_id long, seq string")
+    classed = kmers.kmers(r, 11).distinct().selectExpr("kmer", "CAST(left(kmer, 1) = 'A' AS int) AS class")
+    assert {tuple(x) for x in kmers.class_runs(r, classed, 11, "read_id").collect()} == {(1, 1, 0, 0), (1, 0, 1, 3), (1, 1, 4, 4), (2, 1, 0, 0), (2, 0, 1, 1)}
