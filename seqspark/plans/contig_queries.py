@@ -15,6 +15,11 @@ def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.coverage(placed(spark, sf_dir)).withColumn("cov", F.col("cov").cast("long"))
 
 
+def _by_contig(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """_steps(), those of a contig together: what is joined or put in order by contig stays in partitions of bounded rows."""
+    return intervals.dealt(_steps(spark, sf_dir), 2 * placed(spark, sf_dir).count(), "contig")
+
+
 @query(f"WITH {STEPS_SQL} SELECT * FROM steps")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _steps(spark, sf_dir)
@@ -34,7 +39,7 @@ a AS (SELECT contig, max(every) AS every, sum(stop - start) AS n, sum((stop - st
 SELECT contig, CAST(n AS BIGINT) AS positions, s / n AS mean_cov, sqrt(greatest(0.0, sq - s * (s / n)) / every) AS stddev_cov FROM a"""
 )
 def coverage_stats_2nd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.second_order(_steps(spark, sf_dir))
+    return stats.second_order(_by_contig(spark, sf_dir))
 
 
 POS_SQL = STEPS_SQL + ", ps AS (SELECT contig, unnest(range(start, stop)) AS pos, cov FROM steps)"
@@ -50,7 +55,7 @@ g AS (SELECT contig, pos, pos - row_number() OVER (PARTITION BY contig ORDER BY
 SELECT contig, CAST(min(pos) AS BIGINT) AS start, CAST(max(pos) AS BIGINT) AS stop, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY contig, g HAVING count(*) >= 20"""
 )
 def coverage_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = _steps(spark, sf_dir)
+    steps = _by_contig(spark, sf_dir)
     n = F.col("stop") - F.col("start")
     avg = steps.groupBy("contig").agg((F.sum(n * F.col("cov")) / F.sum(n)).alias("a"))
     mask = steps.join(avg, "contig").select("contig", "start", "stop", (F.col("cov") >= 1.5 * F.col("a")).alias("m"))
@@ -60,7 +65,7 @@ def coverage_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + POS_SQL + " SELECT contig, pos // 4 AS span, CASE WHEN count(*) < 4 THEN 0 ELSE CAST(sum(cov) AS BIGINT) // 4 END AS mean_cov FROM ps GROUP BY contig, pos // 4")
 def wiggle_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean coverage (whole numbers) of spans of 4 positions; 0 where one is uncovered."""
-    return stats.span_means(_steps(spark, sf_dir), 4)
+    return stats.span_means(_by_contig(spark, sf_dir), 4)
 
 
 @query(
@@ -111,7 +116,7 @@ SELECT contig, min(start) AS start, max(stop) AS stop, CAST(max(stop) - min(star
 )
 def multicopy_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of high coverage, over gaps of up to 10 positions, of 40 positions at least."""
-    steps = _steps(spark, sf_dir)
+    steps = _by_contig(spark, sf_dir)
     n, w = F.col("stop") - F.col("start"), W.partitionBy("contig").orderBy("start")
     avg = steps.groupBy("contig").agg((F.sum(n * F.col("cov")) / F.sum(n)).alias("a"))
     high = steps.join(avg, "contig").where("cov >= 1.5 * a")
@@ -209,7 +214,7 @@ FROM steps JOIN m USING (contig) GROUP BY contig"""
 )
 def smile_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions far below and above a contig's mean coverage, and whether both are 15% or more."""
-    steps = _steps(spark, sf_dir)
+    steps = _by_contig(spark, sf_dir)
     n = F.col("stop") - F.col("start")
     avg = steps.groupBy("contig").agg((F.sum(n * F.col("cov")) / F.sum(n)).alias("a"), F.sum(n).alias("n"))
     part = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0).cast("long"))
@@ -263,7 +268,7 @@ SELECT contig, lo, hi, fm AS median_cov, fs AS stddev_cov, CASE WHEN trunc(fm +
 )
 def feature_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("contig"), (F.col("s_suppkey") * 3).alias("lo"), (F.col("s_suppkey") * 3 + 40).alias("hi"))
-    return stats.feature_coverage(_steps(spark, sf_dir), f)
+    return stats.feature_coverage(_by_contig(spark, sf_dir), f)
 
 
 @query(f"WITH {LEN_SQL} SELECT o_orderkey, CAST(len AS BIGINT) AS len, (len >= 300 AND o_orderkey % 30 >= 15) OR (o_orderkey % 7 <> 0 AND len >= 600 AND o_orderkey % 30 >= 10) AS large FROM ln")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import duckdb
@@ -58,6 +59,16 @@ def test_coverage_in_partitions_of_bounded_rows(spark, folder, monkeypatch):
     assert intervals.dealt(spark.range(10), 6000, "id").rdd.getNumPartitions() == 12
 
 
+@pytest.mark.parametrize("name", ["coverage_stats_2nd", "smile_coverage", "multicopy_zones", "coverage_peaks", "feature_coverage", "wiggle_span"])
+def test_steps_of_a_contig_in_partitions_of_bounded_rows(spark, folder, monkeypatch, name):
+    """What is joined, ordered or grouped by contig is dealt by the number of rows too."""
+    folder("lineitem", LINES.format(part="CAST(hash(i * 17) % 4000 AS BIGINT)", supplier="CAST(i % 5 AS BIGINT)", n=3000))
+    folder("supplier", "SELECT i AS s_suppkey, 0.0 AS s_acctbal FROM range(5) t(i)")
+    monkeypatch.setattr(intervals, "ROWS", 500)
+    plan = registry.queries()[name](spark, folder.path)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(contig#\d+L?, 12\)", plan), plan
+
+
 def test_peaks_make_no_row_for_each_position(spark):
     rows = [(1, 0, 5, True), (1, 5, 10**9, False), (1, 10**9, 2 * 10**9, True), (1, 2 * 10**9 + 7, 2 * 10**9 + 12, False)]
     got = stats.closed_islands(spark.createDataFrame(rows, "contig long, start long, stop long, m boolean"), 10, 1)
