@@ -90,6 +90,25 @@ def test_pairs_are_grouped_where_they_are_made(spark, monkeypatch):
         assert "hashpartitioning(read_id" in plan and "read_id2" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
 
 
+def test_best_overlaps_are_ranked_where_pairs_are_made(spark, monkeypatch):
+    """Of all pairs only the best of each read and side in a slice are shuffled; they are those of the whole."""
+    words = ["internationally", "responsibilities", "characteristics", "internationality", "internationallyinternationally"]
+    r = spark.createDataFrame([(i, " ".join(words[(i * k) % 5] for k in range(1, 4 + i % 5)).translate(str.maketrans("abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26]))) for i in range(40)], "read_id long, seq string")
+    rows = kmers.positioned(r, 12, "read_id").select("read_id", "pos", "kmer")
+    edges = overlap.candidates(overlap.shared(rows)).where("numhashes >= 2").selectExpr("rid1", "rid2", "lo AS eoffset", "numhashes AS weight")
+    key = ("rid1", "rid2", "eoffset", "weight", "side", "rank")
+    want = {tuple(x) for x in overlap.top_per_side(overlap.symmetric(edges), 3).select(*key).collect()}
+    assert want
+    for size in (10**6, 300):
+        monkeypatch.setattr(overlap, "SLICE", size)
+        monkeypatch.setattr(overlap, "PAIRS", size)
+        df = overlap.paired_top(rows, saver(spark), 3, 2)
+        assert {tuple(x) for x in df.select(*key).collect()} == want
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.splitlines() if "hashpartitioning(rid" in line]
+        assert len(dealt) <= 1 and "read_id2" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x), plan
+
+
 def test_kmers_of_odd_texts(spark):
     odd = [None, "", "ACG", "ACGTN", "\U0001f600ACGT", "é ACGTA\nCGTACG", "acgt", "A" * 70000]
     r = spark.createDataFrame(list(enumerate(odd)), "read_id long, seq string")
