@@ -172,3 +172,31 @@ def test_class_runs_of_long_kmers(spark):
     r = spark.createDataFrame([(1, "ACGTACGTACGTACGN"), (2, "ACGTACGTACGT")], "read_id long, seq string")
     classed = kmers.kmers(r, 11).distinct().selectExpr("kmer", "CAST(left(kmer, 1) = 'A' AS int) AS class")
     assert {tuple(x) for x in kmers.class_runs(r, classed, 11, "read_id").collect()} == {(1, 1, 0, 0), (1, 0, 1, 3), (1, 1, 4, 4), (2, 1, 0, 0), (2, 0, 1, 1)}
+
+
+def test_kmers_of_the_graph_travel_packed(spark, tmp_path):
+    """Counting, chains and gaps move k-mers as differences of numbers, not as rows of text; long k-mers and odd reads are counted right."""
+    import random
+
+    from seqspark.operators import coded
+
+    rnd = random.Random(2)
+    seqs = [None, "", "ACG", "\U0001f600" + "ACGTT" * 9, "A" * 90_000] + ["".join(rnd.choices("ACGTN", [9, 9, 9, 9, 1], k=rnd.choice([3, 60, 400]))) for _ in range(30)] * 2
+    r = spark.createDataFrame(list(enumerate(seqs)), "read_id long, seq string").repartition(3)
+    turned = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    for k in (3, 17, 31):
+        n = Counter(min(w, turned(w)) for t in seqs if t for p in range(len(t) - k + 1) if set(w := t[p : p + k]) <= set("ACGT"))
+        nodes = coded.counted(r, k, 2, 4)
+        assert {tuple(x) for x in nodes.select(kmers.unpacked(nodes.code, k), "n").collect()} == {x for x in n.items() if x[1] >= 2}
+        want = set()
+        for i, t in enumerate(seqs):
+            rows = [(p, t[p : p + k]) for p in range(len(t) - k + 1) if set(t[p : p + k]) <= set("ACGT")] if t else []
+            there = [j for j, (_, w) in enumerate(rows) if n[min(w, turned(w))] >= 2]
+            want |= {(i, rows[a][0], rows[b][0], rows[a][1], rows[b][1]) for a, b in zip(there, there[1:]) if b - a > 1}
+        got = coded.gaps(r, nodes, k, 4)
+        assert {tuple(x) for x in got.select("read_id", "pos", "upto", kmers.unpacked(got.code, k), kmers.unpacked(got.code2, k)).collect()} == want
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(seqs)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    for name in ("unitig_graph", "graph_edits", "graph_chimeras"):
+        plan = registry.queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\((kmer|e)#", plan), plan
