@@ -200,3 +200,18 @@ def test_kmers_of_the_graph_travel_packed(spark, tmp_path):
     for name in ("unitig_graph", "graph_edits", "graph_chimeras"):
         plan = registry.queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"hashpartitioning\((kmer|e)#", plan), plan
+
+
+def test_a_task_leaves_a_forest_of_its_pairs(spark, monkeypatch):
+    """300 reads with one word make 44,850 pairs, of which edges for components are few; components are those of all pairs."""
+    r = spark.createDataFrame([(i, ["ACGTACCATGATTACAG", "TTGACCAGTAGGACCTT", "GGGACCCATTTAGACCA", "ACGTACCATGATNACAG"][i % 4] + "N" + ("ACGTACCATGATTACAG" if i == 2 else "")) for i in range(300)], "read_id long, seq string")
+    rows = kmers.positioned(r, 12, "read_id").select("read_id", "pos", "kmer")
+    pairs = overlap.candidates(overlap.shared(rows)).where("numhashes >= 3").selectExpr("rid1 AS a", "rid2 AS b")
+    ids, save = r.selectExpr("read_id AS id"), saver(spark)
+    want = {tuple(x) for x in overlap.components(pairs, ids, save).collect()}
+    assert pairs.count() > 8000
+    for size in (10**6, 50):
+        monkeypatch.setattr(overlap, "FOREST", size)
+        edges = overlap.paired_forest(rows, save, 3)
+        assert edges.count() <= 300 * edges.rdd.getNumPartitions() < pairs.count()
+        assert {tuple(x) for x in overlap.components(edges, ids, save).collect()} == want
