@@ -215,3 +215,10 @@ def test_a_task_leaves_a_forest_of_its_pairs(spark, monkeypatch):
         edges = overlap.paired_forest(rows, save, 3)
         assert edges.count() <= 300 * edges.rdd.getNumPartitions() < pairs.count()
         assert {tuple(x) for x in overlap.components(edges, ids, save).collect()} == want
+
+
+def test_bans_by_a_rule_join_nothing(spark, folder):
+    folder("documents", "SELECT i AS doc_id, 'internationally responsibilities' AS text, 'en' AS lang, 's' AS source, 1 AS n_chars FROM range(40) t(i)")
+    assert same(spark, folder, "overlap_not_banned")
+    plan = registry.queries()["overlap_not_banned"](spark, folder.path)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(read_id" in plan and not re.search(r"hashpartitioning\([^)]*(rid|lo#|hi#|read_id2)", plan), plan
