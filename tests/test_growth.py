@@ -222,3 +222,12 @@ def test_bans_by_a_rule_join_nothing(spark, folder):
     assert same(spark, folder, "overlap_not_banned")
     plan = registry.queries()["overlap_not_banned"](spark, folder.path)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(read_id" in plan and not re.search(r"hashpartitioning\([^)]*(rid|lo#|hi#|read_id2)", plan), plan
+
+
+def test_tasks_of_pairs_are_small(spark):
+    """Tables of a task's pairs fit its share of the memory: 2,500 reads of one word are dealt by at most 500,000 pairs."""
+    rows = spark.range(2500).selectExpr("id AS read_id", "0 AS pos", "'ACGTACGTACGT' AS kmer")
+    for df in (overlap.paired_candidates(rows, saver(spark)), overlap.longest_runs(rows, 12, saver(spark)), overlap.paired_hits(rows, saver(spark), overlap.by_diagonal)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        dealt = [int(x) for x in re.findall(r"hashpartitioning\(read_id#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)]
+        assert dealt and min(dealt) * 500_000 >= 2500 * 2499 / 2, plan
