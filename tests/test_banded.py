@@ -214,3 +214,27 @@ def test_edges_and_bans(spark):
     rows = sorted(tuple(r) for r in B.edges(found).collect())
     assert rows == [(1, 2, 600_000, 100, 1), (1, 3, 400_000, 100, 2), (2, 1, 600_000, 100, 1), (2, 4, 448_000, 80, 2), (3, 1, 400_000, 100, 1), (4, 2, 448_000, 80, 1)]
     assert [tuple(r) for r in B.bans(found).collect()] == [(1, 4)]
+
+
+def test_pairs_of_unlike_size_share_a_batch(monkeypatch):
+    """A batch costs its longest pair's lines, so a few long pairs must not make a batch each."""
+    rnd = random.Random(8)
+    seqs = ["".join(rnd.choices("ACGT", k=n)) for n in range(700, 4700, 100)]
+    batches, fill = [], B.traces
+    monkeypatch.setattr(B, "traces", lambda one, *rest: batches.append(len(one)) or fill(one, *rest))
+    found = B.aligned(seqs, [s[50:] for s in seqs], [50] * len(seqs), B.Rules())
+    assert batches == [40]
+    assert all(B.cigar(x, y) == f"50N{len(s) - 50}=" for (x, y, _), s in zip(found, seqs))
+
+
+def test_traces_in_step_and_one_by_one_agree(monkeypatch):
+    some = cases()
+    columns = [list(x) for x in zip(*some)]
+    monkeypatch.setattr(B, "FEW", 1)
+    monkeypatch.setattr(B, "AGAIN", 64)
+    monkeypatch.setattr(B, "BLOCK", 1_000)
+    whole = B.aligned(*columns, B.Rules())
+    monkeypatch.undo()
+    monkeypatch.setattr(B, "FEW", 1 << 30)
+    for a, b in zip(whole, B.aligned(*columns, B.Rules())):
+        assert (a is None) == (b is None) and (a is None or a[0].tobytes() == b[0].tobytes() and a[1].tobytes() == b[1].tobytes())
