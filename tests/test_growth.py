@@ -231,3 +231,35 @@ def test_tasks_of_pairs_are_small(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         dealt = [int(x) for x in re.findall(r"hashpartitioning\(read_id#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)]
         assert dealt and min(dealt) * 500_000 >= 2500 * 2499 / 2, plan
+
+
+def test_no_rows_are_sent_by_the_driver(spark, monkeypatch):
+    """Blocks of reads meet in tasks, a read with more pairs than a task holds with some reads at a time; nothing is broadcast."""
+    words = ["internationally", "responsibilities", "characteristics", "internationality", "internationallyinternationally"]
+    r = spark.createDataFrame([(i, "N".join(words[(i * k) % 5] for k in range(1, 4 + i % 5)).translate(str.maketrans("abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26]))) for i in range(40)], "read_id long, seq string")
+    rows = kmers.positioned(r, 12, "read_id").select("read_id", "pos", "kmer").cache()
+    lengths = r.selectExpr("read_id", "length(seq) AS n")
+    hits, save = overlap.shared(rows).cache(), saver(spark)
+    few = overlap.candidates(hits).where("numhashes >= 9").selectExpr("rid1", "rid2", "lo AS eoffset", "numhashes AS weight")
+    pos = rows.toDF("read_id", "pos1", "kmer").join(rows.toDF("read_id2", "pos2", "kmer"), "kmer").where("read_id > read_id2")
+    runs = pos.selectExpr("read_id", "read_id2", "pos1 - pos2 AS far", "pos1 - row_number() OVER (PARTITION BY read_id, read_id2, pos1 - pos2 ORDER BY pos1) AS g")
+    longest = runs.groupBy("read_id", "read_id2", "far", "g").count().groupBy("read_id", "read_id2").agg({"count": "max"}).selectExpr("read_id", "read_id2", "`max(count)` + 11")
+    wanted = [overlap.by_diagonal(hits), overlap.offsets(hits), overlap.percent(hits, lengths, 12), longest, overlap.symmetric(few).groupBy("rid1").count()]
+    wanted = [{tuple(x) for x in df.collect()} for df in wanted]
+    assert all(wanted)
+    for size in (10**6, 2_000):
+        monkeypatch.setattr(overlap, "PAIRS", size)
+        monkeypatch.setattr(overlap, "SLICE", 10_000)
+        monkeypatch.setattr(overlap, "FOREST", size)
+        got = [
+            overlap.paired_hits(rows, save, overlap.by_diagonal),
+            overlap.paired_hits(rows, save, overlap.offsets),
+            overlap.paired_shares(rows.join(lengths, "read_id").select("read_id", "n", "pos", "kmer"), save, 12),
+            overlap.longest_runs(rows, 12, save).select("rid1", "rid2", "longest"),
+            overlap.paired_degrees(rows, save, 9),
+        ]
+        for df, want in zip(got, wanted):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Broadcast" not in plan and "Join" not in plan, plan
+            found = [tuple(x) for x in df.collect()]
+            assert len(found) == len(want) and set(found) == want
